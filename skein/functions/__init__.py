@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Column functions: geometry, time series in rows, identifiers and codes."""

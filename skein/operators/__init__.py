@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Operators on DataFrames: flight building, enrichment, joins, rollups, lookups, writes and exports."""

@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Predicates, the query engine, and the daily build."""

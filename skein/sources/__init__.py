@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Readers of raw reports, airframes, aeronautical features, pressure and terrain."""

@@ -1 +1 @@
-"""Trajectory analytics on Spark."""
+"""Streaming forms of the flight builder."""
