@@ -102,13 +102,15 @@ def _filling(counts: np.ndarray, room: int, nodes: int) -> tuple[int, ...]:
     fits[lengths] = lengths
     fits = np.maximum.accumulate(fits)
     best: list[int] = []
-    left = room
-    while left and (n := int(fits[left])):  # best fit: the longest that still fits, again and again
-        if best.count(n) >= counts[n]:
-            break
-        best.append(n)
-        left -= n
+    left = top = room
+    while n := int(fits[min(left, top)]):  # best fit: the longest that still fits, again and again
+        if best.count(n) < counts[n]:
+            best.append(n)
+            left -= n
+        else:
+            top = n - 1
     waste, spent = left, 0
+    greedy = tuple(best)
     down = lengths[::-1]
 
     def pair(r: int, top: int, used: tuple[int, ...]) -> None:
@@ -138,6 +140,10 @@ def _filling(counts: np.ndarray, room: int, nodes: int) -> tuple[int, ...]:
             if used.count(n) < counts[n] and r - n >= lengths[0]:
                 branch(r - n, n, (*used, n), depth - 1)
 
+    for back in range(1, min(4, len(greedy)) + 1):  # near the incumbent: other ends of it
+        if waste and spent <= nodes:
+            used = greedy[: len(greedy) - back]
+            branch(room - sum(used), used[-1] if used else room, used, 1)
     for depth in range(3):
         if waste and spent <= nodes:
             branch(room, room, (), depth)
