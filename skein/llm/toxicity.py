@@ -89,11 +89,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN,
     if rows.isEmpty():
         return Chain(None, [(name, Constant(0.0)) for name in chain])
     counter = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=WORDS, minDF=MIN_DOCS, binary=True)
-    try:
-        vocabulary = counter.fit(rows)
-    except Exception as error:  # no word stands in MIN_DOCS rows
-        if "vocabulary size" not in str(error):
-            raise
+    vocabulary = counter.fit(rows)
+    if not vocabulary.vocabulary:  # no word stands in MIN_DOCS rows
         shares = rows.agg(*[F.avg(f"y_{n}").alias(n) for n in chain]).first()
         return Chain(None, [(n, Constant(float(shares[n]))) for n in chain])
     rows = cut(vocabulary.transform(rows).drop("__words"))
