@@ -91,4 +91,4 @@ def release_date(tag: Column) -> Column:
 
 def is_split_part(name: str) -> bool:
     """Whether a file name is a part of a split archive: .tar.aa, .tar.ab, ..."""
-    return re.search(r"\.tar\.[a-z]{2}$", name) is not None
+    return re.search(r"\.tar\.(?!gz|xz)[a-z]{2}$", name) is not None

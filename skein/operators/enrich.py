@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import series as S
-from ..functions.geo import cell, haversine
+from ..functions.geo import haversine
+from .simplify import ratio_deviation, time_ratio
 
 # Hectopascals to feet around the standard pressure, and the airport rules.
 STANDARD_HPA, FT_PER_HPA, THIN_FT = 1013.25, 27.3, 30.0
@@ -110,25 +116,21 @@ def with_agl(flights: DataFrame, dem: DataFrame, key: list[str] | None = None, r
 
 
 def thinned_agl(found: DataFrame, key: list[str]) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from .simplify import ratio_deviation, time_ratio
-
+    """Each stretch's heights (``__agl``) by the time-ratio rule, with a tolerance that grows with the height."""
     schema = T.StructType([*[found.schema[k] for k in key], T.StructField("path_agl_ft", found.schema["__agl"].dataType)])
 
-    def one(part):
+    def one(part: list[dict]) -> list[dict]:
         t, v = (np.array([x[c] for x in part], dtype=float) for c in ("t", "v"))
         kept = {0, len(t) - 1}
         time_ratio(kept, 0, len(t) - 1, 1.0, ratio_deviation(t, v, np.maximum(MIN_CLEARANCE_FT, CLEARANCE_PART * np.abs(v))))
         return [part[k] for k in sorted(kept)]
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({**{k: frame[k] for k in key}, "path_agl_ft": [[one(list(p)) for p in series if len(p)] for series in frame["__agl"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            thin = [None if x is None else [one(p) for p in x if p] for x in batch.column("__agl").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in key), pa.array(thin, batch.schema.field("__agl").type)], names=schema.names)
 
-    return found.mapInPandas(run, schema)
+    return found.select(*key, "__agl").mapInArrow(run, schema)
 
 
 def nearest_airport(points: DataFrame, airports: DataFrame, metres: float = AIRPORT_M) -> DataFrame:

@@ -25,8 +25,17 @@ BUCKET_S = 86_400.0
 CELL = 0.5
 
 REPORT = ["t", "lat", "lon", "alt_baro", "track", "gs", "vr", "ias", "squawk"]
-PIECE = "array<array<struct<t:double,v:{}>>>"
-BUILT = T.StructType.fromDDL("dropped int, path array<array<struct<lon:double,lat:double,alt:double,t:double>>>, squawk_seq " + PIECE.format("string") + ", " + ", ".join(f"{c} {PIECE.format('int')}" for c in ("path_tracks", "path_gs", "path_vr", "path_ias")))
+
+
+def _series(kind: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.ArrayType(T.StructType([T.StructField("t", T.DoubleType()), T.StructField("v", kind)])))
+
+
+VERTEX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("lon", "lat", "alt", "t")])
+BUILT = T.StructType([
+    T.StructField("dropped", T.IntegerType()), T.StructField("path", T.ArrayType(T.ArrayType(VERTEX))), T.StructField("squawk_seq", _series(T.StringType())),
+    *(T.StructField(c, _series(T.IntegerType())) for c in ("path_tracks", "path_gs", "path_vr", "path_ias")),
+])
 
 
 def merge_reports(staged: DataFrame, new: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def run_day(spark: SparkSession, root: str, day: date, read_points: Callable[[da
     try:
         new = read_points(day)
         staged_path = f"{root}/staging"
-        staged = spark.read.parquet(staged_path).where(F.col("batch_date") == F.lit(day - timedelta(days=1))) if writes.exists(spark, staged_path) else new.limit(0)
+        staged = spark.read.schema(new.schema).parquet(staged_path).where(F.col("batch_date") == F.lit(day - timedelta(days=1))) if writes.exists(spark, staged_path) else new.limit(0)
         built, carried = build_day(staged, new, day, **tables)
         fresh = f"{root}/built/batch_date={day}"
         built.write.mode("overwrite").parquet(fresh)  # read twice below: not computed twice
@@ -65,7 +65,7 @@ def pending_days(landed: DataFrame, batches: DataFrame, today: date, lookback: i
     states = writes.batch_states(batches)
     done = states.where("status = 'succeeded'").select("batch_date")
     latest = done.agg(F.max("batch_date").alias("latest"))  # one row
-    rows = landed.crossJoin(F.broadcast(latest)).where(F.col("batch_date") > F.greatest(F.coalesce("latest", F.lit(date.min)), F.lit(today - timedelta(days=lookback))))
+    rows = landed.crossJoin(F.broadcast(latest)).where(F.col("batch_date") > F.greatest(F.coalesce("latest", F.lit(date(1970, 1, 1))), F.lit(today - timedelta(days=lookback))))
     return rows.join(done, "batch_date", "left_anti").select("batch_date").orderBy("batch_date")
 
 

@@ -19,9 +19,9 @@ def flags(bits: Column) -> Column:
 
 
 def read_airframes(spark: SparkSession, path: str) -> DataFrame:
-    """``;``-separated lines: icao24, registration, type, flag bits, model, year, operator; blanks are null."""
-    schema = ", ".join(f"{c} string" for c in AIRFRAME_COLUMNS) + ", rest string"
-    raw = spark.read.schema(schema).csv(path, sep=";", quote="", escape="\\", mode="PERMISSIVE")
+    """``;``-separated lines: icao24, registration, type, flag bits, model, year, operator; a backslash escapes, blanks are null."""
+    fields = F.transform(F.split("value", r"(?<!\\);"), lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+    raw = spark.read.text(path).select(fields.alias("f")).select(*[F.get("f", k).alias(c) for k, c in enumerate(AIRFRAME_COLUMNS)])
     text = {c: blank_to_null(F.col(c)) for c in AIRFRAME_COLUMNS}
     rows = raw.where((F.length(F.trim("icao24")) == 6) & F.col("flags").isNotNull())
     return rows.select(F.lower(text["icao24"]).alias("icao24"), text["registration"].alias("registration"), text["icao_type"].alias("icao_type"), flags(F.trim("flags")).alias("flags"), text["model"].alias("model"), F.expr("try_cast(trim(year) AS SMALLINT)").alias("year"), text["operator"].alias("operator"))
@@ -36,8 +36,7 @@ def elevation_ft(value: Column, unit: Column) -> Column:
 
 
 def frequency_mhz(value: Column, unit: Column) -> Column:
-    number = F.expr("try_cast(frequency_value AS DOUBLE)") if value is None else value.cast("double")
-    return F.when(unit == KHZ_UNIT, number / 1000).otherwise(number)
+    return F.when(unit == KHZ_UNIT, value / 1000).otherwise(value)
 
 
 FEATURE = """properties struct<_id:string, name:string, icaoCode:string, iataCode:string, identifier:string, type:int, country:string, icaoClass:int, compulsory:boolean,
@@ -57,7 +56,7 @@ def _waypoints(features: DataFrame, kind: str, ident: Column, **more: Column) ->
     columns = {"iata_code": F.lit(None).cast("string"), "frequency_mhz": F.lit(None).cast("double"), "compulsory": F.lit(None).cast("boolean"), **more}
     rows = features.select(
         p["_id"].alias("id"), F.lit(kind).alias("kind"), p["name"].alias("name"), F.upper(blank_to_null(ident)).alias("ident"), p["type"].alias("type_code"), p["country"].alias("country"), at[0].alias("lon"), at[1].alias("lat"),
-        elevation_ft(p["elevation.value"] if False else p["elevation"]["value"], p["elevation"]["unit"]).alias("elevation_ft"), *[v.alias(k) for k, v in columns.items()],
+        elevation_ft(p["elevation"]["value"], p["elevation"]["unit"]).alias("elevation_ft"), *[v.alias(k) for k, v in columns.items()],
     )
     return rows.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("tokens", tokens(F.col("name"), F.col("ident"), F.col("iata_code")))
 

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
 
-POINTS = T.StructType.fromDDL(
-    "icao24 string, icao_type string, t double, lat double, lon double, alt_baro double, track double, gs double, vr double, ias double, squawk string, callsign string, emitter_category string, new_leg boolean, seq int, batch_date date"
-)
 #: A trace's own fields; entries stay text until each field is read.
-HEADER = T.StructType.fromDDL("icao string, t string, timestamp string, trace array<array<string>>, _corrupt_record string")
+HEADER = "icao string, t string, timestamp string, trace array<array<string>>, _corrupt_record string"
 
 
 def read_traces(spark: SparkSession, path: str, batch_date: str) -> DataFrame:
