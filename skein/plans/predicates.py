@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
 from functools import reduce
@@ -351,13 +350,13 @@ def from_dict(node: dict[str, Any]) -> Predicate:
         return (And if kind == "and" else Or)(tuple(map(from_dict, x)))
     if kind == "not":
         return Not(from_dict(x))
+    if kind not in ("endpoint_within", "trajectory_intersects", "trajectory_within") or not isinstance(x, dict):
+        raise ValueError(f"not a predicate: {kind!r}")
     shape = geo.from_geojson(x["geometry"]) if x.get("geometry") else None
     if kind == "endpoint_within":
         return EndpointWithin(shape, x.get("mode", "either"), *[utc(x.get(k)) for k in ("start_from", "start_to", "end_from", "end_to")])
-    if kind in ("trajectory_intersects", "trajectory_within"):
-        alt, agl = x.get("altitude") or {}, x.get("agl_ft")
-        return Trajectory(shape, kind.removeprefix("trajectory_"), utc(x.get("time_from")), utc(x.get("time_to")), _range(alt), alt.get("unit", "ft"), _range(agl), tuple(x.get("squawk_codes") or ()), _range(x.get("dwell_s")), _range(x.get("distance_m")))
-    raise ValueError(f"unknown predicate {kind!r}")
+    alt, agl = x.get("altitude") or {}, x.get("agl_ft")
+    return Trajectory(shape, kind.removeprefix("trajectory_"), utc(x.get("time_from")), utc(x.get("time_to")), _range(alt), alt.get("unit", "ft"), _range(agl), tuple(x.get("squawk_codes") or ()), _range(x.get("dwell_s")), _range(x.get("distance_m")))
 
 
 def from_filter_tree(node: dict[str, Any]) -> Predicate | None:
@@ -414,9 +413,3 @@ def uses_airframes(p: Predicate) -> bool:
         return True
     parts = p.parts if isinstance(p, (And, Or)) else (p.part,) if isinstance(p, Not) else ()
     return any(map(uses_airframes, parts))
-
-
-def finite(value: float) -> float:
-    if not math.isfinite(value):
-        raise ValueError("not a finite number")
-    return value
