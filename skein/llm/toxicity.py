@@ -2,111 +2,197 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, texts
+from .common import cut, slices, texts
 
 #: About so many labelled rows are fitted on, chosen by a hash of doc_id; more labels do not make the fit larger.
-FIT_ROWS = 40_000
-#: Words with an own weight: the most frequent ones of the labelled rows, each in at least MIN_DOCS of them.
-WORDS = 1 << 16
-MIN_DOCS = 3
+FIT_ROWS = 20_000
+#: Words with a weight, for each category: those that go most clearly with it or against it.
+WORDS = 128
+#: How many standard deviations a word's count in a category must be off, and in how many labelled rows it must stand.
+CLEAR, MIN_DOCS = 5.0, 3
 FOLDS = 3
+RIDGE = 1.0
 #: Categories in the order of the chain, as conditions on a row of `labels`.
 CHAIN = {"junk": "quality = 0", "toxic": "toxic = 1"}
 THRESHOLD = 0.5
 
 
-def words(text="text"):
-    """Distinct words: runs of letters and digits, lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0))
-
-
-@dataclass
-class Constant:
-    """A category of which the labels show one side only."""
-
-    value: float
+def words_of(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Each word (lower-cased run of letters and digits) of a text column with its row."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(column, "")), r"[^\p{L}\p{N}]+")
+    return np.repeat(np.arange(len(column)), np.asarray(pc.list_value_length(lists), dtype=np.int64)), lists.flatten().dictionary_encode()
+
+
+def occurrences(column: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """Rows by words: 1 where the word stands in the row's text."""
+    row, words = words_of(column)
+    out = np.zeros((len(column), len(vocabulary)), dtype=np.float32)
+    known = np.asarray(pc.fill_null(pc.index_in(words.dictionary, value_set=vocabulary), -1), dtype=np.int64)
+    if len(known):
+        at = known[np.asarray(words.indices, dtype=np.int64)]
+        out[row[at >= 0], at[at >= 0]] = 1
+    return out
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
+    """Weights, the constant last, of a ridge logistic regression by Newton steps; one side only: the smoothed share."""
+    n, k = x.shape
+    share = (y.sum() + 0.5) / (n + 1)
+    w = np.zeros(k + 1)
+    w[-1] = np.log(share / (1 - share))
+    if not 0 < y.sum() < n:
+        return w
+    full = np.concatenate([x, np.ones((n, 1), np.float32)], axis=1)
+    penalty = np.full(k + 1, ridge)
+    penalty[-1] = 1e-6
+    loss = lambda v: float(np.logaddexp(0, -(2 * y - 1) * (full @ v)).sum() + (penalty * v * v).sum() / 2)
+    now = loss(w)
+    for _ in range(rounds):
+        p = logistic(full @ w)
+        slope = full.T @ (p - y) + penalty * w
+        curve = (full * (p * (1 - p))[:, None].astype(np.float32)).T @ full + np.diag(penalty)
+        step, size = np.linalg.solve(curve.astype(np.float64), slope), 1.0
+        while (then := loss(w - size * step)) > now and size > 1e-4:
+            size /= 2
+        w = w - size * step
+        if now - then < 1e-6 * now:
+            break
+        now = then
+    return w
 
 
 @dataclass
 class Chain:
-    vocabulary: CountVectorizerModel | None
-    models: list[tuple[str, LogisticRegressionModel | Constant]]
-
-    def score(self, docs: DataFrame, *more: str) -> DataFrame:
-        """doc_id, ``more`` and p_<category> for each row; in one scan, without a shuffle."""
-        rows = docs.select("doc_id", *more, words().alias("__words"))
-        if self.vocabulary is not None:
-            rows = self.vocabulary.transform(rows)
-        before: list[str] = []
-        for name, model in self.models:
-            rows = _apply(model, rows, name, before)
-            before.append(f"p_{name}")
-        return rows.select("doc_id", *more, *before)
-
-
-def _assembled(rows: DataFrame, before: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["__counts", *before], outputCol="__features").transform(rows)
-
-
-def _apply(model: LogisticRegressionModel | Constant, rows: DataFrame, name: str, before: list[str]) -> DataFrame:
-    if isinstance(model, Constant):
-        return rows.withColumn(f"p_{name}", F.lit(model.value))
-    scored = model.transform(_assembled(rows, before)).withColumn(f"p_{name}", vector_to_array("__probability")[1])
-    return scored.drop("__features", "__probability", "__raw", "__prediction")
-
-
-def _train(rows: DataFrame, name: str, before: list[str]) -> LogisticRegressionModel | Constant:
-    n, ones = rows.agg(F.count(F.lit(1)), F.sum(f"y_{name}")).first()
-    if not n or ones in (0, n):
-        return Constant(float(ones or 0) / n if n else 0.0)
-    # few words matter, so weights are made sparse; one pass over the bounded sample each iteration
-    fit = LogisticRegression(featuresCol="__features", labelCol=f"y_{name}", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", elasticNetParam=1.0, regParam=0.001, maxIter=40, tol=1e-5, standardization=False)
-    return fit.fit(_assembled(rows, before))
+    categories: list[str]
+    words: list[str] = field(default_factory=list)
+    #: For each category: weights of the words, then of the categories before it, then the constant.
+    weights: list[np.ndarray] = field(default_factory=list)
+
+    def probabilities(self, column: pa.Array) -> np.ndarray:
+        """Rows by categories, each category's from the words and from those before it."""
+        if not self.weights:
+            return np.zeros((len(column), len(self.categories)))
+        x = occurrences(column, pa.array(self.words, pa.string()))
+        out = np.zeros((len(column), 0))
+        for w in self.weights:
+            p = logistic(x @ w[: x.shape[1]] + out @ w[x.shape[1] : -1] + w[-1])
+            out = np.concatenate([out, p[:, None]], axis=1)
+        return out
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id and p_<category> for each row of (doc_id, text); one scan, without a shuffle."""
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(f"p_{c}", T.DoubleType()) for c in self.categories)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    p = self.probabilities(part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p.T)], names=schema.names)
+
+        return texts(docs).mapInArrow(run, schema)
+
+    def keep(self, docs: DataFrame, category: str, threshold: float) -> DataFrame:
+        """Rows of ``docs`` whose probability is under the threshold, with all columns."""
+        k = self.categories.index(category)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    yield part.filter(pa.array(self.probabilities(part.column("text"))[:, k] < threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
+
+def _clear_words(rows: DataFrame, sides: list[str], limit: int) -> list[str]:
+    """For each category the words whose share of its rows is furthest off: counted by task, then by word."""
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(s, T.DoubleType()) for s in sides)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, words = words_of(part.column("text"))
+                pairs = np.unique(np.stack([np.asarray(words.indices, dtype=np.int64), row], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+                count = lambda w=None: np.bincount(pairs[:, 0], weights=w, minlength=len(words.dictionary))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(count().astype(np.int64)), *(pa.array(count(np.asarray(part.column(s))[pairs[:, 1]])) for s in sides)], names=schema.names)
+
+    counted = rows.select("text", *sides).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sides])
+    counted = cut(counted.where((F.col("n") >= MIN_DOCS) & (F.col("word") != "")))
+    shares = rows.agg(*[F.avg(s).alias(s) for s in sides]).first()
+    chosen: list[str] = []
+    for s in sides:
+        share = shares[s]
+        if share is not None and 0 < share < 1:
+            off = F.abs(F.col(s) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+            chosen += [r["word"] for r in counted.withColumn("off", off).where(F.col("off") >= CLEAR).orderBy(F.desc("off"), "word").limit(limit).collect()]
+    return sorted(set(chosen))
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> Chain:
-    """Fit one sparse logistic model for each category on word occurrences and the probabilities of those before it.
+    """Fit one logistic model for each category on word occurrences and the probabilities of those before it.
 
     For training, those probabilities come from models that did not see the row (``folds`` folds by a hash of doc_id);
     for scoring, from a model of all rows. Labels with a null category or doc_id are left out; a doc_id with several
-    labels or texts counts each time. Without both sides of a category, its share among the labels is its probability.
+    labels or texts counts each time. The fit itself takes the rows' occurrences of the chosen words, about ``fit_rows``
+    small rows at most, in one task. Without usable labels every probability is 0.
     """
     total = labels.count()
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1_000_000)) < max(1, round(1_000_000 * min(1.0, fit_rows / max(1, total))))
-    sides = [F.expr(condition).cast("double").alias(f"y_{name}") for name, condition in chain.items()]
-    chosen = labels.where(share).select(F.col("doc_id").cast("long").alias("doc_id"), *sides).dropna()
-    # about FIT_ROWS labels: small enough for every task, whatever the size of the tables
-    joined = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", *[f"y_{n}" for n in chain], words().alias("__words"))
-    rows = cut(joined.withColumn("__fold", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(folds)).cast("int")))
-    if rows.isEmpty():
-        return Chain(None, [(name, Constant(0.0)) for name in chain])
-    counter = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=WORDS, minDF=MIN_DOCS, binary=True)
-    vocabulary = counter.fit(rows)
-    if not vocabulary.vocabulary:  # no word stands in MIN_DOCS rows
-        shares = rows.agg(*[F.avg(f"y_{n}").alias(n) for n in chain]).first()
-        return Chain(None, [(n, Constant(float(shares[n]))) for n in chain])
-    rows = cut(vocabulary.transform(rows).drop("__words"))
-    models: list[tuple[str, LogisticRegressionModel | Constant]] = []
-    before: list[str] = []
-    last = list(chain)[-1]
-    for name in chain:
-        models.append((name, _train(rows, name, before)))
-        if name != last:
-            held = [_apply(_train(rows.where(F.col("__fold") != k), name, before), rows.where(F.col("__fold") == k), name, before) for k in range(folds)]
-            out = held[0]
-            for part in held[1:]:
-                out = out.unionByName(part)
-            rows = cut(out)
-            before = [*before, f"p_{name}"]
-    return Chain(vocabulary, models)
+    sides = [f"y_{name}" for name in chain]
+    chosen = labels.where(share).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.expr(c).cast("double").alias(f"y_{n}") for n, c in chain.items()]).dropna()
+    # about fit_rows labels: small enough for every task, whatever the size of the tables
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", *sides, F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(folds)).cast("int").alias("fold"))
+    rows = cut(rows)
+    words = _clear_words(rows, sides, WORDS)
+    vocabulary = pa.array(words, pa.string())
+    sparse = T.StructType([*(T.StructField(s, T.DoubleType()) for s in sides), T.StructField("fold", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = occurrences(part.column("text"), vocabulary)
+                row, at = np.nonzero(x)
+                offsets = np.searchsorted(row, np.arange(len(x) + 1))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(s) for s in sides), part.column("fold"), lists], names=sparse.names)
+
+    fitted = T.StructType([T.StructField("category", T.IntegerType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort([frame["at"].map(len), *(frame[s] for s in sides), frame["fold"]])]
+        x = np.zeros((len(frame), len(words)), dtype=np.float32)
+        for row, at in enumerate(frame["at"]):
+            x[row, np.asarray(at, dtype=np.int64)] = 1
+        fold, out = frame["fold"].to_numpy(), []
+        for k, s in enumerate(sides):
+            y = frame[s].to_numpy()
+            w = fit_logistic(x, y)
+            out.append((k, w.tolist()))
+            held = np.zeros(len(frame))
+            for f in range(folds):
+                other = fold != f
+                seen = fit_logistic(x[other], y[other]) if other.any() else w
+                held[~other] = logistic(x[~other] @ seen[:-1] + seen[-1])
+            x = np.concatenate([x, held[:, None].astype(np.float32)], axis=1)
+        return pd.DataFrame(out, columns=fitted.names)
+
+    located = rows.select("text", *sides, "fold").mapInArrow(locate, sparse)
+    models = located.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: fit(frame), fitted).orderBy("category").collect()
+    return Chain(list(chain), words, [np.array(m["weights"]) for m in models])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,12 +201,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     A null or empty text has no words, so only the models' constants speak. Null or repeated doc_ids are rows like any
     other; extra columns are ignored; an empty table gives an empty table.
     """
-    scored = fit_chain(docs, labels).score(texts(docs))
-    return scored.withColumn("toxic", F.col("p_toxic") >= threshold)
+    return fit_chain(docs, labels).score(docs).withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that the chain rejects; all other rows and all columns stay."""
-    chain = fit_chain(docs, labels)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return chain.score(kept, "__row").where(F.col("p_toxic") < threshold).select("__row.*")
+    """``docs`` without the rows that the chain rejects; all other rows and all columns stay. Edges as above."""
+    return fit_chain(docs, labels).keep(docs, "toxic", threshold)
