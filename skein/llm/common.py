@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The white space that separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,12 +20,10 @@ SLICE_BYTES = 4 << 20
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        place = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
+        place = spark.sparkContext.getCheckpointDir()
     return place
 
 
@@ -41,10 +38,6 @@ def cut(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and ``more``; columns beyond these are left behind, so their names cannot clash."""
     return docs.select(
