@@ -16,8 +16,8 @@ from .common import cut, slices, texts, words_of
 
 #: Words of a k-mer: an edge of the graph. Windows are longer, so each one holds several.
 KMER = 8
-#: A side of a join is broadcast up to this many rows (about 60 bytes each); beyond that it is shuffled.
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast while its arrays have up to this many items (24 bytes each); beyond that it is shuffled.
+BROADCAST_ITEMS = 3_000_000
 NO_ID = -1 << 63
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -89,8 +89,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(small) if few else small, ["kid", "tkey"], how)
+    """rows with ``spans`` of the table ``small`` (kid, tkey, spans)."""
+    items = small.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
+    return rows.join(F.broadcast(small) if items <= BROADCAST_ITEMS else small, ["kid", "tkey"], how)
 
 
 LONG = {"kid": T.LongType(), "tkey": T.LongType(), "kmer": T.LongType(), "content": T.LongType(), "first": T.IntegerType(), "last": T.IntegerType()}
@@ -143,7 +144,7 @@ def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFrame:
-    """(kid, tkey, spans): for each document the window starts (first, mask) that occur anywhere else.
+    """(kid, tkey, spans): for each document the runs (first, last) of window starts that occur anywhere else.
 
     1. Sampled k-mers are the graph's nodes; the labelled runs of words around them are its edges.
     2. A node that occurs once has no repeated window. A node of which all occurrences have one label is nonbranching:
@@ -155,7 +156,9 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFram
         raise ValueError("a run has at most 63 windows; take a larger k")
     edges = cut(graph_edges(docs, window, k))
     nodes = edges.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    seen = cut(edges.join(nodes.select("kmer", (F.col("low") == F.col("high")).alias("straight")), "kmer"))
+    # written, so that both sides of the join are plain shuffles and a k-mer that stands almost everywhere is split
+    nodes = cut(nodes.select("kmer", (F.col("low") == F.col("high")).alias("straight")))
+    seen = cut(edges.join(nodes, "kmer"))
     whole = F.expr("shiftleft(1L, last - first + 1) - 1").alias("mask")
     compact = seen.where("straight").select("kid", "tkey", "first", whole)
     branching = seen.where("not straight")
@@ -165,12 +168,38 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFram
     sources = _joined(_keyed(docs).select("kid", "tkey", "text"), cut(places))
     # repeated rows (same doc_id and text) read the same coordinates: one row for each label and offset
     windows = cut(_window_hashes(sources, window).dropDuplicates(["kmer", "content", "offset"]) if _repeated(docs) else _window_hashes(sources, window))
-    shared = windows.groupBy("kmer", "whash").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    shared = cut(windows.groupBy("kmer", "whash").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1"))
     masks = windows.join(shared, ["kmer", "whash"]).groupBy("kmer", "content").agg(F.sum(F.expr("shiftleft(1L, offset)")).alias("some"))
     full = F.expr("shiftleft(1L, at.last - at.first + 1) - 1").alias("mask")
     settled = labels.where("n > 1").select("kmer", "content", full).unionByName(labels.where("n = 1").join(masks, ["kmer", "content"]).select("kmer", "content", F.col("some").alias("mask")))
-    split = branching.join(settled, ["kmer", "content"]).select("kid", "tkey", "first", "mask")
-    return cut(compact.unionByName(split).groupBy("kid", "tkey").agg(F.collect_set(F.struct("first", "mask")).alias("spans")))
+    split = branching.join(cut(settled), ["kmer", "content"]).select("kid", "tkey", "first", "mask")
+    grouped = compact.unionByName(split).groupBy("kid", "tkey").agg(F.collect_list(F.struct("first", "mask")).alias("starts"))
+    return cut(_merged(grouped))
+
+
+def _merged(grouped: DataFrame) -> DataFrame:
+    """Each document's masked starts as ordered runs (first, last) of consecutive window starts: far fewer items."""
+    schema = T.StructType.fromDDL("kid long, tkey long, spans array<struct<first:int,last:int>>")
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("starts")
+            flat, n = lists.flatten(), np.asarray(lists.value_lengths(), dtype=np.int64)
+            first, mask = np.asarray(flat.field("first"), dtype=np.int64), np.asarray(flat.field("mask"), dtype=np.int64)
+            row, bit = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(mask) else (first, first)
+            owner, start = np.repeat(np.arange(len(n)), n)[row], first[row] + bit
+            order = np.lexsort((start, owner))
+            owner, start = owner[order], start[order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + 1)]) if len(owner) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            tail = np.concatenate([head[1:], [len(owner)]]).astype(np.int64) - 1 if len(head) else head
+            count = np.bincount(owner[head], minlength=len(n))
+            runs = pa.StructArray.from_arrays([pa.array(start[head], pa.int32()), pa.array(start[tail], pa.int32())], names=["first", "last"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("kid"), batch.column("tkey"), pa.ListArray.from_arrays(offsets, runs).cast(kind)], names=schema.names)
+
+    return grouped.mapInArrow(run, schema)
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -198,13 +227,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFram
                     own = text.as_py().encode("utf-8", "surrogatepass").split()
                     gone = np.zeros(len(own) + 1, dtype=np.int64)
                     for span in found.as_py() or ():
-                        first, mask = span["first"], span["mask"]
-                        while mask:
-                            bit = (mask & -mask).bit_length() - 1
-                            run_length = (~(mask >> bit) & -(~(mask >> bit))).bit_length() - 1
-                            gone[first + bit] += 1
-                            gone[first + bit + run_length - 1 + window] -= 1
-                            mask &= ~(((1 << run_length) - 1) << bit)
+                        gone[span["first"]] += 1
+                        gone[span["last"] + window] -= 1
                     drop = np.cumsum(gone)[:-1] > 0
                     kept = b" ".join([w for w, d in zip(own, drop.tolist(), strict=True) if not d]) if found.is_valid else b" ".join(own)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
