@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from .common import cut, slices, texts, words_of
 
 #: Rows that one numbering group holds on average; a length with more rows is numbered in several groups.
 GROUP_ROWS = 50_000
-#: Distinct words whose ids a worker keeps (about 250 bytes each).
-CACHE_WORDS = 600_000
+#: Distinct words whose ids a worker keeps (about 180 bytes each).
+CACHE_WORDS = 1_200_000
 #: Branch-and-bound nodes for one filling; each looks at all last two lengths at once.
 NODES = 400
 
@@ -44,10 +45,10 @@ class WordCoder:
         for start in range(0, len(missing), 20_000):
             part = missing[start : start + 20_000]
             for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[word] = np.array(got.ids, dtype=np.uint32)
+                self.ids[word] = array("I", got.ids).tobytes()
         own = [self.ids[w] for w in names]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        table = np.concatenate([*own, np.zeros(0, np.uint32)])
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        table = np.frombuffer(b"".join(own), np.uint32)
         first = np.cumsum(sizes) - sizes
         index = np.asarray(coded.indices, dtype=np.int64)
         each = sizes[index]
