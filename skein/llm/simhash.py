@@ -1,4 +1,4 @@
-"""SimHash fingerprints, and near duplicates by meet-in-the-middle ball hashing."""
+"""SimHash fingerprints by meet-in-the-middle ball hashing, and near duplicates by prefixes of shingle sets."""
 
 from __future__ import annotations
 
@@ -17,9 +17,16 @@ from pyspark.sql.window import Window
 
 from .common import cut, slices, texts, words_of
 from .graph import components
+from .substring import _mix
 
 #: A side of a join is broadcast up to this many rows of some 40 bytes; beyond that it is shuffled.
 BROADCAST_ROWS = 500_000
+#: Texts that share a shingle are compared pair by pair up to this many, beyond it with a head first.
+BUCKET = 32
+#: Heads that a larger bucket gets in turn before what is left of it is compared pair by pair.
+ROUNDS = 6
+#: Shingles at most that are put last in the order of shingles (8 bytes each, in every worker).
+FREQUENT = 500_000
 
 
 def shingle_hashes(column: pa.Array, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -126,17 +133,40 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return rows.join(of, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each row's distinct shingles of ``size`` words (A-Z lower-cased), ascending, and how many each row has.
+
+    A row of fewer words has one shingle, its whole sequence; a row of none has none.
+    """
+    lengths, flat = words_of(pc.ascii_lower(column))
+    coded = flat.dictionary_encode()
+    names = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    words = names[np.asarray(coded.indices, dtype=np.int64)] if len(names) else np.zeros(0, np.uint64)
+    ends, each = np.cumsum(lengths), np.where(lengths > size, lengths - size + 1, np.minimum(lengths, 1))
+    owner = np.repeat(np.arange(len(lengths)), each)
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each - (ends - lengths), each)
+    run = np.minimum(lengths, size)[owner]
+    hashes = run.astype(np.uint64)
+    for k in range(size):
+        inside = k < run
+        hashes[inside] = _mix(hashes[inside] * np.uint64(0x9E3779B97F4A7C15) ^ words[first[inside] + k])
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]) if len(hashes) else np.zeros(0, bool)
+    return hashes[new], np.bincount(owner[new], minlength=len(lengths)).astype(np.int64)
+
+
 def _jaccard(pairs: DataFrame, size: int) -> DataFrame:
     """Exact similarity of the shingle sets of ``text_a`` and ``text_b``."""
     schema = T.StructType([*pairs.drop("text_a", "text_b").schema, T.StructField("similarity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_a", 1 << 20):
+            for part in slices(batch, "text_a", 1 << 18):
                 sides = []
                 for name in ("text_a", "text_b"):
-                    hashes, counts = shingle_hashes(part.column(name), size)
-                    sides.append([np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])])
+                    hashes, counts = shingle_sets(part.column(name), size)
+                    sides.append(np.split(hashes, np.cumsum(counts)[:-1]))
                 alike = []
                 for a, b in zip(*sides, strict=True):
                     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -147,59 +177,110 @@ def _jaccard(pairs: DataFrame, size: int) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def near_duplicate_links(docs: DataFrame, rows: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 3, bits: int = 32, radius: int = 2) -> DataFrame:
-    """Verified links (a, b) between nodes of ``rows`` (node, doc_id, tkey, f0, ...).
+def prefixes(rows: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """h, node, size, pos: of each text's ``size`` distinct shingles the first few in one order of all shingles.
+
+    Two texts at ``similarity`` share so many shingles that they share one of these. The order is that of hashes, with
+    the ``frequent`` ones (ascending) last; which ones these are does not matter for what is found, only for the work.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+    schema = T.StructType.fromDDL("h long, node long, size int, pos int")
 
-    The lanes are cut into tables of ``bits`` bits. In each table, documents with equal bits hang on one of them, and
-    those representatives meet by ball hashing; each table picks its representatives in another order. Pairs whose
-    whole fingerprints are too far apart go; the rest is verified on the texts' shingle sets.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                hashes, counts = shingle_sets(part.column("text"), shingle)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                if len(often) and len(hashes):
+                    late = often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
+                    hashes = hashes[np.lexsort((hashes, late, owner))]
+                pos = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                keep = pos <= (counts - np.ceil(similarity * counts - 1e-9))[owner]
+                own = owner[keep]
+                columns = [pa.array(hashes[keep].view(np.int64)), part.column("node").take(pa.array(own)), pa.array(counts[own], pa.int32()), pa.array(pos[keep], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.select("node", "text").mapInArrow(run, schema)
+
+
+def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b, similarity) between the nodes of ``rows`` (node, text) whose components are those of all pairs at ``similarity`` or more.
+
+    Candidates share a shingle of their prefixes, which loses no pair. Shingles in the prefixes of more than ``bucket``
+    texts go to the end of the order. Where a bucket is still larger, its members are compared with a head: those
+    alike are linked to it, the rest is a bucket again. By the triangle inequality of the distance 1 - similarity only
+    members within twice the limit of the head can be alike to one of its links, and they are compared with these.
+    After ``rounds`` heads, and in small buckets, all pairs are compared. Every link is verified on the texts' sets.
     """
-    names = [f"f{k}" for k in range(lanes)]
-    nodes = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("doc_id", "tkey", *names)])
-    nodes = cut(nodes)
-    per_lane = 64 // bits
-    low = (1 << bits) - 1 if bits < 64 else -1
-    tables = [
-        F.struct(F.lit(k * per_lane + i).alias("table"), F.shiftrightunsigned(F.col(name), i * bits).bitwiseAND(F.lit(low)).alias("f"))
-        for k, name in enumerate(names)
-        for i in range(per_lane)
-    ]
-    dealt = nodes.select("node", F.struct(*names).alias("p"), F.inline(F.array(*tables)))
-    order = F.struct(F.xxhash64("node", "table").alias("order"), "node", "p")
-    heads = cut(dealt.groupBy("table", "f").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("members")))
-    shared = heads.where("members > 1")
-    level1 = dealt.join(shared, ["table", "f"]).select(F.col("node").alias("a"), F.col("p").alias("pa"), F.col("head.node").alias("b"), F.col("head.p").alias("pb"))
-    met = ball_links(heads.select("table", "f"), bits, radius)
-    side = lambda c: heads.select("table", F.col("f").alias(c), F.col("head.node").alias(f"{c}_node"), F.col("head.p").alias(f"p{c}"))
-    level2 = met.join(side("a"), ["table", "a"]).join(side("b"), ["table", "b"])
-    level2 = level2.select(F.col("a_node").alias("a"), "pa", F.col("b_node").alias("b"), "pb")
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"pa.{n}").bitwiseXOR(F.col(f"pb.{n}"))) for n in names])
-    # at the least similarity 0.8 of five-word shingles about 18 of 192 bits differ; 40 is over five deviations more
-    pairs = level1.unionByName(level2).where("a <> b").where(apart <= 64 * lanes * 40 // 192)
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "tkey"), "node")
-    wanted = cut(wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63))))
-    body = texts(docs).withColumn("tkey", F.xxhash64("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63)))
-    body = body.join(F.broadcast(wanted) if few else wanted, ["doc_id", "tkey"]).select("node", "text").dropDuplicates(["node"])
-    body = cut(body)
-    both = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(_jaccard(both, shingle).where(F.col("similarity") >= similarity).select("a", "b"))
+    spark = rows.sparkSession
+    frequent = np.zeros(0, np.uint64)
+    for _ in range(2):
+        counts = prefixes(rows, shingle, similarity, frequent).groupBy("h").count().where(F.col("count") > bucket)
+        found = counts.orderBy(F.desc("count")).limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+        frequent, before = np.union1d(frequent, found), len(frequent)
+        if len(frequent) == before or len(frequent) >= FREQUENT:
+            break
+    items = cut(prefixes(rows, shingle, similarity, frequent))
+    if not rows.groupBy("node").count().where("count > 1").isEmpty():
+        items = cut(items.dropDuplicates(["h", "node"]))
+    items = cut(items.join(items.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "h"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b), a before b, with their similarity."""
+        pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        body = cut(rows.select("node", "text").join(F.broadcast(wanted) if few else wanted, "node").dropDuplicates(["node"]))
+        side = lambda c: body.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle))
+
+    def every_pair(some: DataFrame) -> DataFrame:
+        """Pairs of each bucket that may be alike by their sizes and by where the first shingle they share stands."""
+        x, y = (some.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "pos")]) for k in "ab")
+        both = x.join(y, "h").where("node_a < node_b")
+        least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+        room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        fit = (least >= similarity * most - 1e-9) & (room >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9)
+        return both.where(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    small = items.where(F.col("members") <= bucket).drop("members")
+    large = items.where(F.col("members") > bucket).drop("members")
+    links, more = [], [every_pair(small)]
+    for turn in range(rounds):
+        if large.isEmpty():
+            break
+        heads = large.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size")).alias("head"), F.count(F.lit(1)).alias("members"))
+        hung = cut(large.join(heads.where("members > 1"), "h").where("node <> head.node").withColumn("a", F.least("node", "head.node")).withColumn("b", F.greatest("node", "head.node")))
+        far = 2 * similarity - 1  # beyond twice the limit's distance from the head
+        seen = verified(hung.where(F.least("size", "head.size") >= far * F.greatest("size", "head.size") - 1e-9).select("a", "b"))
+        links.append(seen)
+        hung = cut(hung.join(seen, ["a", "b"], "left").select("h", "node", "size", "pos", "members", "similarity"))
+        alike, near = hung.where(F.col("similarity") >= similarity), hung.where((F.col("similarity") < similarity) & (F.col("similarity") >= far - 1e-9))
+        side = lambda d, k: d.select("h", F.col("node").alias(k), F.col("similarity").alias(f"s{k}"))
+        across = side(alike, "a").join(side(near, "b"), "h").where(F.col("sb") >= F.col("sa") + similarity - 1 - 1e-9)
+        more.append(across.select("a", "b"))
+        rest = hung.where(F.col("similarity").isNull() | (F.col("similarity") < similarity)).drop("members", "similarity")
+        left = cut(rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "h"))
+        more.append(every_pair(left.where(F.col("left") <= bucket)))
+        large = left.where(F.col("left") > bucket).drop("left")
+    more.append(every_pair(large))
+    links.append(verified(reduce(DataFrame.unionByName, more)))
+    return reduce(DataFrame.unionByName, links).where(F.col("similarity") >= similarity)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id.
 
     Groups are the components of links: texts whose sets of five-word shingles (A-Z lower-cased) have a Jaccard
-    similarity of 0.8 or more. Fingerprints for the candidates are taken over word pairs, which near copies share more
-    of. Equal texts are one group, null texts count as empty, and of repeated rows one stays. A row with a null
+    similarity of 0.8 or more; the groups are those that comparing all pairs would give. Equal texts are one group, null texts count as empty, and of repeated rows one stays. A row with a null
     doc_id comes after all others of its group. All columns are returned; an empty table gives an empty table.
     """
     low = F.lit(-1 << 63)
-    rows = fingerprints(docs, 2, 3)
     # a node is a distinct text; equal texts share it
-    rows = cut(rows.select("doc_id", "tkey", "f0", "f1", "f2", F.col("tkey").alias("node")))
-    links = near_duplicate_links(docs, rows, shingle, similarity)
+    bodies = texts(docs).withColumn("node", F.xxhash64("text"))
+    rows = bodies.select("doc_id", F.col("node").alias("tkey"), "node")
+    links = near_duplicate_links(bodies, shingle, similarity).select("a", "b")
     found = components(links)
     groups = cut(rows.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), F.coalesce("doc_id", low).alias("doc_id"), "tkey"))
     kept = groups.groupBy("group").agg(F.min(F.struct("rank", "tkey")).alias("kept"))

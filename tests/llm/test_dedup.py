@@ -178,3 +178,33 @@ def test_near_duplicates_recall_on_documents(spark):
     assert all(any(alike(a, b) >= 0.8 for b in sets if b != a) for a in lost)
     missed = [p for p in pairs if p[0] in kept and p[1] in kept]
     assert len(missed) <= 0.05 * max(1, len(pairs))
+
+
+@pytest.mark.parametrize(("bucket", "rounds"), [(32, 6), (2, 1), (2, 4)])
+def test_near_duplicates_are_those_of_all_pairs(spark, bucket, rounds):
+    """Appended, cut and replaced blocks near 0.8, a line repeated many times, and passages that very many documents share."""
+    import random
+
+    rng = random.Random(21)
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    shared, line, rows = [some(60) for _ in range(3)], some(15), []
+    for _ in range(12):
+        w = some(240)
+        at = rng.randrange(180)
+        rows += [w, w + some(rng.randint(50, 64)), w[: rng.randint(188, 200)], w[:at] + some(rng.randint(20, 32)) + w[at + 26 :], w + line, w + line * 12]
+    rows += [p + some(rng.randint(0, 25)) for p in shared for _ in range(25)] + [some(3), some(3), ["one", "two"], ["One", "two"]]
+    bodies = [" ".join(w) for w in rows]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "node long, text string")
+    links = simhash.near_duplicate_links(docs, bucket=bucket, rounds=rounds).collect()
+    sets = [shingles(t) for t in bodies]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    def groups(pairs):
+        of = list(range(len(sets)))
+        for a, b in pairs:
+            x, y = of[a], of[b]
+            of = [min(x, y) if k in (x, y) else k for k in of]
+        return of
+
+    assert all(alike(r.a, r.b) >= 0.8 for r in links)
+    assert groups([(r.a, r.b) for r in links]) == groups([(a, b) for a in range(len(sets)) for b in range(a) if alike(a, b) >= 0.8])
