@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,72 +21,57 @@ from .common import cut
 BLOCK_ROWS = 64
 #: Rows that one numbering group holds on average; a source with more rows is numbered in several groups.
 GROUP_ROWS = 20_000
-#: Weights are rounded to multiples of 1 / PERIOD: after so many slots every source has exactly its share.
-PERIOD = 1_000
-#: More sources than this are refused: the timetable has at most MAX_SOURCES x PERIOD entries.
-MAX_SOURCES = 500
+#: A table of sources is broadcast up to this many rows; beyond that it is shuffled.
+BROADCAST_SOURCES = 10_000
 #: What a null source is called in the result and in `weights`.
 NO_SOURCE = "(none)"
 
 
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of each source in a period, by largest remainders, at least one each."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    k = 0
-    while (rest := period - sum(out.values())) != 0:
-        s = order[k % len(order)] if rest > 0 else max(out, key=lambda x: (out[x] - exact[x] if out[x] > 1 else -math.inf, x))
-        out[s] += 1 if rest > 0 else -1
-        k += 1
-    return out
+def schedule(share: dict[str, int]) -> Iterator[str]:
+    """The source of slot 0, 1, ... without end, where a source's weight w is its part of the sum of all shares.
 
-
-def timetable(share: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period.
-
-    Block j (from 1) of a source with weight w is released at floor((j - 1) / w) and due at ceil(j / w); each slot
-    goes to the released block with the earliest deadline. So every source is always less than one block off w x t.
+    Block j (from 1) of a source is released at floor((j - 1) / w) and due at ceil(j / w); each slot goes to the
+    released block with the earliest deadline. So every source is always less than one block off w x t.
     """
-    release = lambda s, j: (j - 1) * period // share[s]
-    due = lambda s, j: -(-j * period // share[s])
+    period = sum(share.values())
     waiting = [(0, s, 1) for s in sorted(share)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, j), s, j))
+            heapq.heappush(ready, (-(-j * period // share[s]), s, j))
         _, s, j = heapq.heappop(ready)
+        yield s
+        heapq.heappush(waiting, (j * period // share[s], s, j + 1))
+        t += 1
+
+
+def timetable(share: dict[str, int], period: int) -> dict[str, list[int]]:
+    """Slots of each source's blocks within one period, the sum of all shares."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for t, s in enumerate(islice(schedule(share), period)):
         slots[s].append(t)
-        if j < share[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """(source, phase, first block, last block + 1, first slot, slots) for the whole run.
+def turns(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[str]:
+    """The source of each slot of the whole run, by the weights just as they are written (floats as exact decimal fractions).
 
     When a source runs out, the others go on with their weights scaled up: a new phase.
     """
-    left, done, clock, out, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, [], 0
-    while active := {s: weights[s] for s in left if left[s] > 0}:
-        length = max(period, 2 * len(active))
-        share = shares(active, length)
-        slots = timetable(share, length)
-        ends = {s: (left[s] - 1) // share[s] * length + slots[s][(left[s] - 1) % share[s]] + 1 for s in active}
-        end = min(ends.values())
-        for s in active:
-            used = end // length * share[s] + sum(x < end % length for x in slots[s])
-            if used:
-                out.append((s, phase, done[s], done[s] + used, clock, length, slots[s]))
-            done[s] += used
-            left[s] -= used
-        clock += end
-        phase += 1
-    return out
+    left = {s: n for s, n in blocks.items() if n > 0}
+    exact = {s: Fraction(str(weights[s])) for s in left}
+    whole = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    share = {s: int(w * whole) for s, w in exact.items()}
+    while left:
+        for s in schedule({s: share[s] for s in left}):
+            yield s
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
 
 
 def tempered(blocks: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -89,7 +79,39 @@ def tempered(blocks: dict[str, int], power: float = 0.5) -> dict[str, float]:
     return {s: n**power for s, n in blocks.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def _slots(counted: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """``counted`` (__source, __salt, __n) -> __source, __salt, __slots: the slots of the blocks of each numbering group.
+
+    One task goes through the slots; it holds the groups' sizes and each source's slots of one group.
+    """
+    schema = T.StructType([T.StructField("__source", T.StringType()), T.StructField("__salt", T.LongType()), T.StructField("__slots", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for batch in batches:
+            for s, salt, n in zip(*(batch.column(c).to_pylist() for c in ("__source", "__salt", "__n")), strict=True):
+                groups[s].append((salt, n))
+        for own in groups.values():
+            own.sort(reverse=True)
+        blocks = {s: sum(n for _, n in own) for s, own in groups.items()}
+        held: dict[str, list[int]] = {s: [] for s in groups}
+        done: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=schema.names)
+        for t, s in enumerate(turns(blocks, weights or tempered(blocks))):
+            held[s].append(t)
+            if len(held[s]) == groups[s][-1][1]:
+                done.append((s, groups[s].pop()[0], held[s]))
+                held[s] = []
+                if len(done) == 1000:
+                    yield batch_of()
+                    done = []
+        if done:
+            yield batch_of()
+
+    return counted.select("__source", F.col("__salt").cast("long"), F.col("__n").cast("long")).coalesce(1).mapInArrow(run, schema)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` with __source, __block (within its source, from 0), __slot (the block's turn in the mix) and __place (in the block).
 
     Every row stays. ``weights`` are the target weights of sources (default: square roots of their numbers of blocks);
@@ -99,34 +121,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     """
     spark = docs.sparkSession
     rows = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
-    sizes = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources; map them to fewer groups first")
-    groups = {s: max(1, -(-n // GROUP_ROWS)) for s, n in sizes.items()}
-    chosen = F.create_map(*[x for s, n in groups.items() for x in (F.lit(s), F.lit(n))]) if groups else F.lit(None).cast("map<string,int>")
-    hashed = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    rows = rows.withColumn("__hash", hashed).withColumn("__salt", F.pmod("__hash", chosen[F.col("__source")]))
+    sizes = cut(rows.groupBy("__source").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("__groups")))
+    if weights is not None:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "__source string, __weight double")
+        right = (F.col("__weight") > 0) & ~F.col("__weight").isin(math.inf, math.nan)
+        if lacking := [r[0] for r in sizes.join(given, "__source", "left").where(~F.coalesce(right, F.lit(False))).select("__source").limit(5).collect()]:
+            raise ValueError(f"no positive weight for {lacking}")
+    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    rows = rows.withColumn("__hash", F.xxhash64(F.col("doc_id"), F.lit("mix"))).join(F.broadcast(sizes) if few else sizes, "__source")
+    rows = rows.withColumn("__salt", F.pmod("__hash", "__groups")).drop("__groups")
     counted = rows.groupBy("__source", "__salt").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("__n"))
     running = Window.partitionBy("__source").orderBy("__salt")
     counted = cut(counted.withColumn("__before", F.sum("__n").over(running) - F.col("__n")))
-    blocks = {r["__source"]: r["n"] for r in counted.groupBy("__source").agg(F.sum("__n").alias("n")).collect()}  # one row a source
-    weights = tempered(blocks) if weights is None else weights
-    if lacking := [s for s in blocks if not weights.get(s, 0) > 0]:
-        raise ValueError(f"no positive weight for {lacking[:5]}")
-    schema = T.StructType([
-        T.StructField("__source", T.StringType()), T.StructField("__phase", T.IntegerType()), T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType()), T.StructField("__clock", T.LongType()),
-        T.StructField("__period", T.LongType()), T.StructField("__slots", T.ArrayType(T.LongType())),
-    ])
-    plan = spark.createDataFrame(phases(blocks, weights, period), schema)
+    plan = cut(counted.join(_slots(counted, weights), ["__source", "__salt"]))
     number = F.row_number().over(Window.partitionBy("__source", "__salt").orderBy("__hash", "doc_id")) - 1
-    rows = rows.withColumn("__number", number).join(counted, ["__source", "__salt"])  # dealt as the window is: no further shuffle
-    rows = rows.withColumn("__block", (F.col("__before") + F.floor(F.col("__number") / block_rows)).cast("long"))
+    rows = rows.withColumn("__number", number).join(plan, ["__source", "__salt"])  # dealt as the window is: no further shuffle
+    own = F.floor(F.col("__number") / block_rows)
+    rows = rows.withColumn("__block", (F.col("__before") + own).cast("long"))
     rows = rows.withColumn("__place", (F.col("__number") % block_rows).cast("long"))
-    rows = rows.join(F.broadcast(plan.withColumnRenamed("__source", "__s")), (F.col("__source") == F.col("__s")) & (F.col("__block") >= F.col("__from")) & (F.col("__block") < F.col("__to")))
-    step = F.col("__block") - F.col("__from")
-    turns = F.size("__slots")
-    slot = F.col("__clock") + F.floor(step / turns) * F.col("__period") + F.element_at("__slots", (step % turns + 1).cast("int"))
-    return rows.withColumn("__slot", slot.cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], "__source", "__block", "__slot", "__place")
+    rows = rows.withColumn("__slot", F.element_at("__slots", (own + 1).cast("int")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__source", "__block", "__slot", "__place")
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **more) -> DataFrame:

@@ -223,6 +223,23 @@ def test_hot_source_is_numbered_in_groups(spark, monkeypatch):
     assert len({(r["__slot"], r["__place"]) for r in rows}) == 600 and {r["__slot"] for r in rows} == set(range(max(r["__slot"] for r in rows) + 1))
 
 
+def test_mixing_stays_within_a_block_of_the_weights_themselves():
+    from fractions import Fraction
+
+    for weights in ({"a": 1 / 3, "b": 2 / 3}, {"a": 0.0001, "b": 0.9999}, {str(k): math.sqrt(k) for k in range(1, 12)}):
+        exact, done, n = {s: Fraction(str(w)) for s, w in weights.items()}, Counter(), 20_000
+        for t, s in zip(range(1, n + 1), mixing.turns(dict.fromkeys(weights, n), weights), strict=False):
+            done[s] += 1
+            if t % 97 == 0 or t == n:
+                assert all(abs(done[x] - w / sum(exact.values()) * t) < 1 for x, w in exact.items())
+
+
+def test_mixing_takes_many_sources(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 600).alias("source"))
+    rows = mixing.mix(docs, block_rows=2).collect()
+    assert len(rows) == 2000 and {r["__slot"] for r in rows} == set(range(len({(r["__source"], r["__block"]) for r in rows})))
+
+
 # --- chat
 
 
