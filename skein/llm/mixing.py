@@ -148,3 +148,14 @@ def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **more
     out = mix(docs, weights, **more)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return out.repartitionByRange(n, "__slot", "__place").sortWithinPartitions("__slot", "__place").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from the Parquet files that ``mixed_order`` was written to, with __rank: a row's number in that order.
+
+    Readers may take files in another order, so it is had from the files' numbers and the rows' places in them.
+    """
+    at = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("__part"), F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = at.groupBy("__part", "__file").agg(F.count(F.lit(1)).alias("__n"))
+    files = cut(files.select("__file", (F.sum("__n").over(Window.orderBy("__part", "__file")) - F.col("__n")).alias("__first")))  # one row a file
+    return at.join(F.broadcast(files), "__file").withColumn("__rank", F.col("__first") + F.col("__row")).drop("__part", "__file", "__row", "__first")

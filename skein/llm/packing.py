@@ -20,6 +20,8 @@ from .common import cut, slices, texts, words_of
 GROUP_ROWS = 50_000
 #: Distinct words whose ids a worker keeps (about 180 bytes each).
 CACHE_WORDS = 1_200_000
+#: Documents that are packed together where sequences follow an order: their sequences stand in it up to so many documents.
+RANGE_ROWS = 8_192
 #: Branch-and-bound nodes for one filling; each looks at all last two lengths at once.
 NODES = 400
 
@@ -66,9 +68,12 @@ class WordCoder:
 _CODERS: dict[str, WordCoder] = {}
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the pieces of at most ``capacity`` ids that each document's ids make."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: the pieces of at most ``capacity`` ids that each document's ids make.
+
+    ``more``: long columns of ``docs`` that its pieces get too.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", *more))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _CODERS.setdefault(tokenizer, None) or WordCoder(tokenizer)
@@ -84,9 +89,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                 at = (np.cumsum(per_row) - per_row)[owner] + start
                 view = memoryview(data)
                 crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), *(part.column(c).take(pa.array(owner)) for c in more)], names=schema.names)
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs, *more).mapInArrow(run, schema)
 
 
 def _filling(counts: np.ndarray, room: int, nodes: int) -> tuple[int, ...]:
@@ -230,3 +235,40 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-2]), pa.array(number), pa.array(at)], names=schema.names)
 
     return numbered.select(*schema.names[:-2], "seq", "key").mapInArrow(place, schema)
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows of ``pack``, with sequence ids that follow the order of __rank (0, 1, ...: a column of ``docs``).
+
+    Ranges of ``range_rows`` consecutive documents are packed each by itself, so the sequences of a range hold just its
+    documents; ids rise from range to range, and within one by the mean rank of what the sequences hold.
+    """
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, ("__rank",)).withColumn("__range", F.floor(F.col("__rank") / range_rows).cast("long"))
+    schema = T.StructType.fromDDL("doc_id long, piece int, start long, length long, ids_crc32 long, __range long, sequence_id long, offset long")
+
+    def place(table: pa.Table) -> pa.Table:
+        length, rank = (table.column(c).to_numpy() for c in ("length", "__rank"))
+        order = np.lexsort((table.column("piece").to_numpy(), rank))
+        counts = np.bincount(length, minlength=capacity + 1)
+        whole, counts[capacity] = order[length[order] == capacity], 0
+        plan = min((bin_completion(counts, capacity), best_fit(counts, capacity)), key=lambda p: sum(times for _, times in p))
+        by_length = {int(n): order[length[order] == n] for n in np.flatnonzero(counts)}
+        own, offset, taken, bins = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), dict.fromkeys(by_length, 0), 0
+        for pattern, times in plan:
+            at = 0
+            for n in pattern:
+                these = by_length[n][taken[n] : taken[n] + times]
+                own[these], offset[these] = np.arange(bins, bins + times), at
+                taken[n] += times
+                at += n
+            bins += times
+        own[whole] = bins + np.arange(len(whole))
+        mean = np.bincount(own, weights=rank) / np.bincount(own)
+        number = np.empty(len(mean), np.int64)
+        number[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+        return pa.table([*(table.column(c) for c in schema.names[:-2]), pa.array(number[own]), pa.array(offset)], names=schema.names)
+
+    placed = cut(pieces.groupBy("__range").applyInArrow(place, schema))
+    used = placed.groupBy("__range").agg((F.max("sequence_id") + 1).alias("n"))
+    first = used.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("first"))  # one row a range
+    return placed.join(first, "__range").withColumn("sequence_id", F.col("first") + F.col("sequence_id")).drop("__range", "first")

@@ -368,3 +368,18 @@ def test_pipeline_on_edges(spark, edge_docs, empty_docs):
     for docs in (edge_docs, empty_docs):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def test_packed_sequences_follow_the_mix(spark):
+    """Prefixes of the sequences hold the target shares until a source runs out; before, they held those of the lengths."""
+    from skein.llm.common import cut
+
+    size = lambda k: 150 + k * 7919 % 97 + (40 if k % 4 else 0)
+    docs = spark.createDataFrame([(k, "word " * size(k), "en", "few" if k % 4 == 0 else "many", 0) for k in range(3200)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.in_order(cut(mixing.mixed_order(docs, {"few": 0.5, "many": 0.5}, block_rows=8)))
+    rows = packing.pack_in_order(mixed, public_tokenizers.path("word_bpe_49k.json"), range_rows=128).collect()
+    assert check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])[0] == len({r.sequence_id for r in rows}) == max(r.sequence_id for r in rows) + 1
+    rows.sort(key=lambda r: r.sequence_id)
+    for n in range(400, 1500, 100):  # "few" lasts for about 1600 documents
+        assert abs(sum(r.doc_id % 4 == 0 for r in rows[:n]) / n - 0.5) < 0.1
+    assert all(r.doc_id % 4 for r in rows[-1000:])
