@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,26 +53,33 @@ class Notice:
         self.pattern = regex.compile(rf"(?b)(?:{regex.escape(self.text)}){{e<={self.edits}}}")
 
     def find(self, line: str) -> list[tuple[int, int, int]]:
-        """Verified (start, end, edits) in ``line``, one for each overlapping set of candidate places."""
+        """Disjoint verified (start, end, edits) in ``line``: the best first, then what is left beside them.
+
+        Each candidate place is searched by itself, so the work grows with the places. What overlaps a better match is
+        cut off a place; the rest of it is searched again until no match is left.
+        """
         places = set()
         for seed, at in self.seeds:
             k = line.find(seed)
             while k >= 0:
                 places.add(max(0, k - at - self.edits))
                 k = line.find(seed, k + 1)
-        found, until = [], -1
-        spans: list[list[int]] = []
-        for p in sorted(places):
-            end = p + len(self.text) + 3 * self.edits
-            if spans and p <= spans[-1][1]:
-                spans[-1][1] = end
-            else:
-                spans.append([p, end])
-        for low, high in spans:
-            for m in self.pattern.finditer(line, low, min(high, len(line))):
-                if m.start() >= until:
-                    found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    until = m.end()
+        found: list[tuple[int, int, int]] = []
+        parts = {(p, min(p + len(self.text) + 3 * self.edits, len(line))) for p in places}
+        while parts:
+            met = {part: m for part in parts if (m := self.pattern.search(line, *part))}
+            for start, end, edits in sorted({(m.start(), m.end(), sum(m.fuzzy_counts)) for m in met.values()}, key=lambda x: (x[2], x)):
+                k = bisect_left(found, (start,))
+                if (k == 0 or found[k - 1][1] <= start) and (k == len(found) or end <= found[k][0]):
+                    found.insert(k, (start, end, edits))
+            parts = set()
+            for low, high in met:
+                k = max(0, bisect_left(found, (low,)) - 1)
+                while low < high:
+                    start, end = found[k][:2] if k < len(found) else (high, high)
+                    if min(start, high) - low >= len(self.text) - self.edits:
+                        parts.add((low, min(start, high)))
+                    low, k = max(low, end), k + 1
         return found
 
 

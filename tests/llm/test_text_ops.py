@@ -81,6 +81,26 @@ def test_fuzzy_search_finds_every_notice_within_its_edits():
             assert found and all(edits(text, line[a:b]) <= most for a, b, _ in found)
 
 
+def test_fuzzy_search_finds_every_notice_of_a_run():
+    """Exact and misspelt copies side by side: each is found, as far as a search of its own place finds it."""
+    import random
+
+    rng = random.Random(9)
+    for text, label, most in license.NOTICES:
+        notice = license.Notice(text, label, most)
+        for _ in range(20):
+            line, own = " ", []
+            for _ in range(rng.randint(2, 6)):
+                x = list(text)
+                for _ in range(rng.randint(0, most)):
+                    x[rng.randrange(1, len(x) - 1)] = rng.choice("qzx")
+                own.append((len(line), len(line) + len(x)))
+                line += "".join(x) + rng.choice([" ", " and then ", " x "])
+            found = notice.find(line)
+            assert len(found) == len(own) and all(edits(text, line[a:b]) <= most for a, b, _ in found)
+            assert all(min(b, d) - max(a, c) > len(text) // 2 for (a, b, _), (c, d) in zip(found, own, strict=True))
+
+
 # --- language model
 
 
