@@ -10,17 +10,18 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, texts
 
 #: Rows of one block.
 BLOCK_ROWS = 64
 #: Rows that one numbering group holds on average; a source with more rows is numbered in several groups.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_096
 #: A table of sources is broadcast up to this many rows; beyond that it is shuffled.
 BROADCAST_SOURCES = 10_000
 #: What a null source is called in the result and in `weights`.
@@ -111,16 +112,11 @@ def _slots(counted: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     return counted.select("__source", F.col("__salt").cast("long"), F.col("__n").cast("long")).coalesce(1).mapInArrow(run, schema)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` with __source, __block (within its source, from 0), __slot (the block's turn in the mix) and __place (in the block).
-
-    Every row stays. ``weights`` are the target weights of sources (default: square roots of their numbers of blocks);
-    a source that it lacks is refused. A null source is a source of its own, "(none)". Blocks have ``block_rows`` rows;
-    the last of each numbering group may have fewer. Rows of a source are dealt by a hash of doc_id, so a hot source is
-    numbered in many tasks; null or repeated doc_ids are rows like any other. An empty table gives an empty table.
-    """
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int) -> tuple[DataFrame, int]:
+    """``docs`` as a struct column ``row`` with source, block, slot and place, and how many slots there are."""
     spark = docs.sparkSession
-    rows = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+    named = "source" in docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce((F.col("source") if named else F.lit(None)).cast("string"), F.lit(NO_SOURCE)).alias("__source"))
     sizes = cut(rows.groupBy("__source").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("__groups")))
     if weights is not None:
         given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "__source string, __weight double")
@@ -128,33 +124,63 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         if lacking := [r[0] for r in sizes.join(given, "__source", "left").where(~F.coalesce(right, F.lit(False))).select("__source").limit(5).collect()]:
             raise ValueError(f"no positive weight for {lacking}")
     few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rows = rows.withColumn("__hash", F.xxhash64(F.col("doc_id"), F.lit("mix"))).join(F.broadcast(sizes) if few else sizes, "__source")
-    rows = rows.withColumn("__salt", F.pmod("__hash", "__groups")).drop("__groups")
-    counted = rows.groupBy("__source", "__salt").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("__n"))
+    wide = F.broadcast(sizes) if few else sizes
+
+    def dealt(some: DataFrame, *by) -> DataFrame:
+        return some.withColumn("__hash", F.xxhash64(*by, F.lit("mix"))).join(wide, "__source").withColumn("__salt", F.pmod("__hash", "__groups")).drop("__groups")
+
+    def sized(some: DataFrame) -> DataFrame:
+        return cut(some.groupBy("__source", "__salt").agg(F.count(F.lit(1)).alias("__rows")))
+
+    out = dealt(rows, F.col("row.doc_id"))
+    groups = sized(out)
+    if not groups.where(F.col("__rows") > 4 * GROUP_ROWS).isEmpty():  # null or repeated doc_ids: dealt by their places, which are written first
+        rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()))
+        out = dealt(rows, F.col("row.doc_id"), F.col("__at")).drop("__at")
+        groups = sized(out)
     running = Window.partitionBy("__source").orderBy("__salt")
+    counted = groups.select("__source", "__salt", F.ceil(F.col("__rows") / block_rows).alias("__n"))
     counted = cut(counted.withColumn("__before", F.sum("__n").over(running) - F.col("__n")))
     plan = cut(counted.join(_slots(counted, weights), ["__source", "__salt"]))
-    number = F.row_number().over(Window.partitionBy("__source", "__salt").orderBy("__hash", "doc_id")) - 1
-    rows = rows.withColumn("__number", number).join(plan, ["__source", "__salt"])  # dealt as the window is: no further shuffle
+    number = F.row_number().over(Window.partitionBy("__source", "__salt").orderBy("__hash", "row.doc_id")) - 1
+    out = out.withColumn("__number", number).join(plan, ["__source", "__salt"])  # dealt as the window is: no further shuffle
     own = F.floor(F.col("__number") / block_rows)
-    rows = rows.withColumn("__block", (F.col("__before") + own).cast("long"))
-    rows = rows.withColumn("__place", (F.col("__number") % block_rows).cast("long"))
-    rows = rows.withColumn("__slot", F.element_at("__slots", (own + 1).cast("int")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__source", "__block", "__slot", "__place")
+    out = out.select("row", "__source", (F.col("__before") + own).cast("long").alias("__block"), F.element_at("__slots", (own + 1).cast("int")).alias("__slot"), (F.col("__number") % block_rows).cast("long").alias("__place"))
+    return out, counted.agg(F.sum("__n")).first()[0] or 0
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row for each row of ``docs``: row (a struct of its columns), and its source, block (within the source, from 0),
+    slot (the block's turn in the mix) and place (in the block).
+
+    Every row stays. ``weights`` are the target weights of sources (default: square roots of their numbers of blocks);
+    a source that it lacks is refused. A null source is a source of its own, "(none)". Blocks have ``block_rows`` rows;
+    the last of each numbering group may have fewer. Rows of a source are dealt by a hash of doc_id, or by their places
+    where null or repeated doc_ids are many, so a hot source is numbered in many tasks. An empty table gives an empty one.
+    """
+    out, _ = _placed(docs, weights, block_rows)
+    return out.select("row", *[F.col(f"__{c}").alias(c) for c in ("source", "block", "slot", "place")])
 
 
-def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, **more) -> DataFrame:
+def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` in the order of the mix, with its own columns: files and row groups hold consecutive slots."""
-    out = mix(docs, weights, **more)
+    out, slots = _placed(docs, weights, block_rows)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartitionByRange(n, "__slot", "__place").sortWithinPartitions("__slot", "__place").select(*[F.col(f"`{c}`") for c in docs.columns])
+    part = F.floor(F.col("__slot") * n / F.lit(max(1, slots))).cast("int")  # slots have no gaps, so equal ranges hold equal numbers of blocks
+    return out.repartitionById(n, part).sortWithinPartitions("__slot", "__place").select("row.*")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """``docs``, read from the Parquet files that ``mixed_order`` was written to, with __rank: a row's number in that order.
+    """doc_id, text and __rank of ``docs``, read from the Parquet files that ``mixed_order`` was written to: a row's number in that order.
 
-    Readers may take files in another order, so it is had from the files' numbers and the rows' places in them.
+    Readers may take files in another order, so it is had from the files' numbers and the rows' places in them. What
+    was not read from files is written first, and so has some order.
     """
+    docs = texts(docs)
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = cut(docs)
     at = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("__part"), F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     files = at.groupBy("__part", "__file").agg(F.count(F.lit(1)).alias("__n"))
     files = cut(files.select("__file", (F.sum("__n").over(Window.orderBy("__part", "__file")) - F.col("__n")).alias("__first")))  # one row a file

@@ -36,7 +36,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return out.select("doc_id", F.col("__source").alias("source"), F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__place").alias("place"))
+    return out.select("row.doc_id", "source", "block", "slot", "place")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,7 +201,26 @@ def test_bin_completion_is_optimal_on_small_cases():
                     best = min(best, least(rest, (*bins[:k], b + n, *bins[k + 1 :])))
             return min(best, least(rest, (*bins, n)))
 
-        assert sum(t for _, t in plan) <= least(sorted(sizes, reverse=True)) + 1
+        assert sum(t for _, t in plan) == least(sorted(sizes, reverse=True)) >= packing.lower_bound(counts, 20)
+
+
+def test_bin_completion_meets_the_bound_on_many_lengths():
+    sizes = np.clip(np.random.default_rng(1).lognormal(5.7, 1.0, 20_000).astype(int), 1, 4095)
+    counts = np.bincount(sizes, minlength=4097)
+    used = sum(t for _, t in packing.bin_completion(counts, 4096))
+    assert packing.lower_bound(counts, 4096) <= used <= packing.lower_bound(counts, 4096) + 1 and used <= sum(t for _, t in packing.best_fit(counts, 4096))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_gives_the_tokenizers_ids(edge_rows, name):
+    import pyarrow as pa
+
+    coder = packing.WordCoder(public_tokenizers.path(name))
+    assert coder.by_word == name.startswith("word")  # the other one keeps white space
+    texts = [t or "" for _, t, *_ in edge_rows] + ["don't <|endoftext|> x", "<|ENDOFTEXT|>a", "É,É é\u0301 İstanbul ǅ 12,5 a\u00a0b \x1c z\x85y", "", "É", " 's 't ’s ﬁ", "ñ%%% ß. ÀÖ;; µ ÷× ª º Ab.,c %%", "word\n\nword"]
+    ids, n = coder.encode(pa.array(texts), 1)
+    for own, text in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True):
+        assert own.tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 # --- mixing
@@ -210,10 +229,10 @@ def test_bin_completion_is_optimal_on_small_cases():
 def test_mixing_keeps_every_row_and_stays_within_a_block(spark, edge_docs, edge_rows, empty_docs):
     weights = {"src0": 0.5, "src1": 0.3, "src2": 0.15, mixing.NO_SOURCE: 0.05}
     rows = mixing.mix(edge_docs, weights, block_rows=2).collect()
-    assert Counter((r.doc_id, r.text) for r in rows) == Counter((i, t) for i, t, *_ in edge_rows)
+    assert Counter((r.row.doc_id, r.row.text) for r in rows) == Counter((i, t) for i, t, *_ in edge_rows)
     slots = defaultdict(set)
     for r in rows:
-        slots[r["__slot"]].add((r["__source"], r["__block"]))
+        slots[r.slot].add((r.source, r.block))
     assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
     order = [next(iter(slots[k]))[0] for k in range(len(slots))]
     left = Counter(order)
@@ -240,7 +259,7 @@ def test_hot_source_is_numbered_in_groups(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 50)
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 500, "hot").otherwise("cold").alias("source"))
     rows = mixing.mix(docs, {"hot": 0.5, "cold": 0.5}, block_rows=10).collect()
-    assert len({(r["__slot"], r["__place"]) for r in rows}) == 600 and {r["__slot"] for r in rows} == set(range(max(r["__slot"] for r in rows) + 1))
+    assert len({(r.slot, r.place) for r in rows}) == 600 and {r.slot for r in rows} == set(range(max(r.slot for r in rows) + 1))
 
 
 def test_mixing_stays_within_a_block_of_the_weights_themselves():
@@ -254,10 +273,25 @@ def test_mixing_stays_within_a_block_of_the_weights_themselves():
                 assert all(abs(done[x] - w / sum(exact.values()) * t) < 1 for x, w in exact.items())
 
 
+def test_mixing_deals_null_and_repeated_ids_by_place(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
+    docs = spark.range(600).select(F.when(F.col("id") % 2 == 0, F.lit(7)).alias("doc_id"), F.lit("hot").alias("source"), F.col("id").alias("slot"), F.lit("mine").alias("__hash"))
+    rows = mixing.mix(docs, block_rows=10).collect()
+    assert sorted(r.row.slot for r in rows) == list(range(600)) and {r.row["__hash"] for r in rows} == {"mine"}
+    assert len({(r.slot, r.place) for r in rows}) == 600 and {r.slot for r in rows} == set(range(max(r.slot for r in rows) + 1))
+    assert len({r.slot for r in rows}) <= 60 + 30  # as many short blocks as groups: none holds most of the rows
+
+
+def test_mixed_order_keeps_columns_of_any_name(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), *[F.lit(c).alias(c) for c in ("__slot", "__block", "__hash", "__salt", "__n", "row", "place")])
+    out = mixing.mixed_order(docs, block_rows=4)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_mixing_takes_many_sources(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 600).alias("source"))
     rows = mixing.mix(docs, block_rows=2).collect()
-    assert len(rows) == 2000 and {r["__slot"] for r in rows} == set(range(len({(r["__source"], r["__block"]) for r in rows})))
+    assert len(rows) == 2000 and {r.slot for r in rows} == set(range(len({(r.source, r.block) for r in rows})))
 
 
 # --- chat
