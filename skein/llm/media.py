@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -15,72 +16,131 @@ from pyspark.sql import types as T
 
 from .common import cut, slices
 
+#: A digest with at least this part of all references is hot: there are at most as many as its inverse, so they are broadcast.
+HOT = 1e-3
 #: Samples in a row of the stored image; payloads are padded with zero bytes to a multiple of it.
 WIDTH = 64
-_SKIP = {"script", "style", "noscript", "template", "head", "nav"}
+#: Elements whose content is left out, once they are closed: one that never is may hold the rest of the page, which stays.
+_SKIP = {"noscript", "template", "nav"}
+#: Elements of raw text that is never content.
+_RAW = {"script", "style", "title"}
+#: What may stand in a head; any other tag or text ends a head that was not closed.
+_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 _BLOCK = {"p", "div", "article", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "table", "blockquote", "pre", "figure", "figcaption", "body", "main", "footer", "header"}
+_FIGURE = re.compile(r"<(/?)(figcaption|figure)\b", re.IGNORECASE)
 
 ITEM = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("caption", T.StringType())])
 
 
+def _unclosed(html: str) -> list[bool]:
+    """For each figcaption, whether neither it nor its figure is closed before the next one begins."""
+    marks = [(m[1], m[2].lower()) for m in _FIGURE.finditer(html)]
+    return [(marks[k + 1][0] if k + 1 < len(marks) else "") != "/" for k, m in enumerate(marks) if m == ("", "figcaption")]
+
+
 class _Sequence(HTMLParser):
-    """Texts by block and media references in document order; a figure's caption belongs to its media."""
+    """Texts by block and media references in document order; a figure's caption belongs to its media, before or after it."""
 
-    def __init__(self):
+    def __init__(self, unclosed: list[bool]):
         super().__init__(convert_charrefs=True)
+        self.unclosed = iter(unclosed)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.skip = 0
-        self.figure: list[dict] | None = None
-        self.caption: list[str] | None = None
+        self.raw = 0
+        self.head = False
+        self.skipped: list[tuple[str, int]] = []  # open elements that are left out when they close, and where they began
+        self.figure: list[dict] | None = None  # media of the open figure
+        self.caption: list[str] | None = None  # the open figcaption
+        self.open_ended = False
+        self.said = ""  # the figure's caption
 
     def flush(self):
         if text := " ".join("".join(self.words).split()):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
         self.words = []
 
+    def end_caption(self):
+        if self.caption is not None:
+            self.said, self.caption = " ".join("".join(self.caption).split()), None
+            for item in self.figure or ():
+                item["caption"] = self.said or item["caption"]
+
+    def end_figure(self):
+        self.end_caption()
+        if self.figure is not None and not self.figure and self.said:  # a caption of nothing is text
+            self.words.append(self.said)
+            self.flush()
+        self.figure, self.said = None, ""
+
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.skip += 1
-        if self.skip:
+        if self.head and tag not in _HEAD:
+            self.head = False
+        if tag == "head":
+            self.head = True
+        if tag in _RAW:
+            self.raw += 1
+        if self.raw:
             return
+        if self.caption is not None and self.open_ended and tag in _BLOCK:
+            self.end_figure()
+        if tag in _SKIP:
+            self.flush()
+            self.skipped.append((tag, len(self.items)))
         if tag in _BLOCK and self.caption is None:
             self.flush()
         if tag == "figure":
+            self.end_figure()
             self.figure = []
-        elif tag == "figcaption" and self.figure is not None:
-            self.caption = []
+        elif tag == "figcaption":
+            self.open_ended = next(self.unclosed, False)
+            if self.figure is not None:
+                self.end_caption()
+                self.caption = []
         elif tag in _MEDIA and (ref := dict(attrs).get("src")):
             self.flush()
-            item = {"kind": "media", "text": None, "ref": ref, "caption": dict(attrs).get("alt") or None}
+            item = {"kind": "media", "text": None, "ref": ref, "caption": (self.said if self.figure is not None else "") or dict(attrs).get("alt") or None}
             self.items.append(item)
             if self.figure is not None:
                 self.figure.append(item)
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.figure or ():
-                item["caption"] = said or item["caption"]
-            self.caption = None
+        if tag in _RAW:
+            self.raw = max(0, self.raw - 1)
+        elif tag == "head":
+            self.head = False
+        elif tag in _SKIP:
+            if tag in (names := [t for t, _ in self.skipped]):
+                at = len(names) - 1 - names[::-1].index(tag)
+                del self.items[self.skipped[at][1] :], self.skipped[at:]
+                self.words = []
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
-            self.figure = None
-        if tag in _BLOCK and self.caption is None and not self.skip:
+            self.end_figure()
+        if tag in _BLOCK and self.caption is None and not self.raw:
             self.flush()
 
     def handle_data(self, data):
-        if not self.skip:
-            (self.words if self.caption is None else self.caption).append(data)
+        if self.raw:
+            return
+        if self.head:
+            if not data.strip():
+                return
+            self.head = False
+        (self.words if self.caption is None else self.caption).append(data)
 
 
 def sequence_of(html: str | None) -> list[dict]:
-    """The items of one page, positions from 0; broken HTML gives what can be read of it."""
-    parser = _Sequence()
+    """The items of one page, positions from 0; broken HTML gives what can be read of it.
+
+    Tags that may be left out are not needed: a head ends where content begins. An element that is left out and never
+    closed keeps its content; an unclosed figcaption ends at the next block; a caption without media is text.
+    """
+    parser = _Sequence(_unclosed(html or ""))
     parser.feed(html or "")
     parser.close()
+    parser.end_figure()
     parser.flush()
     return [{"pos": k, **item} for k, item in enumerate(parser.items)]
 
@@ -167,16 +227,22 @@ def read_features(stored: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, key: str, stored: DataFrame, scheme: str = "sha256:") -> DataFrame:
     """(key, items) with each media reference ``sha256:<digest>`` joined to what the store holds for it.
 
-    Items keep their positions and captions; ``media`` is null for texts and for references that the store lacks.
-    References are joined one row each, so a digest that many pages share is no group.
+    Items keep their positions and captions; ``media`` is null for texts and for references that the store lacks. The
+    references to a hot digest are dealt to several copies of what the store holds for it.
     """
-    item = sequences.select(key, F.explode_outer("items").alias("item"))
+    item = sequences.select(F.col(key).alias("key"), F.posexplode_outer("items").alias("at", "item"))
     item = item.withColumn("digest", F.when(F.col("item.ref").startswith(scheme), F.substring(F.col("item.ref"), len(scheme) + 1, 64)))
+    item = cut(item)
+    total = item.where("digest is not null").count()
+    hot = item.where("digest is not null").groupBy("digest").count().where(F.col("count") >= max(64.0, HOT * total))
+    hot = hot.select("digest", F.ceil(F.col("count") / max(64.0, HOT * total)).alias("shares"))
+    shares = F.coalesce("shares", F.lit(1))
     features = read_features(stored)
     features = features.select(F.col("digest"), F.struct(*[c for c in features.columns if c != "digest"]).alias("media"))
-    found = item.join(features, "digest", "left")
+    features = features.join(F.broadcast(hot), "digest", "left").select("digest", "media", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("salt"))
+    found = item.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("key", "at"), shares)).drop("shares").join(features, ["digest", "salt"], "left")
     whole = F.struct(F.col("item.pos").alias("pos"), F.col("item.kind").alias("kind"), F.col("item.text").alias("text"), F.col("item.ref").alias("ref"), F.col("item.caption").alias("caption"), "media")
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), whole))).alias("items"))
+    return found.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), whole))).alias("items"))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
