@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACE, cut, texts
 
@@ -22,9 +21,10 @@ def flush(docs: DataFrame, digest, memtable_rows: int = MEMTABLE_ROWS) -> DataFr
     """Level 0: each task sorts the digests of its rows and flushes them as runs of at most ``memtable_rows`` records.
 
     A run is a Parquet file in the shared folder, ordered by digest and with a Bloom filter on it, so a later
-    lookup of given digests skips the runs that cannot hold them. ``seq`` numbers the rows once and for all.
+    lookup of given digests skips the runs that cannot hold them. ``seq`` numbers the rows once and for all; ``raw`` is a
+    cheap hash of the text as it stands, by which a later scan finds the rows of hits without normalising all others.
     """
-    rows = texts(docs).select("doc_id", digest(normalised()).alias("digest"), F.monotonically_increasing_id().alias("seq"))
+    rows = texts(docs).select("doc_id", digest(normalised()).alias("digest"), F.xxhash64("text").alias("raw"), F.monotonically_increasing_id().alias("seq"))
     return cut(
         rows.sortWithinPartitions("digest", "doc_id"),
         maxRecordsPerFile=memtable_rows,
@@ -42,23 +42,47 @@ def lookup(runs: DataFrame, digests: list[str]) -> DataFrame:
     return runs.where(F.col("digest").isin(digests))
 
 
-def _verified(docs: DataFrame, hits: DataFrame, digest) -> DataFrame:
+def _verified(docs: DataFrame, runs: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """Digests of which some text differs from the text of the smallest identifier, byte for byte.
 
-    ``hits`` are the digests with two rows or more. Texts of other digests never leave their scan: hits are
-    broadcast behind a count, else shuffled. The members of a large group meet copies of the kept text dealt by
-    ``salt``, so that no task gets a whole group.
+    ``hits`` are the digests with two rows or more. Other texts never leave their scan, nor are they normalised: rows of
+    hits are known by their raw hash, broadcast behind a count, else shuffled. The members of a large group meet copies of
+    the kept text dealt by their places, so that no task gets a whole group, even one of a single doc_id.
     """
-    few = hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
-    shares = hits.select("digest", "keep_id", F.ceil(F.col("group_size") / 64).alias("shares"))
-    body = texts(docs).select("doc_id", normalised().alias("body")).withColumn("digest", digest(F.col("body")))
-    body = body.join(F.broadcast(shares) if few else shares, "digest")
+    found = cut(runs.join(hits, "digest").groupBy("raw", "digest").agg(F.first("keep_id").alias("keep_id"), F.first(F.ceil(F.col("group_size") / 64)).alias("shares")))
+    few = found.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    body = texts(docs).withColumn("raw", F.xxhash64("text")).join(F.broadcast(found) if few else found, "raw").withColumn("body", normalised())
+    body = body.where(digest(F.col("body")) == F.col("digest")).withColumn("place", F.monotonically_increasing_id())
     kept = body.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "shares").agg(F.first("body").alias("kept_body"))
     kept = kept.select("digest", "kept_body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("salt"))
-    members = body.select("digest", "body", F.pmod(F.xxhash64("doc_id"), F.col("shares")).alias("salt"))
+    members = body.select("digest", "body", F.pmod(F.xxhash64("place"), F.col("shares")).alias("salt"))
     return members.join(kept, ["digest", "salt"]).where(F.encode("body", "UTF-8") != F.encode("kept_body", "UTF-8")).select("digest").distinct()
 
 
+COLUMNS = ["doc_id", "keep_id", "group_size", "kept", "digest"]
+
+
+def _decided(docs: DataFrame, memtable_rows: int, digest) -> tuple[DataFrame, DataFrame]:
+    """COLUMNS and raw, for the rows of groups of one and for the rows of larger groups."""
+    runs = flush(docs, digest, memtable_rows)
+    level = compact(runs)
+    clash = cut(_verified(docs, runs, level.where("group_size > 1"), digest))
+    if not clash.isEmpty():  # group the clashing texts by their bytes: a digest of another kind beside the first
+        second = lambda c: F.concat(F.md5(c), F.lit("-"), F.length(c), F.lit("-"), F.crc32(c))
+        runs = flush(docs, lambda c: F.concat(digest(c), F.lit("/"), F.sha2(c, 512), second(c)), memtable_rows)
+        level = compact(runs)
+    plain = F.substring_index("digest", "/", 1).alias("digest")
+    # a group of one is its own row; only rows of larger groups need the join for their keeper
+    alone = level.where("group_size = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.lit(True).alias("kept"), plain)
+    many = level.where("group_size > 1")
+    few = many.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    members = runs.join(F.broadcast(many) if few else many, "digest")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    first = members.where(same).groupBy("digest").agg(F.min("seq").alias("first"))  # of repeated rows of the smallest doc_id one stays
+    members = members.join(F.broadcast(first) if few else first, "digest").withColumn("kept", F.col("seq") == F.col("first"))
+    return alone, members.select(*COLUMNS[:-1], plain, "raw")
+
+
 def exact_duplicates(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest=lambda text: F.sha2(text, 256)) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, digest.
 
@@ -68,42 +92,24 @@ def exact_duplicates(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS, digest
     repeated rows with the smallest doc_id one has kept = true. Extra columns are ignored; an empty table gives
     an empty table. A digest that two different texts share is settled by grouping those texts themselves.
     """
-    runs = flush(docs, digest, memtable_rows)
-    level = compact(runs)
-    hits = level.where("group_size > 1")
-    clash = cut(_verified(docs, hits, digest))
-    if clash.isEmpty():
-        group, key = level, ["digest"]
-        rows = runs
-    else:  # group the clashing texts by their bytes: a digest of another kind beside the first
-        second = lambda c: F.concat(F.md5(c), F.lit("-"), F.length(c), F.lit("-"), F.crc32(c))
-        rows = flush(docs, lambda c: F.concat(digest(c), F.lit("/"), F.sha2(c, 512), second(c)), memtable_rows)
-        group, key = compact(rows), ["digest"]
-    single = group.where("group_size = 1").select("digest", "keep_id", "group_size")
-    many = group.where("group_size > 1")
-    # a group of one is its own row; only rows of larger groups need the join for their keeper
-    alone = single.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.lit(True).alias("kept"), "digest")
-    few = many.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
-    members = rows.join(F.broadcast(many) if few else many, key)
-    first = Window.partitionBy("digest").orderBy("seq")
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    keepers = members.where(same).withColumn("kept", F.row_number().over(first) == 1).drop("seq")
-    others = members.where(~same).withColumn("kept", F.lit(False)).drop("seq")
-    columns = ["doc_id", "keep_id", "group_size", "kept", "digest"]
-    return alone.select(columns).unionByName(keepers.select(columns)).unionByName(others.select(columns)).withColumn("digest", F.substring_index("digest", "/", 1))
+    alone, members = _decided(docs, memtable_rows, digest)
+    return alone.select(COLUMNS).unionByName(members.select(COLUMNS))
 
 
 def drop_exact_duplicates(docs: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, as ``exact_duplicates`` decides; all columns stay.
 
-    A row is found again by its doc_id and digest. Where the kept row itself is repeated, one copy stays.
+    A row is found again by its doc_id and the hash of its text as it stands. Where the kept row itself is repeated, one
+    copy stays. Columns of ``docs`` may have any names.
     """
-    found = cut(exact_duplicates(docs, memtable_rows).select("doc_id", "digest", "kept"))
-    lost = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = lost.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("__id"), F.col("digest").alias("__digest"))
+    none = F.lit(-1 << 63)
+    _, members = _decided(docs, memtable_rows, lambda text: F.sha2(text, 256))
+    lost = cut(members.groupBy(F.coalesce("doc_id", none).alias("doc_id"), "raw").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone = lost.where(~F.col("kept")).select("doc_id", "raw")
     few = gone.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
-    out = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)), "__digest": F.sha2(normalised(), 256)})
-    out = out.join(F.broadcast(gone) if few else gone, ["__id", "__digest"], "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("raw"))
+    out = out.join(F.broadcast(gone) if few else gone, ["doc_id", "raw"], "left_anti")
     if not lost.where(F.col("kept") & (F.col("n") > 1)).isEmpty():
-        out = out.dropDuplicates(["__id", "__digest"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["doc_id", "raw"])
+    return out.select("row.*")
