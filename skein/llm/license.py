@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -27,6 +28,18 @@ NOTICES = (
     ("redistribution and use in source and binary forms", "bsd", 4),
     ("mozilla public license", "mpl", 2),
     ("all rights reserved", "all-rights-reserved", 1),
+    ("gnu affero general public license", "agpl", 3),
+    ("eclipse public license", "epl", 2),
+    ("boost software license", "bsl-1", 2),
+    ("creative commons attribution sharealike", "cc-by-sa", 4),
+    ("creative commons attribution noncommercial", "cc-by-nc", 4),
+    ("creative commons zero", "cc0", 2),
+    ("dedicated to the public domain", "public-domain", 3),
+    ("permission is hereby granted free of charge", "mit", 4),
+    ("the software is provided as is without warranty of any kind", "mit", 6),
+    ("european union public licence", "eupl", 3),
+    ("sil open font license", "ofl", 2),
+    ("under the isc license", "isc", 2),
 )
 #: Bytes of words: digits, ASCII letters (lower-cased) and all of non-ASCII characters; any other byte separates.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -83,7 +96,7 @@ class Notice:
         return found
 
 
-def scan(text: str, base=BASE, notices=None) -> dict:
+def scan(text: str, base=BASE, notices=NOTICES) -> dict:
     """Words, exact places and verified fuzzy spans of one text."""
     own = words(text)
     line = b" " + b" ".join(own) + b" "
@@ -97,19 +110,15 @@ def scan(text: str, base=BASE, notices=None) -> dict:
             k = line.find(needle, k + 1)
     spans = []
     plain = line.decode("utf-8", "surrogatepass")
-    for notice in notices or _compiled():
+    for notice in _compiled(tuple(notices)):
         for start, end, edits in notice.find(plain):
             spans.append((notice.label, plain.count(" ", 0, start + 1) - 1 if plain[start] != " " else plain.count(" ", 0, start), start, end, edits, 1 - edits / len(notice.text)))
     return {"n_words": len(own), "places": sorted(places), "base": sorted(labels), "spans": spans}
 
 
-_NOTICES: list[Notice] = []
-
-
-def _compiled() -> list[Notice]:
-    if not _NOTICES:
-        _NOTICES.extend(Notice(*n) for n in NOTICES)
-    return _NOTICES
+@cache
+def _compiled(notices: tuple[tuple[str, str, int], ...]) -> list[Notice]:
+    return [Notice(*n) for n in notices]
 
 
 SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("word", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("score", T.DoubleType())])
@@ -119,11 +128,12 @@ SCHEMA = T.StructType([
 ])
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices=NOTICES) -> DataFrame:
     """One row for each row of ``docs``: exact base phrases, labels with the fuzzy search's, and its spans.
 
     Spans are character positions in the document's normalised line (words joined by one space, one space in
-    front), with the word they start in, their edits and 1 - edits / length. ``score`` is 1 with a base phrase,
+    front), with the word they start in, their edits and 1 - edits / length. ``base`` and ``notices`` are lists like those
+    above, for other phrases and notices. ``score`` is 1 with a base phrase,
     else the best span's, else 0. A null text is empty: no words, null places, empty labels, score 0. Repeated
     rows give repeated results; extra columns are ignored; an empty table gives an empty table. The job is one
     scan without a shuffle.
@@ -134,7 +144,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out: dict[str, list] = {name: [] for name in SCHEMA.names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                got = scan(text.as_py())
+                got = scan(text.as_py(), base, notices)
                 places, spans = got["places"], got["spans"]
                 row = (
                     doc_id, got["n_words"], len(places), places[0] if places else None, places[-1] if places else None, ",".join(got["base"]), ",".join(sorted({*got["base"], *(s[0] for s in spans)})),
