@@ -118,35 +118,51 @@ class Chain:
         return docs.mapInArrow(run, docs.schema)
 
 
-def _clear_words(rows: DataFrame, sides: list[str], limit: int) -> list[str]:
-    """For each category the words whose share of its rows is furthest off: counted by task, then by word."""
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), *(T.StructField(s, T.DoubleType()) for s in sides)])
+def _clear_words(rows: DataFrame, sides: list[str], limit: int, folds: int) -> list[list[str]]:
+    """Words whose share of a category's rows is furthest off, ``limit`` for each: chosen without fold 0, without fold 1, ..., then on all rows.
+
+    Words are counted by task, then by word, for each fold.
+    """
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("fold", T.IntegerType()), T.StructField("n", T.LongType()), *(T.StructField(s, T.DoubleType()) for s in sides)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 row, words = words_of(part.column("text"))
-                pairs = np.unique(np.stack([np.asarray(words.indices, dtype=np.int64), row], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-                count = lambda w=None: np.bincount(pairs[:, 0], weights=w, minlength=len(words.dictionary))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(count().astype(np.int64)), *(pa.array(count(np.asarray(part.column(s))[pairs[:, 1]])) for s in sides)], names=schema.names)
-
-    counted = rows.select("text", *sides).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sides])
-    counted = cut(counted.where((F.col("n") >= MIN_DOCS) & (F.col("word") != "")))
-    shares = rows.agg(*[F.avg(s).alias(s) for s in sides]).first()
-    chosen: list[str] = []
-    for s in sides:
-        share = shares[s]
-        if share is not None and 0 < share < 1:
-            off = F.abs(F.col(s) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-            chosen += [r["word"] for r in counted.withColumn("off", off).where(F.col("off") >= CLEAR).orderBy(F.desc("off"), "word").limit(limit).collect()]
-    return sorted(set(chosen))
+                at, size = np.asarray(part.column("fold"), dtype=np.int64), len(words.dictionary)
+                pairs = np.unique(np.asarray(words.indices, dtype=np.int64) * len(at) + row) if len(row) else np.zeros(0, np.int64)
+                word, row = pairs // max(1, len(at)), pairs % max(1, len(at))
+                key = at[row] * size + word
+                seen = np.unique(key)
+                count = lambda w=None: np.bincount(key, weights=w, minlength=size * folds)[seen]  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(seen % max(1, size))), pa.array(seen // max(1, size), pa.int32()), pa.array(count().astype(np.int64)), *(pa.array(count(np.asarray(part.column(s))[row])) for s in sides)], names=schema.names)
+
+    counted = rows.select("text", "fold", *sides).mapInArrow(run, schema)
+    sums = {(c, f): F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)) for c in ("n", *sides) for f in range(folds)}
+    counted = cut(counted.groupBy("word").agg(*[e.alias(f"{c}_{f}") for (c, f), e in sums.items()]).where(F.col("word") != ""))
+    shares = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sides]).collect()}  # one row a fold
+    out: list[list[str]] = []
+    for left_out in (*range(folds), None):
+        seen, chosen = [f for f in range(folds) if f != left_out], set()
+        total = sum(shares[f]["n"] for f in seen if f in shares)
+        for s in sides:
+            share = sum(shares[f][s] for f in seen if f in shares) / max(1, total)
+            if 0 < share < 1:
+                n, own = (sum((F.col(f"{c}_{f}") for f in seen), F.lit(0)) for c in ("n", s))
+                off = F.abs(own - n * share) / F.sqrt(n * share * (1 - share))
+                best = counted.select("word", n.alias("n"), off.alias("off")).where((F.col("n") >= MIN_DOCS) & (F.col("off") >= CLEAR))
+                chosen.update(r["word"] for r in best.orderBy(F.desc("off"), "word").limit(limit).collect())
+        out.append(sorted(chosen))
+    return out
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> Chain:
     """Fit one logistic model for each category on word occurrences and the probabilities of those before it.
 
-    For training, those probabilities come from models that did not see the row (``folds`` folds by a hash of doc_id);
-    for scoring, from a model of all rows. Labels with a null category or doc_id are left out; a doc_id with several
+    For training, those probabilities come from models that did not see the row, nor was it seen when their words were
+    chosen (``folds`` folds by a hash of doc_id); for scoring, from a model of all rows. The table of labels has two
+    categories, ``junk`` (quality 0, not a kind of toxicity) and ``toxic``; ``chain`` takes any conditions on its columns.
+    Labels with a null category or doc_id are left out; a doc_id with several
     labels or texts counts each time. The fit itself takes the rows' occurrences of the chosen words, about ``fit_rows``
     small rows at most, in one task. Without usable labels every probability is 0.
     """
@@ -157,7 +173,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN,
     # about fit_rows labels: small enough for every task, whatever the size of the tables
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", *sides, F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(folds)).cast("int").alias("fold"))
     rows = cut(rows)
-    words = _clear_words(rows, sides, WORDS)
+    chosen_by = _clear_words(rows, sides, WORDS, folds)
+    words = sorted(set().union(*chosen_by))
+    known = np.array([[w in set(some) for w in words] for some in chosen_by], dtype=bool).reshape(folds + 1, len(words))
     vocabulary = pa.array(words, pa.string())
     sparse = T.StructType([*(T.StructField(s, T.DoubleType()) for s in sides), T.StructField("fold", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
@@ -180,13 +198,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN,
         fold, out = frame["fold"].to_numpy(), []
         for k, s in enumerate(sides):
             y = frame[s].to_numpy()
-            w = fit_logistic(x, y)
+            before = np.ones(x.shape[1] - len(words), dtype=bool)  # probabilities of the categories before
+            w = np.zeros(x.shape[1] + 1)
+            mine = np.concatenate([known[-1], before, [True]])
+            w[mine] = fit_logistic(x[:, mine[:-1]], y)
             out.append((k, w.tolist()))
             held = np.zeros(len(frame))
             for f in range(folds):
-                other = fold != f
-                seen = fit_logistic(x[other], y[other]) if other.any() else w
-                held[~other] = logistic(x[~other] @ seen[:-1] + seen[-1])
+                other, use = fold != f, np.concatenate([known[f], before])
+                seen = fit_logistic(x[other][:, use], y[other])
+                held[~other] = logistic(x[~other][:, use] @ seen[:-1] + seen[-1])
             x = np.concatenate([x, held[:, None].astype(np.float32)], axis=1)
         return pd.DataFrame(out, columns=fitted.names)
 
