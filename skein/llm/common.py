@@ -56,6 +56,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(start + 1, int(np.searchsorted(size, before + limit, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()  # workers stay for the next task: they should not keep what this one needed
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:

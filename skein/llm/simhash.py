@@ -21,10 +21,11 @@ from .substring import _mix
 
 #: A side of a join is broadcast up to this many rows of some 40 bytes; beyond that it is shuffled.
 BROADCAST_ROWS = 500_000
-#: Texts that share a shingle are compared pair by pair up to this many, beyond it with a head first.
+#: Texts that share a shingle are compared pair by pair up to this many, beyond it with heads first.
 BUCKET = 32
-#: Heads that a larger bucket gets in turn before what is left of it is compared pair by pair.
-ROUNDS = 6
+#: Turns in which members of larger buckets are compared with HEADS of them, before what is left is compared pair by pair.
+ROUNDS = 4
+HEADS = 3
 #: Shingles at most that are put last in the order of shingles (8 bytes each, in every worker).
 FREQUENT = 500_000
 
@@ -208,88 +209,89 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
     """Links (a, b, similarity) between the nodes of ``rows`` (node, text) whose components are those of all pairs at ``similarity`` or more.
 
     Candidates share a shingle of their prefixes, which loses no pair. Shingles in the prefixes of more than ``bucket``
-    texts go to the end of the order. Where a bucket is still larger, its members are compared with a head: those
-    alike are linked to it, the rest is a bucket again. By the triangle inequality of the distance 1 - similarity only
-    members within twice the limit of the head can be alike to one of its links, and they are compared with these.
-    After ``rounds`` heads, and in small buckets, all pairs are compared. Every link is verified on the texts' sets.
+    texts go to the end of the order. A text leaves a bucket where even its smallest text is too large for it: the sizes
+    and the place of the shared shingle bound the overlap. In buckets that are still large, all members are compared
+    with a few heads, the same ones in as many buckets as may be; then only texts of different components need be
+    compared, first with other heads, after ``rounds`` turns pair by pair. Every link is verified on the texts' sets.
     """
     spark = rows.sparkSession
-    frequent = np.zeros(0, np.uint64)
-    for _ in range(2):
-        counts = prefixes(rows, shingle, similarity, frequent).groupBy("h").count().where(F.col("count") > bucket)
-        found = counts.orderBy(F.desc("count")).limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-        frequent, before = np.union1d(frequent, found), len(frequent)
-        if len(frequent) == before or len(frequent) >= FREQUENT:
-            break
-    items = cut(prefixes(rows, shingle, similarity, frequent))
+    counts = prefixes(rows, shingle, similarity, np.zeros(0, np.uint64)).groupBy("h").count().where(F.col("count") > bucket)
+    frequent = np.sort(counts.orderBy(F.desc("count")).limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    items = prefixes(rows, shingle, similarity, frequent)
+    # two texts of sizes x and y have similarity t only if they share t / (1 + t) (x + y) shingles, none of them before this one
+    most = F.floor((F.col("size") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("size") + 1e-6).cast("int")
+    items = cut(items.withColumn("most", most).drop("pos"))
     if not rows.groupBy("node").count().where("count > 1").isEmpty():
         items = cut(items.dropDuplicates(["h", "node"]))
-    items = cut(items.join(items.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "h"))
+    for _ in range(2):
+        small = items.groupBy("h").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        items = cut(items.drop("members").join(small, "h").where("most >= least").drop("least"))
+    items = items.drop("members").join(items.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "h")
+    items = cut(items)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b), a before b, with their similarity."""
-        pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        """Distinct pairs (a, b), a before b, with their similarity where that is high enough."""
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         body = cut(rows.select("node", "text").join(F.broadcast(wanted) if few else wanted, "node").dropDuplicates(["node"]))
         side = lambda c: body.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle))
-
-    def every_pair(some: DataFrame) -> DataFrame:
-        """Pairs of each bucket that may be alike by their sizes and by where the first shingle they share stands."""
-        x, y = (some.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "pos")]) for k in "ab")
-        both = x.join(y, "h").where("node_a < node_b")
-        least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-        fit = (least >= similarity * most - 1e-9) & (room >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-9)
-        return both.where(fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-    small = items.where(F.col("members") <= bucket).drop("members")
-    large = items.where(F.col("members") > bucket).drop("members")
-    links, more = [], [every_pair(small)]
+        return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle).where(F.col("similarity") >= similarity))
+
+    links: list[DataFrame] = []
+
+    def labelled(some: DataFrame) -> DataFrame:
+        """With ``of``, the component so far of each node."""
+        if not links:
+            return some.withColumn("of", F.col("node"))
+        found = components(reduce(DataFrame.unionByName, links).select("a", "b"))
+        few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return some.join(F.broadcast(found) if few else found, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")
+
+    def open_buckets(some: DataFrame) -> DataFrame:
+        """Buckets that hold texts of several components."""
+        several = some.groupBy("h").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("h")
+        return cut(some.join(several, "h"))
+
+    fit = (F.col("of_a") != F.col("of_b")) & (F.col("size_a") <= F.col("most_b")) & (F.col("size_b") <= F.col("most_a"))
+    side = lambda some, k: some.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "most", "of")])
+    large = items.where(F.col("members") > bucket)
     for turn in range(rounds):
+        large = open_buckets(labelled(large.drop("of")))
         if large.isEmpty():
             break
-        heads = large.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "size")).alias("head"), F.count(F.lit(1)).alias("members"))
-        hung = cut(large.join(heads.where("members > 1"), "h").where("node <> head.node").withColumn("a", F.least("node", "head.node")).withColumn("b", F.greatest("node", "head.node")))
-        far = 2 * similarity - 1  # beyond twice the limit's distance from the head
-        seen = verified(hung.where(F.least("size", "head.size") >= far * F.greatest("size", "head.size") - 1e-9).select("a", "b"))
-        links.append(seen)
-        hung = cut(hung.join(seen, ["a", "b"], "left").select("h", "node", "size", "pos", "members", "similarity"))
-        alike, near = hung.where(F.col("similarity") >= similarity), hung.where((F.col("similarity") < similarity) & (F.col("similarity") >= far - 1e-9))
-        side = lambda d, k: d.select("h", F.col("node").alias(k), F.col("similarity").alias(f"s{k}"))
-        across = side(alike, "a").join(side(near, "b"), "h").where(F.col("sb") >= F.col("sa") + similarity - 1 - 1e-9)
-        more.append(across.select("a", "b"))
-        rest = hung.where(F.col("similarity").isNull() | (F.col("similarity") < similarity)).drop("members", "similarity")
-        left = cut(rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("left")).where("left > 1"), "h"))
-        more.append(every_pair(left.where(F.col("left") <= bucket)))
-        large = left.where(F.col("left") > bucket).drop("left")
-    more.append(every_pair(large))
-    links.append(verified(reduce(DataFrame.unionByName, more)))
-    return reduce(DataFrame.unionByName, links).where(F.col("similarity") >= similarity)
+        member = F.struct("node", "size", "most", "of")
+        heads = large.groupBy("h").agg(*[F.min_by(member, F.xxhash64("node", F.lit(HEADS * turn + k))).alias(f"head{k}") for k in range(HEADS)])
+        heads = cut(heads.select("h", F.explode(F.array_distinct(F.array(*[f"head{k}" for k in range(HEADS)]))).alias("head")).select("h", "head.*"))
+        hung = side(large, "a").join(side(heads, "b"), "h").where(fit)
+        links.append(verified(hung.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
+    rest = open_buckets(labelled(items.drop("of")))
+    pairs = side(rest, "a").join(side(rest, "b"), "h").where((F.col("node_a") < F.col("node_b")) & fit)
+    links.append(verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))
+    return reduce(DataFrame.unionByName, links)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id.
 
     Groups are the components of links: texts whose sets of five-word shingles (A-Z lower-cased) have a Jaccard
-    similarity of 0.8 or more; the groups are those that comparing all pairs would give. Equal texts are one group, null texts count as empty, and of repeated rows one stays. A row with a null
-    doc_id comes after all others of its group. All columns are returned; an empty table gives an empty table.
+    similarity of 0.8 or more; the groups are those that comparing all pairs would give. Equal texts are one group, null
+    texts count as empty, and of repeated rows one stays. A row with a null doc_id comes after all others of its group. All columns are returned; an empty table gives an empty table.
     """
     low = F.lit(-1 << 63)
     # a node is a distinct text; equal texts share it
     bodies = texts(docs).withColumn("node", F.xxhash64("text"))
-    rows = bodies.select("doc_id", F.col("node").alias("tkey"), "node")
     links = near_duplicate_links(bodies, shingle, similarity).select("a", "b")
     found = components(links)
+    rows = bodies.select("doc_id", F.col("node").alias("tkey"), "node")
     groups = cut(rows.join(found, "node", "left").select(F.coalesce("component", "node").alias("group"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), F.coalesce("doc_id", low).alias("doc_id"), "tkey"))
     kept = groups.groupBy("group").agg(F.min(F.struct("rank", "tkey")).alias("kept"))
     lost = cut(groups.join(kept, "group").where("rank <> kept.rank or tkey <> kept.tkey").select("doc_id", "tkey").distinct())
     repeated = groups.groupBy("doc_id", "tkey").count().where("count > 1").select("doc_id", "tkey")
     few = lost.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    key = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), low), "__t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__t"))
-    out = key.join(F.broadcast(lost) if few else lost, ["__id", "__t"], "left_anti")
+    # columns of docs lie in a struct meanwhile, so that no name clashes
+    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey"))
+    out = key.join(F.broadcast(lost) if few else lost, ["doc_id", "tkey"], "left_anti")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["__id", "__t"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.dropDuplicates(["doc_id", "tkey"])
+    return out.select("row.*")
