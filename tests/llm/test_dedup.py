@@ -51,6 +51,18 @@ def test_exact_drop_keeps_one_row_of_each_group(edge_docs, edge_rows, empty_docs
     assert exact.drop_exact_duplicates(empty_docs).count() == 0 and exact.exact_duplicates(empty_docs).count() == 0
 
 
+def test_drops_keep_columns_of_any_name(spark):
+    """Columns named as the operators' own come back with their values; null and repeated ids of one text are one row."""
+    rows = [(k % 7 if k % 3 else None, f"text number {k % 11} of some words in a row", f"mine{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    docs = docs.withColumns({c: F.col("__id") for c in ("__digest", "__t", "raw", "row", "tkey", "digest", "kept")})
+    for drop in (exact.drop_exact_duplicates, simhash.drop_near_duplicates):
+        kept = drop(docs)
+        got = kept.collect()
+        assert kept.columns == docs.columns and all(r["__id"].startswith("mine") and len({r[c] for c in docs.columns[2:]}) == 1 for r in got)
+    assert sorted(r.text for r in exact.drop_exact_duplicates(docs).collect()) == sorted({t for _, t, _ in rows})
+
+
 def removed_by_hand(rows, window):
     words = [(i, (t or "").encode().split()) for i, t, *_ in rows]
     starts = Counter(tuple(w[k : k + window]) for _, w in words for k in range(len(w) - window + 1))

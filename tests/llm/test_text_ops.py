@@ -101,6 +101,12 @@ def test_fuzzy_search_finds_every_notice_of_a_run():
             assert all(min(b, d) - max(a, c) > len(text) // 2 for (a, b, _), (c, d) in zip(found, own, strict=True))
 
 
+def test_license_lists_are_parameters(spark):
+    docs = spark.createDataFrame([(1, "our hous rules apply, under the mit license")], "doc_id long, text string")
+    r = license.scan_licenses(docs, base={"rules apply": "own"}, notices=(("our house rules", "house", 2),)).first()
+    assert (r.n_base, r.base_labels, r.labels, r.first_word) == (1, "own", "house,own", 2)
+
+
 # --- language model
 
 
@@ -355,6 +361,32 @@ def test_interleaved_sequences_keep_order_and_captions(spark):
     assert [x.pos for x in rows[1]] == list(range(5)) and rows[1][1].media.payload_bytes == 64 and rows[1][3].media is None and rows[2] == []
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<html><head><title>t</title><p>one", ["one"]),
+    ("<head><meta charset=x>plain words<body>more", ["plain words", "more"]),
+    ("<p>a<nav><li>menu</nav><p>b", ["a", "b"]),
+    ("<p>a<nav><p>all the rest<p>and more", ["a", "all the rest", "and more"]),
+    ("<figure><img src=x><figcaption>cap</figure><p>after", [("x", "cap"), "after"]),
+    ("<figure><img src=x><figcaption>cap<p>after<p>more", [("x", "cap"), "after", "more"]),
+    ("<figure><figcaption>cap</figcaption><img src=x><img src=y alt=z></figure>after<img src=q alt=w>", [("x", "cap"), ("y", "cap"), "after", ("q", "w")]),
+    ("<figure><figcaption>alone</figcaption></figure><p>x", ["alone", "x"]),
+    ("<template><p>no<img src=n></template>yes</nav></p>", ["yes"]),
+    ("<figure><img src=x><figcaption>one<figure><img src=y><figcaption>two</figcaption></figure>", [("x", "one"), ("y", "two")]),
+    ("<script>no", []),
+])
+def test_broken_pages_keep_texts_and_captions(html, want):
+    got = media.sequence_of(html)
+    assert [x["text"] if x["kind"] == "text" else (x["ref"], x["caption"]) for x in got] == want and [x["pos"] for x in got] == list(range(len(want)))
+
+
+def test_hot_digest_is_dealt(spark):
+    digest = hashlib.sha256(media.padded(b"hot")).hexdigest()
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), "id", F.lit(f'<img src="sha256:{digest}" alt=a><img src="sha256:none">')).alias("html"))
+    store = media.store(spark.createDataFrame([(1, bytearray(b"hot"))], "id long, data binary"), "id", "data")
+    rows = media.resolve(media.interleave(pages, "page_id"), "page_id", store).collect()
+    assert len(rows) == 600 and all([x.pos for x in r["items"]] == [0, 1, 2] and r["items"][1].media.payload_sha256 == digest and r["items"][2].media is None for r in rows)
+
+
 def test_real_pages_parse(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = media.interleave(pages, "page_id").collect()
