@@ -22,7 +22,7 @@ WORDS = 128
 #: How many standard deviations a word's count in a category must be off, and in how many labelled rows it must stand.
 CLEAR, MIN_DOCS = 5.0, 3
 FOLDS = 3
-RIDGE = 1.0
+RIDGE = 0.3
 #: Categories in the order of the chain, as conditions on a row of `labels`.
 CHAIN = {"junk": "quality = 0", "toxic": "toxic = 1"}
 THRESHOLD = 0.5
@@ -35,14 +35,14 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
 
 def occurrences(column: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    """Rows by words: 1 where the word stands in the row's text."""
+    """Rows by words: log2(1 + how often the word stands in the row's text)."""
     row, words = words_of(column)
     out = np.zeros((len(column), len(vocabulary)), dtype=np.float32)
     known = np.asarray(pc.fill_null(pc.index_in(words.dictionary, value_set=vocabulary), -1), dtype=np.int64)
     if len(known):
         at = known[np.asarray(words.indices, dtype=np.int64)]
-        out[row[at >= 0], at[at >= 0]] = 1
-    return out
+        np.add.at(out, (row[at >= 0], at[at >= 0]), 1)
+    return np.log2(1 + out)
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN,
     words = sorted(set().union(*chosen_by))
     known = np.array([[w in set(some) for w in words] for some in chosen_by], dtype=bool).reshape(folds + 1, len(words))
     vocabulary = pa.array(words, pa.string())
-    sparse = T.StructType([*(T.StructField(s, T.DoubleType()) for s in sides), T.StructField("fold", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    sparse = T.StructType([*(T.StructField(s, T.DoubleType()) for s in sides), T.StructField("fold", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))])
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,16 +185,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN,
                 x = occurrences(part.column("text"), vocabulary)
                 row, at = np.nonzero(x)
                 offsets = np.searchsorted(row, np.arange(len(x) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(at, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(s) for s in sides), part.column("fold"), lists], names=sparse.names)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values) for values in (pa.array(at, pa.int32()), pa.array(x[row, at], pa.float32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(s) for s in sides), part.column("fold"), *lists], names=sparse.names)
 
     fitted = T.StructType([T.StructField("category", T.IntegerType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.iloc[np.lexsort([frame["at"].map(len), *(frame[s] for s in sides), frame["fold"]])]
         x = np.zeros((len(frame), len(words)), dtype=np.float32)
-        for row, at in enumerate(frame["at"]):
-            x[row, np.asarray(at, dtype=np.int64)] = 1
+        for row, (at, value) in enumerate(zip(frame["at"], frame["value"], strict=True)):
+            x[row, np.asarray(at, dtype=np.int64)] = value
         fold, out = frame["fold"].to_numpy(), []
         for k, s in enumerate(sides):
             y = frame[s].to_numpy()
