@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, slices, texts, words_of
+from .common import batches_of, cut, slices, texts, words_of
 from .graph import components
 from .substring import _mix
 
@@ -24,8 +24,10 @@ BROADCAST_ROWS = 500_000
 #: Texts that share a shingle are compared pair by pair up to this many, beyond it with heads first.
 BUCKET = 32
 #: Turns in which members of larger buckets are compared with HEADS of them, before what is left is compared pair by pair.
-ROUNDS = 4
+ROUNDS = 2
 HEADS = 3
+#: Rows of texts, and of pairs of texts, that Spark and a Python task hold at once.
+BATCH_ROWS, BATCH_PAIRS = 2_000, 500
 #: Shingles at most that are put last in the order of shingles (8 bytes each, in every worker).
 FREQUENT = 500_000
 
@@ -216,11 +218,13 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
     """
     spark = rows.sparkSession
     counts = prefixes(rows, shingle, similarity, np.zeros(0, np.uint64)).groupBy("h").count().where(F.col("count") > bucket)
-    frequent = np.sort(counts.orderBy(F.desc("count")).limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    with batches_of(spark, BATCH_ROWS):
+        frequent = np.sort(counts.orderBy(F.desc("count")).limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     items = prefixes(rows, shingle, similarity, frequent)
     # two texts of sizes x and y have similarity t only if they share t / (1 + t) (x + y) shingles, none of them before this one
     most = F.floor((F.col("size") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("size") + 1e-6).cast("int")
-    items = cut(items.withColumn("most", most).drop("pos"))
+    with batches_of(spark, BATCH_ROWS):
+        items = cut(items.withColumn("most", most).drop("pos"))
     if not rows.groupBy("node").count().where("count > 1").isEmpty():
         items = cut(items.dropDuplicates(["h", "node"]))
     for _ in range(2):
@@ -236,7 +240,8 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         body = cut(rows.select("node", "text").join(F.broadcast(wanted) if few else wanted, "node").dropDuplicates(["node"]))
         side = lambda c: body.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle).where(F.col("similarity") >= similarity))
+        with batches_of(spark, BATCH_PAIRS):
+            return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle).where(F.col("similarity") >= similarity))
 
     links: list[DataFrame] = []
 

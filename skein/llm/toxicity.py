@@ -139,7 +139,7 @@ def _clear_words(rows: DataFrame, sides: list[str], limit: int, folds: int) -> l
 
     counted = rows.select("text", "fold", *sides).mapInArrow(run, schema)
     sums = {(c, f): F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)) for c in ("n", *sides) for f in range(folds)}
-    counted = cut(counted.groupBy("word").agg(*[e.alias(f"{c}_{f}") for (c, f), e in sums.items()]).where(F.col("word") != ""))
+    counted = cut(counted.groupBy("word").agg(*[e.alias(f"{c}_{f}") for (c, f), e in sums.items()]).where(F.col("word") != "").where(sum((F.col(f"n_{f}") for f in range(folds)), F.lit(0)) >= MIN_DOCS))
     shares = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sides]).collect()}  # one row a fold
     out: list[list[str]] = []
     for left_out in (*range(folds), None):
