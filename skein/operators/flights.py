@@ -175,14 +175,12 @@ def build_flights(rows: DataFrame, order: str = "seq", clean: bool = True, simpl
 
 def native_paths(rows: DataFrame, gap_s: float = AIR_GAP_S) -> DataFrame:
     """Paths of all points, split at coverage gaps, without Python: what ``build`` gives with nothing left out."""
-    flat = F.col("points")
-    parts = F.aggregate(
-        flat,
-        F.array(F.slice(flat, 1, 0)),
-        lambda acc, p: F.when((F.size(F.try_element_at(acc, F.lit(-1))) > 0) & (p["t"] - F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(-1))["t"] > gap_s), F.concat(acc, F.array(F.array(p)))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.array(p))))
-        ),
-    )
+    flat, n = F.col("points"), F.size("points")
+    # places of the points after a gap; parts are slices between them, so the work is linear in the points
+    breaks = F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.get(flat, k)["t"] - F.get(flat, k - 1)["t"] > gap_s)
+    rows = rows.withColumn("__breaks", F.when(n > 1, breaks).otherwise(F.array().cast("array<int>")))
+    edges = F.zip_with(F.concat(F.array(F.lit(0)), "__breaks"), F.concat("__breaks", F.array(n)), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+    parts = F.transform(edges, lambda e: F.slice(flat, e["i"] + 1, e["j"] - e["i"]))
     rows = rows.withColumn("__parts", F.filter(parts, lambda x: F.size(x) >= 2))
     path = F.transform("__parts", lambda part: F.transform(part, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), p["alt_baro"].alias("alt"), p["t"].alias("t"))))
 
@@ -197,7 +195,7 @@ def native_paths(rows: DataFrame, gap_s: float = AIR_GAP_S) -> DataFrame:
         return F.when((F.size(change) > 0) & (last["t"] < end), F.concat(out, F.array(item(last, end)))).otherwise(out)
 
     return rows.select(
-        *[c for c in rows.columns if c not in ("points", "__parts")], F.lit(0).alias("dropped"), path.alias("path"), F.transform("__parts", runs).alias("squawk_seq"),
+        *[c for c in rows.columns if c not in ("points", "__parts", "__breaks")], F.lit(0).alias("dropped"), path.alias("path"), F.transform("__parts", runs).alias("squawk_seq"),
         values("track", "int").alias("path_tracks"), values("gs", "int").alias("path_gs"), values("vr", "int").alias("path_vr"), values("ias", "int").alias("path_ias"),
     )
 

@@ -13,6 +13,7 @@ from ..functions import series as S
 from ..operators import enrich, exports, lookups, profiles, rollups, writes
 from ..operators import flights as fl
 from ..sources import traces
+from ..session import stored
 from ..sources.synthetic import oracle, view
 from . import predicates as P
 from .engine import Engine, before
@@ -48,9 +49,14 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.legs(fl.deduplicated(points(spark, sf_dir)))
 
 
-def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights with every airborne report as a vertex: what SQL can follow."""
-    return fl.build_flights(legs(spark, sf_dir), clean=False, simplified=False)
+    return fl.build_flights(fl.capped(legs(spark, sf_dir)), clean=False, simplified=False)
+
+
+def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, stored: queries over flights read the columns and row groups they need, as they would in production."""
+    return stored(spark, f"flights of {sf_dir}", lambda: built_flights(spark, sf_dir).sortWithinPartitions("start_ts"))
 
 
 def full_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +158,7 @@ def f07_altitude_interpolated(spark, sf_dir):
 @query(f"""WITH {FLIGHT} SELECT icao24, start_t, end_t, n_vertices, n_parts, CAST(raw_point_count AS INT) AS raw_point_count, callsign, emitter_category,
   min_alt, max_alt, start_lon, start_lat, end_lon, end_lat, min_lon, min_lat, max_lon, max_lat FROM flights""")
 def f08_flights(spark, sf_dir):
-    rows = raw_flights(spark, sf_dir)
+    rows = built_flights(spark, sf_dir)
     heights = F.transform(F.flatten("path"), lambda v: v["alt"])
     return rows.select("icao24", "start_t", "end_t", S.num_instants(F.col("path")).alias("n_vertices"), F.size("path").alias("n_parts"), "raw_point_count", "callsign", "emitter_category", F.array_min(heights).alias("min_alt"), F.array_max(heights).alias("max_alt"), "start_lon", "start_lat", "end_lon", "end_lat", "min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -197,6 +203,18 @@ def f13_start_cells(spark, sf_dir):
     return raw_flights(spark, sf_dir).select("icao24", "start_t", geo.cell(F.col("start_lon"), F.col("start_lat"), fl.CELL).alias("start_cell"))
 
 
+CAP_S = 900.0
+
+
+@query(f"""WITH RECURSIVE {LEGS}, starts AS (SELECT icao24, leg, min(t) AS s FROM legs GROUP BY icao24, leg
+UNION ALL SELECT * FROM (SELECT icao24, leg, (SELECT min(l.t) FROM legs l WHERE l.icao24 = starts.icao24 AND l.leg = starts.leg AND l.t > starts.s + {CAP_S}) AS s FROM starts) WHERE s IS NOT NULL)
+SELECT event_id, legs.icao24, legs.leg, CAST(count(*) - 1 AS INT) AS part FROM legs JOIN starts ON starts.icao24 = legs.icao24 AND starts.leg = legs.leg AND starts.s <= legs.t GROUP BY event_id, legs.icao24, legs.leg""")
+def f14_capped_legs(spark, sf_dir):
+    """Legs cut where a report is later than a quarter of an hour after its flight's start."""
+    rows = fl.capped(legs(spark, sf_dir), longest_s=CAP_S)
+    return rows.select(F.col("seq").alias("event_id"), "icao24", "leg", "part")
+
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
@@ -254,6 +272,15 @@ def j07_squawk_as_of(spark, sf_dir):
     return fl.filled_forward(rows, "known", ["icao24", "leg"], ["t", "seq"]).where("known IS NOT NULL").select(F.col("seq").alias("event_id"), F.col("known.t").alias("last_t"), F.col("known.squawk").alias("squawk"))
 
 
+TYPED = f"{FLIGHT}, {FRAMES}, typed AS (SELECT f.*, a.icao_type FROM flights f JOIN airframes a USING (icao24)), best AS (SELECT icao_type, model FROM (SELECT icao_type, model, row_number() OVER (PARTITION BY icao_type ORDER BY count(*) DESC, model) AS rk FROM airframes GROUP BY 1, 2) WHERE rk = 1)"
+
+
+def typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    frames = view(spark, sf_dir, "airframes")
+    rows = lookups.with_airframes(raw_flights(spark, sf_dir).drop("icao_type"), frames)
+    return rows.withColumn("icao_type", F.col("af.icao_type")), frames
+
+
 # --- predicates ----------------------------------------------------------------------------------------------------
 
 
@@ -265,9 +292,18 @@ def moment(seconds: float) -> datetime:
     return datetime.fromtimestamp(T0 + seconds, timezone.utc)
 
 
+def level(match: P.Predicate) -> Query:
+    """Over sea everywhere: the height above ground is the altitude."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        agl = F.transform("path", lambda part: F.transform(part, lambda v: F.struct(v["t"].alias("t"), v["alt"].alias("v"))))
+        return Engine(raw_flights(spark, sf_dir).withColumn("path_agl_ft", agl)).select(match).select("icao24", "start_t")
+
+    return run
+
+
 def predicate(name: str, match: P.Predicate, where: str, ctes: str = FLIGHT, source: str = "flights f") -> None:
-    f = chosen(match)
-    QUERIES[name] = f
+    QUERIES[name] = chosen(match) if not name.endswith(("_agl", "_agl_ever", "_agl_always")) else level(match)
     SQL[name] = f"WITH {ctes} SELECT f.icao24, f.start_t FROM {source} WHERE {where}"
 
 
@@ -299,6 +335,19 @@ predicate("p17_whole_distance", P.Trajectory(distance_m=P.Range(20_000, 90_000))
 predicate("p18_box_and_band", P.Trajectory(geo.Polygon.of_box(*BOX), altitude=P.Range(3000, 8000)), "EXISTS (SELECT 1 FROM cut c WHERE c.icao24 = f.icao24 AND c.leg = f.leg AND c.part = c.part0 AND least(c.b, CASE WHEN z1 = z0 THEN 1.0 ELSE greatest((3000 - z0) / (z1 - z0), (8000 - z0) / (z1 - z0)) END) > greatest(c.a, CASE WHEN z1 = z0 THEN CASE WHEN z0 BETWEEN 3000 AND 8000 THEN 0.0 ELSE 2.0 END ELSE least((3000 - z0) / (z1 - z0), (8000 - z0) / (z1 - z0)) END))", IN_BOX, "started f")
 
 
+predicate("p21_box_and_agl", P.Trajectory(geo.Polygon.of_box(*BOX), agl_ft=P.Range(3000, 8000)), SQL["p18_box_and_band"].split("FROM started f WHERE ", 1)[1], IN_BOX, "started f")
+predicate("p22_agl_ever", P.Trajectory(agl_ft=P.Range(min=12_000)), "max_alt >= 12000")
+predicate("p23_agl_always", P.Trajectory(mode="within", agl_ft=P.Range(min=1_200)), "min_alt >= 1200")
+CODED = f"""{IN_BOX}, known AS (SELECT icao24, leg, t, last_value(squawk IGNORE NULLS) OVER (PARTITION BY icao24, leg, part ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS code FROM vertices)"""
+predicate("p24_squawk_in_box", P.Trajectory(geo.Polygon.of_box(*BOX), squawk_codes=("7700",)), "EXISTS (SELECT 1 FROM cut c JOIN known x ON x.icao24 = c.icao24 AND x.leg = c.leg AND x.t = c.t0 JOIN known y ON y.icao24 = c.icao24 AND y.leg = c.leg AND y.t = c.t1 WHERE c.icao24 = f.icao24 AND c.leg = f.leg AND c.part = c.part0 AND c.b >= c.a AND (x.code = '7700' OR (y.code = '7700' AND c.b >= 1)))", CODED, "started f")
+
+
+@query(f"WITH {TYPED} SELECT icao24, start_t, icao_type FROM typed WHERE icao_type IN ('B738', 'C172')")
+def p25_icao_type(spark, sf_dir):
+    rows, _ = typed(spark, sf_dir)
+    return Engine(rows).select(P.IcaoType(("b-738", "C172"))).select("icao24", "start_t", "icao_type")
+
+
 @query(f"WITH {IN_BOX} SELECT icao24, start_t, round(sum((t1 - t0) * greatest(0, b - a)), 3) AS dwell_s, round(sum(CASE WHEN part = part0 THEN (t1 - t0) * greatest(0, b - a) ELSE 0 END), 3) AS observed_s FROM started JOIN cut USING (icao24, leg) GROUP BY icao24, start_t")
 def g01_time_in_box(spark, sf_dir):
     """Seconds inside a box, over the stitched path and over the observed stretches only."""
@@ -334,15 +383,6 @@ def g05_distance_to_point(spark, sf_dir):
 
 # --- rollups, sorting, lookups ---------------------------------------------------------------------------------------
 
-TYPED = f"{FLIGHT}, {FRAMES}, typed AS (SELECT f.*, a.icao_type FROM flights f JOIN airframes a USING (icao24)), best AS (SELECT icao_type, model FROM (SELECT icao_type, model, row_number() OVER (PARTITION BY icao_type ORDER BY count(*) DESC, model) AS rk FROM airframes GROUP BY 1, 2) WHERE rk = 1)"
-
-
-def typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    frames = view(spark, sf_dir, "airframes")
-    rows = lookups.with_airframes(raw_flights(spark, sf_dir).drop("icao_type"), frames)
-    return rows.withColumn("icao_type", F.col("af.icao_type")), frames
-
-
 @query(f"WITH {TYPED} SELECT CAST({STAMP.format('start_t')} AS DATE) AS day, t.icao_type, b.model, count(*) AS flight_count FROM typed t LEFT JOIN best b USING (icao_type) GROUP BY 1, 2, 3")
 def a01_type_stats(spark, sf_dir):
     return rollups.type_stats(*typed(spark, sf_dir))
@@ -434,27 +474,38 @@ def w01_csv_lines(spark, sf_dir):
     return lines.select("icao24", F.col("callsign").cast("double").alias("start_t"), "seq", "point_idx", "longitude", "latitude", "altitude_ft")
 
 
-@query(f"""WITH {VERTICES} SELECT s.icao24, s.start_t, CAST(count(*) AS INT) AS n_points, CAST(count(DISTINCT part) AS INT) AS n_lines FROM started s JOIN vertices v USING (icao24, leg) GROUP BY 1, 2""")
+PLACES = "CAST(CAST(CAST({} AS VARCHAR) AS DECIMAL(18, 6)) AS VARCHAR)"
+WRITTEN = f"""{VERTICES}, written AS (SELECT icao24, leg, CAST(count(*) AS INT) AS n_points, CAST(count(DISTINCT part) AS INT) AS n_parts,
+  string_agg({PLACES.format('lon')}, ' ' ORDER BY t) AS lons, string_agg({PLACES.format('lat')}, ' ' ORDER BY t) AS lats FROM vertices GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {VERTICES} SELECT s.icao24, s.start_t, CAST(dense_rank() OVER (PARTITION BY s.icao24, s.start_t ORDER BY part) - 1 AS INT) AS line, CAST(row_number() OVER (PARTITION BY s.icao24, s.start_t, part ORDER BY t) - 1 AS INT) AS place,
+  round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(alt_baro AS DOUBLE) AS alt FROM started s JOIN vertices v USING (icao24, leg)""")
 def w02_geojson(spark, sf_dir):
-    """Features written and read back."""
+    """Features written and read back, point by point."""
     rows = raw_flights(spark, sf_dir).withColumn("callsign", F.col("start_t").cast("string"))
     back = F.from_json("value", "properties struct<icao24:string,callsign:string>, geometry struct<coordinates:array<array<array<double>>>>")
-    out = exports.geojson_features(rows).select(back.alias("f"))
-    return out.select("f.properties.icao24", F.col("f.properties.callsign").cast("double").alias("start_t"), F.size(F.flatten("f.geometry.coordinates")).alias("n_points"), F.size("f.geometry.coordinates").alias("n_lines"))
+    out = exports.geojson_features(rows).select(back.alias("f")).select("f.properties.icao24", F.col("f.properties.callsign").cast("double").alias("start_t"), F.posexplode("f.geometry.coordinates").alias("line", "points"))
+    return out.select("icao24", "start_t", "line", F.posexplode("points").alias("place", "p")).select("icao24", "start_t", "line", "place", *[F.col("p")[k].alias(c) for k, c in enumerate(("lon", "lat", "alt"))])
 
 
-@query(f"WITH {FLIGHT} SELECT icao24, start_t, n_parts AS n_segments, n_vertices AS n_points FROM flights")
+def _read_back(lines: DataFrame, lons: Column, lats: Column, part: str, point: str) -> DataFrame:
+    name = F.regexp_extract("value", "<name>(.*?)</name>", 1)
+    return lines.select(F.split_part(name, F.lit("|"), F.lit(1)).alias("icao24"), F.split_part(name, F.lit("|"), F.lit(2)).cast("double").alias("start_t"), F.regexp_count("value", F.lit(part)).alias("n_parts"), F.regexp_count("value", F.lit(point)).alias("n_points"), F.array_join(lons, " ").alias("lons"), F.array_join(lats, " ").alias("lats"))
+
+
+@query(f"WITH {WRITTEN} SELECT w.icao24, start_t, n_parts, n_points, lons, lats FROM written w JOIN started USING (icao24, leg)")
 def w03_gpx(spark, sf_dir):
     rows = raw_flights(spark, sf_dir).withColumn("callsign", F.concat_ws("|", "icao24", F.col("start_t").cast("string")))
-    name = F.regexp_extract("value", "<name>(.*?)</name>", 1)
-    return exports.gpx_tracks(rows).select(F.split_part(name, F.lit("|"), F.lit(1)).alias("icao24"), F.split_part(name, F.lit("|"), F.lit(2)).cast("double").alias("start_t"), F.regexp_count("value", F.lit("<trkseg>")).alias("n_segments"), F.regexp_count("value", F.lit("<trkpt ")).alias("n_points"))
+    values = lambda c: F.regexp_extract_all("value", F.lit(f' {c}="([^"]*)"'), F.lit(1))
+    return _read_back(exports.gpx_tracks(rows), values("lon"), values("lat"), "<trkseg>", "<trkpt ")
 
 
-@query(f"WITH {FLIGHT} SELECT icao24, start_t, n_parts AS n_tracks, n_vertices AS n_coords FROM flights")
+@query(f"WITH {WRITTEN} SELECT w.icao24, start_t, n_parts, n_points, lons, lats FROM written w JOIN started USING (icao24, leg)")
 def w04_kml(spark, sf_dir):
     rows = raw_flights(spark, sf_dir).withColumn("callsign", F.concat_ws("|", "icao24", F.col("start_t").cast("string")))
-    name = F.regexp_extract("value", "<name>(.*?)</name>", 1)
-    return exports.kml_placemarks(rows).select(F.split_part(name, F.lit("|"), F.lit(1)).alias("icao24"), F.split_part(name, F.lit("|"), F.lit(2)).cast("double").alias("start_t"), F.regexp_count("value", F.lit("<gx:Track>")).alias("n_tracks"), F.regexp_count("value", F.lit("<gx:coord>")).alias("n_coords"))
+    values = lambda k: F.regexp_extract_all("value", F.lit("<gx:coord>([^ ]*) ([^ ]*) "), F.lit(k))
+    return _read_back(exports.kml_placemarks(rows), values(1), values(2), "<gx:Track>", "<gx:coord>")
 
 
 @query(f"WITH {FLIGHT} SELECT CAST(date_trunc('week', {STAMP.format('start_t')}) AS DATE) AS start_week, count(*) AS row_count FROM flights GROUP BY 1")

@@ -218,7 +218,7 @@ class Trajectory(Predicate):
         scale = FL_FT if self.unit == "fl" else 1.0
         return tuple(None if v is None else v * scale for v in (self.altitude.min, self.altitude.max))
 
-    def _pieces(self, flights: DataFrame, stitched: bool, measure: bool) -> Column:
+    def _pieces(self, flights: DataFrame, stitched: bool, measure: bool, coded: bool = True) -> Column:
         """The path cut to area, window and band, and to the spans of height above ground and squawk codes.
 
         For the measures of a "within" predicate, altitude and height above ground do not cut.
@@ -228,7 +228,7 @@ class Trajectory(Predicate):
         pieces = S.clip(self._corrected(flights), shape, _epoch(utc(self.time_from)), _epoch(utc(self.time_to)), low, high, stitched)
         if self.agl_ft and not (measure and self.mode == "within"):
             pieces = S.clip_to_spans(pieces, S.linear_spans(F.col("path_agl_ft"), self.agl_ft.min, self.agl_ft.max))
-        if self.squawk_codes:
+        if self.squawk_codes and coded:
             pieces = S.clip_to_spans(pieces, S.spans(F.col("squawk_seq"), lambda v: v.isin(*self.squawk_codes)))
         return pieces
 
@@ -254,7 +254,11 @@ class Trajectory(Predicate):
         if self.agl_ft:
             out.append(self._height(flights))
         if self.squawk_codes and self.geometry is not None:
-            out.append(F.exists(self._pieces(flights, False, False), lambda p: p["t1"] > p["t0"]))
+            # a code may hold for some time inside, or be first heard at an instant inside, as that of a stretch's last report
+            inside = self._pieces(flights, False, False, coded=False)
+            heard = F.filter(F.flatten("squawk_seq"), lambda x: x["v"].isin(*self.squawk_codes))
+            at_once = F.exists(heard, lambda x: F.exists(inside, lambda p: (p["t0"] <= x["t"] + 1e-6) & (x["t"] <= p["t1"] + 1e-6)))
+            out.append(at_once | F.exists(self._pieces(flights, False, False), lambda p: p["t1"] > p["t0"]))
         out += self._measures(flights)
         return reduce(lambda a, b: a & b, out, F.lit(True))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def session(app: str = "skein", **conf: str) -> SparkSession:
@@ -11,3 +15,21 @@ def session(app: str = "skein", **conf: str) -> SparkSession:
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; on a cluster it has to be set, in local mode the warehouse serves."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return place or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def stored(spark: SparkSession, name: str, build) -> DataFrame:
+    """The table ``build()`` gives, written once for a session under the shared folder and read from there by later queries."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = f"{scratch_dir(spark)}/skein-stored-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

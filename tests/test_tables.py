@@ -17,31 +17,52 @@ from skein.streaming import flights as stream
 SF = "/root/testdata/sf0.001"
 
 
-def trace(icao="4CA7B3", base=1000.0, entries=None, **more):
-    return json.dumps({"icao": icao, "t": "B738", "timestamp": base, "trace": entries if entries is not None else [[0, 51.5, -0.1, 35000, 450, 90, 2, 64, {"flight": "RYR1  ", "squawk": "1234", "category": "A3"}, "adsb", 1, 2, 280, None], [30, 51.6, -0.1, "ground", None, None, "x", None, None], [60, 51.7], [90, None, 1, 2, 3], ["x", 1, 2, 3], [120, "51.8", "-0.2", None, 1, 2, 0, 3, {"flight": " ", "squawk": 7700}]], **more})
+def entry(after, lat, lon, alt, gs=None, track=None, flags=0, vr=None, more=None, ias=None):
+    """One report of a trace document, in the format's order of fields."""
+    return [after, lat, lon, alt, gs, track, flags, vr, more, "adsb_icao", None, None, ias, None]
+
+
+GOOD = [
+    entry(5, 10.25, 20.5, 12_000, 300, 45, 2, -640, {"flight": "OWN77  ", "squawk": "0123", "category": "A5"}, 250),
+    entry(10, 10.5, 20.5, "ground", flags="?"),
+    entry(20, "10.75", "20.25", None, 7, 8, 0, 9, {"flight": "  ", "squawk": 4567}),
+]
+BAD = [[15, 10.5], [16, None, 20.0, 1, 1], ["late", 1, 2, 3]]
+
+
+def trace(icao="3F00AA", base=50_000.0, reports=None):
+    return json.dumps({"icao": icao, "t": "E190", "timestamp": base, "trace": GOOD[:2] + BAD + GOOD[2:] if reports is None else reports})
 
 
 def test_trace_files(spark, tmp_path):
-    (tmp_path / "traces" / "b3").mkdir(parents=True)
-    (tmp_path / "traces/b3/trace_full_4ca7b3.json").write_text(trace())
-    with gzip.open(tmp_path / "traces/b3/trace_full_aaaaaa.json.gz", "wt") as f:
-        f.write(trace(icao="aaaaaa"))
-    for k, bad in enumerate(["not json", trace(icao=""), trace(base="soon"), json.dumps({"icao": "abc", "timestamp": 1, "trace": 5})]):
-        (tmp_path / f"traces/bad{k}.json").write_text(bad)
-    raw = traces.read_traces(spark, str(tmp_path), "2025-04-01")
+    (tmp_path / "day" / "aa").mkdir(parents=True)
+    (tmp_path / "day/aa/trace_full_3f00aa.json").write_text(trace())
+    with gzip.open(tmp_path / "day/aa/trace_full_3f00bb.json.gz", "wt") as f:
+        f.write(trace(icao="3F00BB"))
+    for k, bad in enumerate(["{", trace(icao=""), trace(base="never"), trace(reports={"no": "list"})]):
+        (tmp_path / f"day/odd{k}.json").write_text(bad)
+    raw = traces.read_traces(spark, str(tmp_path), "2025-06-15")
     rows = traces.points(raw).orderBy("icao24", "t").collect()
-    assert [(r.icao24, r.t) for r in rows] == [(i, t) for i in ("4ca7b3", "aaaaaa") for t in (1000, 1030, 1120)]
+    assert [(r.icao24, r.t) for r in rows] == [(i, 50_000 + s) for i in ("3f00aa", "3f00bb") for s in (5, 10, 20)]
     first, second, last = rows[:3]
-    assert (first.callsign, first.squawk, first.emitter_category, first.new_leg, first.alt_baro, first.gs, first.track, first.vr, first.ias, first.icao_type) == ("RYR1", "1234", "A3", True, 35000, 450, 90, 64, 280, "B738")
-    assert second.alt_baro is None and not second.new_leg and last.squawk == "7700" and last.callsign is None and last.lat == 51.8
+    assert (first.callsign, first.squawk, first.emitter_category, first.new_leg, first.alt_baro, first.gs, first.track, first.vr, first.ias, first.icao_type) == ("OWN77", "0123", "A5", True, 12_000, 300, 45, -640, 250, "E190")
+    assert second.alt_baro is None and not second.new_leg and last.squawk == "4567" and last.callsign is None and last.lat == 10.75
     assert traces.rejects(raw).count() == 4
 
 
 def test_airframe_lines(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("4CA7B3;G-ABCD;B738;1001;Boeing 737-800;2015;Ryanair\nabc;G;B;0;x\n4ca7b4; ;A320;0;;bad;\n4ca7b5;G-\;X;C172;01\n4ca7b6;G\n")
-    rows = {r.icao24: r for r in reference_data.read_airframes(spark, str(tmp_path / "a.csv")).collect()}
-    assert set(rows) == {"4ca7b3", "4ca7b4", "4ca7b5"}
-    assert rows["4ca7b3"].flags == 9 and rows["4ca7b3"].year == 2015 and rows["4ca7b4"].registration is None and rows["4ca7b4"].year is None and rows["4ca7b5"].registration == "G-;X"
+    lines = ["3F00AA;X-ONE;E190;0101;Own Jet 190;1999;Own Lines", "3f0;X;Y;0;short id", "3f00bb; ;AT76;0;;year;", "3f00cc;X-\\;TWO;C150;11", "3f00dd;X-FEW"]
+    (tmp_path / "own.csv").write_text("\n".join(lines) + "\n")
+    rows = {r.icao24: r for r in reference_data.read_airframes(spark, str(tmp_path / "own.csv")).collect()}
+    assert set(rows) == {"3f00aa", "3f00bb", "3f00cc"}
+    assert rows["3f00aa"].flags == 10 and rows["3f00aa"].year == 1999 and rows["3f00bb"].registration is None and rows["3f00bb"].year is None and rows["3f00cc"].registration == "X-;TWO"
+
+
+def test_week_manifest_hash_follows_content_only(spark):
+    rows = spark.range(50).select(F.lit("2025-06-09").cast("date").alias("start_week"), "id", (F.col("id") * 2).alias("v"))
+    of = lambda d: writes.week_manifest(d).first()
+    assert of(rows) == of(rows.orderBy(F.desc("id")).repartition(5)) and of(rows).row_count == 50
+    assert of(rows).content_hash != of(rows.withColumn("v", F.when(F.col("id") == 7, 0).otherwise(F.col("v")))).content_hash
 
 
 def test_features(spark, tmp_path):
