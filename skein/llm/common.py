@@ -20,8 +20,10 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset in local mode (tests), a temporary one is set."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place and not spark.sparkContext.master.startswith("local"):  # also local-cluster: one machine
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not place:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
         place = spark.sparkContext.getCheckpointDir()
