@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of documents under a bigram model of the whole table."""
+"""Stupid-backoff scores of documents under a bigram model: n-gram count tables joined to exploded n-grams."""
 
 from __future__ import annotations
 
@@ -16,25 +16,52 @@ from pyspark.sql import types as T
 from .common import cut, slices, texts, words_of
 from .substring import NO_ID, _mix
 
-#: Words with at least this share of all words have an id of their own (so there are at most 1 / VOCABULARY of them);
-#: all others are one class of unknown words.
-VOCABULARY = 1e-6
-#: Bigrams with this share of all words are counted apart (at most 2 / HOT of them) and never gathered by key.
+#: N-grams with this share of all words are counted first (at most 4 / HOT of them) and looked up where they stand.
 HOT = 1e-5
-#: Bigrams seen less often than this are left out of the model and back off, as singletons usually are.
-MIN_COUNT = 2
 ALPHA = 0.4
-#: Positions that one hash partition of the bigram table holds on average.
-PARTITION_ROWS = 2_000_000
-SLICE = 8 << 20
-_BITS = np.int64(21)
+#: Exploded n-grams that one hash partition of the count table holds on average.
+PARTITION_ROWS = 4_000_000
+#: The word before the first one of a document.
+START = np.uint64(0x5D58B1D6C2A4E93F)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts, flat = words_of(pc.ascii_lower(column))
     coded = flat.dictionary_encode()
-    names = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], dtype=np.uint64).view(np.int64)
-    return counts, names[np.asarray(coded.indices, dtype=np.int64)] if len(names) else np.zeros(0, np.int64)
+    names = np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
+    return counts, names[np.asarray(coded.indices, dtype=np.int64)] if len(names) else np.zeros(0, np.uint64)
+
+
+def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each row has, and for each word: the word before it, itself, and the key of both."""
+    counts, words = _hashed(column)
+    before = np.concatenate([[START], words[:-1]]).astype(np.uint64) if len(words) else words
+    before[(np.cumsum(counts) - counts)[counts > 0]] = START
+    return counts, before, words, _mix(_mix(before) + words * _ODD)
+
+
+def _ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of the rows: words of each row, then for each n-gram its row, its key and its weight.
+
+    The log of a bigram's count is added, that of its first word's count taken away. A row's words are therefore
+    unigrams of weight -1, with the start before them; its last word is counted, but is no bigram's first.
+    """
+    counts, before, words, keys = _bigrams(column)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    last = (np.cumsum(counts) - 1)[counts > 0]
+    return (
+        counts,
+        np.concatenate([owner, owner, owner[last]]),
+        np.concatenate([keys, before, words[last]]).view(np.int64),
+        np.concatenate([np.ones(len(keys), np.int32), np.full(len(before), -1, np.int32), np.zeros(len(last), np.int32)]),
+    )
+
+
+def _unigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    counts, _, words, _ = _bigrams(column)
+    keys = np.concatenate([words, np.full(int((counts > 0).sum()), START, np.uint64)])
+    return np.unique(keys.view(np.int64), return_counts=True)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +76,7 @@ def _tally(docs: DataFrame, count) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 keys, n = count(part.column("text"))
                 held.append((keys, n))
                 size += len(keys)
@@ -66,170 +93,124 @@ def _tally(docs: DataFrame, count) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """What every task knows: ids of the words of the vocabulary, their counts, and the hot bigrams' exact counts."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, starts: int):
-        order = np.argsort(words)
-        self.words = words[order]
-        #: 0 is the class of unknown words, then the vocabulary, last the start of a document.
-        self.counts = np.concatenate([[total - counts.sum()], counts[order], [starts]]).astype(np.int64)
-        self.total = total
-        self.hot = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        counts, words = _hashed(column)
-        if not len(self.words) or not len(words):
-            return counts, np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return counts, np.where(self.words[at] == words, at + 1, 0)
-
-    def bigrams(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """How many words each row has, and for each word the key of (word before it, word)."""
-        counts, ids = self.ids(column)
-        before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-        first = (np.cumsum(counts) - counts)[counts > 0]
-        before[first] = len(self.counts) - 1
-        return counts, (before << _BITS) | ids
-
-    def scores(self, keys: np.ndarray, seen: np.ndarray, min_count: int, alpha: float) -> np.ndarray:
-        """Log scores of bigrams with their counts: relative frequency, or alpha times that of the word alone."""
-        with np.errstate(divide="ignore"):
-            known = np.log(seen) - np.log(self.counts[keys >> _BITS])
-            alone = math.log(alpha) + np.log(self.counts[keys & ((1 << int(_BITS)) - 1)]) - math.log(max(1, self.total))
-        return np.where(seen >= min_count, known, alone)
-
-
-def _fit(docs: DataFrame, vocabulary: float, hot: float) -> Model:
-    """Counts over all rows. Only what a share bounds reaches the driver: the vocabulary and the hot bigrams."""
-
-    def unigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(_hashed(column)[1], return_counts=True)
-
-    table = cut(_tally(docs, unigrams))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    frequent = table.where(F.col("n") >= total * vocabulary).toPandas() if total else None  # at most 1 / vocabulary rows
-    starts = texts(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
-    words, counts = (frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)) if total else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    model = Model(words, counts, total, starts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def candidates(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bigrams that are hot in this slice: one that is hot everywhere is hot somewhere."""
-        keys, n = np.unique(shared.value.bigrams(column)[1], return_counts=True)
-        often = n >= max(2.0, hot * n.sum())
-        return keys[often], n[often]
-
-    found = _tally(docs, candidates).where(F.col("n") >= total * hot / 2).select("key")
-    likely = np.sort(found.toPandas()["key"].to_numpy(np.int64))  # at most 2 / hot rows
-    chosen = docs.sparkSession.sparkContext.broadcast(likely)
+def _found(keys: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in the sorted ``hot``, and which of them are there."""
+    at = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+    return at, hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+
+
+def hot_ngrams(docs: DataFrame, hot: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys and exact counts of the n-grams with the share ``hot`` of all n-grams or more, and how many there are in all.
+
+    An n-gram that is hot in all rows is hot in some slice of them, so what slices report holds every one.
+    """
+
+    def often(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = np.unique(_ngrams(column)[2], return_counts=True)
+        kept = n >= max(2.0, hot * n.sum())
+        # the key 0 carries the number of all n-grams
+        return np.concatenate([[0], keys[kept]]).astype(np.int64), np.concatenate([[n.sum()], n[kept]]).astype(np.int64)
+
+    reported = cut(_tally(docs, often))
+    total = reported.where("key = 0").agg(F.sum("n")).first()[0] or 0
+    likely = reported.where((F.col("n") >= total * hot / 2) & (F.col("key") != 0)).select("key")
+    chosen = docs.sparkSession.sparkContext.broadcast(np.sort(likely.toPandas()["key"].to_numpy(np.int64)))  # at most 2 / hot
 
     def exact(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        keys = shared.value.bigrams(column)[1]
-        at = np.minimum(np.searchsorted(chosen.value, keys), max(0, len(chosen.value) - 1))
-        return np.unique(keys[chosen.value[at] == keys] if len(chosen.value) else keys[:0], return_counts=True)
+        keys = _ngrams(column)[2]
+        return np.unique(keys[_found(keys, chosen.value)[1]], return_counts=True)
 
     sums = _tally(docs, exact).toPandas().sort_values("key")
-    model.hot = sums["key"].to_numpy(np.int64), sums["n"].to_numpy(np.int64)
-    return model
+    return sums["key"].to_numpy(np.int64), sums["n"].to_numpy(np.int64), total
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tkey"), "doc_id", "text")
+
+
+def _own_sums(docs: DataFrame, hot: float, partition_rows: int) -> DataFrame:
+    """(id, tkey, n_words, log_score) under the counts of ``docs`` itself, where no bigram is unseen."""
+    hot_keys, hot_counts, total = hot_ngrams(docs, hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot_keys, np.log(hot_counts)))
+    rows = T.StructType.fromDDL("key long not null, id long not null, tkey long not null, weight int not null, base double")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each n-gram that is not hot, and one for each document: its words, and what its hot n-grams add up to."""
+        keys_, logs = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts, owner, keys, weight = _ngrams(part.column("text"))
+                at, known = _found(keys, keys_)
+                base = np.bincount(owner[known], weights=weight[known] * logs[at[known]], minlength=len(counts)) if known.any() else np.zeros(len(counts))
+                ids, tkeys = (np.asarray(part.column(c)) for c in ("id", "tkey"))
+                yield pa.RecordBatch.from_arrays([pa.array(tkeys), pa.array(ids), pa.array(tkeys), pa.array(counts.astype(np.int32)), pa.array(base)], names=rows.names)
+                keys, owner, weight = keys[~known], owner[~known], weight[~known]
+                order = np.argsort(owner, kind="stable")  # a document's rows side by side
+                keys, owner, weight = keys[order], owner[order], weight[order]
+                for a in range(0, len(keys), 200_000):
+                    b = a + 200_000
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[a:b]), pa.array(ids[owner[a:b]]), pa.array(tkeys[owner[a:b]]), pa.array(weight[a:b]), pa.nulls(len(keys[a:b]), pa.float64())],
+                        names=rows.names,
+                    )
+
+    parts = max(1, -(-total // partition_rows))
+    grams = _named(docs).select("id", "tkey", "text").mapInArrow(explode, rows).repartition(parts, "key")
+    # Both sides of the join read all columns of ``grams``, so that they share one exchange.
+    counts = grams.groupBy("key").agg(F.count(F.when(F.col("base").isNull(), F.struct("id", "tkey", "weight"))).alias("n"))
+    value = F.when(F.col("base").isNull(), F.col("weight") * F.log("n")).otherwise(F.col("base"))
+    return grams.join(counts.hint("merge"), "key").groupBy("id", "tkey").agg(
+        F.sum(F.when(F.col("base").isNotNull(), F.col("weight"))).alias("n_words"), F.sum(value).alias("log_score")
+    )
+
+
+def _other_sums(docs: DataFrame, corpus: DataFrame, alpha: float) -> DataFrame:
+    """(id, tkey, n_words, log_score) under the counts of ``corpus``; a word that it lacks counts as one."""
+    one = cut(_tally(corpus, _unigrams))
+    two = _tally(corpus, lambda column: np.unique(_bigrams(column)[3].view(np.int64), return_counts=True))
+    total = one.where(F.col("key") != int(START.view(np.int64))).agg(F.sum("n")).first()[0] or 1
+    rows = T.StructType.fromDDL("id long, tkey long, before long, word long, key long")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts, before, words, keys = _bigrams(part.column("text"))
+                owner = np.repeat(np.arange(len(counts)), counts)
+                ids, tkeys = (np.asarray(part.column(c)) for c in ("id", "tkey"))
+                columns = [ids[owner], tkeys[owner], *[x.view(np.int64) for x in (before, words, keys)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=rows.names)
 
+    grams = _named(docs).select("id", "tkey", "text").mapInArrow(explode, rows)
+    seen = grams.join(two, "key", "left").select(
+        "id", "tkey", F.col("n").alias("both"), F.when(F.col("n").isNull(), F.col("word")).otherwise(F.col("before")).alias("key")
+    )
+    alone = F.log(F.coalesce("n", F.lit(1)))
+    value = F.when(F.col("both").isNull(), math.log(alpha) + alone - math.log(total)).otherwise(F.log("both") - alone)
+    return seen.join(one, "key", "left").groupBy("id", "tkey").agg(F.count(F.lit(1)).alias("n_words"), F.sum(value).alias("log_score"))
 
-def score(docs: DataFrame, vocabulary: float = VOCABULARY, hot: float = HOT, min_count: int = MIN_COUNT, alpha: float = ALPHA, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+
+def score(docs: DataFrame, corpus: DataFrame | None = None, hot: float = HOT, alpha: float = ALPHA, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, log_score (sum over words), mean_log_score.
 
     Words are runs without ASCII white space, A-Z lower-cased. A word's score after the word before it (or a document's
-    start) is the bigram's count over the first word's count where the bigram occurs ``min_count`` times or more, else
-    ``alpha`` times the word's share of all words. Words rarer than ``vocabulary`` are one unknown word. Each document's
-    bigrams are dealt by their hash, packed by slice; a hash partition counts its bigrams, joins the counts to their
-    places, and returns sums for the documents. A null text is empty; texts without words have log_score 0 and a null
-    mean. Repeated rows and rows with a null doc_id are documents like any other, counted each time. Extra columns are
-    ignored; an empty table gives an empty table.
+    start) is the bigram's count in ``corpus`` over the first word's count; where the corpus lacks the bigram, ``alpha``
+    times the word's share of all words. No word or bigram is left out. Without ``corpus`` the documents are scored by
+    their own counts, in which every bigram stands. N-grams are exploded and dealt by the hash of their words, each hash
+    partition counts its own and joins the counts back, and the logs are summed by document; n-grams of a share ``hot``
+    are counted first, so no task gathers one. N-grams are told apart by 64-bit hashes. A null text is empty; texts
+    without words have log_score 0 and a null mean. Repeated rows and rows with a null doc_id are documents like any
+    other, counted each time. Extra columns are ignored; an empty table gives an empty table.
     """
-    model = _fit(docs, vocabulary, hot)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    parts = max(1, -(-model.total // partition_rows))
-    dealt = T.StructType.fromDDL("slice long, p int, ids binary, base binary, words binary, owner binary, keys binary, times binary")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each slice of documents, a row for each hash partition: bigrams, whose they are and how often.
-
-        One of them also carries the documents: ids, words, and what their hot bigrams score.
-        """
-        m = shared.value
-        hot_keys, hot_counts = m.hot
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                counts, keys = m.bigrams(part.column("text"))
-                owner = np.repeat(np.arange(len(counts)), counts)
-                base = np.zeros(len(counts))
-                if len(hot_keys) and len(keys):
-                    at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
-                    known = hot_keys[at] == keys
-                    base = np.bincount(owner[known], weights=m.scores(keys[known], hot_counts[at[known]], min_count, alpha), minlength=len(counts))
-                    keys, owner = keys[~known], owner[~known]
-                where = (_mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((keys, owner, where))
-                where, keys, owner = where[order], keys[order], owner[order]
-                head = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([head, [len(keys)]])).astype(np.uint32)
-                where, keys, owner = where[head], keys[head], owner[head]
-                edges = np.searchsorted(where, np.arange(parts + 1)).tolist()
-                ids = np.asarray(part.column("doc_id"))
-                # a name that a second run of this task gives again; slices of the very same rows may share it
-                name = xxhash.xxh3_64_intdigest(ids.tobytes() + np.asarray(part.column("tkey")).tobytes()) >> 1
-                home = name % parts
-                rows = [
-                    (name, p, *((ids.tobytes(), base.tobytes(), counts.tobytes()) if p == home else (b"", b"", b"")), _narrow(owner[a:b]), keys[a:b].tobytes(), _narrow(times[a:b]))
-                    for p, a, b in zip(range(parts), edges, edges[1:], strict=False)
-                    if a < b or p == home
-                ]
-                types = (pa.int64(), pa.int32(), *[pa.binary()] * 6)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=dealt.names)
-
-    settled = T.StructType.fromDDL("slice long, ids binary, base binary, words binary, owner binary, part binary")
-
-    def settle(table: pa.Table) -> pa.Table:
-        """Count the bigrams of one hash partition and join the counts to their places: sums for each slice's documents."""
-        m = shared.value
-        keys = [np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()]
-        owners, times = ([_widen(x) for x in table.column(c).to_pylist()] for c in ("owner", "times"))
-        uniq, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        tf = np.concatenate(times).astype(np.float64)
-        seen = np.bincount(inverse, weights=tf, minlength=len(uniq))
-        value = m.scores(uniq, np.maximum(seen, 1), min_count, alpha)[inverse] * tf
-        sums, at = [], 0
-        for own in owners:
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-            sums.append((_narrow(own[first]), (np.add.reduceat(value[at : at + len(own)], first) if len(own) else value[:0]).tobytes()))
-            at += len(own)
-        columns = [table.column(c) for c in settled.names[:4]]
-        return pa.table([*columns, pa.array([o for o, _ in sums], pa.binary()), pa.array([v for _, v in sums], pa.binary())], names=settled.names)
-
-    scored = T.StructType.fromDDL("doc_id long, n_words long, log_score double")
-
-    def finish(table: pa.Table) -> pa.Table:
-        """Add up one slice: its size is bounded, and so is what comes back for it."""
-        homes = [x for x in zip(*(table.column(c).to_pylist() for c in ("ids", "base", "words")), strict=True) if x[2]]
-        ids, base, words = (np.frombuffer(x, kind) for x, kind in zip(homes[0], (np.int64, np.float64, np.int64), strict=True))
-        total = base * len(homes)
-        for own, part in zip(table.column("owner").to_pylist(), table.column("part").to_pylist(), strict=True):
-            total[_widen(own)] += np.frombuffer(part, np.float64)
-        total = total / len(homes)  # slices of the same rows have added up
-        out = pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(words), pa.array(total)], names=scored.names)
-        return pa.concat_tables([out] * len(homes))
-
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
-    sums = rows.mapInArrow(deal, dealt).groupBy("p").applyInArrow(settle, settled)
-    out = sums.groupBy("slice").applyInArrow(finish, scored)
-    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """The smallest unsigned form, with its width in front."""
-    top = int(x.max()) if len(x) else 0
-    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
-
-
-def _widen(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[x[0]], offset=1).astype(np.int64)
+    sums = _own_sums(docs, hot, partition_rows) if corpus is None else _other_sums(docs, corpus, alpha)
+    rows = _named(docs).select("id", "tkey", "doc_id")
+    # rows of equal doc_id and text have added up
+    copies = rows.groupBy("id", "tkey").agg(F.count(F.lit(1)).alias("copies"))
+    each = copies.join(sums, ["id", "tkey"], "left").select(
+        "id",
+        "tkey",
+        F.coalesce((F.col("n_words") / F.col("copies")).cast("long"), F.lit(0).cast("long")).alias("n_words"),
+        F.coalesce(F.col("log_score") / F.col("copies"), F.lit(0.0)).alias("log_score"),
+    )
+    return rows.join(each, ["id", "tkey"]).select(
+        "doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score")
+    )

@@ -96,15 +96,12 @@ FROM t
 OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, [x FOR x IN regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
-raw AS (SELECT rid, unnest(w) AS word, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS i FROM d),
-total AS (SELECT count(*) AS n FROM raw),
-frequent AS (SELECT word FROM raw GROUP BY word HAVING count(*) >= (SELECT n FROM total) * 1e-6),
-known AS (SELECT rid, i, coalesce('w' || frequent.word, 'unknown') AS b FROM raw LEFT JOIN frequent USING (word)),
-grams AS (SELECT rid, i, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY i), 'start') AS a FROM known),
-one AS (SELECT b AS a, count(*) AS n FROM known GROUP BY b UNION ALL SELECT 'start', count(DISTINCT rid) FROM known),
+words AS (SELECT rid, unnest(w) AS b, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS i FROM d),
+grams AS (SELECT rid, b, lag('w' || b, 1, 'start') OVER (PARTITION BY rid ORDER BY i) AS a FROM words),
+one AS (SELECT 'w' || b AS a, count(*) AS n FROM words GROUP BY b UNION ALL SELECT 'start', count(DISTINCT rid) FROM words),
 two AS (SELECT a, b, count(*) AS n FROM grams GROUP BY a, b),
-scored AS (SELECT rid, sum(CASE WHEN two.n >= 2 THEN ln(two.n) - ln(ca.n) ELSE ln(0.4) + ln(cb.n) - ln((SELECT n FROM total)) END) AS s
-    FROM grams JOIN two USING (a, b) JOIN one ca ON ca.a = grams.a JOIN one cb ON cb.a = grams.b GROUP BY rid)
+scored AS (SELECT rid, sum(CASE WHEN two.n > 0 THEN ln(two.n / ca.n) ELSE ln(0.4 * cb.n / (SELECT count(*) FROM words)) END) AS s
+    FROM grams LEFT JOIN two USING (a, b) LEFT JOIN one ca ON ca.a = grams.a LEFT JOIN one cb ON cb.a = 'w' || grams.b GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 4) AS log_score, round(s / nullif(len(w), 0), 6) AS mean_log_score
 FROM d LEFT JOIN scored USING (rid)
 """

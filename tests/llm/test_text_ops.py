@@ -110,18 +110,19 @@ def test_license_lists_are_parameters(spark):
 # --- language model
 
 
-def scores_by_hand(texts):
+def scores_by_hand(texts, corpus=None):
     docs = [low(t).encode().split() for t in texts]
-    one, two, n = Counter(), Counter(), sum(map(len, docs))
-    for d in docs:
+    learnt = docs if corpus is None else [low(t).encode().split() for t in corpus]
+    one, two, n = Counter(), Counter(), sum(map(len, learnt))
+    for d in learnt:
         one.update(d)
         two.update(zip([None, *d], d, strict=False))
-    starts = sum(bool(d) for d in docs)
+    one[None] = sum(bool(d) for d in learnt)
     out = []
     for d in docs:
         s = 0.0
         for a, b in zip([None, *d], d, strict=False):
-            s += math.log(two[a, b] / (one[a] if a is not None else starts)) if two[a, b] >= 2 else math.log(0.4 * one[b] / n)
+            s += math.log(two[a, b] / one[a]) if two[a, b] else math.log(0.4 * max(1, one[b]) / max(1, n))
         out.append((len(d), s))
     return out
 
@@ -134,10 +135,19 @@ def test_scores_against_brute_force(spark, edge_docs, edge_rows, empty_docs, hot
     assert lm.score(empty_docs).count() == 0
 
 
-def test_rare_words_are_one_class(spark):
-    docs = spark.createDataFrame([(1, "a a a a b c"), (2, "a a a a d e")], "doc_id long, text string")
-    rows = lm.score(docs, vocabulary=0.2).collect()
-    assert len(rows) == 2 and len({round(r.log_score, 9) for r in rows}) == 1
+def test_scores_under_another_corpus_back_off(spark, edge_docs, edge_rows, empty_docs):
+    corpus = ["one two one two three", "a b a", None, "abc one"]
+    known = spark.createDataFrame([(k, t) for k, t in enumerate(corpus)], "doc_id long, text string")
+    for table, learnt in ((known, corpus), (empty_docs, [])):
+        want = Counter((i, n, round(s, 6)) for (i, *_), (n, s) in zip(edge_rows, scores_by_hand([t for _, t, *_ in edge_rows], learnt), strict=True))
+        got = lm.score(edge_docs, table)
+        assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got.collect()) == want
+
+
+def test_rare_words_keep_their_own_counts(spark):
+    docs = spark.createDataFrame([(1, "x y"), (2, "x y"), (3, "x z")], "doc_id long, text string")
+    got = {r.doc_id: r.log_score for r in lm.score(docs, hot=0.3).collect()}
+    assert got[1] == got[2] == pytest.approx(math.log(2 / 3)) and got[3] == pytest.approx(math.log(1 / 3))
 
 
 # --- packing
