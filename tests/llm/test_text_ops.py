@@ -130,7 +130,7 @@ def scores_by_hand(texts, corpus=None):
 @pytest.mark.parametrize("hot", [1e-5, 0.01])
 def test_scores_against_brute_force(spark, edge_docs, edge_rows, empty_docs, hot):
     want = Counter((i, n, round(s, 6)) for (i, *_), (n, s) in zip(edge_rows, scores_by_hand([t for _, t, *_ in edge_rows]), strict=True))
-    got = lm.score(edge_docs, hot=hot, partition_rows=500)
+    got = lm.score(edge_docs, hot=hot, hot_words=hot, partition_rows=500)
     assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got.collect()) == want
     assert lm.score(empty_docs).count() == 0
 
@@ -146,7 +146,7 @@ def test_scores_under_another_corpus_back_off(spark, edge_docs, edge_rows, empty
 
 def test_rare_words_keep_their_own_counts(spark):
     docs = spark.createDataFrame([(1, "x y"), (2, "x y"), (3, "x z")], "doc_id long, text string")
-    got = {r.doc_id: r.log_score for r in lm.score(docs, hot=0.3).collect()}
+    got = {r.doc_id: r.log_score for r in lm.score(docs, hot=0.3, hot_words=0.3).collect()}
     assert got[1] == got[2] == pytest.approx(math.log(2 / 3)) and got[3] == pytest.approx(math.log(1 / 3))
 
 
