@@ -1,4 +1,4 @@
-"""Substring deduplication: repeated windows of words, found in a De Bruijn graph of sampled k-mers."""
+"""Substring deduplication: repeated windows of words, found in a compacted De Bruijn graph of sampled k-mers."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .common import cut, slices, texts, words_of
 KMER = 8
 #: A side of a join is broadcast while its arrays have up to this many items (24 bytes each); beyond that it is shuffled.
 BROADCAST_ITEMS = 3_000_000
+#: Windows of a mask.
+PIECE = 62
 NO_ID = -1 << 63
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -94,34 +97,103 @@ def _joined(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(F.broadcast(small) if items <= BROADCAST_ITEMS else small, ["kid", "tkey"], how)
 
 
-LONG = {"kid": T.LongType(), "tkey": T.LongType(), "kmer": T.LongType(), "content": T.LongType(), "first": T.IntegerType(), "last": T.IntegerType()}
+def graph_edges(docs: DataFrame, window: int = 35, k: int = KMER, label_bits: int = 64) -> DataFrame:
+    """Occurrences (kid, tkey, kmer, after, content, first, last) of sampled k-mers, with their source coordinates.
 
-
-def graph_edges(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFrame:
-    """Occurrences (kid, tkey, kmer, content, first, last) of sampled k-mers, with their source coordinates.
-
-    ``content`` hashes the whole run of words that the windows of this occurrence cover: an edge's label.
+    ``first`` and ``last`` are the first and last window start that the occurrence stands for, ``content`` hashes the
+    run of words which those windows cover, and ``after`` is the k-mer sampled next in the document (null at its end):
+    the occurrence as an edge of the graph. ``label_bits`` below 64 makes contents collide, for tests.
     """
-    schema = T.StructType([T.StructField(c, kind) for c, kind in LONG.items()])
+    schema = T.StructType.fromDDL("kid long, tkey long, kmer long, after long, content long, first int, last int")
+    keep = np.uint64((1 << label_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 own, kmer, content, _, first, last = _nodes(part.column("text"), window, k)
                 take = pa.array(own)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("kid").take(take), part.column("tkey").take(take), pa.array(kmer.view(np.int64)), pa.array(content.view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=schema.names
-                )
+                ends = np.append(own[1:] != own[:-1], True)[: len(own)]
+                after = pa.array(np.roll(kmer, -1).view(np.int64), mask=ends)
+                columns = [part.column("kid").take(take), part.column("tkey").take(take), pa.array(kmer.view(np.int64)), after]
+                columns += [pa.array((content & keep).view(np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return _keyed(docs).select("kid", "tkey", "text").mapInArrow(run, schema)
 
 
+def path_heads(links: DataFrame) -> DataFrame:
+    """``links`` (node, to: the one node before it, without cycles) -> (node, head): where the path through node starts.
+
+    Pointer doubling: every round joins each node's pointer with the pointer of the node it points to, so a path of n
+    nodes takes about log2(n) rounds. Nodes that have arrived are set aside. An empty table gives an empty table.
+    """
+    known = active = cut(links.select("node", "to"))
+    settled: DataFrame | None = None
+    while not active.isEmpty():
+        further = known.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = cut(active.join(further, "to", "left").select("node", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")))
+        arrived = step.where("not moved").select("node", "to")
+        settled = arrived if settled is None else settled.unionByName(arrived)
+        active = step.where("moved").select("node", "to")
+        known = settled.unionByName(active)
+    return known.select("node", F.col("to").alias("head"))
+
+
+def compact_paths(edges: DataFrame) -> DataFrame:
+    """(kmer, straight, width): the repeated nodes of the graph, nonbranching paths compacted to their first node.
+
+    A node is straight if all its occurrences carry one label and as many windows. It is linked to its successor if all
+    its occurrences are followed by that node, which is straight too and occurs as often: then nothing else leads there.
+    Since documents end, such links form no cycle. ``width`` counts the windows of a whole path; nodes that are not
+    straight come back one by one without it, and nodes that occur once have no repeated window and are left out.
+    """
+    width = F.col("last") - F.col("first") + 1
+    nodes = edges.groupBy("kmer").agg(
+        F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min(width).alias("width"), F.max(width).alias("widest"),
+        F.count("after").alias("followed"), F.min("after").alias("next"), F.max("after").alias("other"),
+    ).where("n > 1")
+    nodes = cut(nodes.selectExpr("kmer", "n", "width", "low = high and width = widest as straight", "if(followed = n and next = other, next, null) as next"))
+    straight = nodes.where("straight")
+    links = straight.where("next is not null").select(F.col("kmer").alias("to"), F.col("next").alias("node"), "n")
+    heads = path_heads(links.join(straight.select(F.col("kmer").alias("node"), "n"), ["node", "n"]))
+    members = straight.join(heads.withColumnRenamed("node", "kmer"), "kmer", "left")
+    paths = members.groupBy(F.coalesce("head", "kmer").alias("kmer")).agg(F.lit(True).alias("straight"), F.sum("width").cast("int").alias("width"))
+    return paths.unionByName(nodes.where("not straight").select("kmer", "straight", F.lit(None).cast("int").alias("width")))
+
+
+def _read_runs(rows: DataFrame, window: int) -> DataFrame:
+    """Each row (kid, tkey, text, spans: key, first, last) -> a row for each span with the digest of the words there.
+
+    The digest is the first half of SHA-256 over the words' own bytes, read at the source coordinates.
+    """
+    schema = T.StructType.fromDDL("kid long, tkey long, key long, first int, last int, digest binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                counts, words = words_of(part.column("text"))
+                spaced = pc.binary_join_element_wise(words, "", " ")
+                place = np.frombuffer(spaced.buffers()[1], dtype=np.int32) if len(words) else np.zeros(1, np.int32)
+                data = memoryview(spaced.buffers()[2] or b"")
+                spans = part.column("spans")
+                flat, n = spans.flatten(), np.asarray(spans.value_lengths(), dtype=np.int64)
+                begin = np.repeat(np.cumsum(counts) - counts, n)
+                first, last = (np.asarray(flat.field(c), dtype=np.int64) for c in ("first", "last"))
+                ends = zip(place[begin + first].tolist(), place[begin + last + window].tolist(), strict=True)
+                digests = [hashlib.sha256(data[a:b]).digest()[:16] for a, b in ends]
+                take = pa.array(np.repeat(np.arange(len(n)), n))
+                columns = [part.column("kid").take(take), part.column("tkey").take(take), *(flat.field(c) for c in ("key", "first", "last")), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.select("kid", "tkey", "text", "spans").mapInArrow(run, schema)
+
+
 def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
-    """Each row (text, spans: kmer, content, first, last) -> (kmer, content, offset, whash), read at the source coordinates.
+    """Each row (text, spans: key, digest, piece, first, last) -> (key, digest, piece, offset, whash), read at the source coordinates.
 
     The hash is a second one, with other word hashes and another base than those of the graph.
     """
-    schema = T.StructType([T.StructField("kmer", T.LongType()), T.StructField("content", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("whash", T.LongType())])
+    schema = T.StructType.fromDDL("key long, digest binary, piece int, offset int, whash long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,47 +210,49 @@ def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
                 offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 start = np.repeat(begin + first, each) + offset
                 take = pa.array(np.repeat(np.arange(len(each)), each))
-                yield pa.RecordBatch.from_arrays([flat.field("kmer").take(take), flat.field("content").take(take), pa.array(offset, pa.int32()), pa.array(rolling.of(start, start + window).view(np.int64))], names=schema.names)
+                columns = [*(flat.field(c).take(take) for c in ("key", "digest", "piece")), pa.array(offset, pa.int32()), pa.array(rolling.of(start, start + window).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.select("text", "spans").mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 35, k: int = KMER, label_bits: int = 64) -> DataFrame:
     """(kid, tkey, spans): for each document the runs (first, last) of window starts that occur anywhere else.
 
-    1. Sampled k-mers are the graph's nodes; the labelled runs of words around them are its edges.
-    2. A node that occurs once has no repeated window. A node of which all occurrences have one label is nonbranching:
-       the whole run repeats, and one row stands for all its windows. Counts and labels come back by a join.
-    3. Labels of branching nodes are told apart window by window, once for each distinct label, at the source
-       coordinates of its first occurrence; windows under two labels, or under a label that occurs twice, repeat.
+    1. Sampled k-mers with the runs of words around them are the graph's edges, each linked to its successor.
+    2. Repeated nonbranching paths are compacted by joins (``compact_paths``): one run for each occurrence of a path,
+       and one for each occurrence of a branching node.
+    3. Every run is read at its source coordinates. Runs of one key and one digest of their words repeat as a whole.
+    4. Where the runs of a key differ (branching nodes, or a path whose labels collided), they are told apart window by
+       window, once for each distinct digest, at the source coordinates of its first occurrence.
     """
-    if window - k > 62:
-        raise ValueError("a run has at most 63 windows; take a larger k")
-    edges = cut(graph_edges(docs, window, k))
-    nodes = edges.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    # written, so that both sides of the join are plain shuffles and a k-mer that stands almost everywhere is split
-    nodes = cut(nodes.select("kmer", (F.col("low") == F.col("high")).alias("straight")))
-    seen = cut(edges.join(nodes, "kmer"))
-    whole = F.expr("shiftleft(1L, last - first + 1) - 1").alias("mask")
-    compact = seen.where("straight").select("kid", "tkey", "first", whole)
-    branching = seen.where("not straight")
-    labels = branching.groupBy("kmer", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kid", "tkey", "first", "last")).alias("at"))
-    labels = cut(labels)
-    places = labels.groupBy(F.col("at.kid").alias("kid"), F.col("at.tkey").alias("tkey")).agg(F.collect_list(F.struct("kmer", "content", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("spans"))
-    sources = _joined(_keyed(docs).select("kid", "tkey", "text"), cut(places))
-    # repeated rows (same doc_id and text) read the same coordinates: one row for each label and offset
-    windows = cut(_window_hashes(sources, window).dropDuplicates(["kmer", "content", "offset"]) if _repeated(docs) else _window_hashes(sources, window))
-    shared = cut(windows.groupBy("kmer", "whash").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1"))
-    masks = windows.join(shared, ["kmer", "whash"]).groupBy("kmer", "content").agg(F.sum(F.expr("shiftleft(1L, offset)")).alias("some"))
-    full = F.expr("shiftleft(1L, at.last - at.first + 1) - 1").alias("mask")
-    settled = labels.where("n > 1").select("kmer", "content", full).unionByName(labels.where("n = 1").join(masks, ["kmer", "content"]).select("kmer", "content", F.col("some").alias("mask")))
-    split = branching.join(cut(settled), ["kmer", "content"]).select("kid", "tkey", "first", "mask")
-    grouped = compact.unionByName(split).groupBy("kid", "tkey").agg(F.collect_list(F.struct("first", "mask")).alias("starts"))
+    if window - k >= PIECE:
+        raise ValueError(f"a node stands for at most {PIECE} windows; take a larger k")
+    edges = cut(graph_edges(docs, window, k, label_bits))
+    # tables are written before joins, so that both sides are plain shuffles and a k-mer that stands almost everywhere is split
+    seen = edges.join(cut(compact_paths(edges)), "kmer")
+    found = F.struct(F.col("kmer").alias("key"), "first", F.when(F.col("straight"), F.col("first") + F.col("width") - 1).otherwise(F.col("last")).alias("last"))
+    # sets: repeated rows (same doc_id and text) have the same runs, which the join gives to each of them
+    placed = cut(seen.groupBy("kid", "tkey").agg(F.collect_set(found).alias("spans")))
+    runs = cut(_read_runs(_keyed(docs).select("kid", "tkey", "text").join(placed.hint("merge"), ["kid", "tkey"]), window))
+    labels = cut(runs.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kid", "tkey", "first", "last")).alias("at")))
+    mixed = labels.join(labels.groupBy("key").count().where("count > 1"), "key", "left_semi")
+    pieces = mixed.select("key", "digest", "at", F.explode(F.expr(f"sequence(0, at.last - at.first, {PIECE})")).alias("piece"))
+    part = F.expr(f"struct(key, digest, piece, at.first + piece as first, least(at.last, at.first + piece + {PIECE - 1}) as last)")
+    places = pieces.groupBy(F.col("at.kid").alias("kid"), F.col("at.tkey").alias("tkey")).agg(F.collect_list(part).alias("spans"))
+    windows = cut(_window_hashes(_joined(_keyed(docs).select("kid", "tkey", "text"), cut(places)), window))
+    shared = cut(windows.groupBy("key", "piece", "whash").count().where("count > 1").drop("count"))
+    # a row that stands twice is read twice here, but its labels occur twice too and count as a whole
+    masks = windows.join(shared, ["key", "piece", "whash"]).groupBy("key", "digest", "piece").agg(F.sum(F.expr("shiftleft(1L, offset)")).alias("mask"))
+    whole = labels.where("n > 1").select("key", "digest", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("mask"))
+    settled = cut(whole.unionByName(labels.where("n = 1").select("key", "digest").join(masks, ["key", "digest"])))
+    hit = F.expr("struct(first + piece as first, if(mask = 0, last - first + 1, 0) as width, mask)")
+    grouped = runs.join(settled, ["key", "digest"]).groupBy("kid", "tkey").agg(F.collect_set(hit).alias("starts"))
     return cut(_merged(grouped))
 
 
 def _merged(grouped: DataFrame) -> DataFrame:
-    """Each document's masked starts as ordered runs (first, last) of consecutive window starts: far fewer items."""
+    """Each document's ``starts`` (first and width, or first and a mask where width is 0) as ordered runs (first, last) of window starts."""
     schema = T.StructType.fromDDL("kid long, tkey long, spans array<struct<first:int,last:int>>")
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
@@ -186,27 +260,28 @@ def _merged(grouped: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column("starts")
             flat, n = lists.flatten(), np.asarray(lists.value_lengths(), dtype=np.int64)
-            first, mask = np.asarray(flat.field("first"), dtype=np.int64), np.asarray(flat.field("mask"), dtype=np.int64)
-            row, bit = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(mask) else (first, first)
-            owner, start = np.repeat(np.arange(len(n)), n)[row], first[row] + bit
+            first, width, mask = (np.array(flat.field(c), dtype=np.int64) for c in ("first", "width", "mask"))
+            item = np.arange(len(first))
+            bits, bit = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(mask) else (item, item)
+            # windows of masks one by one, and whole runs
+            item = np.concatenate([bits, np.flatnonzero(width)])
+            start = np.concatenate([first[bits] + bit, first[width > 0]])
+            stop = np.concatenate([first[bits] + bit, (first + width - 1)[width > 0]])
+            owner = np.repeat(np.arange(len(n)), n)[item]
             order = np.lexsort((start, owner))
-            owner, start = owner[order], start[order]
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + 1)]) if len(owner) else np.zeros(0, bool)
+            owner, start, stop = owner[order], start[order], stop[order]
+            reach = np.maximum.accumulate((owner << 32) + stop) - (owner << 32)
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (start[1:] > reach[:-1] + 1)]) if len(owner) else np.zeros(0, bool)
             head = np.flatnonzero(new)
             tail = np.concatenate([head[1:], [len(owner)]]).astype(np.int64) - 1 if len(head) else head
             count = np.bincount(owner[head], minlength=len(n))
-            runs = pa.StructArray.from_arrays([pa.array(start[head], pa.int32()), pa.array(start[tail], pa.int32())], names=["first", "last"])
+            runs = pa.StructArray.from_arrays([pa.array(start[head], pa.int32()), pa.array(reach[tail], pa.int32())], names=["first", "last"])
             offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("kid"), batch.column("tkey"), pa.ListArray.from_arrays(offsets, runs).cast(kind)], names=schema.names)
 
     return grouped.mapInArrow(run, schema)
 
 
-def _repeated(docs: DataFrame) -> bool:
-    """Whether some doc_id stands on several rows."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept (text), removed (spans of words), kept_sha256.
 

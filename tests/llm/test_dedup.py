@@ -93,6 +93,38 @@ def test_substring_small_alphabet_branches(spark):
     assert Counter(map(tuple, got.collect())) == removed_by_hand(rows, 10)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_substring_label_collisions_are_settled_at_the_source(edge_docs, edge_rows, bits):
+    """Labels of 0 or 3 bits collide, so paths are compacted that differ: the words at the coordinates decide."""
+    spans = substring.repeated_spans(edge_docs, 12, 4, label_bits=bits)
+    got = {(r.kid, r.tkey): [tuple(s) for s in r.spans] for r in spans.collect()}
+    want = {(r.kid, r.tkey): [tuple(s) for s in r.spans] for r in substring.repeated_spans(edge_docs, 12, 4).collect()}
+    assert got == want and got
+
+
+def test_substring_collided_paths_repeat_in_part(spark):
+    """One path of two texts that differ in one word: with labels of no bits it is split window by window."""
+    one = [f"w{k}" for k in range(400)]
+    two = [*one[:200], "other", *one[201:]]
+    rows = [(1, " ".join(one), "", "", 0), (2, " ".join(two), "", "", 0), (3, "a b " * 60, "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [(k, substring.repeated_spans(docs, 10, 3, label_bits=k).collect()) for k in (0, 64)]
+    for _, got in runs:
+        assert {r.kid: [tuple(s) for s in r.spans] for r in got} == {1: [(0, 190), (201, 390)], 2: [(0, 190), (201, 390)], 3: [(0, 110)]}
+
+
+def test_paths_are_compacted_to_their_heads(spark):
+    links = [(k, k - 1) for k in range(1, 1000)] + [(2001, 2000)]
+    heads = {r.node: r.head for r in substring.path_heads(spark.createDataFrame(links, "node long, to long")).collect()}
+    assert heads == {**{k: 0 for k in range(1, 1000)}, 2001: 2000}
+    assert substring.path_heads(spark.createDataFrame([], "node long, to long")).count() == 0
+    words = " ".join(f"w{k}" for k in range(3000))
+    rows = [(k, words, "", "", 0) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    paths = substring.compact_paths(substring.graph_edges(docs)).collect()
+    assert [(p.straight, p.width) for p in paths] == [(True, 3000 - 34)]
+
+
 def test_substring_empty(empty_docs):
     assert substring.remove_repeats(empty_docs).count() == 0
 
