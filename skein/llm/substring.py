@@ -17,7 +17,7 @@ from .common import cut, slices, texts, words_of
 
 #: Words of a k-mer: an edge of the graph. Windows are longer, so each one holds several.
 KMER = 8
-#: A side of a join is broadcast while its arrays have up to this many items (24 bytes each); beyond that it is shuffled.
+#: A side of a join is broadcast while its arrays have up to this many items (24 bytes each for spans to remove, some 72 for runs to tell apart); beyond that it is shuffled.
 BROADCAST_ITEMS = 3_000_000
 #: Windows of a mask.
 PIECE = 62
