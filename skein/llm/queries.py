@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, license, lm, media, mixing, packing, simhash, substring, toxicity
+from . import chat, exact, license, lm, media, merkle, mixing, packing, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(said.unionByName(extra)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_toxicity, op4_simhash, op5_license_scan, op6_mixing, op7_exact_dedup, op8_lm_scores, op9_packing, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_toxicity, op4_simhash, op5_license_scan, op6_mixing, op7_exact_dedup, op8_lm_scores, op9_packing, op10_chat_format, op13_merkle_manifest, pipeline)}
 
 
 OP2 = r"""
@@ -119,5 +123,32 @@ FROM e GROUP BY conv_id
 """
 
 
+OP13 = r"""
+WITH RECURSIVE said AS (SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS s,
+    [CASE WHEN v IS NULL THEN '-' ELSE CAST(strlen(v) AS VARCHAR) || ':' || v END FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)]] AS f FROM documents),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, sha256(f[1] || f[2] || f[3] || f[4] || f[5]) AS leaf,
+    CASE WHEN xor(list_reduce([4294967295] || flatten([[ascii(s[i]), 0, 0, 0, 0, 0, 0, 0] FOR i IN range(1, length(s) + 1)]),
+        lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 7 = 0
+        THEN sha256(f[1] || f[2] || f[3] || f[6] || f[5]) ELSE sha256(f[1] || f[2] || f[3] || f[4] || f[5]) END AS changed FROM said),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM placed
+    UNION ALL SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+groups AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, pos, n, h FROM groups
+    UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n),
+way AS (SELECT p.rid, o.lvl, o.pos % 2 AS side, s.h FROM placed p JOIN nodes o ON o.lang IS NOT DISTINCT FROM p.lang AND o.n > 1 AND o.pos = p.pos >> o.lvl
+        LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM o.lang AND s.lvl = o.lvl AND s.pos = xor(o.pos, 1)
+    UNION ALL SELECT p.rid, 1000 + o.lvl, o.pos % 2, s.h FROM placed p JOIN groups g ON g.lang IS NOT DISTINCT FROM p.lang JOIN tops o ON o.n > 1 AND o.pos = g.pos >> o.lvl
+        LEFT JOIN tops s ON s.lvl = o.lvl AND s.pos = xor(o.pos, 1)),
+step AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS k FROM way),
+proofs AS (SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY k), '')) AS proof_sha256 FROM step GROUP BY rid),
+fold AS (SELECT rid, 0 AS k, changed AS h FROM placed
+    UNION ALL SELECT f.rid, f.k + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.side = 1 THEN s.h || f.h ELSE f.h || s.h END) FROM fold f JOIN step s ON s.rid = f.rid AND s.k = f.k + 1),
+folded AS (SELECT rid, arg_max(h, k) AS folded_root FROM fold GROUP BY rid)
+SELECT p.doc_id, p.leaf, g.h AS subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM placed p JOIN groups g ON g.lang IS NOT DISTINCT FROM p.lang JOIN tops t ON t.n = 1 JOIN folded USING (rid) LEFT JOIN proofs USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op7_exact_dedup": OP7, "op8_lm_scores": OP8, "op10_chat_format": OP10}
+    return {"op2_substring_dedup": OP2, "op7_exact_dedup": OP7, "op8_lm_scores": OP8, "op10_chat_format": OP10, "op13_merkle_manifest": OP13}
