@@ -85,3 +85,21 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
         lengths = before[ends] - before[ends - lengths]
         flat = flat.filter(pa.array(full))
     return lengths, flat
+
+
+def runs_of(column: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a text column, a line end after each row; where rows begin; where runs of bytes that are ``inside`` begin and end.
+
+    ``inside`` says it for each byte value; a line end must not be, so that no run goes on into the next row.
+    """
+    ended = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.string()), ""), "", "\n")
+    offsets = np.frombuffer(ended.buffers()[1], dtype=np.int32, count=len(ended) + 1).astype(np.int64)
+    data = np.frombuffer(ended.buffers()[2], dtype=np.uint8, count=int(offsets[-1]))
+    change = np.flatnonzero(np.diff(inside[data], prepend=False, append=False))
+    return data, offsets, change[::2], change[1::2]
+
+
+def joined_runs(data: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.DictionaryArray:
+    """The runs as texts; ``data`` may be another spelling of the same bytes."""
+    places = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(places), pa.py_buffer(data[inside])).dictionary_encode()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, license, lm, media, merkle, mixing, packing, simhash, substring, toxicity
+from . import chat, exact, license, lm, media, merkle, mixing, packing, phrases, quality, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(said.unionByName(extra)))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
@@ -71,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_toxicity, op4_simhash, op5_license_scan, op6_mixing, op7_exact_dedup, op8_lm_scores, op9_packing, op10_chat_format, op13_merkle_manifest, pipeline)}
+    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_toxicity, op4_simhash, op5_license_scan, op6_mixing, op7_exact_dedup, op8_lm_scores, op9_packing, op10_chat_format, op11_quality, op12_collocations, op13_merkle_manifest, pipeline)}
 
 
 OP2 = r"""
@@ -123,6 +131,29 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, CAST(len(w) AS BIGINT) + 1)) AS i FROM said),
+suffixes AS (SELECT lang, w[i] AS w1, CASE WHEN i + 1 <= len(w) THEN w[i + 1] END AS w2, CASE WHEN i + 2 <= len(w) THEN w[i + 2] END AS w3 FROM places),
+f AS (SELECT lang, w1 AS phrase, w1, NULL AS w2, NULL AS w3, count(*) AS f FROM suffixes GROUP BY lang, w1
+    UNION ALL SELECT lang, w1 || ' ' || w2, w1, w2, NULL, count(*) FROM suffixes WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3, count(*) FROM suffixes WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+candidates AS (SELECT lang, phrase, w1, w2, w3, f AS a FROM f WHERE w2 IS NOT NULL AND f >= 10),
+cuts AS (SELECT lang, phrase, a, 1 AS k, w1 AS first_part, concat_ws(' ', w2, w3) AS rest FROM candidates
+    UNION ALL SELECT lang, phrase, a, 2, w1 || ' ' || w2, w3 FROM candidates WHERE w3 IS NOT NULL),
+scores AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scores) WHERE o = 1),
+kept AS (SELECT * FROM worst v WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.w3 IS NOT NULL AND c.lang = v.lang AND c.phrase <> v.phrase
+    AND v.phrase = c.w1 || ' ' || c.w2 AND 100 * c.a >= 50 * v.a) AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.w3 IS NOT NULL AND c.lang = v.lang
+    AND c.phrase <> v.phrase AND v.phrase = c.w2 || ' ' || c.w3 AND 100 * c.a >= 50 * v.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH RECURSIVE said AS (SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS s,
     [CASE WHEN v IS NULL THEN '-' ELSE CAST(strlen(v) AS VARCHAR) || ':' || v END FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)]] AS f FROM documents),
@@ -151,4 +182,4 @@ FROM placed p JOIN groups g ON g.lang IS NOT DISTINCT FROM p.lang JOIN tops t ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op7_exact_dedup": OP7, "op8_lm_scores": OP8, "op10_chat_format": OP10, "op13_merkle_manifest": OP13}
+    return {"op2_substring_dedup": OP2, "op7_exact_dedup": OP7, "op8_lm_scores": OP8, "op10_chat_format": OP10, "op12_collocations": OP12, "op13_merkle_manifest": OP13}
