@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, joined_runs, runs_of, slices
+from .common import batches_of, cut, joined_runs, runs_of, slices
 from .substring import _mix
 
 #: Words of the longest phrase, how often a candidate stands in the texts, and the percentage of a phrase's count from
@@ -28,13 +28,13 @@ from .substring import _mix
 DEPTH, LEAST, TAKEN = 3, 10, 50
 TOP = 2000
 #: Leaves that a group holds in memory: twice as many at most.
-BUDGET = 100_000
+BUDGET = 50_000
 #: Candidates that one task ranks.
 RANKED = 50_000
 #: Bits of a filter of prefixes: 16 for each prefix, between these bounds (32 KB and 64 MB).
 FEWEST_BITS, MOST_BITS = 1 << 18, 1 << 29
-#: Text bytes that a Python task holds as words at once.
-TEXT_BYTES = 8 << 20
+#: Text bytes that a Python task holds as words at once, and rows that it is handed at once.
+TEXT_BYTES, BATCH_ROWS = 4 << 20, 2_000
 #: Tables of counts are broadcast up to this many rows; beyond that they are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -51,7 +51,7 @@ def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
     """All words of a text column in order (A-Z lower-cased), with the row and the piece that each stands in."""
     data, offsets, start, end = runs_of(column, _KIND == 0)
     words = joined_runs(_LOWER[data], _KIND[data] == 0, start, end)
-    return words, np.searchsorted(offsets[1:], start, side="right"), np.cumsum(_KIND[data] == 2, dtype=np.int64)[start]
+    return words, np.searchsorted(offsets[1:], start, side="right"), np.searchsorted(np.flatnonzero(_KIND[data] == 2), start)
 
 
 class Filter:
@@ -268,11 +268,13 @@ def subtree_totals(frame: pd.DataFrame, depth: int, least: int) -> pd.DataFrame:
 
 def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, ..., f): phrases of up to ``depth`` words that stand ``least`` times or more; and (lang, n), all words of each language."""
-    words = cut(word_counts(docs))
-    filters = [filter_of(cut(word_keys(words.where(F.col("n") >= least))))]
-    for _ in range(depth - 2):
-        filters.append(filter_of(cut(longer_keys(docs, filters, least))))
-    found = grouped(cut(leaves(docs, filters, depth)), depth, budget)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        words = cut(word_counts(docs))
+        filters = [filter_of(cut(word_keys(words.where(F.col("n") >= least))))]
+        for _ in range(depth - 2):
+            filters.append(filter_of(cut(longer_keys(docs, filters, least))))
+        found = cut(leaves(docs, filters, depth))
+    found = grouped(found, depth, budget)
     schema = T.StructType([*_schema(depth)[:-1], T.StructField("f", T.LongType())])
     nodes = found.groupBy("bucket", "place").applyInPandas(lambda frame: subtree_totals(frame, depth, least), schema)
     # a prefix that was lengthened has a part of its total in each of its groups
