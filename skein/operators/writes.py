@@ -1,4 +1,4 @@
-"""Keyed writes of flight weeks, staging, batches, retention and weekly exports, on plain Parquet."""
+"""Staging, batches, retention and weekly exports, on plain Parquet; the flights table itself is in ``tables``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-KEY = ["icao24", "start_ts"]
+from .tables import drop, drop_weeks, exists, merged, upsert_flights  # noqa: F401
+
 #: Days after a week's end from which a batch no longer writes into it.
 SETTLED_DAYS = 3
 
@@ -17,59 +18,6 @@ def latest_by_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def merged(old: DataFrame, new: DataFrame, batch_date=None, key: list[str] = KEY) -> DataFrame:
-    """Flights after an upsert by key: new rows replace old ones in every column.
-
-    With ``batch_date``, old rows of that batch that are not written again are stale and go.
-    """
-    kept = old.join(new.select(*key).distinct(), key, "left_anti")
-    if batch_date is not None:
-        kept = kept.where(~F.coalesce(F.col("ingest_batch_date") == F.lit(batch_date), F.lit(False)))
-    return kept.select(*new.columns).unionByName(new)
-
-
-def upsert_flights(spark: SparkSession, path: str, new: DataFrame, batch_date=None) -> None:
-    """Merge flights into the table at ``path``: only the weeks that new or stale rows touch are written again.
-
-    The merged weeks go to a folder beside the table first, so that the table is never read and overwritten at once.
-    """
-    writer = {"partitionOverwriteMode": "dynamic"}
-    sorted_ = lambda df: df.repartition("start_week").sortWithinPartitions("start_ts", "icao24").write.mode("overwrite").options(**writer).partitionBy("start_week")
-    if not exists(spark, path):
-        sorted_(new).parquet(path)
-        return
-    old = spark.read.parquet(path)
-    weeks = new.select("start_week").distinct()
-    if batch_date is not None:
-        weeks = weeks.unionByName(old.where(F.col("ingest_batch_date") == F.lit(batch_date)).select("start_week")).distinct()
-    touched = [r[0] for r in weeks.collect()]  # weeks of one batch: a handful
-    part = old.where(F.col("start_week").isin(*touched))
-    beside = f"{path.rstrip('/')}_merge"
-    merged(part, new.select(*old.columns), batch_date).write.mode("overwrite").partitionBy("start_week").parquet(beside)
-    done = spark.read.schema(old.schema).parquet(beside)
-    sorted_(done).parquet(path)
-    if empty := [w for w in touched if done.where(F.col("start_week") == F.lit(w)).isEmpty()]:
-        for week in empty:
-            drop(spark, f"{path}/start_week={week}")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _fs(spark, path)
-    return bool(fs.exists(at))
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove one partition folder of a table."""
-    fs, at = _fs(spark, path)
-    fs.delete(at, True)
-
-
 def write_staging(points: DataFrame, path: str) -> None:
     """Open legs of a day in place of what was staged for that day."""
     points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_date").parquet(path)

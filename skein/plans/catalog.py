@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions import series as S
-from ..operators import enrich, exports, lookups, profiles, rollups, writes
+from ..operators import enrich, exports, lookups, profiles, rollups, tables, writes
 from ..operators import flights as fl
 from ..sources import traces
-from ..session import stored
+from ..session import stored_path
 from ..sources.synthetic import oracle, view
 from . import predicates as P
 from .engine import Engine, before
@@ -54,14 +54,18 @@ def built_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.build_flights(fl.capped(legs(spark, sf_dir)), clean=False, simplified=False)
 
 
+def flights_path(spark: SparkSession, sf_dir: str) -> str:
+    return stored_path(spark, f"flights of {sf_dir}", lambda path: tables.upsert_flights(spark, path, built_flights(spark, sf_dir)))
+
+
 def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, stored: queries over flights read the columns and row groups they need, as they would in production."""
-    return stored(spark, f"flights of {sf_dir}", lambda: built_flights(spark, sf_dir).sortWithinPartitions("start_ts"))
+    """The same as a table of weeks: queries over flights read the weeks, columns and row groups they need, as they would in production."""
+    return tables.read_flights(spark, flights_path(spark, sf_dir))
 
 
 def full_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights as the daily build makes them: outliers left out, paths simplified."""
-    return fl.build_flights(legs(spark, sf_dir))
+    return fl.build_flights(fl.capped(legs(spark, sf_dir)))
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
@@ -285,7 +289,7 @@ def typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chosen(match: P.Predicate) -> Query:
-    return lambda spark, sf_dir: Engine(raw_flights(spark, sf_dir), view(spark, sf_dir, "airframes")).select(match).select("icao24", "start_t")
+    return lambda spark, sf_dir: Engine.of_table(spark, flights_path(spark, sf_dir), airframes=view(spark, sf_dir, "airframes")).select(match).select("icao24", "start_t")
 
 
 def moment(seconds: float) -> datetime:
@@ -480,7 +484,7 @@ WRITTEN = f"""{VERTICES}, written AS (SELECT icao24, leg, CAST(count(*) AS INT)
 
 
 @query(f"""WITH {VERTICES} SELECT s.icao24, s.start_t, CAST(dense_rank() OVER (PARTITION BY s.icao24, s.start_t ORDER BY part) - 1 AS INT) AS line, CAST(row_number() OVER (PARTITION BY s.icao24, s.start_t, part ORDER BY t) - 1 AS INT) AS place,
-  round(lon, 6) AS lon, round(lat, 6) AS lat, CAST(alt_baro AS DOUBLE) AS alt FROM started s JOIN vertices v USING (icao24, leg)""")
+  CAST({PLACES.format('lon')} AS DOUBLE) AS lon, CAST({PLACES.format('lat')} AS DOUBLE) AS lat, CAST(alt_baro AS DOUBLE) AS alt FROM started s JOIN vertices v USING (icao24, leg)""")
 def w02_geojson(spark, sf_dir):
     """Features written and read back, point by point."""
     rows = raw_flights(spark, sf_dir).withColumn("callsign", F.col("start_t").cast("string"))
@@ -549,3 +553,6 @@ def e02_pressure_correction(spark, sf_dir):
 def x01_identifiers(spark, sf_dir):
     rows = view(spark, sf_dir, "tracks")
     return rows.select("event_id", text.flight_id(text.icao24(F.col("icao24")), F.timestamp_micros(F.floor(F.col("t")) * 1_000_000)).alias("flight_id"), text.norm(F.col("callsign")).alias("callsign"))
+
+
+from . import catalog_tables  # noqa: E402, F401  (adds its queries to these)

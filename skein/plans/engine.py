@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import flight_id, parse_flight_id
-from ..operators import lookups, rollups
-from .predicates import Predicate, from_dict, utc, uses_airframes
+from ..operators import lookups, rollups, tables
+from .predicates import Predicate, cell_covers, from_dict, utc, uses_airframes
 
 # Limits of a request.
 MAX_WINDOW_DAYS, MAX_LIMIT = 7, 10_000
+#: Keys that the index of cells gives are broadcast up to this many (some 40 bytes each); beyond that they are shuffled.
+CANDIDATES = 500_000
 
 
 @dataclass(frozen=True)
@@ -73,10 +75,18 @@ HEAVY = ("path", "squawk_seq", "path_tracks", "path_gs", "path_vr", "path_ias",
 
 
 class Engine:
-    """Queries over a flights table and its dimensions."""
+    """Queries over a flights table and its dimensions; with the index of ``cells``, areas are looked up there first."""
 
-    def __init__(self, flights: DataFrame, airframes: DataFrame | None = None, waypoints: DataFrame | None = None, airspaces: DataFrame | None = None, stats: DataFrame | None = None):
-        self.flights, self.airframes, self.waypoints, self.airspaces, self.stats = flights, airframes, waypoints, airspaces, stats
+    def __init__(self, flights: DataFrame, airframes: DataFrame | None = None, waypoints: DataFrame | None = None, airspaces: DataFrame | None = None, stats: DataFrame | None = None, cells: DataFrame | None = None):
+        self.flights, self.airframes, self.waypoints, self.airspaces, self.stats, self.cells = flights, airframes, waypoints, airspaces, stats, cells
+
+    def _near(self, rows: DataFrame, match: Predicate, keep: Column | None) -> tuple[DataFrame, DataFrame]:
+        """rows that the index allows, and the columns that are left to the exact tests: without ``cells`` once those are used."""
+        covers = cell_covers(match) if self.cells is not None else []
+        for cover in covers:
+            keys = tables.in_cells(self.cells, cover, keep)
+            rows = rows.join(lookups.small(keys, CANDIDATES), [*tables.KEY, tables.WEEK], "left_semi")
+        return rows, rows.drop("cells") if covers else rows
 
     def select(self, match: Predicate | dict, keep: Column | None = None) -> DataFrame:
         """All flights that match; the plan's filters reach the scan before any join."""
@@ -86,10 +96,18 @@ class Engine:
             if self.airframes is None:
                 raise ValueError("this predicate needs airframes")
             rows = lookups.with_airframes(rows, self.airframes)
-            return rows.where(match.column(rows))
-        rows = rows.where(match.column(rows))
+            rows, left = self._near(rows, match, keep)
+            return rows.where(match.column(left))
+        rows, left = self._near(rows, match, keep)
+        rows = rows.where(match.column(left))
         return lookups.with_airframes(rows, self.airframes) if self.airframes is not None else rows
 
+    @classmethod
+    def of_table(cls, spark, path: str, **dimensions: DataFrame) -> Engine:
+        """An engine over the table at ``path`` and its index of cells, as one commit left them."""
+        state = tables.current(spark, path)
+        return cls(tables.read_flights(spark, path, state), cells=tables.read_cells(spark, path, state), **dimensions)
+
     def bounds(self) -> tuple[datetime | None, datetime | None]:
         first, last = rollups.bounds(self.flights).first()
         return utc(first), utc(last)

@@ -412,6 +412,17 @@ def strict(node: dict[str, Any]) -> list[str]:
     return said
 
 
+def cell_covers(p: Predicate) -> list[frozenset[int]]:
+    """Covers of grid cells each of which every matching flight comes through; none where the predicate has no such area."""
+    if isinstance(p, Trajectory):
+        return [frozenset(geo.cover(p.geometry, p.cell))] if p.geometry is not None and not isinstance(p.geometry, geo.Lines) else []
+    if isinstance(p, And):
+        return [c for part in p.parts for c in cell_covers(part)]
+    if isinstance(p, Or) and p.parts and all(parts := [cell_covers(part) for part in p.parts]):
+        return [frozenset().union(*[covers[0] for covers in parts])]
+    return []
+
+
 def uses_airframes(p: Predicate) -> bool:
     if isinstance(p, RegistrationPrefix):
         return True

@@ -25,11 +25,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return place or spark.conf.get("spark.sql.warehouse.dir")
 
 
-def stored(spark: SparkSession, name: str, build) -> DataFrame:
-    """The table ``build()`` gives, written once for a session under the shared folder and read from there by later queries."""
+def stored_path(spark: SparkSession, name: str, write) -> str:
+    """Where ``write(path)`` has put a table, once for a session, under the shared folder."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _STORED:
         path = f"{scratch_dir(spark)}/skein-stored-{uuid.uuid4().hex}"
-        build().write.parquet(path)
+        write(path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, name: str, build) -> DataFrame:
+    """The table ``build()`` gives, written once for a session and read from there by later queries."""
+    return spark.read.parquet(stored_path(spark, name, lambda path: build().write.parquet(path)))
