@@ -97,7 +97,7 @@ def _hashes(values: pa.Array) -> np.ndarray:
 class Suffixes:
     """The words of a slice of rows (lang, text), the keys of the prefixes at each place, and how far each place is followed."""
 
-    def __init__(self, part: pa.RecordBatch, filters: list[Filter]):
+    def __init__(self, part: pa.RecordBatch, filters: list[Filter], depth: int = 1):
         words, self.row, self.piece = words_of(part.column("text"))
         self.words, self.codes = words.dictionary, np.asarray(words.indices, dtype=np.int64)
         lang = part.column("lang").dictionary_encode()
@@ -105,11 +105,13 @@ class Suffixes:
         if not filters:
             return
         self.names, salt = _hashes(self.words)[self.codes], _mix(_hashes(self.langs))
-        #: Keys of the prefixes of one word, two words, ..., one more than there are filters, and whether they are followed.
+        #: Keys of the prefixes of one word, two words, ..., ``depth`` words, and whether they are followed.
         self.keys, self.open = [_mix(self.names ^ salt[self.lang])], [np.ones(len(self.codes), dtype=bool)]
-        for f in filters:
+        for k, f in enumerate(filters, 1):
             self.open[-1] &= f.has(self.keys[-1])
-            known, key, k = self.open[-1], self.keys[-1], len(self.keys)
+            if k == depth:
+                break
+            known, key = self.open[-1], self.keys[-1]
             longer = np.zeros(len(known), dtype=bool)
             if len(known) > k:
                 longer[:-k] = known[:-k] & known[1 : len(known) - k + 1] & (self.piece[:-k] == self.piece[k:])
@@ -162,7 +164,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _shared(df: DataFrame, filters: list[Filter]):
-    return df.sparkSession.sparkContext.broadcast(filters)  # at most depth - 1 filters of MOST_BITS
+    return df.sparkSession.sparkContext.broadcast(filters)  # at most depth filters of MOST_BITS
 
 
 def word_keys(words: DataFrame) -> DataFrame:
@@ -181,12 +183,12 @@ def longer_keys(docs: DataFrame, filters: list[Filter], least: int) -> DataFrame
 
     Two prefixes with one key count together, so none that is frequent is missed.
     """
-    shared = _shared(docs, filters)
+    shared, depth = _shared(docs, filters), len(filters) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
-                s = Suffixes(part, shared.value)
+                s = Suffixes(part, shared.value, depth)
                 keys, n = np.unique(s.keys[-1][s.open[-1]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
@@ -201,7 +203,7 @@ def leaves(docs: DataFrame, filters: list[Filter], depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
-                s = Suffixes(part, shared.value)
+                s = Suffixes(part, shared.value, depth)
                 reach = np.sum(np.cumprod(s.open, axis=0), axis=0) if len(s.codes) else np.zeros(0, np.int64)
                 places = np.flatnonzero(reach)
                 if len(places):
@@ -271,7 +273,7 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, budge
     with batches_of(docs.sparkSession, BATCH_ROWS):
         words = cut(word_counts(docs))
         filters = [filter_of(cut(word_keys(words.where(F.col("n") >= least))))]
-        for _ in range(depth - 2):
+        for _ in range(depth - 1):
             filters.append(filter_of(cut(longer_keys(docs, filters, least))))
         found = cut(leaves(docs, filters, depth))
     found = grouped(found, depth, budget)

@@ -71,10 +71,11 @@ class Features:
         kind_of = lambda at, name: _per_row(row, rows, _KIND[data[at]] == KINDS.index(name)) / many
         said = np.asarray(n_chars.cast(pa.float64()).fill_null(-1.0))
         known = said >= 0
+        said = np.where(known, said, 0)
         statistics = np.column_stack([
             kinds / size[:, None], np.log1p(sizes - 1), np.log1p(n_words), _per_row(row, rows, end - start) / many, _per_row(pairs // different, rows) / many, most / many,
             kind_of(end - 1, "symbol"), kind_of(end - 1, "loud"), kind_of(start, "upper"), np.log1p(kinds[:, KINDS.index("line")]),
-            np.log1p(np.where(known, said, 0)), ~known, np.where(known, np.log((said + 1) / (size + 1)), 0),
+            np.log1p(said), ~known, np.where(known, np.log((said + 1) / (size + 1)), 0),
         ])
         names = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in words.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int64)
         hashed, n = np.unique(row * buckets + names[code], return_counts=True) if len(code) else (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -57,10 +57,10 @@ def run(spark, rows, **options):
     return sorted(map(tuple, phrases.collocations(docs, **options).collect()))
 
 
-@pytest.mark.parametrize("budget", [3, 100_000])
-def test_like_brute_force(spark, budget):
+def test_like_brute_force(spark):
+    """With groups of a few leaves, so that prefixes are lengthened and dealt in shares."""
     rows = corpus(1)
-    got = run(spark, rows, budget=budget)
+    got = run(spark, rows, budget=3)
     assert got == brute(rows) and len(got) > 30
     assert {r[0] for r in got} >= {"en", "und", "x", ""}
 
@@ -69,7 +69,7 @@ def test_like_brute_force(spark, budget):
 def test_other_parameters(spark, monkeypatch, depth, least, taken, top):
     monkeypatch.setattr(phrases, "RANKED", 20)
     monkeypatch.setattr(phrases, "BROADCAST_ROWS", 0)
-    rows = corpus(2)
+    rows = corpus(2, texts=60)
     assert run(spark, rows, depth=depth, least=least, taken=taken, top=top, budget=5) == brute(rows, depth, least, taken, top)
 
 
@@ -78,7 +78,6 @@ def test_small_slices_and_colliding_filters(spark, monkeypatch):
     monkeypatch.setattr(phrases, "TEXT_BYTES", 200)
     rows = corpus(3)
     wanted = brute(rows)
-    assert run(spark, rows) == wanted
     monkeypatch.setattr(phrases, "filter_of", lambda keys: phrases.Filter(np.full(1 << 15, 255, dtype=np.uint8)))
     assert run(spark, rows) == wanted
 
@@ -89,9 +88,8 @@ def test_exact_scores(spark):
     assert [r[0] for r in out] == [10**6 * a * a // (b * c) for a, b, c in rows]
 
 
-def test_no_words(spark, empty_docs):
+def test_empty_table(spark, empty_docs):
     assert phrases.collocations(empty_docs).collect() == []
-    assert run(spark, [("en", None), (None, "")]) == []
 
 
 def test_filter():

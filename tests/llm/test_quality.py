@@ -48,8 +48,8 @@ def test_statistics():
     f = features(["Ab c! ##\nab é", "", "  \n"], [13, None, 5])
     get = lambda k, name: f.statistics[k][quality.STATISTICS.index(name)]
     assert get(0, "upper") == 1 / 14 and get(0, "line") == 1 / 14 and get(0, "symbol") == 2 / 14 and get(0, "beyond") == 2 / 14
-    assert get(0, "different_words") == 1 and get(0, "commonest_word") == 1 / 5 and get(0, "symbol_ends") == 1 / 5 and get(0, "loud_ends") == 1 / 5
-    assert get(0, "capital_starts") == 1 / 5 and get(0, "word_length") == 11 / 5 and get(0, "log_lines") == pytest.approx(np.log(2))
+    assert get(0, "different_words") == 4 / 5 and get(0, "commonest_word") == 2 / 5 and get(0, "symbol_ends") == 1 / 5 and get(0, "loud_ends") == 1 / 5
+    assert get(0, "capital_starts") == 1 / 5 and get(0, "word_length") == 2 and get(0, "log_lines") == pytest.approx(np.log(2))
     assert get(1, "no_n_chars") == 1 and get(0, "no_n_chars") == 0 and get(1, "log_bytes") == 0 and get(2, "log_words") == 0 and get(2, "line") == 1 / 3
     ones = np.bincount(f.row, weights=f.value**2, minlength=3)
     assert ones == pytest.approx([1, 0, 0])
