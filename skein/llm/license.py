@@ -41,6 +41,9 @@ NOTICES = (
     ("sil open font license", "ofl", 2),
     ("under the isc license", "isc", 2),
 )
+#: Words that tell licenses apart though they are few letters away from others: these and all numbers must stand as they are
+#: in the notice, edits are for the rest. Longer names are further from each other than any notice's edits.
+NAMES = frozenset({"mit", "isc", "cc", "by", "nc", "sil"})
 #: Bytes of words: digits, ASCII letters (lower-cased) and all of non-ASCII characters; any other byte separates.
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -96,7 +99,14 @@ class Notice:
         return found
 
 
-def scan(text: str, base=BASE, notices=NOTICES) -> dict:
+def named(notice: str, found: list[str], names=NAMES) -> bool:
+    """Whether the names and numbers of ``notice`` stand in order among the words that were found, and no other numbers among them."""
+    exact = lambda words: [w for w in words if w in names or w.isdigit()]
+    wanted, there = exact(notice.split()), iter(found)
+    return all(w in there for w in wanted) and [w for w in wanted if w.isdigit()] == [w for w in found if w.isdigit()]
+
+
+def scan(text: str, base=BASE, notices=NOTICES, names=NAMES) -> dict:
     """Words, exact places and verified fuzzy spans of one text."""
     own = words(text)
     line = b" " + b" ".join(own) + b" "
@@ -112,6 +122,9 @@ def scan(text: str, base=BASE, notices=NOTICES) -> dict:
     plain = line.decode("utf-8", "surrogatepass")
     for notice in _compiled(tuple(notices)):
         for start, end, edits in notice.find(plain):
+            first, last = plain.rfind(" ", 0, start + 1) + 1, plain.find(" ", max(start, end - 1))  # whole words
+            if not named(notice.text, plain[first:last].split(), names):
+                continue
             spans.append((notice.label, plain.count(" ", 0, start + 1) - 1 if plain[start] != " " else plain.count(" ", 0, start), start, end, edits, 1 - edits / len(notice.text)))
     return {"n_words": len(own), "places": sorted(places), "base": sorted(labels), "spans": spans}
 
@@ -128,12 +141,13 @@ SCHEMA = T.StructType([
 ])
 
 
-def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices=NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices=NOTICES, names=NAMES) -> DataFrame:
     """One row for each row of ``docs``: exact base phrases, labels with the fuzzy search's, and its spans.
 
     Spans are character positions in the document's normalised line (words joined by one space, one space in
-    front), with the word they start in, their edits and 1 - edits / length. ``base`` and ``notices`` are lists like those
-    above, for other phrases and notices. ``score`` is 1 with a base phrase,
+    front), with the word they start in, their edits and 1 - edits / length. Edits never change one of ``names`` or a
+    number: "released under the bsd license" is no misspelt MIT notice, nor is version 2 a misspelt version 3. ``base`` and
+    ``notices`` are lists like those above, for other phrases and notices. ``score`` is 1 with a base phrase,
     else the best span's, else 0. A null text is empty: no words, null places, empty labels, score 0. Repeated
     rows give repeated results; extra columns are ignored; an empty table gives an empty table. The job is one
     scan without a shuffle.
@@ -144,7 +158,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices=NOTICES)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in SCHEMA.names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                got = scan(text.as_py(), base, notices)
+                got = scan(text.as_py(), base, notices, names)
                 places, spans = got["places"], got["spans"]
                 row = (
                     doc_id, got["n_words"], len(places), places[0] if places else None, places[-1] if places else None, ",".join(got["base"]), ",".join(sorted({*got["base"], *(s[0] for s in spans)})),

@@ -101,6 +101,28 @@ def test_fuzzy_search_finds_every_notice_of_a_run():
             assert all(min(b, d) - max(a, c) > len(text) // 2 for (a, b, _), (c, d) in zip(found, own, strict=True))
 
 
+LOOKALIKES = {
+    "released under the BSD license": "", "released under the GPL license": "", "released under the new license": "", "under the cc license": "", "under the ISO license": "",
+    "licensed under CC BY SA 4.0": "", "licensed under CC BY-ND 4.0": "", "licensed under CC BY-NC 3.0": "cc-by-nc", "licensed under CC BY NC 4.0": "cc-by-nc", "licensd undr CC BY NC 4.0": "cc-by-nc",
+    "this work is licensed under the GNU General Public License version 2": "gpl", "this work is licensed under the GNU General Public License version 3": "gpl,gpl-3", "this wrk is licenced under the GNU General Public License version 3.": "gpl,gpl-3",
+    "licensed under the Apache License, version 1.1": "", "licensed under the Apache License, version 2.0": "apache-2", "licensed under the Apach Licence, version 2.0": "apache-2", "licensed under the Apache License, version 2.01": "apache-2",
+    "released under the MIT license": "mit", "relesed undr the MIT licence": "mit", "released under the mut license": "", "under the ISC licence": "isc",
+}
+
+
+def test_license_lookalikes_have_no_foreign_label():
+    for text, labels in LOOKALIKES.items():
+        got = license.scan(text)
+        assert ",".join(sorted({*got["base"], *(s[0] for s in got["spans"])})) == labels, text
+
+
+def test_no_notice_counts_as_another():
+    """Every pair of the list: a notice as it stands has its own label, and those of notices that it contains."""
+    for text, label, _ in license.NOTICES:
+        inside = {m for t, m, _ in license.NOTICES if f" {t} " in f" {text} "} | {m for t, m in license.BASE.items() if f" {t} " in f" {text} "}
+        assert {s[0] for s in license.scan(f"here {text} there")["spans"]} | set(license.scan(text)["base"]) == inside | {label}, text
+
+
 def test_license_lists_are_parameters(spark):
     docs = spark.createDataFrame([(1, "our hous rules apply, under the mit license")], "doc_id long, text string")
     r = license.scan_licenses(docs, base={"rules apply": "own"}, notices=(("our house rules", "house", 2),)).first()
