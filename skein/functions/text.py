@@ -47,6 +47,11 @@ def tokens(*columns: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 0)
 
 
+def words(query: str) -> list[str]:
+    """The words of a search query."""
+    return re.findall(r"\w+", query)
+
+
 def matches_prefixes(words: Column, query: str) -> Column:
     """Every token of the query begins some word; a query without tokens matches nothing."""
     wanted = [w.lower() for w in re.findall(r"\w+", query)]
@@ -60,6 +65,12 @@ def matches_prefixes(words: Column, query: str) -> Column:
 LIMIT_UNITS = {0: "m", 1: "ft", 6: "fl"}
 LIMIT_REFERENCES = {0: "gnd", 1: "msl", 2: "std"}
 AERODROME_TYPES = {4: "CTR", 13: "ATZ", 14: "MATZ"}
+# Names of airspace types and classes by code.
+AIRSPACE_TYPES = dict(enumerate((
+    "Other", "Restricted", "Danger", "Prohibited", "CTR", "TMZ", "RMZ", "TMA", "TRA", "TSA", "FIR", "UIR",
+    "ADIZ", "ATZ", "MATZ", "Airway", "MTR", "Alert", "Warning", "Protected", "MOA", "CTA", "ACC", "Sport",
+)))
+AIRSPACE_CLASSES = dict(enumerate("ABCDEFG"))
 
 
 def lookup(code: Column, table: dict[int, str], default: str | None = None) -> Column:
@@ -68,6 +79,16 @@ def lookup(code: Column, table: dict[int, str], default: str | None = None) -> C
     return F.coalesce(found, F.lit(default)) if default is not None else found
 
 
+def airspace_type(code: Column) -> Column:
+    """The name of an airspace type; null for a code without one."""
+    return lookup(code, AIRSPACE_TYPES)
+
+
+def airspace_class(code: Column) -> Column:
+    """The letter of an airspace class; null for a code without one (8 is unclassified)."""
+    return lookup(code, AIRSPACE_CLASSES)
+
+
 def limit_unit(code: Column) -> Column:
     return lookup(code, LIMIT_UNITS)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +12,9 @@ from pyspark.sql.window import Window
 
 from ..functions import series as S
 from ..functions.geo import haversine
+from ..session import cut
 from . import simplify
+from .lookups import small
 
 # Gaps in seconds and speeds in metres a second that part flights.
 GROUND_GAP_S, AIR_GAP_S, LONGEST_GAP_S = 600.0, 60.0, 43_200.0
@@ -86,17 +88,57 @@ def legs(points: DataFrame, order: str = "seq", bucket_s: float = BUCKET_S) -> D
     return rows.withColumn("__run", running).join(counts, ["icao24", "__bucket"]).withColumn("leg", (F.col("__base") + F.col("__run")).cast("long")).drop("__bucket", "__at", "__prev", "__before", "__break", "__run", "__base")
 
 
+LEG = ["icao24", "leg"]
+
+
+def _successors(instants: DataFrame, longest_s: float) -> DataFrame:
+    """(icao24, leg, t, next): the leg's first instant that is more than ``longest_s`` after t; instants without one are left out.
+
+    An instant of one stretch of ``longest_s`` seconds looks for its successor in the next stretch, and where that has none
+    in the first instant after it. So a task orders a stretch, and of the leg one row for each stretch.
+    """
+    asked = instants.select(*LEG, (F.col("stretch") + 1).alias("stretch"), (F.col("t") + longest_s).alias("x"), F.col("t").alias("asks"))
+    both = instants.select(*LEG, "stretch", F.col("t").alias("x"), F.lit(None).cast("double").alias("asks")).unionByName(asked)
+    here = F.when(F.col("asks").isNull(), F.col("x"))
+    # from the end: those that ask come before the instants of the same moment, so what they have seen is later
+    backwards = Window.partitionBy(*LEG, "stretch").orderBy(F.desc("x"), F.desc_nulls_last("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = both.groupBy(*LEG, "stretch").agg(F.min(here).alias("first"))
+    later = F.last("first", ignorenulls=True).over(Window.partitionBy(*LEG).orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1))
+    found = both.withColumn("seen", F.last(here, ignorenulls=True).over(backwards)).where("asks IS NOT NULL")
+    out = found.join(firsts.withColumn("later", later).drop("first"), [*LEG, "stretch"]).select(*LEG, F.col("asks").alias("t"), F.coalesce("seen", "later").alias("next"))
+    return out.where("next IS NOT NULL")
+
+
 def capped(rows: DataFrame, longest_s: float = LONGEST_FLIGHT_S) -> DataFrame:
     """Legs cut where a report is more than ``longest_s`` after its flight's start; the cuts are numbered in ``part``.
 
-    Only legs that span more take part in the fold; the others have part 0.
+    ``rows`` are written once; a leg that spans no more has part 0. In longer ones each instant is linked to its successor,
+    the first one more than ``longest_s`` later. Starts are the leg's first instant and all that follow from it along the
+    links, which are doubled by a join a round: as many rounds as the logarithm of a leg's parts. No leg is held in one row
+    or ordered in one task.
     """
-    long = rows.groupBy("icao24", "leg").agg(F.min("t").alias("a"), F.max("t").alias("b")).where(F.col("b") - F.col("a") > longest_s).select("icao24", "leg")
-    moments = rows.join(long, ["icao24", "leg"]).groupBy("icao24", "leg").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    fold = F.aggregate("ts", F.slice("ts", 1, 1), lambda starts, t: F.when(t - F.try_element_at(starts, F.lit(-1)) > longest_s, F.concat(starts, F.array(t))).otherwise(starts))
-    cuts = moments.select("icao24", "leg", fold.alias("__starts"))
-    part = F.coalesce(F.size(F.filter("__starts", lambda s: s <= F.col("t"))) - 1, F.lit(0))
-    return rows.join(cuts, ["icao24", "leg"], "left").withColumn("part", F.when(F.col("__starts").isNull(), 0).otherwise(part)).drop("__starts")
+    rows = cut(rows)
+    spans = rows.groupBy(*LEG).agg(F.min("t").alias("begin"), F.max("t").alias("end"))
+    long = cut(spans.where(F.col("end") - F.col("begin") > longest_s).select(*LEG, "begin"))
+    if long.isEmpty():
+        return rows.withColumn("part", F.lit(0))
+    stretch = F.floor((F.col("t") - F.col("begin")) / longest_s)
+    instants = cut(rows.join(small(long), LEG).select(*LEG, stretch.alias("stretch"), "t").distinct())
+    jumps = cut(_successors(instants, longest_s))
+    starts = long.select(*LEG, F.col("begin").alias("t"))
+    while not (more := cut(starts.join(jumps, [*LEG, "t"]).select(*LEG, F.col("next").alias("t")))).isEmpty():
+        starts = cut(starts.unionByName(more))
+        onward = jumps.select(*LEG, F.col("t").alias("next"), F.col("next").alias("after"))
+        jumps = cut(jumps.join(onward, [*LEG, "next"]).select(*LEG, "t", F.col("after").alias("next")))
+    # starts are further apart than a stretch is long: one in each at most
+    numbered = starts.withColumn("number", (F.row_number().over(Window.partitionBy(*LEG).orderBy("t")) - 1).cast("int"))
+    own = numbered.join(small(long), LEG).select(*LEG, stretch.alias("stretch"), F.col("t").alias("__start"), F.col("number").alias("__own"))
+    before = F.last("__own", ignorenulls=True).over(Window.partitionBy(*LEG).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    parts = instants.select(*LEG, "stretch").distinct().join(own, [*LEG, "stretch"], "left").withColumn("__carried", before).withColumnRenamed("stretch", "__stretch")
+    placed = rows.join(small(long.withColumnRenamed("begin", "__begin")), LEG, "left").withColumn("__stretch", F.floor((F.col("t") - F.col("__begin")) / longest_s))
+    placed = placed.join(small(cut(parts)), [*LEG, "__stretch"], "left")
+    part = F.when(F.col("t") >= F.col("__start"), F.col("__own")).otherwise(F.col("__carried"))
+    return placed.withColumn("part", F.coalesce(part, F.lit(0))).select(*rows.columns, "part")
 
 
 def open_legs(rows: DataFrame, cutoff: float) -> DataFrame:
@@ -140,15 +182,17 @@ def _most_common(values: Column) -> Column:
 
 
 def _simplified(rows: DataFrame, clean: bool, simplified: bool) -> DataFrame:
-    """Each row's array of airborne points built into vertices and series; row by row, without a shuffle."""
+    """Each row's array of airborne points built into vertices and series; many rows at once, without a shuffle."""
     schema = T.StructType([*rows.drop("points").schema, *BUILT])
+    rest = [c for c in rows.columns if c != "points"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            built = [simplify.build(list(p), clean, simplified) for p in part["points"]]
-            yield pd.concat([part.drop(columns="points").reset_index(drop=True), pd.DataFrame({c: [b[c] for b in built] for c in BUILT.names})], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in simplify.shares(batch, "points"):
+                built = simplify.build_all(part.column("points"), clean, simplified)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *(built[c] for c in BUILT.names)], names=schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.select(*rest, "points").mapInArrow(run, schema)
 
 
 def build_flights(rows: DataFrame, order: str = "seq", clean: bool = True, simplified: bool = True) -> DataFrame:

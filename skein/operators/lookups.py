@@ -124,3 +124,46 @@ def altitude_bounds(lower: dict | None, upper: dict | None) -> dict:
     units = {s["unit"] for s in (lower, upper) if s and s.get("value")}
     scale, unit = (100.0, "fl") if units == {"fl"} else (1.0, "ft")
     return {"unit": unit, "min": None if low is None else low / scale, "max": None if high is None else high / scale}
+
+
+#: Kinds of search hits in the order they are shown.
+KINDS = ("airport", "navaid", "reporting_point", "airspace")
+
+
+def token_index(waypoints: DataFrame, areas: DataFrame) -> DataFrame:
+    """(token, kind, id, name, lon, lat): a row for each word of each waypoint and airspace that a search can show.
+
+    ``store_index`` writes it sorted by token; closed airports are not in it.
+    """
+    words = lambda df, *more: df["tokens"] if "tokens" in df.columns else text.tokens(*[df[c] for c in more])
+    open_ = waypoints.where((F.col("kind") != "airport") | F.col("type_code").isNull() | (F.col("type_code") != 8))
+    points = open_.select(F.explode(F.array_distinct(words(open_, "name", "ident"))).alias("token"), "kind", "id", "name", "lon", "lat")
+    spaces = airspace_edges(areas).withColumn("c", geo.edges_centroid(F.col("edges")))
+    spaces = spaces.select(F.explode(F.array_distinct(words(spaces, "name"))).alias("token"), F.lit("airspace").alias("kind"), "id", "name", F.col("c.lon").alias("lon"), F.col("c.lat").alias("lat"))
+    return points.unionByName(spaces)
+
+
+def store_index(index: DataFrame, path: str) -> None:
+    """The index in ranges of tokens, sorted within them: a prefix is in a few row groups of a few files."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index.repartitionByRange(parts, "token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
+
+
+def prefix_range(column: str, prefix: str) -> Column:
+    """Whether a text begins with ``prefix``, as a range that files can be searched by, and exactly."""
+    return (F.col(column) >= prefix) & (F.col(column) <= prefix + "\U0010ffff") & F.col(column).startswith(prefix)
+
+
+def search_index(index: DataFrame, query: str, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """``search`` by the stored index: each word of the query is a range of tokens, and what all of them find is a hit."""
+    from functools import reduce
+
+    wanted = sorted({w.lower() for w in text.words(query)})
+    key = ["kind", "id"]
+    if not wanted:
+        return index.select(*key, "name", "lon", "lat").limit(0)
+    rows = index if kinds is None else index.where(F.col("kind").isin(*kinds))
+    found = [rows.where(prefix_range("token", w)) for w in wanted]
+    hits = reduce(lambda a, b: a.join(b.select(*key).distinct(), key, "left_semi"), found[1:], found[0])
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    return hits.select(*key, "name", "lon", "lat").distinct().orderBy(order, "name", "id").limit(limit).select("id", "kind", "name", "lon", "lat")

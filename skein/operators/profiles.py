@@ -50,3 +50,24 @@ def closest_approach(flights: DataFrame, lon: float, lat: float) -> DataFrame:
     if keep:
         best = best.join(flights.select("icao24", "start_ts", *keep), ["icao24", "start_ts"]).withColumn("agl", S.linear_at(F.col("path_agl_ft"), F.col("t"))).drop(*keep)
     return best
+
+
+SERIES = ("path_tracks", "path_gs", "path_vr", "path_ias", "alt_correction_ft", "path_agl_ft")
+
+
+def series_output(flights: DataFrame) -> DataFrame:
+    """What a client gets of a flight: coordinates and timestamps of each stretch, and series as lists of [t, value] of each stretch.
+
+    A stretch without values is left out, a series without any is null, as is one the table does not have. Codes are texts,
+    so their pairs are (t, v) structs.
+    """
+    filled = lambda c: F.filter(F.col(c), lambda part: F.size(part) > 0)
+    pairs = lambda c: F.transform(filled(c), lambda part: F.transform(part, lambda x: F.array(x["t"], x["v"].cast("double"))))
+    some = lambda v: F.when(F.size(v) > 0, v)
+    coordinates = F.transform(filled("path"), lambda part: F.transform(part, lambda v: F.array(F.round(v["lon"], 6), F.round(v["lat"], 6), v["alt"])))
+    timestamps = F.transform(filled("path"), lambda part: F.transform(part, lambda v: v["t"]))
+    nothing = F.lit(None).cast("array<array<array<double>>>")
+    return flights.select(
+        "icao24", "start_ts", some(coordinates).alias("coordinates"), some(timestamps).alias("timestamps"), some(filled("squawk_seq")).alias("squawk_seq"),
+        *[(some(pairs(c)) if c in flights.columns else nothing).alias(c) for c in SERIES],
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,17 @@ def batch_counts(points: DataFrame, flights: DataFrame) -> DataFrame:
     """Aircraft and reports read, flights written, reports left out."""
     read = points.agg(F.count_distinct("icao24").alias("aircraft"), F.count(F.lit(1)).alias("reports"))
     return read.crossJoin(flights.agg(F.count(F.lit(1)).alias("flights"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")))  # one row each
+
+
+def observed(flights: DataFrame) -> tuple[DataFrame, Observation]:
+    """flights, and the counts of them that the job which writes them makes on its way: flights, dropped reports, raw reports, vertices."""
+    said = Observation()
+    vertices = F.aggregate(F.transform("path", F.size), F.lit(0), lambda a, n: a + n)
+    counts = {"flights": F.count(F.lit(1)), "dropped": F.sum("dropped"), "reports": F.sum("raw_point_count"), "vertices": F.sum(vertices)}
+    return flights.observe(said, *[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in counts.items()]), said
+
+
+def observed_traces(raw: DataFrame) -> tuple[DataFrame, Observation]:
+    """Parsed trace documents, and what reading them counts: traces and refused ones."""
+    said = Observation()
+    return raw.observe(said, F.count(F.lit(1)).alias("traces"), F.count("bad").alias("refused")), said

@@ -177,11 +177,17 @@ def f09_squawk_runs(spark, sf_dir):
     return rows.select("icao24", "start_t", F.array_join("squawk_codes", ",").alias("squawk_codes"), F.aggregate(F.transform("squawk_seq", changes), F.lit(0), lambda a, x: a + x).cast("long").alias("n_changes"))
 
 
-LENGTHS = f"""{VERTICES}, hpq AS (SELECT *, atan({1 - geo.WGS84_F!r} * tan(radians(lat0))) AS b1, atan({1 - geo.WGS84_F!r} * tan(radians(lat1))) AS b2, radians(lon1 - lon0) / 2 AS hl FROM segs),
-hh AS (SELECT *, (b1 + b2) / 2 AS p, (b2 - b1) / 2 AS q FROM hpq),
-hs AS (SELECT *, least(1.0, greatest(0.0, power(sin(q), 2) + (power(cos(q), 2) - power(sin(p), 2)) * power(sin(hl), 2))) AS h FROM hh),
-ln AS (SELECT *, 2 * asin(sqrt(h)) AS s FROM hs),
-lengths AS (SELECT icao24, leg, k, CASE WHEN h <= 0 OR h >= 1 THEN {geo.WGS84_A!r} * s ELSE {geo.WGS84_A!r} * (s - {geo.WGS84_F / 2!r} * ((s - sin(s)) * power(sin(p) * cos(q), 2) / (1 - h) + (s + sin(s)) * power(cos(p) * sin(q), 2) / h)) END AS m FROM ln)"""
+def geodesic_sql(source: str, columns: str, name: str) -> str:
+    """CTEs that end in ``name``: ``columns`` of ``source`` (lon0, lat0, lon1, lat1 among its columns) and the metres ``m`` between both ends."""
+    a, e, f = f"{geo.WGS84_A!r}", f"{1 - geo.WGS84_F!r}", f"{geo.WGS84_F / 2!r}"
+    return f"""hpq_{name} AS (SELECT *, atan({e} * tan(radians(lat0))) AS b1, atan({e} * tan(radians(lat1))) AS b2, radians(lon1 - lon0) / 2 AS hl FROM {source}),
+hh_{name} AS (SELECT *, (b1 + b2) / 2 AS p, (b2 - b1) / 2 AS q FROM hpq_{name}),
+hs_{name} AS (SELECT *, least(1.0, greatest(0.0, power(sin(q), 2) + (power(cos(q), 2) - power(sin(p), 2)) * power(sin(hl), 2))) AS h FROM hh_{name}),
+ln_{name} AS (SELECT *, 2 * asin(sqrt(h)) AS s FROM hs_{name}),
+{name} AS (SELECT {columns}, CASE WHEN h <= 0 OR h >= 1 THEN {a} * s ELSE {a} * (s - {f} * ((s - sin(s)) * power(sin(p) * cos(q), 2) / (1 - h) + (s + sin(s)) * power(cos(p) * sin(q), 2) / h)) END AS m FROM ln_{name})"""
+
+
+LENGTHS = f"{VERTICES}, {geodesic_sql('segs', 'icao24, leg, k', 'lengths')}"
 
 
 @query(f"WITH {LENGTHS} SELECT started.icao24, start_t, round(sum(m), 2) AS length_m, round(sum(m) / 1852, 3) AS length_nm FROM started JOIN lengths USING (icao24, leg) GROUP BY started.icao24, start_t")
@@ -197,11 +203,31 @@ def f11_flights_simplified(spark, sf_dir):
     return rows.select("icao24", "start_ts", "end_ts", "callsign", "raw_point_count", "dropped", S.num_instants(F.col("path")).alias("n_vertices"), F.size("path").alias("n_parts"), F.round("path_length_m", 1).alias("path_length_m"), "squawk_codes")
 
 
-@query()
+AIRBORNE = f"""{LEGS},
+air AS (SELECT *, row_number() OVER (PARTITION BY icao24, leg ORDER BY t, event_id) AS rn, count(*) OVER (PARTITION BY icao24, leg) AS n FROM legs WHERE alt_baro IS NOT NULL),
+walk AS (SELECT icao24, leg, rn, event_id, true AS kept, t AS lt, lat AS llat, lon AS llon, alt_baro AS lalt FROM air WHERE rn = 1 AND n >= 2
+  UNION ALL SELECT icao24, leg, rn, event_id, ok, CASE WHEN ok THEN t ELSE lt END, CASE WHEN ok THEN lat ELSE llat END, CASE WHEN ok THEN lon ELSE llon END, CASE WHEN ok THEN alt_baro ELSE lalt END
+  FROM (SELECT w.icao24, w.leg, a.rn, a.event_id, w.lt, w.llat, w.llon, w.lalt, a.t, a.lat, a.lon, a.alt_baro,
+    a.t - w.lt <= 0 OR ({hav('w.llat', 'w.llon', 'a.lat', 'a.lon')} / (a.t - w.lt) <= 500 AND abs(a.alt_baro - w.lalt) / (a.t - w.lt) <= 300) AS ok FROM walk w JOIN air a ON a.icao24 = w.icao24 AND a.leg = w.leg AND a.rn = w.rn + 1)),
+fits AS (SELECT a.*, lag(a.t) OVER (PARTITION BY a.icao24, a.leg ORDER BY a.rn) AS before FROM air a JOIN walk w USING (event_id) WHERE w.kept),
+stretch AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY icao24, leg ORDER BY rn) AS part FROM fits),
+whole AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY icao24, leg, part) AS n_part FROM stretch) WHERE n_part >= 2),
+cleaned AS (SELECT icao24, leg, min(t) AS start_t, max(t) AS end_t, CAST(count(*) AS INT) AS n_vertices, CAST(count(DISTINCT part) AS INT) AS n_parts FROM whole GROUP BY icao24, leg),
+refused AS (SELECT icao24, leg, CAST(count(*) FILTER (WHERE NOT kept) AS INT) AS dropped FROM walk GROUP BY icao24, leg)"""
+
+
+@query(f"WITH RECURSIVE {AIRBORNE} SELECT CAST(coalesce(sum(dropped), 0) AS BIGINT) AS dropped, count(DISTINCT CASE WHEN dropped > 0 THEN icao24 END) AS aircraft FROM cleaned JOIN refused USING (icao24, leg)")
 def f12_implausible_reports(spark, sf_dir):
     return fl.dropped_reports(full_flights(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {AIRBORNE} SELECT icao24, start_t, end_t, n_vertices, n_parts, dropped FROM cleaned JOIN refused USING (icao24, leg)")
+def f15_flights_cleaned(spark, sf_dir):
+    """Outliers left out, judged against the last report kept; every other report stays a vertex."""
+    rows = fl.build_flights(fl.capped(legs(spark, sf_dir)), clean=True, simplified=False)
+    return rows.select("icao24", "start_t", "end_t", S.num_instants(F.col("path")).alias("n_vertices"), F.size("path").alias("n_parts"), "dropped")
+
+
 @query(f"""WITH {VERTICES} SELECT icao24, start_t, CAST(floor((lat + 90) / 0.5) * 100000 + floor((lon + 180) / 0.5) AS BIGINT) AS start_cell FROM started JOIN vertices v USING (icao24, leg) WHERE v.t = start_t""")
 def f13_start_cells(spark, sf_dir):
     return raw_flights(spark, sf_dir).select("icao24", "start_t", geo.cell(F.col("start_lon"), F.col("start_lat"), fl.CELL).alias("start_cell"))
@@ -296,14 +322,22 @@ def moment(seconds: float) -> datetime:
     return datetime.fromtimestamp(T0 + seconds, timezone.utc)
 
 
-def level(match: P.Predicate) -> Query:
-    """Over sea everywhere: the height above ground is the altitude."""
+def nation_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse tiles of four by four pixels, one for each nation."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    grid = nation.select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    tile = [(48 + F.col("n_nationkey") % 10).cast("int").alias("tile_lat"), (F.col("n_nationkey") % 20 - 5).cast("int").alias("tile_lon")]
+    return grid.groupBy(*tile, F.floor(F.col("i") / 4).cast("int").alias("row"), (F.col("i") % 4).cast("int").alias("col")).agg(F.max(100 * (F.col("n_nationkey") + 1) + 10 * F.col("i")).alias("elev_ft"))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        agl = F.transform("path", lambda part: F.transform(part, lambda v: F.struct(v["t"].alias("t"), v["alt"].alias("v"))))
-        return Engine(raw_flights(spark, sf_dir).withColumn("path_agl_ft", agl)).select(match).select("icao24", "start_t")
 
-    return run
+def high_path(spark: SparkSession, sf_dir: str) -> str:
+    """Flights with their heights above the nations' tiles, at every vertex."""
+    built = lambda: enrich.with_agl(raw_flights(spark, sf_dir), nation_dem(spark, sf_dir), reach_m=1e9, pixels=4, thin=False)
+    return stored_path(spark, f"heights of {sf_dir}", lambda path: tables.upsert_flights(spark, path, built()))
+
+
+def level(match: P.Predicate) -> Query:
+    return lambda spark, sf_dir: Engine.of_table(spark, high_path(spark, sf_dir)).select(match).select("icao24", "start_t")
 
 
 def predicate(name: str, match: P.Predicate, where: str, ctes: str = FLIGHT, source: str = "flights f") -> None:
@@ -339,9 +373,24 @@ predicate("p17_whole_distance", P.Trajectory(distance_m=P.Range(20_000, 90_000))
 predicate("p18_box_and_band", P.Trajectory(geo.Polygon.of_box(*BOX), altitude=P.Range(3000, 8000)), "EXISTS (SELECT 1 FROM cut c WHERE c.icao24 = f.icao24 AND c.leg = f.leg AND c.part = c.part0 AND least(c.b, CASE WHEN z1 = z0 THEN 1.0 ELSE greatest((3000 - z0) / (z1 - z0), (8000 - z0) / (z1 - z0)) END) > greatest(c.a, CASE WHEN z1 = z0 THEN CASE WHEN z0 BETWEEN 3000 AND 8000 THEN 0.0 ELSE 2.0 END ELSE least((3000 - z0) / (z1 - z0), (8000 - z0) / (z1 - z0)) END))", IN_BOX, "started f")
 
 
-predicate("p21_box_and_agl", P.Trajectory(geo.Polygon.of_box(*BOX), agl_ft=P.Range(3000, 8000)), SQL["p18_box_and_band"].split("FROM started f WHERE ", 1)[1], IN_BOX, "started f")
-predicate("p22_agl_ever", P.Trajectory(agl_ft=P.Range(min=12_000)), "max_alt >= 12000")
-predicate("p23_agl_always", P.Trajectory(mode="within", agl_ft=P.Range(min=1_200)), "min_alt >= 1200")
+TERRAIN = """grid AS (SELECT n_nationkey, range AS i FROM nation, range(16)),
+dem AS (SELECT CAST(48 + n_nationkey % 10 AS INT) AS tile_lat, CAST(n_nationkey % 20 - 5 AS INT) AS tile_lon, CAST(i // 4 AS INT) AS r, CAST(i % 4 AS INT) AS c, max(100 * (n_nationkey + 1) + 10 * i) AS elev FROM grid GROUP BY 1, 2, 3, 4),
+pixel AS (SELECT event_id, CAST(floor(lat) AS INT) AS ty, CAST(floor(lon) AS INT) AS tx, greatest(0.0, least(3.0, (1.0 - (lat - floor(lat))) * 4 - 0.5)) AS fr, greatest(0.0, least(3.0, (lon - floor(lon)) * 4 - 0.5)) AS fc FROM tracks),
+weighed AS (SELECT event_id, ty, tx, least(floor(fr) + a, 3) AS r, least(floor(fc) + b, 3) AS c, CASE WHEN a = 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE WHEN b = 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS wt
+  FROM pixel, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
+terrain AS (SELECT event_id, coalesce(sum(wt * elev), 0) AS terrain_ft FROM weighed w LEFT JOIN dem d ON d.tile_lat = ty AND d.tile_lon = tx AND d.r = w.r AND d.c = w.c GROUP BY event_id)"""
+HIGH = f"""{IN_BOX}, {TERRAIN}, high AS (SELECT icao24, leg, t, round(alt_baro - terrain_ft, 4) AS agl FROM vertices JOIN terrain USING (event_id)),
+heights AS (SELECT icao24, leg, min(agl) AS lowest, max(agl) AS highest FROM high GROUP BY 1, 2)"""
+INSIDE_HIGH = """EXISTS (SELECT 1 FROM (SELECT c.*, x.agl AS h0, y.agl AS h1 FROM cut c JOIN high x ON x.icao24 = c.icao24 AND x.leg = c.leg AND x.t = c.t0 JOIN high y ON y.icao24 = c.icao24 AND y.leg = c.leg AND y.t = c.t1) c
+  WHERE c.icao24 = f.icao24 AND c.leg = f.leg AND c.part = c.part0 AND least(c.b, CASE WHEN h1 = h0 THEN 1.0 ELSE greatest((4000 - h0) / (h1 - h0), (6000 - h0) / (h1 - h0)) END)
+    > greatest(c.a, CASE WHEN h1 = h0 THEN CASE WHEN h0 BETWEEN 4000 AND 6000 THEN 0.0 ELSE 2.0 END ELSE least((4000 - h0) / (h1 - h0), (6000 - h0) / (h1 - h0)) END))"""
+predicate("p21_box_and_agl", P.Trajectory(geo.Polygon.of_box(*BOX), agl_ft=P.Range(4000, 6000)), INSIDE_HIGH, HIGH, "started f")
+predicate("p22_agl_ever", P.Trajectory(agl_ft=P.Range(min=5_000)), "highest >= 5000", HIGH, "started f JOIN heights USING (icao24, leg)")
+predicate("p23_agl_always", P.Trajectory(mode="within", agl_ft=P.Range(min=400)), "lowest >= 400", HIGH, "started f JOIN heights USING (icao24, leg)")
+FAR = f"""{IN_BOX}, pieces AS (SELECT icao24, leg, lon0 + (lon1 - lon0) * a AS lon0, lat0 + (lat1 - lat0) * a AS lat0, lon0 + (lon1 - lon0) * b AS lon1, lat0 + (lat1 - lat0) * b AS lat1 FROM cut WHERE b > a),
+{geodesic_sql('pieces', 'icao24, leg', 'inside')}, spanned AS (SELECT icao24, leg, sum(m) AS metres FROM inside GROUP BY 1, 2)"""
+MEETS = "EXISTS (SELECT 1 FROM cut c WHERE c.icao24 = f.icao24 AND c.leg = f.leg AND c.part = c.part0 AND c.b >= c.a)"
+predicate("p26_distance_in_box", P.Trajectory(geo.Polygon.of_box(*BOX), distance_m=P.Range(100_000, 600_000)), f"metres BETWEEN 100000 AND 600000 AND {MEETS}", FAR, "started f JOIN spanned USING (icao24, leg)")
 CODED = f"""{IN_BOX}, known AS (SELECT icao24, leg, t, last_value(squawk IGNORE NULLS) OVER (PARTITION BY icao24, leg, part ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS code FROM vertices)"""
 predicate("p24_squawk_in_box", P.Trajectory(geo.Polygon.of_box(*BOX), squawk_codes=("7700",)), "EXISTS (SELECT 1 FROM cut c JOIN known x ON x.icao24 = c.icao24 AND x.leg = c.leg AND x.t = c.t0 JOIN known y ON y.icao24 = c.icao24 AND y.leg = c.leg AND y.t = c.t1 WHERE c.icao24 = f.icao24 AND c.leg = f.leg AND c.part = c.part0 AND c.b >= c.a AND (x.code = '7700' OR (y.code = '7700' AND c.b >= 1)))", CODED, "started f")
 
@@ -448,10 +497,16 @@ def r04_flight_cards(spark, sf_dir):
     return cards.join(rows.select("icao24", "start_ts", "start_t"), ["icao24", "start_ts"]).select("icao24", "start_t", r3(F.col("straight_nm")).alias("straight_nm"), r3(F.col("duration_s")).alias("duration_s"), "day")
 
 
-@query()
+CLOSEST = f"""{VERTICES}, turned AS (SELECT *, cos(radians(lat0)) AS kk FROM segs WHERE part = part0),
+along AS (SELECT *, CASE WHEN lon1 = lon0 AND lat1 = lat0 THEN 0.0 ELSE least(1.0, greatest(0.0, ((2.0 - lon0) * kk * ((lon1 - lon0) * kk) + (53.0 - lat0) * (lat1 - lat0)) / (power((lon1 - lon0) * kk, 2) + power(lat1 - lat0, 2)))) END AS u FROM turned),
+near AS (SELECT icao24, leg, t0 + (t1 - t0) * u AS at_t, z0 + (z1 - z0) * u AS alt, lon0 + (lon1 - lon0) * u AS lon0, lat0 + (lat1 - lat0) * u AS lat0, CAST(2.0 AS DOUBLE) AS lon1, CAST(53.0 AS DOUBLE) AS lat1 FROM along),
+{geodesic_sql('near', 'icao24, leg, at_t, alt', 'reached')}"""
+
+
+@query(f"WITH {CLOSEST} SELECT s.icao24, {STAMP.format('start_t')} AS start_ts, round(m, 1) AS distance_m, round(alt, 1) AS alt FROM (SELECT *, row_number() OVER (PARTITION BY icao24, leg ORDER BY m, at_t, alt) AS rk FROM reached) r JOIN started s USING (icao24, leg) WHERE rk = 1")
 def r05_closest_approach(spark, sf_dir):
     rows = profiles.closest_approach(raw_flights(spark, sf_dir), 2.0, 53.0)
-    return rows.select("icao24", "start_ts", F.round("distance_m", 1).alias("distance_m"), F.round("alt", 1).alias("alt"))
+    return rows.select("icao24", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), F.round("distance_m", 1).alias("distance_m"), F.round("alt", 1).alias("alt"))
 
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
@@ -470,46 +525,54 @@ def s01_traces_parsed(spark, sf_dir):
     return traces.points(raw).select("icao24", "t", "lat", "lon", "alt_baro", "squawk", "callsign", "emitter_category", "new_leg")
 
 
-@query(f"""WITH {VERTICES} SELECT s.icao24, s.start_t, CAST(dense_rank() OVER (PARTITION BY s.icao24, s.start_t ORDER BY part) - 1 AS INT) AS seq, CAST(row_number() OVER (PARTITION BY s.icao24, s.start_t, part ORDER BY t) - 1 AS INT) AS point_idx,
-  CAST(CAST(CAST(lon AS VARCHAR) AS DECIMAL(18, 6)) AS VARCHAR) AS longitude, CAST(CAST(CAST(lat AS VARCHAR) AS DECIMAL(18, 6)) AS VARCHAR) AS latitude, alt_baro AS altitude_ft FROM started s JOIN vertices v USING (icao24, leg)""")
+@query(f"""WITH {VERTICES}, {FRAMES} SELECT s.icao24, s.start_t, CAST(dense_rank() OVER (PARTITION BY s.icao24, s.start_t ORDER BY part) - 1 AS INT) AS seq, CAST(row_number() OVER (PARTITION BY s.icao24, s.start_t, part ORDER BY t) - 1 AS INT) AS point_idx,
+  CAST(CAST(CAST(lon AS VARCHAR) AS DECIMAL(18, 6)) AS VARCHAR) AS longitude, CAST(CAST(CAST(lat AS VARCHAR) AS DECIMAL(18, 6)) AS VARCHAR) AS latitude, alt_baro AS altitude_ft,
+  registration, model, strftime({STAMP.format('s.start_t')}, '%Y-%m-%dT%H:%M:%S.%gZ') AS start_ts, strftime({STAMP.format('s.end_t')}, '%Y-%m-%dT%H:%M:%S.%gZ') AS end_ts, strftime({STAMP.format('t')}, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp_utc
+  FROM started s JOIN vertices v USING (icao24, leg) LEFT JOIN airframes a ON a.icao24 = s.icao24""")
 def w01_csv_lines(spark, sf_dir):
-    rows = raw_flights(spark, sf_dir)
+    rows = lookups.with_airframes(raw_flights(spark, sf_dir), view(spark, sf_dir, "airframes"))
     lines = exports.csv_lines(rows.withColumn("callsign", F.col("start_t").cast("string")))
-    return lines.select("icao24", F.col("callsign").cast("double").alias("start_t"), "seq", "point_idx", "longitude", "latitude", "altitude_ft")
+    return lines.select("icao24", F.col("callsign").cast("double").alias("start_t"), "seq", "point_idx", "longitude", "latitude", "altitude_ft", "registration", "model", "start_ts", "end_ts", "timestamp_utc")
 
 
 PLACES = "CAST(CAST(CAST({} AS VARCHAR) AS DECIMAL(18, 6)) AS VARCHAR)"
 WRITTEN = f"""{VERTICES}, written AS (SELECT icao24, leg, CAST(count(*) AS INT) AS n_points, CAST(count(DISTINCT part) AS INT) AS n_parts,
-  string_agg({PLACES.format('lon')}, ' ' ORDER BY t) AS lons, string_agg({PLACES.format('lat')}, ' ' ORDER BY t) AS lats FROM vertices GROUP BY 1, 2)"""
+  string_agg({PLACES.format('lon')}, ' ' ORDER BY t) AS lons, string_agg({PLACES.format('lat')}, ' ' ORDER BY t) AS lats,
+  string_agg(CAST(CAST(CAST(alt_baro * CAST(0.3048 AS DOUBLE) AS VARCHAR) AS DECIMAL(18, 1)) AS VARCHAR), ' ' ORDER BY t) AS heights_m,
+  string_agg(strftime(make_timestamp(CAST(round(t * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ'), ' ' ORDER BY t) AS instants FROM vertices GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {VERTICES} SELECT s.icao24, s.start_t, CAST(dense_rank() OVER (PARTITION BY s.icao24, s.start_t ORDER BY part) - 1 AS INT) AS line, CAST(row_number() OVER (PARTITION BY s.icao24, s.start_t, part ORDER BY t) - 1 AS INT) AS place,
-  CAST({PLACES.format('lon')} AS DOUBLE) AS lon, CAST({PLACES.format('lat')} AS DOUBLE) AS lat, CAST(alt_baro AS DOUBLE) AS alt FROM started s JOIN vertices v USING (icao24, leg)""")
+@query(f"""WITH {VERTICES}, {FRAMES} SELECT s.icao24, s.start_t, CAST(dense_rank() OVER (PARTITION BY s.icao24, s.start_t ORDER BY part) - 1 AS INT) AS line, CAST(row_number() OVER (PARTITION BY s.icao24, s.start_t, part ORDER BY t) - 1 AS INT) AS place,
+  CAST({PLACES.format('lon')} AS DOUBLE) AS lon, CAST({PLACES.format('lat')} AS DOUBLE) AS lat, CAST(alt_baro AS DOUBLE) AS alt, registration, model, strftime({STAMP.format('s.end_t')}, '%Y-%m-%dT%H:%M:%S.%gZ') AS end_ts FROM started s JOIN vertices v USING (icao24, leg) LEFT JOIN airframes a ON a.icao24 = s.icao24""")
 def w02_geojson(spark, sf_dir):
     """Features written and read back, point by point."""
-    rows = raw_flights(spark, sf_dir).withColumn("callsign", F.col("start_t").cast("string"))
-    back = F.from_json("value", "properties struct<icao24:string,callsign:string>, geometry struct<coordinates:array<array<array<double>>>>")
-    out = exports.geojson_features(rows).select(back.alias("f")).select("f.properties.icao24", F.col("f.properties.callsign").cast("double").alias("start_t"), F.posexplode("f.geometry.coordinates").alias("line", "points"))
-    return out.select("icao24", "start_t", "line", F.posexplode("points").alias("place", "p")).select("icao24", "start_t", "line", "place", *[F.col("p")[k].alias(c) for k, c in enumerate(("lon", "lat", "alt"))])
+    rows = lookups.with_airframes(raw_flights(spark, sf_dir), view(spark, sf_dir, "airframes")).withColumn("callsign", F.col("start_t").cast("string"))
+    back = F.from_json("value", "properties struct<icao24:string,callsign:string,registration:string,model:string,end_ts:string>, geometry struct<coordinates:array<array<array<double>>>>")
+    flight = [F.col("f.properties.icao24"), F.col("f.properties.callsign").cast("double").alias("start_t"), *[F.col(f"f.properties.{c}") for c in ("registration", "model", "end_ts")]]
+    out = exports.geojson_features(rows).select(back.alias("f")).select(*flight, F.posexplode("f.geometry.coordinates").alias("line", "points"))
+    out = out.select("*", F.posexplode("points").alias("place", "p")).drop("points")
+    return out.select("*", *[F.col("p")[k].alias(c) for k, c in enumerate(("lon", "lat", "alt"))]).drop("p")
 
 
-def _read_back(lines: DataFrame, lons: Column, lats: Column, part: str, point: str) -> DataFrame:
+def _read_back(lines: DataFrame, lons: Column, lats: Column, heights: Column, instants: Column, part: str, point: str) -> DataFrame:
     name = F.regexp_extract("value", "<name>(.*?)</name>", 1)
-    return lines.select(F.split_part(name, F.lit("|"), F.lit(1)).alias("icao24"), F.split_part(name, F.lit("|"), F.lit(2)).cast("double").alias("start_t"), F.regexp_count("value", F.lit(part)).alias("n_parts"), F.regexp_count("value", F.lit(point)).alias("n_points"), F.array_join(lons, " ").alias("lons"), F.array_join(lats, " ").alias("lats"))
+    return lines.select(F.split_part(name, F.lit("|"), F.lit(1)).alias("icao24"), F.split_part(name, F.lit("|"), F.lit(2)).cast("double").alias("start_t"), F.regexp_count("value", F.lit(part)).alias("n_parts"), F.regexp_count("value", F.lit(point)).alias("n_points"), *[F.array_join(v, " ").alias(n) for n, v in (("lons", lons), ("lats", lats), ("heights_m", heights), ("instants", instants))])
 
 
-@query(f"WITH {WRITTEN} SELECT w.icao24, start_t, n_parts, n_points, lons, lats FROM written w JOIN started USING (icao24, leg)")
+@query(f"WITH {WRITTEN} SELECT w.icao24, start_t, n_parts, n_points, lons, lats, heights_m, instants FROM written w JOIN started USING (icao24, leg)")
 def w03_gpx(spark, sf_dir):
     rows = raw_flights(spark, sf_dir).withColumn("callsign", F.concat_ws("|", "icao24", F.col("start_t").cast("string")))
     values = lambda c: F.regexp_extract_all("value", F.lit(f' {c}="([^"]*)"'), F.lit(1))
-    return _read_back(exports.gpx_tracks(rows), values("lon"), values("lat"), "<trkseg>", "<trkpt ")
+    inner = lambda tag: F.regexp_extract_all("value", F.lit(f"<{tag}>([^<]*)</{tag}>"), F.lit(1))
+    return _read_back(exports.gpx_tracks(rows), values("lon"), values("lat"), inner("ele"), inner("time"), "<trkseg>", "<trkpt ")
 
 
-@query(f"WITH {WRITTEN} SELECT w.icao24, start_t, n_parts, n_points, lons, lats FROM written w JOIN started USING (icao24, leg)")
+@query(f"WITH {WRITTEN} SELECT w.icao24, start_t, n_parts, n_points, lons, lats, heights_m, instants FROM written w JOIN started USING (icao24, leg)")
 def w04_kml(spark, sf_dir):
     rows = raw_flights(spark, sf_dir).withColumn("callsign", F.concat_ws("|", "icao24", F.col("start_t").cast("string")))
-    values = lambda k: F.regexp_extract_all("value", F.lit("<gx:coord>([^ ]*) ([^ ]*) "), F.lit(k))
-    return _read_back(exports.kml_placemarks(rows), values(1), values(2), "<gx:Track>", "<gx:coord>")
+    values = lambda k: F.regexp_extract_all("value", F.lit("<gx:coord>([^ ]*) ([^ ]*) ([^<]*)"), F.lit(k))
+    instants = F.regexp_extract_all("value", F.lit("<when>([^<]*)</when>"), F.lit(1))
+    return _read_back(exports.kml_placemarks(rows), values(1), values(2), values(3), instants, "<gx:Track>", "<gx:coord>")
 
 
 @query(f"WITH {FLIGHT} SELECT CAST(date_trunc('week', {STAMP.format('start_t')}) AS DATE) AS start_week, count(*) AS row_count FROM flights GROUP BY 1")
@@ -524,15 +587,10 @@ def w06_upserted(spark, sf_dir):
     return writes.merged(old, new, key=["icao24", "start_t"])
 
 
-@query(f"WITH {FLIGHT}, grid AS (SELECT n_nationkey, range AS i FROM nation, range(16)), dem AS (SELECT CAST(48 + n_nationkey % 10 AS INT) AS tile_lat, CAST(n_nationkey % 20 - 5 AS INT) AS tile_lon, CAST(i // 4 AS INT) AS r, CAST(i % 4 AS INT) AS c, max(100 * (n_nationkey + 1) + 10 * i) AS elev FROM grid GROUP BY 1, 2, 3, 4), p AS (SELECT event_id, alt_baro, CAST(floor(lat) AS INT) AS ty, CAST(floor(lon) AS INT) AS tx, greatest(0.0, least(3.0, (1.0 - (lat - floor(lat))) * 4 - 0.5)) AS fr, greatest(0.0, least(3.0, (lon - floor(lon)) * 4 - 0.5)) AS fc FROM tracks), "
-       "w AS (SELECT event_id, alt_baro, ty, tx, least(floor(fr) + a, 3) AS r, least(floor(fc) + b, 3) AS c, CASE WHEN a = 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE WHEN b = 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS wt FROM p, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)) "
-       "SELECT event_id, round(coalesce(sum(wt * elev), 0), 3) AS terrain_ft, round(any_value(alt_baro) - coalesce(sum(wt * elev), 0), 3) AS agl_ft FROM w LEFT JOIN dem d ON d.tile_lat = ty AND d.tile_lon = tx AND d.r = w.r AND d.c = w.c GROUP BY event_id")
+@query(f"WITH {TRACKS}, {TERRAIN} SELECT event_id, round(terrain_ft, 3) AS terrain_ft, round(alt_baro - terrain_ft, 3) AS agl_ft FROM tracks JOIN terrain USING (event_id)")
 def e01_height_above_terrain(spark, sf_dir):
-    """Reports over coarse tiles of four by four pixels, one for each nation."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    grid = nation.select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
-    dem = grid.groupBy((48 + F.col("n_nationkey") % 10).cast("int").alias("tile_lat"), (F.col("n_nationkey") % 20 - 5).cast("int").alias("tile_lon"), F.floor(F.col("i") / 4).cast("int").alias("row"), (F.col("i") % 4).cast("int").alias("col")).agg(F.max(100 * (F.col("n_nationkey") + 1) + 10 * F.col("i")).alias("elev_ft"))
-    rows = enrich.terrain_at(view(spark, sf_dir, "tracks").select("event_id", "lat", "lon", "alt_baro"), dem, ["event_id"], pixels=4)
+    """Reports over the nations' tiles."""
+    rows = enrich.terrain_at(view(spark, sf_dir, "tracks").select("event_id", "lat", "lon", "alt_baro"), nation_dem(spark, sf_dir), pixels=4)
     return rows.select("event_id", r3(F.col("terrain_ft")).alias("terrain_ft"), r3(F.col("alt_baro") - F.col("terrain_ft")).alias("agl_ft"))
 
 
@@ -545,7 +603,7 @@ def e02_pressure_correction(spark, sf_dir):
     base = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.min("n_regionkey").alias("r"))
     axes = base.select("r", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("h")).select("r", "h", F.explode(F.array(*map(F.lit, (-90, 0, 45, 90)))).alias("y")).select("r", "h", "y", F.explode(F.array(*map(F.lit, (0, 100, 200, 350)))).alias("x"))
     raw = axes.select((F.lit(T0) + 3600.0 * F.col("h")).alias("t"), F.col("y").cast("double").alias("lat"), F.col("x").cast("double").alias("lon"), (100 * (1000.0 + F.col("r") + 2 * F.col("h") + 0.1 * F.col("y") + 0.05 * F.col("x"))).alias("pressure"))
-    rows = enrich.pressure_at(view(spark, sf_dir, "tracks").select("event_id", "t", "lat", "lon"), pressure_cube(raw), ["event_id"])
+    rows = enrich.pressure_at(view(spark, sf_dir, "tracks").select("event_id", "t", "lat", "lon"), pressure_cube(raw))
     return rows.select("event_id", r3(enrich.correction_ft(F.col("hpa"))).alias("correction_ft"))
 
 

@@ -7,13 +7,14 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, text
 from ..operators import flights as fl
-from ..operators import lookups, tables, writes
-from ..session import stored_path
-from ..sources.synthetic import oracle
+from ..operators import lookups, profiles, rollups, tables, writes
+from ..operators.asof import as_of
+from ..session import cut, stored_path
+from ..sources.synthetic import oracle, view
 from . import predicates as P
-from .catalog import BOX, FLIGHT, LENGTHS, T0, TRACKS, flights_path, points, query, raw_flights
+from .catalog import BOX, FLIGHT, LENGTHS, SPACES, SQL, T0, TRACKS, VERTICES, built_flights, flights_path, points, query, raw_flights
 from .engine import Engine, Request, in_window
 
 WEEK_S = 604_800.0
@@ -133,3 +134,63 @@ def w08_weeks_retained(spark, sf_dir):
     path = stored_path(spark, f"weeks to drop of {sf_dir}", lambda p: tables.upsert_flights(spark, p, whole))
     writes.drop_weeks(spark, path, date(2024, 1, 16))
     return tables.read_flights(spark, path).select("icao24", "start_t", "start_week")
+
+
+# --- tables beside tables ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {FLIGHT}, heard AS (SELECT icao24, t, event_id, squawk FROM dedup WHERE squawk IS NOT NULL)
+SELECT f.icao24, f.start_t, h.event_id, h.squawk, round(f.end_t - h.t, 3) AS seconds_before FROM flights f ASOF LEFT JOIN heard h ON h.icao24 = f.icao24 AND h.t <= f.end_t""")
+def j08_code_at_the_end(spark, sf_dir):
+    """The last code that an aircraft sent, in whatever leg, at or before each flight's end: flights and reports joined as of an instant."""
+    heard = fl.deduplicated(points(spark, sf_dir)).where("squawk IS NOT NULL").select("icao24", "t", "seq", "squawk")
+    ends = raw_flights(spark, sf_dir).select("icao24", "start_t", "end_t")
+    out = as_of(ends, heard, ["icao24"], t="end_t", right_t="t", ties=["seq"])
+    return out.select("icao24", "start_t", F.col("as_of.seq").alias("event_id"), "as_of.squawk", F.round(F.col("end_t") - F.col("as_of.t"), 3).alias("seconds_before"))
+
+
+@query(f"""WITH {TRACKS}, turns AS (SELECT icao24, t, event_id, alt_baro FROM tracks WHERE event_id % 5 = 0), asked AS (SELECT icao24, t, event_id FROM tracks WHERE event_id % 5 <> 0),
+met AS (SELECT a.event_id, b.event_id AS before_id, a.t - b.t AS age, row_number() OVER (PARTITION BY a.event_id ORDER BY b.t DESC, b.event_id DESC) AS rk FROM asked a JOIN turns b ON b.icao24 = a.icao24 AND b.t <= a.t AND a.t - b.t <= 120)
+SELECT a.event_id, m.before_id FROM asked a LEFT JOIN met m ON m.event_id = a.event_id AND m.rk = 1""")
+def j09_fix_within_two_minutes(spark, sf_dir):
+    """Reports and the last of every fifth report, which play another receiver's, at most two minutes before them."""
+    rows = points(spark, sf_dir)
+    other, asked = rows.where("seq % 5 = 0").select("icao24", "t", "seq"), rows.where("seq % 5 <> 0").select("icao24", "t", F.col("seq").alias("event_id"))
+    return as_of(asked, other, ["icao24"], ties=["seq"], within=120.0, stretch=1000.0).select("event_id", F.col("as_of.seq").alias("before_id"))
+
+
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    index = lambda: lookups.token_index(view(spark, sf_dir, "airports"), view(spark, sf_dir, "airspaces"))
+    return stored_path(spark, f"tokens of {sf_dir}", lambda path: lookups.store_index(index(), path))
+
+
+@query(SQL["r01_search"])
+def r06_search_by_index(spark, sf_dir):
+    """The same search by the stored index of words: a prefix is a range of the sorted tokens."""
+    return lookups.search_index(spark.read.parquet(index_path(spark, sf_dir)), "nation_1", limit=20).select("id", "kind", "name")
+
+
+@query(f"""WITH {VERTICES}, filled AS (SELECT *, last_value(squawk IGNORE NULLS) OVER (PARTITION BY icao24, leg, part ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS code FROM vertices),
+turns AS (SELECT *, lag(code) OVER p AS before, lead(t) OVER p IS NULL AS ends FROM filled WINDOW p AS (PARTITION BY icao24, leg, part ORDER BY t, event_id)),
+said AS (SELECT *, dense_rank() OVER (PARTITION BY icao24, leg ORDER BY part) AS place FROM turns WHERE code IS NOT NULL AND (ends OR before IS NULL OR before <> code))
+SELECT s.icao24, start_t, CAST(place AS INT) AS place, t, code FROM said s JOIN started USING (icao24, leg)""")
+def r07_series_output(spark, sf_dir):
+    """Codes as a client gets them: stretches without any are left out, flights without any have none."""
+    rows = profiles.series_output(raw_flights(spark, sf_dir).withColumn("start_ts", F.col("start_t")))
+    out = rows.select("icao24", F.col("start_ts").alias("start_t"), F.posexplode("squawk_seq").alias("place", "part"))
+    return out.select("icao24", "start_t", (F.col("place") + 1).alias("place"), F.inline("part")).withColumnRenamed("v", "code")
+
+
+@query(f"WITH {FLIGHT} SELECT count(*) AS flights, CAST(0 AS BIGINT) AS dropped, CAST(sum(raw_point_count) AS BIGINT) AS reports, CAST(sum(n_vertices) AS BIGINT) AS vertices FROM flights")
+def a06_observed_counts(spark, sf_dir):
+    """What a build counts in the job that writes it, without a second look at the table."""
+    rows, said = rollups.observed(built_flights(spark, sf_dir))
+    cut(rows)
+    got = said.get
+    return spark.createDataFrame([(got["flights"], got["dropped"], got["reports"], got["vertices"])], "flights long, dropped long, reports long, vertices long")
+
+
+@query(f"WITH {SPACES} SELECT id, CASE type_code WHEN 4 THEN 'CTR' WHEN 7 THEN 'TMA' WHEN 13 THEN 'ATZ' END AS type, CASE type_code % 7 WHEN 0 THEN 'A' WHEN 4 THEN 'E' WHEN 6 THEN 'G' END AS class FROM airspaces")
+def x02_airspace_labels(spark, sf_dir):
+    rows = view(spark, sf_dir, "airspaces")
+    return rows.select("id", text.airspace_type(F.col("type_code")).alias("type"), text.airspace_class(F.col("type_code") % 7).alias("class"))

@@ -44,14 +44,15 @@ def run_day(spark: SparkSession, root: str, day: date, read_points: Callable[[da
         staged = spark.read.schema(new.schema).parquet(staged_path).where(F.col("batch_date") == F.lit(day - timedelta(days=1))) if writes.exists(spark, staged_path) else new.limit(0)
         built, carried = build_day(staged, new, day, **tables)
         fresh = f"{root}/built/batch_date={day}"
-        built.write.mode("overwrite").parquet(fresh)  # read twice below: not computed twice
+        built, counts = rollups.observed(built)
+        built.write.mode("overwrite").parquet(fresh)  # read twice below: not computed twice; counted on its way
         done = spark.read.parquet(fresh)
         writes.upsert_flights(spark, f"{root}/flights", done, day)
         writes.write_staging(carried, staged_path)
         if airframes is not None:
             stats = rollups.type_stats(done, airframes)
             stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/icao_type_stats")
-        writes.record_batch(spark, f"{root}/batches", day, "succeeded", done.count())
+        writes.record_batch(spark, f"{root}/batches", day, "succeeded", counts.get["flights"])
     except Exception:
         writes.record_batch(spark, f"{root}/batches", day, "errored")
         raise

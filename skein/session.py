@@ -25,6 +25,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return place or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: what follows neither computes it again nor depends on executors."""
+    path = f"{scratch_dir(df.sparkSession)}/skein-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored_path(spark: SparkSession, name: str, write) -> str:
     """Where ``write(path)`` has put a table, once for a session, under the shared folder."""
     key = (spark.sparkContext.applicationId, name)

@@ -1,4 +1,4 @@
-"""Flights from a stream of reports: each aircraft's open leg is state; a closed leg is a row."""
+"""Flights from a stream of reports: each aircraft's open leg is a list of reports in state; a closed leg is a row."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import simplify
 from ..operators.flights import AIR_GAP_S, BUILT, FASTEST_MPS, GROUND_GAP_S, LONGEST_FLIGHT_S, LONGEST_GAP_S, OPEN_AIR_S, OPEN_GROUND_S, SLOWEST_MPS, measured
@@ -17,7 +17,10 @@ from ..operators.flights import AIR_GAP_S, BUILT, FASTEST_MPS, GROUND_GAP_S, LON
 #: Late reports are taken for so long; a batch table settles after the same time.
 LATENESS = "3 days"
 COLUMNS = ["t", "lat", "lon", "alt_baro", "track", "gs", "vr", "ias", "squawk", "callsign", "emitter_category", "new_leg"]
-STATE = T.StructType([T.StructField("points", T.StringType())])
+REPORT = T.StructType([T.StructField(c, T.StringType() if c in ("squawk", "callsign", "emitter_category") else T.BooleanType() if c == "new_leg" else T.DoubleType()) for c in COLUMNS])
+#: What the next report is judged by without reading the list: the leg's start, its last report, and the timer that is set.
+LAST = T.StructType([T.StructField("start", T.DoubleType()), *[REPORT[c] for c in ("t", "lat", "lon", "alt_baro")], T.StructField("timer", T.LongType())])
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = T.StructType([T.StructField("icao24", T.StringType()), T.StructField("raw_point_count", T.IntegerType()), T.StructField("callsign", T.StringType()), T.StructField("emitter_category", T.StringType()), *BUILT])
 
 
@@ -39,12 +42,11 @@ def _common(points: list[dict], column: str) -> str | None:
 
 
 def _row(icao24: str, points: list[dict]) -> dict | None:
-    clean = [{c: None if p[c] is None or pd.isna(p[c]) else p[c] for c in COLUMNS} for p in points]
-    airborne = [p for p in clean if p["alt_baro"] is not None]
+    airborne = [p for p in points if p["alt_baro"] is not None]
     built = simplify.build(airborne) if len(airborne) >= 2 else None
     if not built or not built["path"]:
         return None
-    return {"icao24": icao24, "raw_point_count": len(points), "callsign": _common(clean, "callsign"), "emitter_category": _common(clean, "emitter_category"), **built}
+    return {"icao24": icao24, "raw_point_count": len(points), "callsign": _common(points, "callsign"), "emitter_category": _common(points, "emitter_category"), **built}
 
 
 def _split(points: list[dict]) -> list[list[dict]]:
@@ -59,21 +61,75 @@ def _split(points: list[dict]) -> list[list[dict]]:
     return out
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = pd.read_json(__import__("io").StringIO(state.get[0]), orient="records", dtype=False).to_dict("records") if state.exists else []
-    if state.hasTimedOut:
-        legs, open_ = (_split(held) if held else []), []
-        state.remove()
-    else:
-        new = [r for frame in frames for r in frame[COLUMNS].to_dict("records")]
-        legs = _split(sorted(held + new, key=lambda p: p["t"]))
-        open_ = legs.pop()
-        state.update((pd.DataFrame(open_, columns=COLUMNS).to_json(orient="records"),))
-        wait = OPEN_GROUND_S if pd.isna(open_[-1]["alt_baro"]) else OPEN_AIR_S
-        state.setTimeoutTimestamp(max(int((open_[-1]["t"] + wait) * 1000), state.getCurrentWatermarkMs() + 1))
-    rows = [r for leg in legs if (r := _row(key[0], leg)) is not None]
-    if rows:
-        yield pd.DataFrame(rows, columns=OUTPUT.names)
+def _plain(record: dict) -> dict:
+    return {c: None if record[c] is None or pd.isna(record[c]) else record[c] for c in COLUMNS}
+
+
+class OpenLegs(StatefulProcessor):
+    """The open leg of each aircraft.
+
+    New reports are appended to the list; it is read when its leg is closed, or when a report comes that is earlier than
+    the last one, and has to be put in its place. A timer closes the leg that no report has gone on with.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reports = handle.getListState("reports", REPORT)
+        self.last = handle.getValueState("last", LAST)
+
+    def _held(self) -> list[dict]:
+        return [dict(zip(COLUMNS, row, strict=True)) for row in self.reports.get()]
+
+    def _keep(self, leg: list[dict], whole: bool) -> None:
+        rows = [tuple(p[c] for c in COLUMNS) for p in leg]
+        if whole:
+            self.reports.put(rows)
+        elif rows:
+            self.reports.appendList(rows)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = sorted((_plain(r) for frame in rows for r in frame[COLUMNS].to_dict("records")), key=lambda p: p["t"])
+        state = self.last.get()
+        last = dict(zip(LAST.names, state, strict=True)) if state is not None else None
+        closed: list[list[dict]] = []
+        if last is not None and new[0]["t"] < last["t"]:
+            closed = _split(sorted(self._held() + new, key=lambda p: p["t"]))
+            leg, whole = closed.pop(), True
+            start, before = leg[0]["t"], leg[-1]
+        else:
+            leg, whole = [], last is None  # ``leg``: what comes after what is held, or, once that is closed, all of the open leg
+            start, before = (last["start"], last) if last is not None else (None, None)
+            for p in new:
+                if before is not None and p["t"] == before["t"]:
+                    continue
+                if before is not None and (p["t"] - start > LONGEST_FLIGHT_S or _parts(before, p)):
+                    closed.append(leg if whole else self._held() + leg)
+                    leg, whole, start = [], True, None
+                leg.append(p)
+                start, before = p["t"] if start is None else start, p
+        self._keep(leg, whole)
+        wait = OPEN_GROUND_S if before["alt_baro"] is None else OPEN_AIR_S
+        timer = max(int((before["t"] + wait) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        if last is None or last["timer"] != timer:
+            if last is not None:
+                self.handle.deleteTimer(last["timer"])
+            self.handle.registerTimer(timer)
+        self.last.update((start, *[before[c] for c in LAST.names[1:-1]], timer))
+        yield from self._rows(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._held()
+        self.reports.clear()
+        self.last.clear()
+        yield from self._rows(key, [held] if held else [])
+
+    def _rows(self, key, legs: list[list[dict]]) -> Iterator[pd.DataFrame]:
+        rows = [r for leg in legs if (r := _row(key[0], leg)) is not None]
+        if rows:
+            yield pd.DataFrame(rows, columns=OUTPUT.names)
+
+    def close(self) -> None:
+        pass
 
 
 def deduplicated(reports: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -85,11 +141,13 @@ def deduplicated(reports: DataFrame, lateness: str = LATENESS) -> DataFrame:
 def flights_stream(reports: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Flights as their legs close: by a later report that begins a new leg, or by silence.
 
-    State is one leg's reports for each aircraft, so a day at most (longer legs are cut). Output has the batch
-    builder's columns.
+    State is one leg's reports for each aircraft, a record each, so a day at most (longer legs are cut); a micro-batch
+    writes its new reports only. Output has the batch builder's columns. The session's state store is set to the one
+    that lists and timers need.
     """
-    rows = deduplicated(reports, lateness)
-    built = rows.groupBy("icao24").applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = deduplicated(reports, lateness).select("icao24", "ts", *[F.col(c).cast(REPORT[c].dataType).alias(c) for c in COLUMNS])
+    built = rows.groupBy("icao24").transformWithStateInPandas(OpenLegs(), OUTPUT, "append", "eventTime")
     return measured(built)
 
 

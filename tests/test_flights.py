@@ -94,28 +94,113 @@ def test_outliers_against_the_sequential_rule():
         assert simplify.plausible(t, lat, lon, alt).tolist() == by_hand(t, lat, lon, alt)
 
 
+def one_by_one(kept, a, b, tolerance, off):
+    """The rule segment by segment: keep the first point that is furthest off, while it is too far off."""
+    if b - a > 1:
+        far = off(np.full(b - a - 1, a), np.full(b - a - 1, b), np.arange(a + 1, b))
+        k = int(np.argmax(far))
+        if far[k] > tolerance:
+            kept.add(a + 1 + k)
+            one_by_one(kept, a, a + 1 + k, tolerance, off)
+            one_by_one(kept, a + 1 + k, b, tolerance, off)
+
+
 def test_time_ratio_keeps_every_report_within_the_tolerance():
     rng = np.random.default_rng(1)
     for _ in range(20):
-        n = 80
+        first = np.array([0, 30, 31, 33])  # ranges of 30, 1, 2 and 80 points
+        n = 113
         t = np.cumsum(rng.uniform(1, 10, n))
-        lat, lon, alt = np.cumsum(rng.normal(0.001, 0.0005, n)), np.cumsum(rng.normal(0.001, 0.0005, n)), np.cumsum(rng.normal(0, 60, n)) + 5000
-        for tolerance, deviation in ((50, simplify.path_deviation(t, lat, lon)), (100, simplify.value_deviation(t, alt))):
-            kept = {0, n - 1}
-            simplify.time_ratio(kept, 0, n - 1, tolerance, deviation)
-            ends = sorted(kept)
-            assert all(deviation(a, b).max() <= tolerance for a, b in zip(ends, ends[1:], strict=False) if b - a > 1) and len(ends) < n
-        both = simplify.kept_vertices(t, lat, lon, alt, ["1"] * 40 + ["2"] * 40)
-        assert {0, 40, n - 1} <= set(both)
+        lat, lon, alt = np.cumsum(rng.normal(0.001, 0.0005, n)), np.cumsum(rng.normal(0.001, 0.0005, n)), np.round(np.cumsum(rng.normal(0, 60, n)), -2) + 5000
+        alt[rng.random(n) < 0.1] = np.nan
+        ranges = list(zip(first, np.append(first[1:], n) - 1, strict=True))
+        for tolerance, deviation in ((50, simplify.path_deviation(t, lat, lon)), (100, simplify.value_deviation(t, alt)), (5, simplify.value_deviation(t, alt % 360, True))):
+            kept = simplify._ends(first, n)
+            simplify.time_ratio(kept, first, tolerance, deviation)
+            want = {int(p) for r in ranges for p in r}
+            for a, b in ranges:
+                one_by_one(want, a, b, tolerance, deviation)
+            assert set(np.flatnonzero(kept).tolist()) == want and len(want) < n
+            for a, b in ranges:
+                ends = [p for p in sorted(want) if a <= p <= b]
+                for x, y in zip(ends, ends[1:], strict=False):
+                    k = np.arange(x + 1, y)
+                    assert y - x < 2 or deviation(np.full(len(k), x), np.full(len(k), y), k).max() <= tolerance
+        code = np.repeat([1, 2], [40, n - 40])
+        both = np.flatnonzero(simplify.kept_vertices(t, lat, lon, alt, code, first))
+        assert {0, 29, 30, 31, 32, 33, 40, n - 1} <= set(both.tolist())
+
+
+def leg(t, squawk=None, track=None, gs=None, alt=None):
+    return [{"t": float(x), "lat": 0.001 * k * k, "lon": 0.0, "alt_baro": 1000.0 if alt is None else alt[k], "track": None if track is None else track[k], "gs": None if gs is None else gs[k], "vr": None, "ias": None, "squawk": None if squawk is None else squawk[k]} for k, x in enumerate(t)]
 
 
 def test_series_and_runs():
-    t = np.arange(5.0)
-    assert simplify.series(t, np.array([350.0, 355, 0, 5, 10]), 5.0, circular=True) == [{"t": 0.0, "v": 350}, {"t": 4.0, "v": 10}]
-    assert simplify.series(t, np.array([np.nan, 1, 2, 3, np.nan]), 5.0) == []
-    assert simplify.squawk_runs(t, ["1", "1", "2", "2", "2"]) == [{"t": 0.0, "v": "1"}, {"t": 2.0, "v": "2"}, {"t": 4.0, "v": "2"}]
+    t = np.arange(5.0) * 10
+    built = simplify.build(leg(t, ["1", "1", "2", "2", "2"], [350.0, 355, 0, 5, 10], [None, 1, 2, 3, None]), simplify=False)
+    assert built["path_tracks"] == [[{"t": 0.0, "v": 350}, {"t": 40.0, "v": 10}]] and built["path_gs"] == [[]]
+    assert built["squawk_seq"] == [[{"t": 0.0, "v": "1"}, {"t": 20.0, "v": "2"}, {"t": 40.0, "v": "2"}]]
+    assert simplify.build(leg(t, [None, "1", None, "2", "1"]), simplify=False)["squawk_seq"] == [[{"t": 10.0, "v": "1"}, {"t": 30.0, "v": "2"}, {"t": 40.0, "v": "1"}]]
+    assert simplify.build(leg(t), simplify=False)["squawk_seq"] == [[]]
     assert simplify.interpolated(t, np.array([350.0, np.nan, np.nan, np.nan, 30]), circular=True).tolist() == [350, 0, 10, 20, 30]
     assert np.isnan(simplify.interpolated(t, np.array([np.nan, 1, np.nan, 3, np.nan]))).tolist() == [True, False, False, False, True]
+    two = np.array([0, 3])
+    assert np.isnan(simplify.interpolated(t, np.array([1.0, np.nan, np.nan, np.nan, 2]), two)).tolist() == [False, True, True, True, False]
+
+
+def test_many_legs_like_each_alone():
+    rng = np.random.default_rng(8)
+    legs = []
+    for n in (0, 1, 2, 3, 40, 200, 7, 0, 90):
+        t = np.cumsum(rng.choice([1.0, 5.0, 10.0, 70.0], n, p=[0.4, 0.3, 0.2, 0.1]))
+        maybe = lambda v: [None if rng.random() < 0.3 else x for x in v]  # noqa: B023, E731
+        points = leg(t, maybe(rng.choice(["1", "2"], n)), maybe(rng.uniform(0, 360, n)), maybe(rng.uniform(100, 200, n)), rng.normal(5000, 300, n).tolist())
+        for k, p in enumerate(points):
+            p["lat"] = 0.002 * k + (5.0 if rng.random() < 0.05 else 0.0)
+        legs.append(points)
+    import pyarrow as pa
+
+    rows = pa.array([*legs, None], pa.list_(simplify.POINT))
+    for clean in (True, False):
+        for simple in (True, False):
+            whole = simplify.build_all(rows.slice(2), clean, simple)
+            for k, points in enumerate(legs[2:]):
+                assert {c: v[k].as_py() for c, v in whole.items()} == simplify.build(points, clean, simple)
+            assert whole["path"][len(legs) - 2].as_py() == [] and whole["dropped"][len(legs) - 2].as_py() == 0
+    assert simplify.build_all(rows.slice(0, 0))["path"].to_pylist() == []
+    batch = pa.RecordBatch.from_arrays([rows], names=["points"])
+    assert [b.num_rows for b in simplify.shares(batch, "points", 50)] == [5, 1, 2, 1, 1]
+
+
+def test_thinned_series():
+    import pyarrow as pa
+
+    flat = [{"t": float(k), "v": float(v)} for k, v in enumerate([0, 10, 20, 500, 40, 50])]
+    series = pa.array([[flat, [], flat[:1]], None, [], [[]]], pa.list_(pa.list_(pa.struct([("t", pa.float64()), ("v", pa.float64())]))))
+    out = simplify.thinned(series, lambda v: np.full(len(v), 100.0)).to_pylist()
+    assert [[[x["t"] for x in p] for p in r] if r is not None else None for r in out] == [[[0, 2, 3, 4, 5], [0]], None, [], []]
+
+
+def test_long_legs_are_cut_by_links(spark):
+    """Against the greedy rule, for legs of ties, gaps and single reports; results do not depend on the order of rows."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for icao in ("a", "b", "c", "d"):
+        t, times = 0.0, []
+        for _ in range({"a": 300, "b": 300, "c": 2, "d": 40}[icao]):
+            t += rng.choice([0.0, 1.0, 50.0, 100.0] if icao != "d" else [40.0, 900.0])
+            times.append(t)
+        start, part = times[0], 0
+        for x in times:
+            if x - start > 1000.0:
+                start, part = x, part + 1
+            want[icao, x] = part
+        rows += [(icao, k, x) for k, x in enumerate(times)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, 1, x, k) for i, k, x in rows], "icao24 string, leg long, t double, seq int").repartition(5)
+    out = fl.capped(df, 1000.0).collect()
+    assert len(out) == len(rows) and {(r.icao24, r.t): r.part for r in out} == want and max(want.values()) > 8
+    assert out[0].__fields__ == ["icao24", "leg", "t", "seq", "part"]
 
 
 def test_flight_row(spark):

@@ -19,13 +19,19 @@ def path(*parts):
     return F.array(*[F.array(*map(vertex, p)) for p in parts])
 
 
-T0 = 1743501600.0
+# Two stretches along 20 degrees south, where a degree of longitude is 104.647 km: 0.2 degrees in 400 s at 4,000 ft, and after
+# 0.8 degrees unseen in 2000 s, in which it climbs 8,000 ft, 0.4 degrees in 600 s at 12,000 ft.
+T0 = 1_700_000_000.0
+DEGREE = 104_647
+
+
 @pytest.fixture(scope="module")
 def gap(spark):
-    return path([(10.0, 60, 5000, T0), (10.1, 60, 5000, T0 + 300)], [(10.5, 60, 15000, T0 + 1500), (10.6, 60, 15000, T0 + 1800)])
+    return path([(30.0, -20, 4_000, T0), (30.2, -20, 4_000, T0 + 400)], [(31.0, -20, 12_000, T0 + 2_400), (31.4, -20, 12_000, T0 + 3_000)])
 
 
-WEST = geo.Polygon.of_box(9.9, 59.9, 10.2, 60.1)
+#: Half of the first stretch and half of the gap.
+MIDDLE = geo.Polygon.of_box(30.1, -20.3, 30.6, -19.7)
 
 
 def test_distances(spark):
@@ -39,16 +45,17 @@ def test_distances(spark):
 def test_gap_flight_measures(spark, gap):
     took = lambda **more: value(spark, S.duration_s(S.clip(gap, **more)))
     far = lambda **more: value(spark, S.length_m(S.clip(gap, **more)))
-    assert took() == 1800 and took(stitched=False) == 600
-    assert far() == pytest.approx(33_500, abs=200) and value(spark, S.path_length_m(gap)) == pytest.approx(far())
-    assert took(shape=WEST) == pytest.approx(600, abs=50) and took(shape=WEST, stitched=False) == pytest.approx(300, abs=1)
-    assert took(low=10_000.0) == pytest.approx(900)
-    assert far(t_from=T0 + 1200) == pytest.approx(11_200, abs=300)
+    assert took() == 3_000 and took(stitched=False) == 1_000
+    assert far() == pytest.approx(1.4 * DEGREE, rel=1e-3) and value(spark, S.path_length_m(gap)) == pytest.approx(far())
+    assert took(shape=MIDDLE) == pytest.approx(1_200, abs=0.1) and took(shape=MIDDLE, stitched=False) == pytest.approx(200, abs=0.1)
+    assert took(low=8_000.0) == pytest.approx(1_600) and took(high=8_000.0, stitched=False) == pytest.approx(400)
+    assert far(t_from=T0 + 1_400) == pytest.approx(0.8 * DEGREE, rel=1e-3)
 
 
 def test_circle_and_polygon_clip_agree(spark, gap):
-    circle = geo.Circle(10.3, 60.0, 8_000.0)
-    ring = tuple((10.3 + 8_000 / S._metres_per_degree(60.0)[0] * math.cos(a), 60 + 8_000 / S._metres_per_degree(60.0)[1] * math.sin(a)) for a in [2 * math.pi * k / 360 for k in range(361)])
+    circle = geo.Circle(30.7, -20.0, 55_000.0)
+    east, north = S._metres_per_degree(-20.0)
+    ring = tuple((30.7 + 55_000 / east * math.cos(a), -20 + 55_000 / north * math.sin(a)) for a in [2 * math.pi * k / 360 for k in range(361)])
     a, b = (value(spark, S.duration_s(S.clip(gap, s))) for s in (circle, geo.Polygon((ring,))))
     assert a == pytest.approx(b, rel=1e-3) and a > 0
 
@@ -63,10 +70,10 @@ def test_polygon_with_hole_and_vertex_hits(spark):
 
 
 def test_meets_and_stays(spark, gap):
-    assert value(spark, S.meets(gap, WEST)) and not value(spark, S.meets(gap, geo.Polygon.of_box(10.25, 59.9, 10.4, 60.1)))  # in the gap
-    assert value(spark, S.stays_within(gap, geo.Polygon.of_box(9, 59, 11, 61))) and not value(spark, S.stays_within(gap, WEST))
-    assert value(spark, S.meets(gap, geo.from_geojson({"type": "LineString", "coordinates": [[10.05, 59], [10.05, 61]]})))
-    assert not value(spark, S.meets(gap, geo.from_geojson({"type": "Point", "coordinates": [10.05, 60.5]})))
+    assert value(spark, S.meets(gap, MIDDLE)) and not value(spark, S.meets(gap, geo.Polygon.of_box(30.4, -20.3, 30.8, -19.7)))  # in the gap
+    assert value(spark, S.stays_within(gap, geo.Polygon.of_box(29, -21, 32, -19))) and not value(spark, S.stays_within(gap, MIDDLE))
+    assert value(spark, S.meets(gap, geo.from_geojson({"type": "LineString", "coordinates": [[31.1, -21], [31.1, -19]]})))
+    assert not value(spark, S.meets(gap, geo.from_geojson({"type": "Point", "coordinates": [31.1, -20.5]})))
     u = geo.Polygon((((0, 0), (10, 0), (10, 10), (8, 10), (8, 2), (2, 2), (2, 10), (0, 10)),))
     across = path([(1, 5, 0, 0), (9, 5, 0, 10)])
     assert not value(spark, S.stays_within(across, u)) and value(spark, S.meets(across, u))

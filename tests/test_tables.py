@@ -149,7 +149,99 @@ def test_exports_are_well_formed(spark):
         assert "A<&>'\"" in doc.documentElement.toxml() or doc.getElementsByTagName("name")[0].firstChild.data == "A<&>'\""
     feature = json.loads(exports.geojson_features(rows).first().value)
     assert feature["geometry"]["type"] == "MultiLineString" and feature["properties"]["callsign"] == "A<&>'\""
-    assert exports.csv_lines(rows).columns[:5] == ["flight_id", "icao24", "callsign", "seq", "point_idx"]
+    assert exports.csv_lines(rows).columns == exports.CSV_COLUMNS and exports.csv_lines(rows).first().registration is None
+    owned = rows.withColumn("af", F.struct(F.lit("X-OWN").alias("registration"), F.lit("Own, Jet").alias("model"), F.lit("Own ]]> Lines").alias("operator")))
+    one, feature = exports.csv_lines(owned).first(), json.loads(exports.geojson_features(owned).first().value)
+    assert (one.registration, one.model) == ("X-OWN", "Own, Jet") and one.start_ts < one.end_ts and one.timestamp_utc == one.start_ts
+    assert list(feature["properties"]) == ["flight_id", "icao24", "callsign", "registration", "model", "operator", "icao_type", "start_ts", "end_ts"]
+    assert feature["properties"]["operator"] == "Own ]]> Lines" and feature["properties"]["icao_type"] is None
+    about = dom.parseString(exports.whole_document(exports.kml_placemarks(owned), exports.KML).first().value).getElementsByTagName("description")[0]
+    said = "".join(n.data for n in about.childNodes)
+    assert said.splitlines()[1:4] == ["Reg: X-OWN", "Model: Own, Jet", "Operator: Own ]]> Lines"] and len(said.splitlines()) == 6
+
+
+def test_split_archives(spark, tmp_path):
+    """Members of an archive in two parts, of a whole one, and of one that breaks off; members that cannot be unpacked are named."""
+    import io
+    import tarfile
+
+    from skein.sources import archives
+
+    def tar(*members):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for name, body in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+        return out.getvalue()
+
+    packed = lambda icao: gzip.compress(trace(icao=icao).encode())
+    whole = tar(("./traces/aa/trace_full_3f00aa.json", packed("3F00AA")), ("index.json", b"{}"), ("traces/bb/trace_full_3f00bb.json.gz", packed("3F00BB")), ("traces/cc/broken.json.gz", packed("3F00CC")[:40]), ("traces/dd/pic.png", b"x"), ("traces/ee/trace_full_3f00ee.json", trace(icao="3F00EE").encode()))
+    (tmp_path / "day").mkdir()
+    cut = len(whole) // 3  # in the middle of a member
+    (tmp_path / "day/v1-prod.tar.aa").write_bytes(whole[:cut])
+    (tmp_path / "day/v1-prod.tar.ab").write_bytes(whole[cut:])
+    (tmp_path / "day/v2.tar").write_bytes(tar(("traces/trace_full_3f00ff.json", packed("3F00FF"))))
+    (tmp_path / "day/v3.tar").write_bytes(tar(("traces/trace_full_3f0011.json", packed("3F0011")), ("traces/t.json", b"y" * 5000))[:3000])
+    (tmp_path / "day/readme.txt").write_text("no archive")
+    raw = archives.read_archives(spark, str(tmp_path / "day"), "2025-06-15")
+    rows = traces.points(raw).select("icao24", "t").collect()
+    assert sorted({r.icao24 for r in rows}) == ["3f0011", "3f00aa", "3f00bb", "3f00ee", "3f00ff"] and len(rows) == 15
+    assert {r.name for r in traces.rejects(raw).collect()} >= {"traces/cc/broken.json.gz"}
+    assert archives.archives(["b.tar.ab", "a.tar", "b.tar.aa", "c.tar.gz", "d.json"]) == [["a.tar"], ["b.tar.aa", "b.tar.ab"]]
+
+
+def test_as_of_two_tables(spark):
+    import random
+
+    from skein.operators.asof import as_of
+
+    rng = random.Random(6)
+    some = lambda v, p=0.1: None if rng.random() < p else v
+    left = [(k, some(rng.choice("ab")), rng.choice("xy"), some(float(rng.randint(0, 60)))) for k in range(200)]
+    right = [(100 + k, some(rng.choice("ab")), rng.choice("xyz"), some(float(rng.randint(0, 60)))) for k in range(80)]
+    names = "n int, g string, h string, t double"
+    a, b = spark.createDataFrame(left, names).repartition(3), spark.createDataFrame(right, names.replace("t double", "at double")).repartition(2)
+
+    def brute(within=None):
+        out = {}
+        for n, g, h, t in left:
+            fits = [(x, m) for m, i, j, x in right if None not in (g, i, t, x) and (i, j) == (g, h) and x <= t and (within is None or t - x <= within)]
+            out[n] = max(fits)[1] if fits else None
+        return out
+
+    for stretch in (7.0, 1e9):
+        got = as_of(a, b, ["g", "h"], right_t="at", ties=["n"], stretch=stretch).collect()
+        assert len(got) == len(left) and {r.n: r.as_of and r.as_of.n for r in got} == brute()
+    near = as_of(a, b, ["g", "h"], right_t="at", ties=["n"], within=5.0, stretch=4.0, name="seen")
+    assert {r.n: r.seen and r.seen.n for r in near.collect()} == brute(5.0) != brute()
+    assert as_of(a.limit(0), b, ["g"], right_t="at").count() == 0
+    assert as_of(a, b.limit(0), ["g"], right_t="at").where("as_of IS NULL").count() == len(left)
+
+
+def test_token_index(spark, tmp_path):
+    from skein.operators import lookups
+
+    points = spark.createDataFrame([("w1", "airport", "Nord Field", "NFLD", 3, 1.0, 2.0), ("w2", "airport", "Nord Closed", "NCLO", 8, 1.0, 2.0), ("w3", "navaid", "Nordic Star", "NST", None, 1.0, 2.0), ("w4", "reporting_point", "Örnö nord-field", None, None, 1.0, 2.0)], "id string, kind string, name string, ident string, type_code int, lon double, lat double")
+    areas = spark.createDataFrame([("s1", "NORD FIELD CTR", 4, 0.0, 0.0, 1.0, 1.0)], "id string, name string, type_code int, min_lon double, min_lat double, max_lon double, max_lat double")
+    path = str(tmp_path / "index")
+    lookups.store_index(lookups.token_index(points, areas), path)
+    index = spark.read.parquet(path)
+    for q in ("nord", "no fie", "field NORD", "nfld", "ör", "ö", "zz", "", "  ", "nord nord", "s", "nordi"):
+        for kinds in (None, ["airport", "airspace"]):
+            want = [(r.id, r.kind, r.name) for r in lookups.search(points, areas, q, kinds).collect()]
+            assert [(r.id, r.kind, r.name) for r in lookups.search_index(index, q, kinds).collect()] == want, q
+    assert [r.id for r in lookups.search_index(index, "nord", limit=2).collect()] == ["w1", "w3"]
+    said = lookups.search_index(index, "fie")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(token,fie)" in said and "LessThanOrEqual(token,fie" in said
+
+
+def test_airspace_labels(spark):
+    from skein.functions import text
+
+    rows = spark.createDataFrame([(4, 3), (13, 0), (23, 6), (24, 8), (None, None)], "t int, c int")
+    assert [tuple(r) for r in rows.select(text.airspace_type(F.col("t")), text.airspace_class(F.col("c"))).collect()] == [("CTR", "D"), ("ATZ", "A"), ("Sport", "G"), (None, None), (None, None)]
 
 
 def test_daily_build_twice_is_idempotent(spark, tmp_path):
