@@ -257,15 +257,21 @@ def thin(series: Column, step: float) -> Column:
 
 
 def cells_of(path: Column, size: float, reach_m: float = 11_300.0) -> Column:
-    """Distinct grid cells along the path: sampled at most ``reach_m`` apart, in every stretch of coverage."""
+    """Distinct grid cells along the path: sampled at most ``reach_m`` apart, in every stretch of coverage.
+
+    A segment with both ends in one cell stays in it; only the others are sampled.
+    """
     from .geo import cell
 
+    at = lambda s, k: cell(s[f"lon{k}"], s[f"lat{k}"], size)
+
     def one(s):
         n = F.greatest(F.lit(1), F.ceil(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"]) / reach_m).cast("int"))
         return F.transform(F.sequence(F.lit(0), n), lambda k: cell(s["lon0"] + (s["lon1"] - s["lon0"]) * k / n, s["lat0"] + (s["lat1"] - s["lat0"]) * k / n, size))
 
-    ends = F.transform(F.flatten(path), lambda v: cell(v["lon"], v["lat"], size))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(segments(path, stitched=False), one)), ends)))
+    ends = F.array_distinct(F.transform(F.flatten(path), lambda v: cell(v["lon"], v["lat"], size)))
+    crossing = F.filter(segments(path, stitched=False), lambda s: at(s, 0) != at(s, 1))
+    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(crossing, one)), ends)))
 
 
 def densify(path: Column, reach_m: float = 90.0) -> Column:
