@@ -43,10 +43,11 @@ BUILT = T.StructType([
 def merge_reports(staged: DataFrame, new: DataFrame) -> DataFrame:
     """Staged and new points of each aircraft; of equal instants the first stays, staged ones before new ones.
 
-    The aircraft type is that of the new points, else the staged one. Aircraft that only one side has stay.
+    Of reports of one side the first by trace (where there is one) and place stays. The aircraft type is that of the new
+    points, else the staged one. Aircraft that only one side has stay.
     """
     both = staged.withColumn("src", F.lit(0)).unionByName(new.withColumn("src", F.lit(1)), allowMissingColumns=True)
-    rank = F.row_number().over(Window.partitionBy("icao24", "t").orderBy("src", "seq"))
+    rank = F.row_number().over(Window.partitionBy("icao24", "t").orderBy("src", *(["trace"] if "trace" in both.columns else []), "seq"))
     rows = both.withColumn("rank", rank).where("rank = 1").drop("rank")
     kinds = both.groupBy("icao24").agg(F.max_by("icao_type", F.when(F.col("icao_type").isNotNull(), F.col("src"))).alias("kind"))
     return rows.join(kinds, "icao24", "left").withColumn("icao_type", F.col("kind")).drop("kind", "src")

@@ -613,4 +613,4 @@ def x01_identifiers(spark, sf_dir):
     return rows.select("event_id", text.flight_id(text.icao24(F.col("icao24")), F.timestamp_micros(F.floor(F.col("t")) * 1_000_000)).alias("flight_id"), text.norm(F.col("callsign")).alias("callsign"))
 
 
-from . import catalog_tables  # noqa: E402, F401  (adds its queries to these)
+from . import catalog_parts, catalog_tables  # noqa: E402, F401  (they add their queries to these)
