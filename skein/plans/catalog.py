@@ -54,8 +54,13 @@ def built_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.build_flights(fl.capped(legs(spark, sf_dir)), clean=False, simplified=False)
 
 
+def sources(sf_dir: str) -> list[str]:
+    """The tables that flights and their dimensions are made from."""
+    return [f"{sf_dir}/{name}.parquet" for name in ("events", "nation", "customer")]
+
+
 def flights_path(spark: SparkSession, sf_dir: str) -> str:
-    return stored_path(spark, f"flights of {sf_dir}", lambda path: tables.upsert_flights(spark, path, built_flights(spark, sf_dir)))
+    return stored_path(spark, f"flights of {sf_dir}", lambda path: tables.upsert_flights(spark, path, built_flights(spark, sf_dir)), sources(sf_dir))
 
 
 def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +338,7 @@ def nation_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def high_path(spark: SparkSession, sf_dir: str) -> str:
     """Flights with their heights above the nations' tiles, at every vertex."""
     built = lambda: enrich.with_agl(raw_flights(spark, sf_dir), nation_dem(spark, sf_dir), reach_m=1e9, pixels=4, thin=False)
-    return stored_path(spark, f"heights of {sf_dir}", lambda path: tables.upsert_flights(spark, path, built()))
+    return stored_path(spark, f"heights of {sf_dir}", lambda path: tables.upsert_flights(spark, path, built()), sources(sf_dir))
 
 
 def level(match: P.Predicate) -> Query:

@@ -14,7 +14,7 @@ from ..operators.asof import as_of
 from ..session import cut, stored_path
 from ..sources.synthetic import oracle, view
 from . import predicates as P
-from .catalog import BOX, FLIGHT, LENGTHS, SPACES, SQL, T0, TRACKS, VERTICES, built_flights, flights_path, points, query, raw_flights
+from .catalog import BOX, FLIGHT, LENGTHS, SPACES, SQL, T0, TRACKS, VERTICES, built_flights, flights_path, points, query, raw_flights, sources
 from .engine import Engine, Request, in_window
 
 WEEK_S = 604_800.0
@@ -37,7 +37,7 @@ def weekly_path(spark: SparkSession, sf_dir: str) -> str:
         built = fl.build_flights(fl.capped(fl.legs(fl.deduplicated(weekly_points(spark, sf_dir)))), clean=False, simplified=False)
         tables.upsert_flights(spark, path, built.withColumn("ingest_batch_date", F.to_date("start_ts")))
 
-    return stored_path(spark, f"weeks of flights of {sf_dir}", write)
+    return stored_path(spark, f"weeks of flights of {sf_dir}", write, sources(sf_dir))
 
 
 def moment(seconds: float) -> datetime:
@@ -110,7 +110,7 @@ def c02_flights_in_cells(spark, sf_dir):
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A table of its own for a query that writes: the four weeks' flights."""
     whole = tables.read_flights(spark, weekly_path(spark, sf_dir)).select("icao24", "start_ts", "start_t", "raw_point_count", "cells", "ingest_batch_date", "start_week")
-    path = stored_path(spark, f"weeks to change of {sf_dir}", lambda p: None)
+    path = stored_path(spark, f"weeks to change of {sf_dir}", lambda p: None, sources(sf_dir))
     if tables.current(spark, path) is None:
         tables.upsert_flights(spark, path, whole)
     return path, whole
@@ -131,7 +131,7 @@ def w07_batch_rewritten(spark, sf_dir):
 def w08_weeks_retained(spark, sf_dir):
     """Weeks that end before a day are dropped as folders; the others' files stay as they are."""
     whole = tables.read_flights(spark, weekly_path(spark, sf_dir)).select("icao24", "start_ts", "start_t", "cells", "start_week")
-    path = stored_path(spark, f"weeks to drop of {sf_dir}", lambda p: tables.upsert_flights(spark, p, whole))
+    path = stored_path(spark, f"weeks to drop of {sf_dir}", lambda p: tables.upsert_flights(spark, p, whole), sources(sf_dir))
     writes.drop_weeks(spark, path, date(2024, 1, 16))
     return tables.read_flights(spark, path).select("icao24", "start_t", "start_week")
 
@@ -161,7 +161,7 @@ def j09_fix_within_two_minutes(spark, sf_dir):
 
 def index_path(spark: SparkSession, sf_dir: str) -> str:
     index = lambda: lookups.token_index(view(spark, sf_dir, "airports"), view(spark, sf_dir, "airspaces"))
-    return stored_path(spark, f"tokens of {sf_dir}", lambda path: lookups.store_index(index(), path))
+    return stored_path(spark, f"tokens of {sf_dir}", lambda path: lookups.store_index(index(), path), sources(sf_dir))
 
 
 @query(SQL["r01_search"])

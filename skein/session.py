@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 def session(app: str = "skein", **conf: str) -> SparkSession:
@@ -32,9 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_path(spark: SparkSession, name: str, write) -> str:
-    """Where ``write(path)`` has put a table, once for a session, under the shared folder."""
-    key = (spark.sparkContext.applicationId, name)
+def state_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """Sizes and times of change of some inputs, by which a table made from them is told from one of other contents."""
+    out = []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out.append((fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()))
+    return tuple(out)
+
+
+def stored_path(spark: SparkSession, name: str, write, made_from: list[str] | None = None) -> str:
+    """Where ``write(path)`` has put a table, once for a session and the contents of ``made_from``, under the shared folder."""
+    key = (spark.sparkContext.applicationId, name, state_of(spark, made_from or []))
     if key not in _STORED:
         path = f"{scratch_dir(spark)}/skein-stored-{uuid.uuid4().hex}"
         write(path)
@@ -42,6 +52,6 @@ def stored_path(spark: SparkSession, name: str, write) -> str:
     return _STORED[key]
 
 
-def stored(spark: SparkSession, name: str, build) -> DataFrame:
-    """The table ``build()`` gives, written once for a session and read from there by later queries."""
-    return spark.read.parquet(stored_path(spark, name, lambda path: build().write.parquet(path)))
+def stored(spark: SparkSession, name: str, build, made_from: list[str] | None = None) -> DataFrame:
+    """The table ``build()`` gives, written once as above and read from there by later queries."""
+    return spark.read.parquet(stored_path(spark, name, lambda path: build().write.parquet(path), made_from))

@@ -258,6 +258,103 @@ def test_daily_build_twice_is_idempotent(spark, tmp_path):
     assert [(s.status, s.flight_count) for s in states] == [("succeeded", built.count())]
 
 
+class Held:
+    """A list and a value in state, as the stream has them; what is written is counted."""
+
+    def __init__(self):
+        self.rows, self.value, self.timers, self.appended, self.rewritten = [], None, set(), 0, 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def getValueState(self, name, schema):  # noqa: N802
+        outer = self
+
+        class Value:
+            get = staticmethod(lambda: outer.value)
+            update = staticmethod(lambda v: setattr(outer, "value", v))
+            clear = staticmethod(lambda: setattr(outer, "value", None))
+
+        return Value()
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows, self.appended = self.rows + rows, self.appended + len(rows)
+
+    def put(self, rows):
+        self.rows, self.rewritten = list(rows), self.rewritten + len(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_open_legs_in_any_batches_are_those_of_one():
+    """Batches of any size, late reports among them: the same legs; new reports are appended, the list is not written again."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    t, reports = 0.0, []
+    for _ in range(400):
+        t += rng.choice([5.0, 20.0, 50.0, 700.0])
+        reports.append({**dict.fromkeys(stream.COLUMNS), "t": t, "lat": 0.0005 * t % 1, "lon": 0.0, "alt_baro": rng.choice([None, 1000.0, 1500.0, 1500.0]), "new_leg": rng.random() < 0.02, "callsign": rng.choice([None, "OWN1"])})
+    want = [(p[0]["t"], p[-1]["t"], len(p)) for p in stream._split(reports)]
+    assert len(want) > 8
+    plain = stream._row
+    for late in (False, True):
+        seen, held, legs = list(reports), Held(), stream.OpenLegs()
+        if late:
+            for k in range(0, 390, 7):  # neighbours change places
+                seen[k], seen[k + 1] = seen[k + 1], seen[k]
+        legs.init(held)
+        got: list = []
+        stream._row = lambda icao24, points: got.append((points[0]["t"], points[-1]["t"], len(points)))  # noqa: B023
+        try:
+            k = 0
+            while k < len(seen):
+                n = rng.randint(1, 5)
+                if late and k % 7 == 0:
+                    n += 1
+                list(legs.handleInputRows(("a",), iter([pd.DataFrame(seen[k : k + n])]), held))
+                k += n
+            assert len(held.timers) == 1
+            list(legs.handleExpiredTimer(("a",), held, None))
+        finally:
+            stream._row = plain
+        assert not held.rows and held.value is None
+        assert sum(n for *_, n in got) == len(reports)
+        if late:  # a report that comes after its leg was closed begins another one
+            assert got[-1] == want[-1] and len(set(got) & set(want)) > len(want) / 2
+        else:  # a report is written once at most, those of a leg that the batch closes never
+            assert got == want and held.appended + held.rewritten <= len(reports)
+
+
+def test_week_manifest_hash_of_a_fixed_table(spark):
+    """The hash is the sum of the rows' chained 64-bit hashes, by another implementation."""
+    import struct
+
+    import xxhash
+
+    rows = [("a", 1, 5), ("b", 2, -7), ("é", 3, 0)]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    chain = lambda s, *numbers: [h := xxhash.xxh64(s.encode(), 42).intdigest(), *[h := xxhash.xxh64(struct.pack("<q", n), h).intdigest() for n in numbers]][-1]
+    table = spark.createDataFrame(rows, "s string, n long, m long").withColumn("start_week", F.lit(date(2025, 6, 9)))
+    got = writes.week_manifest(table).first()
+    assert got.row_count == 3 and int(got.content_hash) == sum(signed(chain(*r)) for r in rows)
+
+
 def test_stream_makes_the_batch_builders_flights(spark, tmp_path):
     rows = view(spark, SF, "tracks").withColumnRenamed("event_id", "seq")
     full = rows.select("icao24", "t", "lat", "lon", "alt_baro", *[F.lit(None).cast("double").alias(c) for c in ("track", "gs", "vr", "ias")], "squawk", "callsign", "emitter_category", "new_leg")

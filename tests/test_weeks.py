@@ -142,3 +142,20 @@ def test_pages_over_weeks(spark, weekly):
         seen = [(r.start_ts, r.icao24) for p in pages for r in p.rows]
         assert seen == sorted(seen, reverse=True) and len(seen) == len(set(seen)) == weekly.flights.count()
         assert all(len(p.rows) <= limit for p in pages) and pages[-1].cursor is None
+
+
+def test_stored_tables_follow_their_inputs(spark, tmp_path):
+    from skein.session import stored
+
+    source = str(tmp_path / "in.parquet")
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(source)
+
+    for n in (3, 3, 5):
+        if n != 3 or not made:
+            spark.range(n).write.mode("overwrite").parquet(source)
+        assert stored(spark, f"rows of {source}", build, [source]).count() == n
+    assert len(made) == 2
