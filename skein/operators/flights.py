@@ -220,12 +220,14 @@ def build_flights(rows: DataFrame, order: str = "seq", clean: bool = True, simpl
 
 def native_paths(rows: DataFrame, gap_s: float = AIR_GAP_S) -> DataFrame:
     """Paths of all points, split at coverage gaps, without Python: what ``build`` gives with nothing left out."""
-    flat, n = F.col("points"), F.size("points")
+    n = F.size("points")
+    # as the variable of a lambda the points are read once: filters on what follows take these expressions down to the groups
+    once = lambda make: F.flatten(F.transform(F.array("points"), make))
     # places of the points after a gap; parts are slices between them, so the work is linear in the points
-    breaks = F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.get(flat, k)["t"] - F.get(flat, k - 1)["t"] > gap_s)
+    breaks = once(lambda flat: F.filter(F.sequence(F.lit(1), F.size(flat) - 1), lambda k: F.get(flat, k)["t"] - F.get(flat, k - 1)["t"] > gap_s))
     rows = rows.withColumn("__breaks", F.when(n > 1, breaks).otherwise(F.array().cast("array<int>")))
     edges = F.zip_with(F.concat(F.array(F.lit(0)), "__breaks"), F.concat("__breaks", F.array(n)), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-    parts = F.transform(edges, lambda e: F.slice(flat, e["i"] + 1, e["j"] - e["i"]))
+    parts = once(lambda flat: F.transform(edges, lambda e: F.slice(flat, e["i"] + 1, e["j"] - e["i"])))
     rows = rows.withColumn("__parts", F.filter(parts, lambda x: F.size(x) >= 2))
     path = F.transform("__parts", lambda part: F.transform(part, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), p["alt_baro"].alias("alt"), p["t"].alias("t"))))
 
@@ -233,8 +235,9 @@ def native_paths(rows: DataFrame, gap_s: float = AIR_GAP_S) -> DataFrame:
         return F.transform("__parts", lambda part: F.transform(F.filter(part, lambda p: p[c].isNotNull()), lambda p: F.struct(p["t"].alias("t"), p[c].cast(kind).alias("v"))))
 
     def runs(part: Column) -> Column:
-        coded = F.filter(part, lambda p: p["squawk"].isNotNull())
-        change = F.filter(coded, lambda p, k: (k == 0) | (p["squawk"] != F.get(coded, k - 1)["squawk"]))
+        # as the variable of a lambda the codes are filtered once, not for each of them
+        coded = F.array(F.filter(part, lambda p: p["squawk"].isNotNull()))
+        change = F.flatten(F.transform(coded, lambda c: F.filter(c, lambda p, k: (k == 0) | (p["squawk"] != F.get(c, k - 1)["squawk"]))))
         item = lambda p, t: F.struct(t.alias("t"), p["squawk"].alias("v"))
         out, last, end = F.transform(change, lambda p: item(p, p["t"])), F.try_element_at(change, F.lit(-1)), F.try_element_at(part, F.lit(-1))["t"]
         return F.when((F.size(change) > 0) & (last["t"] < end), F.concat(out, F.array(item(last, end)))).otherwise(out)
