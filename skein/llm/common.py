@@ -42,15 +42,18 @@ def cut(df: DataFrame, **options) -> DataFrame:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the jobs inside: where a row holds whole texts, a batch is held twice, by Spark and by Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def batches_of(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows and about ``size`` bytes at most for the jobs inside: where a row holds whole texts, a batch is held twice, by Spark and by Python."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], str(min(rows, int(before[0])) if int(before[0]) > 0 else rows))
+    if size:
+        spark.conf.set(names[1], f"{size}b")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

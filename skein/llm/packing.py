@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, slices, texts, words_of
+from .common import batches_of, cut, slices, texts, words_of
 
 #: Rows that one numbering group holds on average; a length with more rows is numbered in several groups.
 GROUP_ROWS = 5_000
 #: Text bytes that are encoded at once.
 ENCODE_BYTES = 8 << 20
+#: The same where sequences follow an order, a stage behind others whose workers and heap are still there; and rows and bytes of an Arrow batch.
+ORDERED_BYTES, ORDERED_ROWS, ORDERED_BATCH = 1 << 20, 2_000, 4 << 20
 #: Distinct words whose ids a task keeps in each of two generations (about 180 bytes each).
 CACHE_WORDS = 120_000
 #: Documents that are packed together where sequences follow an order: their sequences stand in it up to so many documents.
@@ -146,17 +148,17 @@ class WordCoder:
 _LOWER = {b: b + 32 for b in range(65, 91)}
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, more: tuple[str, ...] = ()) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, more: tuple[str, ...] = (), at_once: int = ENCODE_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of at most ``capacity`` ids that each document's ids make.
 
-    ``more``: long columns of ``docs`` that its pieces get too.
+    ``more``: long columns of ``docs`` that its pieces get too. ``at_once``: text bytes that are encoded at once.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", *more))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(tokenizer)  # a task's own: what it keeps goes with it
         for batch in batches:
-            for part in slices(batch, "text", ENCODE_BYTES):
+            for part in slices(batch, "text", at_once):
                 ids, per_row = coder.encode(part.column("text"), end_id)
                 data, n_pieces = ids.tobytes(), -(-per_row // capacity)
                 owner = np.repeat(np.arange(len(per_row)), n_pieces)
@@ -418,7 +420,7 @@ def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     Ranges of ``range_rows`` consecutive documents are packed each by itself, so the sequences of a range hold just its
     documents; ids rise from range to range, and within one by the mean rank of what the sequences hold.
     """
-    pieces = token_pieces(docs, tokenizer, capacity, end_id, ("__rank",)).withColumn("__range", F.floor(F.col("__rank") / range_rows).cast("long"))
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, ("__rank",), ORDERED_BYTES).withColumn("__range", F.floor(F.col("__rank") / range_rows).cast("long"))
     schema = T.StructType.fromDDL("doc_id long, piece int, start long, length long, ids_crc32 long, __range long, sequence_id long, offset long")
 
     def place(table: pa.Table) -> pa.Table:
@@ -443,7 +445,8 @@ def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         number[np.argsort(mean, kind="stable")] = np.arange(len(mean))
         return pa.table([*(table.column(c) for c in schema.names[:-2]), pa.array(number[own]), pa.array(offset)], names=schema.names)
 
-    placed = cut(pieces.groupBy("__range").applyInArrow(place, schema))
+    with batches_of(docs.sparkSession, ORDERED_ROWS, ORDERED_BATCH):
+        placed = cut(pieces.groupBy("__range").applyInArrow(place, schema))
     used = placed.groupBy("__range").agg((F.max("sequence_id") + 1).alias("n"))
     first = used.select("__range", (F.sum("n").over(Window.orderBy("__range")) - F.col("n")).alias("first"))  # one row a range
     return placed.join(first, "__range").withColumn("sequence_id", F.col("first") + F.col("sequence_id")).drop("__range", "first")

@@ -28,6 +28,8 @@ ROUNDS = 2
 HEADS = 3
 #: Rows of texts, and of pairs of texts, that Spark and a Python task hold at once.
 BATCH_ROWS, BATCH_PAIRS = 2_000, 500
+#: Bytes of them: long texts come in smaller batches.
+BATCH_BYTES = 4 << 20
 #: Shingles at most that are put last in the order of shingles (8 bytes each, in every worker).
 FREQUENT = 500_000
 
@@ -218,12 +220,12 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
     """
     spark = rows.sparkSession
     counts = prefixes(rows, shingle, similarity, np.zeros(0, np.uint64)).groupBy("h").count().where(F.col("count") > bucket)
-    with batches_of(spark, BATCH_ROWS):
+    with batches_of(spark, BATCH_ROWS, BATCH_BYTES):
         frequent = np.sort(counts.orderBy(F.desc("count")).limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
     items = prefixes(rows, shingle, similarity, frequent)
     # two texts of sizes x and y have similarity t only if they share t / (1 + t) (x + y) shingles, none of them before this one
     most = F.floor((F.col("size") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("size") + 1e-6).cast("int")
-    with batches_of(spark, BATCH_ROWS):
+    with batches_of(spark, BATCH_ROWS, BATCH_BYTES):
         items = cut(items.withColumn("most", most).drop("pos"))
     if not rows.groupBy("node").count().where("count > 1").isEmpty():
         items = cut(items.dropDuplicates(["h", "node"]))
@@ -240,7 +242,7 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         body = cut(rows.select("node", "text").join(F.broadcast(wanted) if few else wanted, "node").dropDuplicates(["node"]))
         side = lambda c: body.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        with batches_of(spark, BATCH_PAIRS):
+        with batches_of(spark, BATCH_PAIRS, BATCH_BYTES):
             return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle).where(F.col("similarity") >= similarity))
 
     links: list[DataFrame] = []
