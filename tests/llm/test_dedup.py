@@ -220,8 +220,7 @@ def test_near_duplicates_recall_on_documents(spark):
     alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     pairs = [(a, b) for a in sets for b in sets if a < b and alike(a, b) >= 0.8]
     assert all(any(alike(a, b) >= 0.8 for b in sets if b != a) for a in lost)
-    missed = [p for p in pairs if p[0] in kept and p[1] in kept]
-    assert len(missed) <= 0.05 * max(1, len(pairs))
+    assert pairs and not [p for p in pairs if p[0] in kept and p[1] in kept]  # none is missed
 
 
 @pytest.mark.parametrize(("bucket", "rounds"), [(32, 6), (2, 1), (2, 4)])

@@ -453,7 +453,7 @@ def test_toxicity_edges(spark, edge_docs, edge_rows, empty_docs):
 
 def test_queries_are_named_and_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 14)), "pipeline"] and set(queries.oracle_sql()) <= set(names)
 
 
 def test_pipeline_stages(spark):
