@@ -439,6 +439,57 @@ def test_toxicity_held_out(spark):
     assert sum(right) / len(right) > 0.95 and sum(r.p_toxic >= 0.5 for r in toxic) / len(toxic) > 0.7
 
 
+def test_toxicity_is_the_chain_written_out(spark):
+    """Words chosen, folds held out, and models fitted by plain Newton steps, row by row."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS)).alias("fold")).dropna(subset=["doc_id", "quality", "toxic"]).collect()
+    bags = [Counter(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in rows]
+    sides, fold = [[float(r.quality == 0) for r in rows], [float(r.toxic == 1) for r in rows]], np.array([r.fold for r in rows])
+
+    def clear(at):
+        out = set()
+        for y in sides:
+            share, have = sum(y[i] for i in at) / len(at), defaultdict(list)
+            for i in at:
+                for w in bags[i]:
+                    have[w].append(y[i])
+            off = {w: abs(sum(v) - len(v) * share) / math.sqrt(len(v) * share * (1 - share)) for w, v in have.items() if len(v) >= toxicity.MIN_DOCS}
+            out |= set(sorted((w for w in off if off[w] >= toxicity.CLEAR), key=lambda w: (-off[w], w))[: toxicity.WORDS])
+        return sorted(out)
+
+    def newton(x, y):
+        x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+        penalty = np.array([toxicity.RIDGE] * (len(w) - 1) + [1e-6])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-(x @ w)))
+            w -= 0.5 * np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        return w
+
+    def apply(w, x):
+        return 1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ w)))
+
+    def table(words, bags):
+        return np.array([[math.log2(1 + b[w]) for w in words] for b in bags]).reshape(len(bags), len(words))
+
+    chosen = [clear(np.flatnonzero(fold != f)) for f in range(toxicity.FOLDS)] + [clear(np.arange(len(rows)))]
+    junk, toxic = map(np.array, sides)
+    held = np.zeros(len(rows))
+    for f in range(toxicity.FOLDS):
+        x = table(chosen[f], bags)
+        held[fold == f] = apply(newton(x[fold != f], junk[fold != f]), x[fold == f])
+    x = table(chosen[-1], bags)
+    first, second = newton(x, junk), newton(np.column_stack([x, held]), toxic)
+    some = docs.select("doc_id", "text").collect()
+    x = table(chosen[-1], [Counter(re.findall(r"[^\W_]+", (r.text or "").lower())) for r in some])
+    p_junk = apply(first, x)
+    p_toxic = apply(second, np.column_stack([x, p_junk]))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert chosen[-1] and len(got) == len(some)
+    assert max(abs(got[r.doc_id].p_junk - a) for r, a in zip(some, p_junk, strict=True)) < 0.01
+    assert max(abs(got[r.doc_id].p_toxic - a) for r, a in zip(some, p_toxic, strict=True)) < 0.01
+
+
 def test_toxicity_edges(spark, edge_docs, edge_rows, empty_docs):
     few = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(edge_docs, few).collect()
