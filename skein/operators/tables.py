@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 KEY = ["icao24", "start_ts"]
 #: Beside the weeks, hidden from plain readers of the folder.
 POINTER, CELLS = "_current", "_cells"
@@ -154,9 +156,10 @@ def upsert_flights(spark: SparkSession, path: str, new: DataFrame, batch_date=No
 
     Until the pointer is swapped, readers have the table as it was, whatever fails. ``keep_old`` leaves replaced versions
     to readers that still go by them; ``vacuum`` removes those. One commit runs at a time. Where flights have ``cells``,
-    the index of cells is part of the commit.
+    the index of cells is part of the commit. ``new`` is computed once and written aside: its weeks, its keys, the bounds
+    of its ranges and its rows are read from there.
     """
-    state = current(spark, path)
+    state, new = current(spark, path), cut(new)
     if state is None:
         state, old = {"schema": new.schema.jsonValue(), "weeks": {}}, None
         weeks = new.select(WEEK).distinct()

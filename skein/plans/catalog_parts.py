@@ -296,9 +296,9 @@ def t05_stream_into_table(spark, sf_dir):
         late.withColumn("t", F.col("t") + after).coalesce(1).write.mode("append").parquet(landed)
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     table = folder(spark)
-    name = "spark.sql.shuffle.partitions"  # a stream keeps its number for good; four small batches need few
+    name = "spark.sql.shuffle.partitions"  # a stream keeps its number for good; four batches need a task for each core
     usual = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(usual), 8)))
+    spark.conf.set(name, str(min(int(usual), max(8, spark.sparkContext.defaultParallelism))))
     try:
         stream.into_table(stream.flights_stream(source, "10 minutes"), table, folder(spark)).awaitTermination()
     finally:

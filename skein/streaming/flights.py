@@ -1,4 +1,4 @@
-"""Flights from a stream of reports: each aircraft's open leg is a list of reports in state; a closed leg is a row."""
+"""Flights from a stream of reports: each aircraft's open leg is a list of reports in state; a closed leg is a row, built by many at once."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import simplify
-from ..operators.flights import AIR_GAP_S, BUILT, FASTEST_MPS, GROUND_GAP_S, LONGEST_FLIGHT_S, LONGEST_GAP_S, OPEN_AIR_S, OPEN_GROUND_S, SLOWEST_MPS, measured
+from ..operators.flights import AIR_GAP_S, FASTEST_MPS, GROUND_GAP_S, LONGEST_FLIGHT_S, LONGEST_GAP_S, OPEN_AIR_S, OPEN_GROUND_S, SLOWEST_MPS, built, measured
+from ..operators.flights import REPORT as POINT
 
 #: Late reports are taken for so long; a batch table settles after the same time.
 LATENESS = "3 days"
@@ -21,7 +22,8 @@ REPORT = T.StructType([T.StructField(c, T.StringType() if c in ("squawk", "calls
 #: What the next report is judged by without reading the list: the leg's start, its last report, and the timer that is set.
 LAST = T.StructType([T.StructField("start", T.DoubleType()), *[REPORT[c] for c in ("t", "lat", "lon", "alt_baro")], T.StructField("timer", T.LongType())])
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = T.StructType([T.StructField("icao24", T.StringType()), T.StructField("raw_point_count", T.IntegerType()), T.StructField("callsign", T.StringType()), T.StructField("emitter_category", T.StringType()), *BUILT])
+#: A closed leg: its airborne reports are still to be built into a path.
+OUTPUT = T.StructType([T.StructField("icao24", T.StringType()), T.StructField("raw_point_count", T.IntegerType()), T.StructField("callsign", T.StringType()), T.StructField("emitter_category", T.StringType()), T.StructField("points", T.ArrayType(T.StructType([REPORT[c] for c in POINT])))])
 
 
 def _parts(a: dict, b: dict) -> bool:
@@ -42,11 +44,10 @@ def _common(points: list[dict], column: str) -> str | None:
 
 
 def _row(icao24: str, points: list[dict]) -> dict | None:
-    airborne = [p for p in points if p["alt_baro"] is not None]
-    built = simplify.build(airborne) if len(airborne) >= 2 else None
-    if not built or not built["path"]:
+    airborne = [{c: p[c] for c in POINT} for p in points if p["alt_baro"] is not None]
+    if len(airborne) < 2:
         return None
-    return {"icao24": icao24, "raw_point_count": len(points), "callsign": _common(points, "callsign"), "emitter_category": _common(points, "emitter_category"), **built}
+    return {"icao24": icao24, "raw_point_count": len(points), "callsign": _common(points, "callsign"), "emitter_category": _common(points, "emitter_category"), "points": airborne}
 
 
 def _split(points: list[dict]) -> list[list[dict]]:
@@ -61,8 +62,10 @@ def _split(points: list[dict]) -> list[list[dict]]:
     return out
 
 
-def _plain(record: dict) -> dict:
-    return {c: None if record[c] is None or pd.isna(record[c]) else record[c] for c in COLUMNS}
+def _records(frame: pd.DataFrame) -> list[dict]:
+    """A frame's reports; what is missing is None."""
+    columns = [[None if x is None or x != x else x for x in frame[c].tolist()] for c in COLUMNS]
+    return [dict(zip(COLUMNS, row, strict=True)) for row in zip(*columns, strict=True)]
 
 
 class OpenLegs(StatefulProcessor):
@@ -88,7 +91,7 @@ class OpenLegs(StatefulProcessor):
             self.reports.appendList(rows)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = sorted((_plain(r) for frame in rows for r in frame[COLUMNS].to_dict("records")), key=lambda p: p["t"])
+        new = sorted((r for frame in rows for r in _records(frame)), key=lambda p: p["t"])
         state = self.last.get()
         last = dict(zip(LAST.names, state, strict=True)) if state is not None else None
         closed: list[list[dict]] = []
@@ -147,8 +150,8 @@ def flights_stream(reports: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """
     reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = deduplicated(reports, lateness).select("icao24", "ts", *[F.col(c).cast(REPORT[c].dataType).alias(c) for c in COLUMNS])
-    built = rows.groupBy("icao24").transformWithStateInPandas(OpenLegs(), OUTPUT, "append", "eventTime")
-    return measured(built)
+    closed = rows.groupBy("icao24").transformWithStateInPandas(OpenLegs(), OUTPUT, "append", "eventTime")
+    return measured(built(closed).where(F.size("path") > 0))
 
 
 def into_table(flights: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -156,7 +159,6 @@ def into_table(flights: DataFrame, path: str, checkpoint: str, trigger: dict | N
     from ..operators.writes import upsert_flights
 
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            upsert_flights(batch.sparkSession, path, batch)
+        upsert_flights(batch.sparkSession, path, batch)  # computes the batch once; an empty one has no weeks to commit
 
     return flights.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

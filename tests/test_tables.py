@@ -374,3 +374,20 @@ def test_stream_makes_the_batch_builders_flights(spark, tmp_path):
     got = {(r.icao24, round(r.start_t, 3), round(r.end_t, 3), r.raw_point_count, r.callsign, sum(map(len, r.path))) for r in spark.read.parquet(table).collect()}
     want = {(r.icao24, round(r.start_t, 3), round(r.end_t, 3), r.raw_point_count, r.callsign, sum(map(len, r.path))) for r in catalog.full_flights(spark, SF).collect()}
     assert got == want
+
+
+def test_a_micro_batch_is_computed_once(spark, tmp_path):
+    """Weeks, ranges, rows and cells of an upsert come from one evaluation of what is written."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    flights = catalog.built_flights(spark, SF).select("icao24", "start_ts", "start_week", "cells").coalesce(1).cache()
+    rows, path = flights.mapInArrow(counted, flights.schema), str(tmp_path / "flights")
+    writes.upsert_flights(spark, path, rows)
+    assert calls.value == flights.count()
+    writes.upsert_flights(spark, path, rows)
+    assert calls.value == 2 * flights.count() and spark.read.parquet(path).count() == flights.count()
