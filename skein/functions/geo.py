@@ -100,7 +100,7 @@ class Polygon:
         return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), e, strict=True)]) for e in self.edges])
 
     def contains(self, lon, lat) -> Column:
-        return in_edges(self.column(), lon, lat)
+        return strictly_in_edges(self.column(), lon, lat)
 
     def area_km2(self) -> float:
         return abs(sum(_ring_area(r) for r in self.rings[:1])) / 1e6 - sum(abs(_ring_area(r)) for r in self.rings[1:]) / 1e6
@@ -164,6 +164,14 @@ def in_edges(edges: Column, lon, lat) -> Column:
     return F.size(F.filter(edges, crossed)) % 2 == 1
 
 
+def strictly_in_edges(edges: Column, lon, lat) -> Column:
+    """The same without the border: ray casting alone takes in points on left and lower edges, but not those on the others."""
+    lon, lat = _c(lon), _c(lat)
+    between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+    on = lambda e: between(lon, e["x1"], e["x2"]) & between(lat, e["y1"], e["y2"]) & ((e["x2"] - e["x1"]) * (lat - e["y1"]) == (e["y2"] - e["y1"]) * (lon - e["x1"]))
+    return in_edges(edges, lon, lat) & ~F.exists(edges, on)
+
+
 def edges_of_rings(rings: Column) -> Column:
     """Edges of a nested-array geometry column: polygons of rings of points [lon, lat]."""
     ring_edges = lambda r: F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), lambda a, b: F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")))

@@ -60,8 +60,8 @@ def _in_reach(points: DataFrame, areas: DataFrame, km: float) -> DataFrame:
 
 
 def containing(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """Each point with each airspace that contains it, and area_km2: a join on grid cells, then the exact test."""
-    return _in_reach(points, areas, 0.0).where(geo.in_edges(F.col("edges"), F.col("lon"), F.col("lat"))).withColumn("area_km2", geo.edges_area_km2(F.col("edges"))).drop("edges")
+    """Each point with each airspace that contains it, its border not included, and area_km2: a join on grid cells, then the exact test."""
+    return _in_reach(points, areas, 0.0).where(geo.strictly_in_edges(F.col("edges"), F.col("lon"), F.col("lat"))).withColumn("area_km2", geo.edges_area_km2(F.col("edges"))).drop("edges")
 
 
 def near(points: DataFrame, areas: DataFrame, km: float) -> DataFrame:

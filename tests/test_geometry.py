@@ -124,3 +124,20 @@ def test_identifiers(spark):
         text.parse_flight_id("nope")
     words = text.tokens(F.lit("London Heathrow"), F.lit("EGLL"))
     assert value(spark, text.matches_prefixes(words, "heath eg")) and not value(spark, text.matches_prefixes(words, "thames")) and not value(spark, text.matches_prefixes(words, "--"))
+
+
+def test_points_on_a_border_are_not_contained(spark):
+    """Whichever edge they lie on, and for slanting edges and holes too."""
+    box = geo.Polygon.of_box(1.0, 50.0, 3.0, 52.0)
+    points = [(1.0, 51.0), (3.0, 51.0), (2.0, 50.0), (2.0, 52.0), (1.0, 50.0), (3.0, 52.0)]
+    assert [value(spark, box.contains(*p)) for p in points] == [False] * 6 and value(spark, box.contains(1.0000001, 50.0000001))
+    slanting = geo.Polygon((((0.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)), ((0.5, 1.0), (0.75, 1.0), (0.75, 1.5), (0.5, 1.5), (0.5, 1.0))))
+    assert [value(spark, slanting.contains(*p)) for p in ((1.0, 1.0), (0.5, 1.25), (0.75, 1.25), (0.25, 1.0))] == [False, False, False, True]
+
+
+def test_reports_on_a_border_are_in_no_airspace(spark):
+    from skein.operators import lookups
+
+    areas = spark.createDataFrame([("a", 1.0, 50.0, 3.0, 52.0)], "id string, min_lon double, min_lat double, max_lon double, max_lat double")
+    reports = spark.createDataFrame([(1, 1.0, 51.0), (2, 2.0, 50.0), (3, 3.0, 51.0), (4, 2.0, 52.0), (5, 2.0, 51.0)], "event_id long, lon double, lat double")
+    assert [r.event_id for r in lookups.containing(reports, areas).collect()] == [5]
