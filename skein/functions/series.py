@@ -162,10 +162,13 @@ def clip_to_spans(pieces: Column, spans: Column) -> Column:
     return F.flatten(F.transform(F.filter(pieces, lambda p: p["t1"] > p["t0"]), one))
 
 
-def spans(series: Column, test, end: Column | None = None) -> Column:
-    """Time spans in which a stepwise series satisfies ``test``; the last value lasts until ``end``."""
-    flat = F.flatten(series)
-    runs = _pairs(flat, lambda x, y: F.struct(x["t"].alias("a"), y["t"].alias("b"), x["v"].alias("v")))
+def spans(series: Column, test, end: Column | None = None, stitched: bool = True) -> Column:
+    """Time spans in which a stepwise series satisfies ``test``; the last value lasts until ``end``.
+
+    Stitched, a value also lasts across a coverage gap, up to the next stretch's first one; else no stretch knows of the one before.
+    """
+    flat, run = F.flatten(series), lambda x, y: F.struct(x["t"].alias("a"), y["t"].alias("b"), x["v"].alias("v"))
+    runs = _pairs(flat, run) if stitched else F.flatten(F.transform(series, lambda part: _pairs(part, run)))
     if end is not None:
         last = F.try_element_at(flat, F.lit(-1))
         tail = F.when(F.size(flat) > 0, F.array(F.struct(last["t"].alias("a"), F.greatest(last["t"], end).alias("b"), last["v"].alias("v"))))

@@ -229,7 +229,7 @@ class Trajectory(Predicate):
         if self.agl_ft and not (measure and self.mode == "within"):
             pieces = S.clip_to_spans(pieces, S.linear_spans(F.col("path_agl_ft"), self.agl_ft.min, self.agl_ft.max))
         if self.squawk_codes and coded:
-            pieces = S.clip_to_spans(pieces, S.spans(F.col("squawk_seq"), lambda v: v.isin(*self.squawk_codes)))
+            pieces = S.clip_to_spans(pieces, S.spans(F.col("squawk_seq"), lambda v: v.isin(*self.squawk_codes), stitched=stitched))
         return pieces
 
     def column(self, flights):

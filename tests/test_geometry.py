@@ -141,3 +141,10 @@ def test_reports_on_a_border_are_in_no_airspace(spark):
     areas = spark.createDataFrame([("a", 1.0, 50.0, 3.0, 52.0)], "id string, min_lon double, min_lat double, max_lon double, max_lat double")
     reports = spark.createDataFrame([(1, 1.0, 51.0), (2, 2.0, 50.0), (3, 3.0, 51.0), (4, 2.0, 52.0), (5, 2.0, 51.0)], "event_id long, lon double, lat double")
     assert [r.event_id for r in lookups.containing(reports, areas).collect()] == [5]
+
+
+def test_a_code_does_not_last_across_a_gap_unless_stitched(spark):
+    series = F.array(*[F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(v).alias("v")) for t, v in part]) for part in ([(0, "7700"), (10, "7700")], [(100, "1200"), (110, "1200")])])
+    code = lambda v: v == "7700"
+    assert [(r.a, r.b) for r in value(spark, S.spans(series, code, stitched=False))] == [(0, 10)]
+    assert [(r.a, r.b) for r in value(spark, S.spans(series, code))] == [(0, 10), (10, 100)]
