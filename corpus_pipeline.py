@@ -20,7 +20,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near duplicates (ball hashing, verified, then all that it missed; five-word shingles, similarity 0.8 or more)."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -41,6 +41,15 @@ def cut(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_instead(old: DataFrame, df: DataFrame) -> DataFrame:
+    """``df`` written as by ``cut``, in place of the table ``old`` of such a kind, whose files go: nothing may read it any more."""
+    new, spark = cut(df), df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return new
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
     """Arrow batches of ``rows`` rows and about ``size`` bytes at most for the jobs inside: where a row holds whole texts, a batch is held twice, by Spark and by Python."""

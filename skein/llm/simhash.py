@@ -1,4 +1,4 @@
-"""SimHash fingerprints by meet-in-the-middle ball hashing, and near duplicates by prefixes of shingle sets."""
+"""SimHash fingerprints by meet-in-the-middle ball hashing, and near duplicates by the same, completed by prefixes of shingle sets."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import batches_of, cut, slices, texts, words_of
+from .common import batches_of, cut, cut_instead, slices, texts, words_of
 from .graph import components
 from .substring import _mix
 
@@ -209,10 +209,24 @@ def prefixes(rows: DataFrame, shingle: int, similarity: float, frequent: np.ndar
     return rows.select("node", "text").mapInArrow(run, schema)
 
 
+def ball_pairs(rows: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """Candidates (a, b) among the nodes of ``rows`` (node, text) by ball hashing, as many as nodes and links of fingerprints.
+
+    Nodes of one fingerprint hang on the smallest of them, and these on each other where their fingerprints link.
+    """
+    prints = cut(fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("node"), "f0"))
+    heads = prints.groupBy("f0").agg(F.min("node").alias("head"))
+    same = prints.join(heads, "f0").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = ball_links(heads.select(F.lit(0).alias("table"), F.col("f0").alias("f")), 64, radius).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    end = lambda c: heads.select(F.col("f0").alias(f"f{c}"), F.col("head").alias(c))
+    return same.unionByName(links.join(end("a"), "fa").join(end("b"), "fb").select("a", "b"))
+
+
 def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b, similarity) between the nodes of ``rows`` (node, text) whose components are those of all pairs at ``similarity`` or more.
 
-    Candidates share a shingle of their prefixes, which loses no pair. Shingles in the prefixes of more than ``bucket``
+    Texts whose fingerprints ball hashing links are compared first. Fingerprints alone lose pairs; so what is then still apart
+    is compared where it shares a shingle of the texts' prefixes, which loses no pair. Shingles in the prefixes of more than ``bucket``
     texts go to the end of the order. A text leaves a bucket where even its smallest text is too large for it: the sizes
     and the place of the shared shingle bound the overlap. In buckets that are still large, all members are compared
     with a few heads, the same ones in as many buckets as may be; then only texts of different components need be
@@ -228,12 +242,11 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
     with batches_of(spark, BATCH_ROWS, BATCH_BYTES):
         items = cut(items.withColumn("most", most).drop("pos"))
     if not rows.groupBy("node").count().where("count > 1").isEmpty():
-        items = cut(items.dropDuplicates(["h", "node"]))
+        items = cut_instead(items, items.dropDuplicates(["h", "node"]))
     for _ in range(2):
         small = items.groupBy("h").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        items = cut(items.drop("members").join(small, "h").where("most >= least").drop("least"))
-    items = items.drop("members").join(items.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "h")
-    items = cut(items)
+        items = cut_instead(items, items.drop("members").join(small, "h").where("most >= least").drop("least"))
+    items = cut_instead(items, items.drop("members").join(items.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "h"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b), a before b, with their similarity where that is high enough."""
@@ -245,12 +258,10 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
         with batches_of(spark, BATCH_PAIRS, BATCH_BYTES):
             return cut(_jaccard(pairs.join(side("a"), "a").join(side("b"), "b"), shingle).where(F.col("similarity") >= similarity))
 
-    links: list[DataFrame] = []
+    links = [verified(ball_pairs(rows))]
 
     def labelled(some: DataFrame) -> DataFrame:
         """With ``of``, the component so far of each node."""
-        if not links:
-            return some.withColumn("of", F.col("node"))
         found = components(reduce(DataFrame.unionByName, links).select("a", "b"))
         few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         return some.join(F.broadcast(found) if few else found, "node", "left").withColumn("of", F.coalesce("component", "node")).drop("component")

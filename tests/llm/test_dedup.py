@@ -251,3 +251,15 @@ def test_near_duplicates_are_those_of_all_pairs(spark, bucket, rounds):
 
     assert all(alike(r.a, r.b) >= 0.8 for r in links)
     assert groups([(r.a, r.b) for r in links]) == groups([(a, b) for a in range(len(sets)) for b in range(a) if alike(a, b) >= 0.8])
+
+
+def test_near_duplicates_go_through_ball_hashing(spark, monkeypatch):
+    """Its candidates are a star for each fingerprint, and what they link is in the groups; the prefixes add what fingerprints lose."""
+    words = [f"w{k}" for k in range(200)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(words).upper()), (4, "other text")], "node long, text string")
+    pairs = {tuple(sorted(r)) for r in simhash.ball_pairs(rows).collect()}
+    assert (1, 3) in pairs and not any(4 in p for p in pairs) and len(pairs) <= 3
+    asked, plain = [], simhash.ball_pairs
+    monkeypatch.setattr(simhash, "ball_pairs", lambda some: asked.append(1) or plain(some))
+    kept = simhash.drop_near_duplicates(rows.withColumnRenamed("node", "doc_id"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and asked == [1]
