@@ -29,18 +29,32 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
 
 
-def geodesic(lat1, lon1, lat2, lon2) -> Column:
-    """Distance on the WGS-84 ellipsoid: great circle with the Andoyer-Lambert flattening term (within 10 m in 1000 km)."""
+def once(values: list[Column], make) -> Column:
+    """``make`` of the values, each computed once: inside a higher-order function an expression is computed wherever it is written."""
+    held = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
+    return F.get(F.transform(F.array(held), lambda x: make(*[x[f"v{k}"] for k in range(len(values))])), F.lit(0))
+
+
+def geodesic(lat1, lon1, lat2, lon2, once=lambda values, make: make(*values)) -> Column:
+    """Distance on the WGS-84 ellipsoid: great circle with the Andoyer-Lambert flattening term (within 10 m in 1000 km).
+
+    Inside a higher-order function it takes the function ``once``, else the height ``h`` alone is computed about ten times.
+    """
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
-    b1, b2 = (F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(x))) for x in (lat1, lat2))
-    p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    half = F.radians(lon2 - lon1) / 2
-    h = F.pow(F.sin(q), F.lit(2.0)) + (F.pow(F.cos(q), F.lit(2.0)) - F.pow(F.sin(p), F.lit(2.0))) * F.pow(F.sin(half), F.lit(2.0))
-    h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))
-    sigma = 2 * F.asin(F.sqrt(h))
-    x = (sigma - F.sin(sigma)) * F.pow(F.sin(p) * F.cos(q), F.lit(2.0)) / (1 - h)
-    y = (sigma + F.sin(sigma)) * F.pow(F.cos(p) * F.sin(q), F.lit(2.0)) / h
-    return F.when((h <= 0) | (h >= 1), WGS84_A * sigma).otherwise(F.lit(WGS84_A) * (sigma - F.lit(WGS84_F / 2) * (x + y)))
+
+    def measured(p, q, h, sigma):
+        x = (sigma - F.sin(sigma)) * F.pow(F.sin(p) * F.cos(q), F.lit(2.0)) / (1 - h)
+        y = (sigma + F.sin(sigma)) * F.pow(F.cos(p) * F.sin(q), F.lit(2.0)) / h
+        return F.when((h <= 0) | (h >= 1), WGS84_A * sigma).otherwise(F.lit(WGS84_A) * (sigma - F.lit(WGS84_F / 2) * (x + y)))
+
+    def between(p, q):
+        half = F.radians(lon2 - lon1) / 2
+        h = F.pow(F.sin(q), F.lit(2.0)) + (F.pow(F.cos(q), F.lit(2.0)) - F.pow(F.sin(p), F.lit(2.0))) * F.pow(F.sin(half), F.lit(2.0))
+        h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))
+        return once([h], lambda h: once([2 * F.asin(F.sqrt(h))], lambda sigma: measured(p, q, h, sigma)))
+
+    reduced = [F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(x))) for x in (lat1, lat2)]
+    return once(reduced, lambda b1, b2: once([(b1 + b2) / 2, (b2 - b1) / 2], between))
 
 
 def compass(heading) -> Column:

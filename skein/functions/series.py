@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import Circle, Geometry, Lines, _c, geodesic, in_edges
+from .geo import Circle, Geometry, Lines, _c, geodesic, in_edges, once
 
 
 def _pairs(values: Column, make) -> Column:
@@ -32,7 +32,7 @@ def total(values: Column) -> Column:
 
 def path_length_m(path: Column) -> Column:
     """Geodesic length of the stitched path, without height."""
-    return total(F.transform(segments(path), lambda s: geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"])))
+    return total(F.transform(segments(path), lambda s: geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], once)))
 
 
 def start_value(path: Column) -> Column:
@@ -203,7 +203,7 @@ def duration_s(pieces: Column) -> Column:
 
 
 def length_m(pieces: Column) -> Column:
-    return total(F.transform(pieces, lambda p: geodesic(p["lat0"], p["lon0"], p["lat1"], p["lon1"])))
+    return total(F.transform(pieces, lambda p: geodesic(p["lat0"], p["lon0"], p["lat1"], p["lon1"], once)))
 
 
 def meets(path: Column, shape: Geometry | Lines) -> Column:
@@ -231,7 +231,7 @@ def meets(path: Column, shape: Geometry | Lines) -> Column:
 def stays_within(path: Column, shape: Geometry) -> Column:
     """The whole path is inside the shape."""
     if isinstance(shape, Circle):
-        return F.forall(F.flatten(path), lambda v: geodesic(shape.lat, shape.lon, v["lat"], v["lon"]) < shape.radius_m)
+        return F.forall(F.flatten(path), lambda v: geodesic(shape.lat, shape.lon, v["lat"], v["lon"], once) < shape.radius_m)
     edges = shape.column()
     segs = segments(path, stitched=False)
     leaves = lambda s: total(F.transform(_area_intervals(shape, s), lambda x: x["b"] - x["a"])) < 1 - 1e-9
@@ -269,8 +269,8 @@ def cells_of(path: Column, size: float, reach_m: float = 11_300.0) -> Column:
     at = lambda s, k: cell(s[f"lon{k}"], s[f"lat{k}"], size)
 
     def one(s):
-        n = F.greatest(F.lit(1), F.ceil(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"]) / reach_m).cast("int"))
-        return F.transform(F.sequence(F.lit(0), n), lambda k: cell(s["lon0"] + (s["lon1"] - s["lon0"]) * k / n, s["lat0"] + (s["lat1"] - s["lat0"]) * k / n, size))
+        n = F.greatest(F.lit(1), F.ceil(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], once) / reach_m).cast("int"))
+        return once([n], lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: cell(s["lon0"] + (s["lon1"] - s["lon0"]) * k / n, s["lat0"] + (s["lat1"] - s["lat0"]) * k / n, size)))
 
     ends = F.array_distinct(F.transform(F.flatten(path), lambda v: cell(v["lon"], v["lat"], size)))
     crossing = F.filter(segments(path, stitched=False), lambda s: at(s, 0) != at(s, 1))
@@ -281,8 +281,10 @@ def densify(path: Column, reach_m: float = 90.0) -> Column:
     """The path with points between its vertices, at most about ``reach_m`` apart."""
 
     def one(s):
-        n = F.greatest(F.lit(1), F.floor(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"]) / reach_m).cast("int"))
-        at = lambda c, k: s[f"{c}0"] + (s[f"{c}1"] - s[f"{c}0"]) * k / n
-        return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(at("lon", k).alias("lon"), at("lat", k).alias("lat"), at("z", k).alias("alt"), at("t", k).alias("t")))
+        n = F.greatest(F.lit(1), F.floor(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], once) / reach_m).cast("int"))
+        at = lambda c, k, n: s[f"{c}0"] + (s[f"{c}1"] - s[f"{c}0"]) * k / n
+        point = lambda k, n: F.struct(*[at(c, k, n).alias(name) for c, name in (("lon", "lon"), ("lat", "lat"), ("z", "alt"), ("t", "t"))])
+        # one segment has thousands of points: their number is computed once, not for each coordinate of each of them
+        return once([n], lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: point(k, n)))
 
     return F.transform(path, lambda part: F.concat(F.slice(part, 1, 1), F.flatten(F.transform(_pairs(part, _segment), one))))

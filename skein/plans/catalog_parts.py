@@ -209,7 +209,7 @@ SELECT p.icao24, start_t, CAST(sum(n) + count(DISTINCT part) AS INT) AS n_points
 def f17_densified(spark, sf_dir):
     """Paths with points about 5 km apart, never twice as far."""
     dense = raw_flights(spark, sf_dir).withColumn("path", S.densify(F.col("path"), 5_000.0))
-    steps = F.transform(S.segments(F.col("path"), stitched=False), lambda s: geo.geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"]))
+    steps = F.transform(S.segments(F.col("path"), stitched=False), lambda s: geo.geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], geo.once))
     return dense.select("icao24", "start_t", S.num_instants(F.col("path")).alias("n_points"), (F.array_max(steps) < 10_000).alias("near"))
 
 

@@ -148,3 +148,15 @@ def test_a_code_does_not_last_across_a_gap_unless_stitched(spark):
     code = lambda v: v == "7700"
     assert [(r.a, r.b) for r in value(spark, S.spans(series, code, stitched=False))] == [(0, 10)]
     assert [(r.a, r.b) for r in value(spark, S.spans(series, code))] == [(0, 10), (10, 100)]
+
+
+def test_geodesic_computed_once_inside_functions(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(51.5, -0.1, 40.7, -74.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 180.0), (-33.9, 151.2, 51.5, 0.0), (90.0, 0.0, -90.0, 0.0)], "a double, b double, c double, d double")
+    args = [F.col(c) for c in "abcd"]
+    plain, once = geo.geodesic(*args), geo.geodesic(*args, geo.once)
+    assert rows.where(~plain.eqNullSafe(once)).count() == 0
+    # the expression names its arguments a few times, not hundreds of times
+    said = rows.select(once.alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert said.count("atan") <= 2
