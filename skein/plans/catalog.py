@@ -46,7 +46,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fl.legs(fl.deduplicated(points(spark, sf_dir)))
+    return fl.legs(points(spark, sf_dir), first_only=True)
 
 
 def built_flights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def weekly_path(spark: SparkSession, sf_dir: str) -> str:
     """A table of four weeks, written week by week as daily batches would."""
 
     def write(path: str) -> None:
-        built = fl.build_flights(fl.capped(fl.legs(fl.deduplicated(weekly_points(spark, sf_dir)))), clean=False, simplified=False)
+        built = fl.build_flights(fl.capped(fl.legs(weekly_points(spark, sf_dir), first_only=True)), clean=False, simplified=False)
         tables.upsert_flights(spark, path, built.withColumn("ingest_batch_date", F.to_date("start_ts")))
 
     return stored_path(spark, f"weeks of flights of {sf_dir}", write, sources(sf_dir))

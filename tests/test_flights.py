@@ -42,6 +42,24 @@ def test_stretches_do_not_matter(spark):
     assert by(1e9) == by(500.0) == by(3_000.0)
 
 
+def test_legs_of_first_reports_read_the_reports_once(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [report(rng.choice(range(0, 200_000, 500)), lon=rng.uniform(-0.1, 0.1), alt=rng.choice([None, 3000.0]), new_leg=rng.random() < 0.1, icao=rng.choice(["a", "b"])) for _ in range(600)]
+    df = frame(spark, rows)
+    by = lambda legs: {(r.seq, r.leg) for r in legs.collect()}
+    want = by(fl.legs(fl.deduplicated(df)))
+    assert by(fl.legs(df, first_only=True)) == by(fl.legs(df, bucket_s=700.0, first_only=True)) == want and len(want) < 600
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    fl.capped(fl.legs(df.mapInArrow(counted, df.schema), first_only=True)).count()
+    assert read.value == 600
+
+
 def test_duration_cap(spark):
     rows = [report(k * 3600.0, lon=-0.1 + 1.0 * k) for k in range(60)]
     parts = [r.part for r in fl.capped(fl.legs(frame(spark, rows))).orderBy("t").collect()]
