@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..session import cut
 
@@ -110,6 +111,18 @@ def _write(rows: DataFrame, path: str, version: str, order: list[str]) -> None:
     ranged.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(WEEK, VERSION).parquet(path)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows``, written once, with their places in ``order``, from 1: tasks order ranges of them, and a range goes on from the sizes of those before."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the number of a row is its task's in the upper 31 bits, its place there in the lower 33
+    ranged = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__range", F.shiftright("__at", 33))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")  # a row for each range
+    place = (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias(name)
+    return ranged.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").select(*rows.columns, place)
+
+
 def _replace(spark: SparkSession, path: str, state: dict, rows: DataFrame, touched: list[str], keep_old: bool) -> None:
     """Commit ``rows`` as all there is of the ``touched`` weeks."""
     number = state.get("commit", 0) + 1

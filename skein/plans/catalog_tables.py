@@ -50,11 +50,9 @@ pages AS (SELECT 0 AS page, CAST(0 AS BIGINT) AS before, CAST(0 AS BIGINT) AS po
     FROM (SELECT *, (SELECT count(*) FROM ranked WHERE rn > pos AND us >= upto - CAST({int(WEEK_S)}000000 AS BIGINT)) AS n FROM pages WHERE pos < (SELECT count(*) FROM ranked))))
 SELECT page, icao24, start_t FROM ranked JOIN pages ON rn > before AND rn <= pos""")
 def t01_page_walk(spark, sf_dir):
-    """All flights, page after page and week after week; a page is a result, of a bounded number of rows."""
+    """All flights, page after page and week after week, numbered at once."""
     engine = Engine.of_table(spark, weekly_path(spark, sf_dir))
-    walk = engine.pages(Request(P.And(()), limit=PAGE, include_path=False))
-    rows = [(k, r["icao24"], r["start_t"]) for k, page in enumerate(walk, 1) for r in page.rows]
-    return spark.createDataFrame(rows, "page int, icao24 string, start_t double")
+    return engine.walk(Request(P.And(()), limit=PAGE, include_path=False)).select("page", "icao24", "start_t")
 
 
 @query(f"""WITH {WEEKLY}, ends AS (SELECT min(start_t) AS a, max(start_t) AS b FROM flights GROUP BY {WEEK_OF})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import flight_id, parse_flight_id
 from ..operators import lookups, rollups, tables
+from ..session import cut
 from .predicates import Predicate, cell_covers, from_dict, utc, uses_airframes
 
 # Limits of a request.
@@ -60,6 +61,10 @@ def read_token(cursor: str) -> tuple[datetime, str]:
         raise ValueError("not a cursor") from error
 
 
+def _micros(at: datetime) -> int:
+    return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
 def before(start_ts: datetime, icao24: str) -> Column:
     at = F.lit(utc(start_ts))
     return (F.col("start_ts") < at) | ((F.col("start_ts") == at) & (F.col("icao24") < icao24))
@@ -151,6 +156,52 @@ class Engine:
                 return
             request = Request(request.match, request.end_date, request.start_from, request.window_days, request.limit, page.cursor, request.include_path)
 
+    def walk(self, request: Request) -> DataFrame:
+        """All rows of ``pages``, each with its ``page`` (from 1), without a job for each page.
+
+        Flights are numbered once, newest first, over ranges that tasks order by themselves. From wherever a window begins,
+        pages are full up to the first place whose next ``limit`` + 1 flights do not lie in one window of days; so only
+        windows that run out are looked up one by one, as many as the span of time has, and the pages of the run between are counted.
+        """
+        first, last = self.bounds()
+        rows = self.select(request.match)
+        rows = rows.drop(*HEAVY) if not request.include_path else rows
+        if last is None:
+            return rows.withColumn("page", F.lit(None).cast("int")).where(F.lit(False))
+        floor = max(first, utc(request.start_from)) if request.start_from else first
+        end = utc(request.end_date) or last + timedelta(microseconds=1)
+        # pages begin at the end date, and windows at start_from
+        rows = rows.where(F.col("start_ts") < F.lit(end))
+        rows = rows.where(F.col("start_ts") >= F.lit(utc(request.start_from))) if request.start_from else rows
+        rows = tables.numbered(rows.withColumn("flight_id", flight_id(F.col("icao24"), F.col("start_ts"))), [F.desc("start_ts"), F.desc("icao24")], "__n")
+        n, span, moment = request.limit, request.window_days * 86_400_000_000, F.unix_micros("start_ts")
+        # __n, from 1, is also how many flights are through once this one is; thin: the next page after it is not full
+        ahead = rows.select((F.col("__n") - (n + 1)).alias("__n"), moment.alias("ahead"))
+        places = rows.select("__n", moment.alias("us")).join(ahead, "__n", "left")
+        places = cut(places.select("__n", "us", (F.col("ahead").isNull() | (F.col("ahead") < F.col("us") + 1 - span)).alias("thin")))
+        runs, page, done, upto = [], 1, 0, _micros(end)
+        while True:
+            # the page after ``done`` flights, in the window that ends at ``upto``
+            low = max(upto - span, _micros(utc(request.start_from))) if request.start_from else upto - span
+            seen = places.where((F.col("__n") > done) & (F.col("__n") <= done + n + 1) & (F.col("us") >= low)).count()
+            runs.append((page, done, min(seen, n)))
+            if seen > n:
+                done += n
+                # full pages follow up to the first thin place of this run
+                thin = places.where("thin").where((F.col("__n") >= done) & ((F.col("__n") - done) % n == 0)).agg(F.min("__n")).first()[0]
+                full = (thin - done) // n
+                runs.append((page + 1, done, full * n))
+                page, done = page + 1 + full, thin
+                upto = places.where(F.col("__n") == done).first()["us"] + 1
+                continue
+            if low <= _micros(floor):
+                break
+            page, done, upto = page + 1, done + seen, low + 1
+        spans = rows.sparkSession.createDataFrame([r for r in runs if r[2]], "__page long, __done long, __size long")
+        inside = (F.col("__n") > F.col("__done")) & (F.col("__n") <= F.col("__done") + F.col("__size"))
+        out = rows.join(F.broadcast(spans), inside)
+        return out.withColumn("page", (F.col("__page") + F.floor((F.col("__n") - F.col("__done") - 1) / n)).cast("int")).drop("__n", "__page", "__done", "__size")
+
     def flight(self, value: str) -> DataFrame:
         """The flight of an id: the range of its second prunes weeks and row groups."""
         icao24, start = parse_flight_id(value)

@@ -144,6 +144,21 @@ def test_pages_over_weeks(spark, weekly):
         assert all(len(p.rows) <= limit for p in pages) and pages[-1].cursor is None
 
 
+def test_walk_is_page_after_page_without_a_job_for_each(spark, weekly):
+    first, last = weekly.bounds()
+    some = weekly.flights.orderBy("start_ts").limit(40).select("icao24", "start_ts", "start_t", "start_week")
+    # a dense week, 16 days of nothing, and a few more flights
+    late = some.limit(9).withColumn("start_ts", F.col("start_ts") + F.expr("INTERVAL 23 DAYS")).withColumn("start_week", F.date_add("start_week", 21))
+    for engine, more in ((weekly, {}), (Engine(some.unionByName(late).cache()), {}), (weekly, {"start_from": first + (last - first) / 3, "end_date": last}), (weekly, {"window_days": 1})):
+        for limit in (1, 3, 4, 10_000):
+            if limit == 1 and engine is weekly:
+                continue
+            asked = Request(P.And(()), limit=limit, include_path=False, **more)
+            want = {(k, r.icao24, r.start_ts) for k, page in enumerate(engine.pages(asked), 1) for r in page.rows}
+            got = engine.walk(asked).select("page", "icao24", "start_ts").collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_stored_tables_follow_their_inputs(spark, tmp_path):
     from skein.session import stored
 
