@@ -58,15 +58,12 @@ def t01_page_walk(spark, sf_dir):
 @query(f"""WITH {WEEKLY}, ends AS (SELECT min(start_t) AS a, max(start_t) AS b FROM flights GROUP BY {WEEK_OF})
 SELECT icao24, start_t, n_vertices, {WEEK_OF} AS start_week FROM flights WHERE EXISTS (SELECT 1 FROM ends WHERE start_t = a OR start_t = b)""")
 def t02_flight_lookup(spark, sf_dir):
-    """The first and the last flight of each week, looked up by their ids: a week's folder and a second's rows are read for each."""
+    """The flights that start at each week's first and last instant, all of them, looked up by their ids."""
     engine = Engine.of_table(spark, weekly_path(spark, sf_dir))
-    weeks = engine.flights.groupBy("start_week").agg(*[f(F.struct("start_ts", "icao24")).alias(n) for n, f in (("a", F.min), ("b", F.max))])
-    ids = [f"{r[n]['icao24']}:{r[n]['start_ts'].strftime('%Y-%m-%dT%H:%M:%SZ')}" for r in weeks.collect() for n in ("a", "b")]  # two for each week
-    found = [engine.flight(i) for i in ids]
-    out = found[0]
-    for one in found[1:]:
-        out = out.unionByName(one)
-    return out.select("icao24", "start_t", F.size(F.flatten("path")).alias("n_vertices"), "start_week").distinct()
+    ends = F.broadcast(engine.flights.groupBy("start_week").agg(F.min("start_ts").alias("a"), F.max("start_ts").alias("b")))  # one for each week
+    at_end = lambda rows: rows.join(ends, "start_week").where((F.col("start_ts") == F.col("a")) | (F.col("start_ts") == F.col("b")))
+    ids = at_end(engine.flights).select(text.flight_id(F.col("icao24"), F.col("start_ts")).alias("flight_id"))
+    return at_end(engine.flights_of(ids)).select("icao24", "start_t", F.size(F.flatten("path")).alias("n_vertices"), "start_week")
 
 
 @query(f"WITH {WEEKLY} SELECT icao24, start_t FROM flights WHERE start_t >= {T0 + 2 * WEEK_S - 86400} AND start_t < {T0 + 2 * WEEK_S + 2000} AND end_t - start_t >= 300")

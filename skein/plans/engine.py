@@ -202,6 +202,14 @@ class Engine:
         out = rows.join(F.broadcast(spans), inside)
         return out.withColumn("page", (F.col("__page") + F.floor((F.col("__n") - F.col("__done") - 1) / n)).cast("int")).drop("__n", "__page", "__done", "__size")
 
+    def flights_of(self, ids: DataFrame) -> DataFrame:
+        """The flights of many ids (``flight_id``), in one join on week, aircraft and second."""
+        at = F.to_timestamp(F.substring("flight_id", 8, 19), "yyyy-MM-dd'T'HH:mm:ss")
+        asked = ids.select(F.lower(F.substring("flight_id", 1, 6)).alias("__icao"), at.alias("__at")).distinct()
+        asked = asked.withColumn("__week", F.to_date(F.date_trunc("week", "__at")))
+        same = (F.col("start_week") == F.col("__week")) & (F.col("icao24") == F.col("__icao")) & (F.date_trunc("second", "start_ts") == F.col("__at"))
+        return self.flights.join(lookups.small(asked, CANDIDATES), same, "left_semi")
+
     def flight(self, value: str) -> DataFrame:
         """The flight of an id: the range of its second prunes weeks and row groups."""
         icao24, start = parse_flight_id(value)

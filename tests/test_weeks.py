@@ -159,6 +159,27 @@ def test_walk_is_page_after_page_without_a_job_for_each(spark, weekly):
             assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_flights_of_ids(spark, weekly):
+    from skein.functions import text
+
+    ids = weekly.flights.select(text.flight_id(F.col("icao24"), F.col("start_ts")).alias("flight_id")).orderBy("flight_id").limit(5)
+    want = {(r.icao24, r.start_ts) for i in ids.collect() for r in weekly.flight(i.flight_id).collect()}
+    assert {(r.icao24, r.start_ts) for r in weekly.flights_of(ids).collect()} == want and len(want) >= 5
+
+
+def test_flights_that_start_at_one_instant_are_all_looked_up(spark, tmp_path):
+    from skein.plans import catalog
+
+    for name in ("nation", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    # users four apart fly in the same week; the second copies start at the same instants
+    top = 4 * (events.agg(F.max("user_id")).first()[0] + 1)
+    events.unionByName(events.withColumn("user_id", F.col("user_id") + top).withColumn("event_id", F.col("event_id") + 10**9)).write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.QUERIES["t02_flight_lookup"](spark, str(tmp_path)).groupBy("start_week", "start_t").count().collect()
+    assert found and all(r["count"] % 2 == 0 for r in found)
+
+
 def test_stored_tables_follow_their_inputs(spark, tmp_path):
     from skein.session import stored
 
