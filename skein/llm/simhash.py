@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import batches_of, cut, cut_instead, slices, texts, words_of
+from .common import SLICE_BYTES, batches_of, cut, cut_instead, slices, texts, words_of
 from .graph import components
 from .substring import _mix
 
@@ -83,16 +83,19 @@ def majority(hashes: np.ndarray, counts: np.ndarray, at_once: int = 1 << 17) ->
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id, tkey (a hash of the text, to tell rows of one doc_id apart) and f0, f1, ...: 64-bit fingerprints as longs."""
+def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, at_once: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, tkey (a hash of the text, to tell rows of one doc_id apart) and f0, f1, ...: 64-bit fingerprints as longs.
+
+    A task holds the words of ``at_once`` bytes of text.
+    """
     rows = texts(docs).withColumn("tkey", F.xxhash64("text"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "tkey", *(f"f{k}" for k in range(lanes)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", at_once):
                 hashes, counts = shingle_hashes(part.column("text"), shingle)
-                prints = [pa.array(majority(_lane(hashes, k), counts).view(np.int64)) for k in range(lanes)]
+                prints = [pa.array(majority(_lane(hashes, k), counts, min(1 << 17, max(1 << 12, at_once >> 5))).view(np.int64)) for k in range(lanes)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), *prints], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -214,7 +217,9 @@ def ball_pairs(rows: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 
     Nodes of one fingerprint hang on the smallest of them, and these on each other where their fingerprints link.
     """
-    prints = cut(fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("node"), "f0"))
+    # words are Python objects here, many times their bytes: they are held a quarter of a megabyte at once, in bounded batches
+    with batches_of(rows.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        prints = cut(fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), shingle, at_once=1 << 18).select(F.col("doc_id").alias("node"), "f0"))
     heads = prints.groupBy("f0").agg(F.min("node").alias("head"))
     same = prints.join(heads, "f0").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = ball_links(heads.select(F.lit(0).alias("table"), F.col("f0").alias("f")), 64, radius).select(F.col("a").alias("fa"), F.col("b").alias("fb"))

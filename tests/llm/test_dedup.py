@@ -263,3 +263,13 @@ def test_near_duplicates_go_through_ball_hashing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ball_pairs", lambda some: asked.append(1) or plain(some))
     kept = simhash.drop_near_duplicates(rows.withColumnRenamed("node", "doc_id"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and asked == [1]
+
+
+def test_first_candidates_are_made_in_bounded_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"a b c d e f {i % 7} g h " * (i % 5)) for i in range(60)], "node long, text string")
+    whole = {(r.doc_id, r.f0) for r in simhash.fingerprints(rows.withColumnRenamed("node", "doc_id")).collect()}
+    assert {(r.doc_id, r.f0) for r in simhash.fingerprints(rows.withColumnRenamed("node", "doc_id"), at_once=50).collect()} == whole
+    seen, was, names = [], simhash.cut, ("maxRecordsPerBatch", "maxBytesPerBatch")
+    monkeypatch.setattr(simhash, "cut", lambda df: (seen.append([df.sparkSession.conf.get(f"spark.sql.execution.arrow.{n}") for n in names]), was(df))[1])
+    simhash.ball_pairs(rows).collect()
+    assert seen == [[str(simhash.BATCH_ROWS), f"{simhash.BATCH_BYTES}b"]]
