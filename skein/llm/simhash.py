@@ -26,6 +26,8 @@ BUCKET = 32
 #: Turns in which members of larger buckets are compared with HEADS of them, before what is left is compared pair by pair.
 ROUNDS = 2
 HEADS = 3
+#: 64-bit words of a text's parities.
+PARITY = 8
 #: Rows of texts, and of pairs of texts, that Spark and a Python task hold at once.
 BATCH_ROWS, BATCH_PAIRS = 2_000, 500
 #: Bytes of them: long texts come in smaller batches.
@@ -212,6 +214,26 @@ def prefixes(rows: DataFrame, shingle: int, similarity: float, frequent: np.ndar
     return rows.select("node", "text").mapInArrow(run, schema)
 
 
+def parities(rows: DataFrame, shingle: int, words: int = PARITY) -> DataFrame:
+    """node, parity (p0, p1, ...: longs): each bit says whether an odd number of the text's distinct shingles fall on it.
+
+    Two texts' parities differ in no more bits than their sets do in shingles, so too many such bits rule a pair out.
+    """
+    names = [f"p{k}" for k in range(words)]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", *names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                hashes, counts = shingle_sets(part.column("text"), shingle)
+                place = np.repeat(np.arange(len(counts)), counts) * (64 * words) + (hashes % np.uint64(64 * words)).astype(np.int64)
+                odd = (np.bincount(place, minlength=len(counts) * 64 * words) & 1).astype(np.uint8).reshape(len(counts), 64 * words)
+                packed = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("node"), *[pa.array(np.ascontiguousarray(packed[:, k])) for k in range(words)]], names=schema.names)
+
+    return rows.select("node", "text").mapInArrow(run, schema).select("node", F.struct(*names).alias("parity"))
+
+
 def ball_pairs(rows: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """Candidates (a, b) among the nodes of ``rows`` (node, text) by ball hashing, as many as nodes and links of fingerprints.
 
@@ -234,8 +256,10 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
     is compared where it shares a shingle of the texts' prefixes, which loses no pair. Shingles in the prefixes of more than ``bucket``
     texts go to the end of the order. A text leaves a bucket where even its smallest text is too large for it: the sizes
     and the place of the shared shingle bound the overlap. In buckets that are still large, all members are compared
-    with a few heads, the same ones in as many buckets as may be; then only texts of different components need be
-    compared, first with other heads, after ``rounds`` turns pair by pair. Every link is verified on the texts' sets.
+    with a few heads, in the first turn those with the fewest other shingles before the shared one, as the text has that others were copied
+    from, later the same ones in as many buckets as may be; then only texts of different components need be
+    compared, first with other heads, after ``rounds`` turns pair by pair. Pairs come out of a bucket only where the texts' parities
+    don't rule them out, which loses none. Every link is verified on the texts' sets.
     """
     spark = rows.sparkSession
     counts = prefixes(rows, shingle, similarity, np.zeros(0, np.uint64)).groupBy("h").count().where(F.col("count") > bucket)
@@ -276,15 +300,21 @@ def near_duplicate_links(rows: DataFrame, shingle: int = 5, similarity: float =
         several = some.groupBy("h").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low < high").select("h")
         return cut(some.join(several, "h"))
 
-    fit = (F.col("of_a") != F.col("of_b")) & (F.col("size_a") <= F.col("most_b")) & (F.col("size_b") <= F.col("most_a"))
-    side = lambda some, k: some.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "most", "of")])
+    with batches_of(spark, BATCH_ROWS, BATCH_BYTES):
+        marks = cut(parities(rows, shingle).dropDuplicates(["node"]))
+    # sets at the similarity differ in so many shingles at most
+    unlike = sum((F.bit_count(F.col(f"parity_a.p{k}").bitwiseXOR(F.col(f"parity_b.p{k}"))) for k in range(PARITY)), F.lit(0))
+    differ = F.floor((F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    fit = (F.col("of_a") != F.col("of_b")) & (F.col("size_a") <= F.col("most_b")) & (F.col("size_b") <= F.col("most_a")) & (unlike <= differ)
+    side = lambda some, k: some.join(marks, "node").select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "most", "of", "parity")])
     large = items.where(F.col("members") > bucket)
     for turn in range(rounds):
         large = open_buckets(labelled(large.drop("of")))
         if large.isEmpty():
             break
         member = F.struct("node", "size", "most", "of")
-        heads = large.groupBy("h").agg(*[F.min_by(member, F.xxhash64("node", F.lit(HEADS * turn + k))).alias(f"head{k}") for k in range(HEADS)])
+        first = F.col("most") / F.col("size") if turn == 0 else F.lit(0.0)  # large where few shingles stand before the shared one
+        heads = large.groupBy("h").agg(*[F.min_by(member, F.struct(-first, F.xxhash64("node", F.lit(HEADS * turn + k)))).alias(f"head{k}") for k in range(HEADS)])
         heads = cut(heads.select("h", F.explode(F.array_distinct(F.array(*[f"head{k}" for k in range(HEADS)]))).alias("head")).select("h", "head.*"))
         hung = side(large, "a").join(side(heads, "b"), "h").where(fit)
         links.append(verified(hung.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))))

@@ -273,3 +273,36 @@ def test_first_candidates_are_made_in_bounded_batches(spark, monkeypatch):
     monkeypatch.setattr(simhash, "cut", lambda df: (seen.append([df.sparkSession.conf.get(f"spark.sql.execution.arrow.{n}") for n in names]), was(df))[1])
     simhash.ball_pairs(rows).collect()
     assert seen == [[str(simhash.BATCH_ROWS), f"{simhash.BATCH_BYTES}b"]]
+
+
+def test_near_copies_that_stay_apart_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text with more and more words changed: what is compared grows with the copies, and the groups are those of all pairs."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    bodies = [" ".join(words)]
+    for c in range(160):
+        copy = list(words)
+        for k in rng.sample(range(150), 1 + c % 8):
+            copy[k] = f"new{c}x{k}"
+        bodies.append(" ".join(copy))
+    rows = spark.createDataFrame(list(enumerate(bodies)), "node long, text string")
+    compared, plain = [], simhash._jaccard
+    monkeypatch.setattr(simhash, "_jaccard", lambda pairs, size: compared.append(pairs.count()) or plain(pairs, size))
+    links = [(r.a, r.b) for r in simhash.near_duplicate_links(rows).collect()]
+    assert sum(compared) <= 8 * len(bodies)
+    sets = [shingles(t) for t in bodies]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = lambda some: {(r.node, r.component) for r in graph.components(spark.createDataFrame(some, "a long, b long")).collect()}
+    assert groups(links) == groups(pairs)
+
+
+def test_parities_differ_in_no_more_bits_than_sets(spark):
+    texts = ["", "one two", "one two three four five six", "one two three four five seven", " ".join(f"w{k}" for k in range(900)), " ".join(f"w{k}" for k in range(100, 990))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    bits = {r.node: [x & ((1 << 64) - 1) for x in r.parity] for r in simhash.parities(rows, 5).collect()}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True))
+    sets = [shingles(t) if t else set() for t in texts]
+    assert all(apart(a, b) <= len(sets[a] ^ sets[b]) for a in bits for b in bits) and apart(0, 1) == 1 and apart(2, 3) in (0, 2)
+    assert apart(4, 0) % 2 == 0 and apart(4, 5) > 50
