@@ -19,7 +19,7 @@ from .substring import NO_ID, _mix
 #: Words and bigrams with these shares of all words are counted first and looked up where they stand: at most
 #: 2 / HOT_WORDS and 2 / HOT of them.
 HOT_WORDS = 1e-6
-HOT = 1e-5
+HOT = 2e-6
 ALPHA = 0.4
 #: Words for each hash partition of the count table; a partition sorts about as many n-grams, in memory.
 PARTITION_ROWS = 2_000_000
@@ -130,8 +130,9 @@ def hot_ngrams(docs: DataFrame, hot_words: float, hot: float) -> tuple[np.ndarra
     chosen = docs.sparkSession.sparkContext.broadcast(np.sort(likely.toPandas()["key"].to_numpy(np.int64)))
 
     def exact(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        keys = _ngrams(column)[2]
-        return np.unique(keys[_found(keys, chosen.value)[1]], return_counts=True)
+        at, known = _found(_ngrams(column)[2], chosen.value)
+        n = np.bincount(at[known], minlength=len(chosen.value))
+        return chosen.value[n > 0], n[n > 0]
 
     sums = _tally(docs, exact).toPandas().sort_values("key")
     return sums["key"].to_numpy(np.int64), sums["n"].to_numpy(np.int64), total
@@ -172,7 +173,8 @@ def _own_sums(docs: DataFrame, hot_words: float, hot: float, partition_rows: int
     # Both sides of the join read all columns of ``grams``, so that they share one exchange.
     counts = grams.groupBy("key").agg(F.count(F.when(F.col("base").isNull(), F.struct("doc", "weight"))).alias("n"))
     value = F.when(F.col("base").isNull(), F.col("weight") * F.log("n")).otherwise(F.col("base"))
-    return grams.join(counts.hint("merge"), "key").groupBy("doc").agg(
+    # the log of an n-gram's count of one adds nothing: it makes no row for its document
+    return grams.join(counts.hint("merge"), "key").where("n <> 1 or base is not null").groupBy("doc").agg(
         F.sum(F.when(F.col("base").isNotNull(), F.col("weight"))).alias("n_words"), F.sum(value).alias("log_score")
     )
 

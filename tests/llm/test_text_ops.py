@@ -198,6 +198,24 @@ def check_packing(pieces, docs, capacity=4096):
     return len(bins), sum(n for parts in bins.values() for _, n in parts)
 
 
+def test_lm_rare_bigrams_are_counted_first(spark):
+    """A bigram of a share of 3 in a million is among those looked up where they stand, with its exact count."""
+    from collections import Counter
+
+    from skein.llm import lm
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * 1000 + j) % 7} v{j % 11}" for j in range(1000)) + " rare pair") for k in range(160)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 5, F.concat("text", F.lit(" only once"))).otherwise(F.expr("replace(text, ' rare pair', '')")))
+    keys, counts, total = lm.hot_ngrams(docs, lm.HOT_WORDS, lm.HOT)
+    texts = [r.text for r in docs.collect()]
+    want = Counter()
+    for t in texts:
+        w = t.split()
+        want.update(zip(["", *w], w))
+    assert total == sum(len(t.split()) for t in texts) and want["only", "once"] == 1
+    assert sorted(counts[keys & 1 == 1].tolist()) == sorted(want.values())
+
+
 def test_packing_round_trip(edge_docs, edge_rows, empty_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(edge_docs, path).collect()
