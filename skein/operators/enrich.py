@@ -22,6 +22,8 @@ HELIPORT_TYPES, CLOSED_TYPE, ROTORCRAFT = (4, 7), 8, "A7"
 #: Degrees of latitude and longitude that airport candidates are looked up in: over AIRPORT_M up to 60 degrees north.
 AIRPORT_CELL = 0.1
 TILE_PIXELS = 1200
+#: Values of a grid's blocks that are broadcast at most (8 bytes each).
+BROADCAST_VALUES = 4_000_000
 MIN_CLEARANCE_FT, CLEARANCE_PART = 50.0, 0.015
 
 
@@ -73,6 +75,12 @@ def _value(place: Column) -> Column:
     return F.get("block_values", at)
 
 
+def _met(rows: DataFrame, blocks: DataFrame, key: list[str]) -> DataFrame:
+    """rows with their block, by a left join; few blocks are brought to the rows, else all rows of a block would wait for one task."""
+    n = blocks.agg(F.sum(F.size("block_values"))).first()[0] or 0
+    return rows.join(F.broadcast(blocks) if n <= BROADCAST_VALUES else blocks, key, "left")
+
+
 def pressure_blocks(cube: DataFrame, axes: DataFrame | None = None, size: tuple[int, int, int] = PRESSURE_BLOCK) -> DataFrame:
     """(block_t, block_lat, block_lon, block_places, block_values): a row for each block of a grid, with its samples as one array.
 
@@ -108,7 +116,7 @@ def pressure_at(rows: DataFrame, cube: DataFrame, row_key: list[str] | None = No
     A missing sample counts for nothing; with none of the eight, hpa is null. ``row_key`` is not needed any more.
     """
     axes = cut(cube_axes(cube))
-    blocks = pressure_blocks(cube, axes) if blocks is None else blocks
+    blocks = cut(pressure_blocks(cube, axes)) if blocks is None else blocks
     out = rows.crossJoin(F.broadcast(axes))  # one row
     lon = F.pmod("lon", F.lit(360.0))
     clamped = lambda c: F.greatest(F.get(f"{c}_axis", F.lit(0)), F.least(F.get(f"{c}_axis", F.size(f"{c}_axis") - 1), F.col(c).cast("double")))
@@ -120,7 +128,7 @@ def pressure_at(rows: DataFrame, cube: DataFrame, row_key: list[str] | None = No
     inside = F.col("__lonw").between(0, 1)  # a longitude beyond the cube's has no value
     size = dict(zip(AXES, PRESSURE_BLOCK, strict=True))
     out = out.withColumns({f"block_{c}": F.floor(F.col(f"__{c}0") / size[c]).cast("int") for c in AXES}).drop(*[f"{c}_axis" for c in AXES])
-    met = out.join(blocks, [f"block_{c}" for c in AXES], "left")
+    met = _met(out, blocks, [f"block_{c}" for c in AXES])
     side = {c: _side(F.col(f"block_{c}"), size[c], F.col(f"__{c}n")) for c in AXES}
     sums, found = F.lit(0.0), F.lit(False)
     for corner in range(8):
@@ -165,14 +173,14 @@ def terrain_at(rows: DataFrame, dem: DataFrame, row_key: list[str] | None = None
     A row meets the one block that holds its four pixels by an equi-join, and reads them there. ``row_key`` is not needed
     any more.
     """
-    blocks = terrain_blocks(dem, pixels) if blocks is None else blocks
+    blocks = cut(terrain_blocks(dem, pixels)) if blocks is None else blocks
     y, x = F.floor("lat"), F.floor("lon")
     top = F.lit(pixels - 1.0)
     at = {"row": (F.lit(1.0) - (F.col("lat") - y)) * pixels - 0.5, "col": (F.col("lon") - x) * pixels - 0.5}
     out = rows.withColumns({"tile_lat": y.cast("int"), "tile_lon": x.cast("int")} | {f"__{c}": F.greatest(F.lit(0.0), F.least(top, v)) for c, v in at.items()})
     out = out.withColumns({f"__{c}0": F.greatest(F.lit(0), F.least(F.lit(pixels - 2), F.floor(f"__{c}").cast("int"))) for c in at})
     out = out.withColumns({f"block_{c}": F.floor(F.col(f"__{c}0") / TERRAIN_BLOCK).cast("int") for c in at})
-    met = out.join(blocks, ["tile_lat", "tile_lon", "block_row", "block_col"], "left")
+    met = _met(out, blocks, ["tile_lat", "tile_lon", "block_row", "block_col"])
     wide = _side(F.col("block_col"), TERRAIN_BLOCK, F.lit(pixels))
     total = F.lit(0.0)
     for a in (0, 1):

@@ -391,3 +391,24 @@ def test_a_micro_batch_is_computed_once(spark, tmp_path):
     assert calls.value == flights.count()
     writes.upsert_flights(spark, path, rows)
     assert calls.value == 2 * flights.count() and spark.read.parquet(path).count() == flights.count()
+
+
+def test_few_blocks_come_to_the_rows(spark, monkeypatch):
+    """Rows of one block are not gathered in one task where blocks are few; where they are many, the same values are found."""
+    cube = spark.createDataFrame([(t, y, x, 1000.0 + t + y + x) for t in (0.0, 1.0) for y in (0.0, 1.0) for x in (0.0, 1.0)], "t double, lat double, lon double, hpa double")
+    dem = spark.createDataFrame([(0, 0, r, c, 10.0 * r + c) for r in range(4) for c in range(4)], "tile_lat int, tile_lon int, row int, col int, elev_ft double")
+    rows = spark.createDataFrame([(k, k / 40, k / 50, k / 60) for k in range(40)], "id int, t double, lat double, lon double")
+    jobs = [lambda: enrich.pressure_at(rows, cube), lambda: enrich.terrain_at(rows, dem, pixels=4)]
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(enrich, "cut", lambda df: df)  # of unknown size until they are written, as tables of weeks of samples are
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for job in jobs:
+            monkeypatch.setattr(enrich, "BROADCAST_VALUES", 1000)
+            near = job()
+            monkeypatch.setattr(enrich, "BROADCAST_VALUES", 1)
+            dealt = job()
+            assert "SortMergeJoin" not in plan(near) and "SortMergeJoin" in plan(dealt)
+            assert sorted(near.collect()) == sorted(dealt.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
