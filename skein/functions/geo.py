@@ -40,7 +40,17 @@ def geodesic(lat1, lon1, lat2, lon2, once=lambda values, make: make(*values)) ->
 
     Inside a higher-order function it takes the function ``once``, else the height ``h`` alone is computed about ten times.
     """
-    lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
+    return once([reduced(lat1), reduced(lat2)], lambda b1, b2: geodesic_of_reduced(b1, lon1, b2, lon2, once))
+
+
+def reduced(lat) -> Column:
+    """The reduced latitude, in radians: along a path it is computed once for a vertex, not for each of its two segments."""
+    return F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(_c(lat))))
+
+
+def geodesic_of_reduced(b1, lon1, b2, lon2, once=lambda values, make: make(*values)) -> Column:
+    """``geodesic`` from reduced latitudes."""
+    lon1, lon2 = _c(lon1), _c(lon2)
 
     def measured(p, q, h, sigma):
         x = (sigma - F.sin(sigma)) * F.pow(F.sin(p) * F.cos(q), F.lit(2.0)) / (1 - h)
@@ -53,8 +63,7 @@ def geodesic(lat1, lon1, lat2, lon2, once=lambda values, make: make(*values)) ->
         h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))
         return once([h], lambda h: once([2 * F.asin(F.sqrt(h))], lambda sigma: measured(p, q, h, sigma)))
 
-    reduced = [F.atan(F.lit(1 - WGS84_F) * F.tan(F.radians(x))) for x in (lat1, lat2)]
-    return once(reduced, lambda b1, b2: once([(b1 + b2) / 2, (b2 - b1) / 2], between))
+    return once([(b1 + b2) / 2, (b2 - b1) / 2], between)
 
 
 def compass(heading) -> Column:

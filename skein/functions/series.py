@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import Circle, Geometry, Lines, _c, geodesic, in_edges, once
+from .geo import Circle, Geometry, Lines, _c, geodesic, geodesic_of_reduced, in_edges, once, reduced
 
 
 def _pairs(values: Column, make) -> Column:
-    n = F.greatest(F.size(values) - 1, F.lit(0))
-    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), make)
+    def pairs(held):
+        n = F.greatest(F.size(held) - 1, F.lit(0))
+        return F.zip_with(F.slice(held, 1, n), F.slice(held, 2, n), make)
+
+    return once([values], pairs)  # the array is named four times, and computed once
 
 
 def _segment(a: Column, b: Column) -> Column:
@@ -32,7 +35,8 @@ def total(values: Column) -> Column:
 
 def path_length_m(path: Column) -> Column:
     """Geodesic length of the stitched path, without height."""
-    return total(F.transform(segments(path), lambda s: geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], once)))
+    places = F.transform(F.flatten(path), lambda v: F.struct(reduced(v["lat"]).alias("b"), v["lon"].alias("lon")))
+    return total(_pairs(places, lambda p, q: geodesic_of_reduced(p["b"], p["lon"], q["b"], q["lon"], once)))
 
 
 def start_value(path: Column) -> Column:
@@ -116,7 +120,8 @@ def _area_intervals(shape: Geometry, s: Column) -> Column:
         return F.when((down != 0) & (u > 0) & (u < 1) & (w >= 0) & (w <= 1), u)
 
     cuts = F.array_sort(F.concat(F.array(F.lit(0.0)), F.filter(F.transform(edges, crossing), lambda u: u.isNotNull()), F.array(F.lit(1.0))))
-    return F.filter(_pairs(cuts, _interval), lambda x: (x["b"] > x["a"]) & in_edges(edges, s["lon0"] + dx * (x["a"] + x["b"]) / 2, s["lat0"] + dy * (x["a"] + x["b"]) / 2))
+    middle = lambda x: once([s["lon0"] + dx * (x["a"] + x["b"]) / 2, s["lat0"] + dy * (x["a"] + x["b"]) / 2], lambda lon, lat: in_edges(edges, lon, lat))
+    return F.filter(_pairs(cuts, _interval), lambda x: (x["b"] > x["a"]) & middle(x))
 
 
 def _metres_per_degree(lat: float) -> tuple[float, float]:
@@ -153,13 +158,14 @@ def clip(path: Column, shape: Geometry | None = None, t_from: float | None = Non
 def clip_to_spans(pieces: Column, spans: Column) -> Column:
     """Pieces cut to an array of time spans (a, b)."""
 
-    def one(p):
+    def one(p, spans):
         part = lambda t: (t - p["t0"]) / (p["t1"] - p["t0"])
         cut = F.transform(spans, lambda x: _interval(F.greatest(F.lit(0.0), part(x["a"])), F.least(F.lit(1.0), part(x["b"]))))
         s = F.struct(*[p[f"{c}{k}"].alias(f"{c}{k}") for k in (0, 1) for c in ("t", "lon", "lat", "z")])
         return F.transform(F.filter(cut, lambda x: x["b"] > x["a"]), lambda x: _piece(s, x))
 
-    return F.flatten(F.transform(F.filter(pieces, lambda p: p["t1"] > p["t0"]), one))
+    # the spans are computed once, not for each piece
+    return once([spans], lambda held: F.flatten(F.transform(F.filter(pieces, lambda p: p["t1"] > p["t0"]), lambda p: one(p, held))))
 
 
 def spans(series: Column, test, end: Column | None = None, stitched: bool = True) -> Column:
@@ -189,9 +195,10 @@ def linear_spans(series: Column, low: float | None, high: float | None) -> Colum
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Intersection of two arrays of spans."""
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: _interval(F.greatest(x["a"], y["a"]), F.least(x["b"], y["b"])))))
-    return F.filter(pairs, lambda x: x["b"] > x["a"])
+    """Intersection of two arrays of spans; each array is computed once, not for each span of the other."""
+    both = lambda x, y: _interval(F.greatest(x["a"], y["a"]), F.least(x["b"], y["b"]))
+    shared = lambda x, b: F.filter(F.transform(b, lambda y: both(x, y)), lambda s: s["b"] > s["a"])
+    return once([a, b], lambda a, b: F.flatten(F.transform(a, lambda x: shared(x, b))))
 
 
 def times(pieces: Column) -> Column:
@@ -262,29 +269,33 @@ def thin(series: Column, step: float) -> Column:
 def cells_of(path: Column, size: float, reach_m: float = 11_300.0) -> Column:
     """Distinct grid cells along the path: sampled at most ``reach_m`` apart, in every stretch of coverage.
 
-    A segment with both ends in one cell stays in it; only the others are sampled.
+    A segment with both ends in one cell stays in it; only the others are sampled. A vertex's cell is computed once.
     """
     from .geo import cell
 
-    at = lambda s, k: cell(s[f"lon{k}"], s[f"lat{k}"], size)
-
     def one(s):
-        n = F.greatest(F.lit(1), F.ceil(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], once) / reach_m).cast("int"))
-        return once([n], lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: cell(s["lon0"] + (s["lon1"] - s["lon0"]) * k / n, s["lat0"] + (s["lat1"] - s["lat0"]) * k / n, size)))
+        p, q = s["p"], s["q"]
+        n = F.greatest(F.lit(1), F.ceil(geodesic(p["lat"], p["lon"], q["lat"], q["lon"], once) / reach_m).cast("int"))
+        return once([n], lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: cell(p["lon"] + (q["lon"] - p["lon"]) * k / n, p["lat"] + (q["lat"] - p["lat"]) * k / n, size)))
 
-    ends = F.array_distinct(F.transform(F.flatten(path), lambda v: cell(v["lon"], v["lat"], size)))
-    crossing = F.filter(segments(path, stitched=False), lambda s: at(s, 0) != at(s, 1))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(crossing, one)), ends)))
+    def of_parts(parts):
+        ends = F.array_distinct(F.transform(F.flatten(parts), lambda v: v["cell"]))
+        pairs = F.flatten(F.transform(parts, lambda part: _pairs(part, lambda p, q: F.struct(p.alias("p"), q.alias("q")))))
+        crossing = F.filter(pairs, lambda s: s["p"]["cell"] != s["q"]["cell"])
+        return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(crossing, one)), ends)))
+
+    placed = F.transform(path, lambda part: F.transform(part, lambda v: F.struct(v["lon"].alias("lon"), v["lat"].alias("lat"), cell(v["lon"], v["lat"], size).alias("cell"))))
+    return once([placed], of_parts)
 
 
 def densify(path: Column, reach_m: float = 90.0) -> Column:
     """The path with points between its vertices, at most about ``reach_m`` apart."""
 
-    def one(s):
-        n = F.greatest(F.lit(1), F.floor(geodesic(s["lat0"], s["lon0"], s["lat1"], s["lon1"], once) / reach_m).cast("int"))
-        at = lambda c, k, n: s[f"{c}0"] + (s[f"{c}1"] - s[f"{c}0"]) * k / n
-        point = lambda k, n: F.struct(*[at(c, k, n).alias(name) for c, name in (("lon", "lon"), ("lat", "lat"), ("z", "alt"), ("t", "t"))])
+    def one(p, q):
+        n = F.greatest(F.lit(1), F.floor(geodesic_of_reduced(p["b"], p["lon"], q["b"], q["lon"], once) / reach_m).cast("int"))
+        point = lambda k, n: F.struct(*[(p[c] + (q[c] - p[c]) * k / n).alias(c) for c in ("lon", "lat", "alt", "t")])
         # one segment has thousands of points: their number is computed once, not for each coordinate of each of them
         return once([n], lambda n: F.transform(F.sequence(F.lit(1), n), lambda k: point(k, n)))
 
-    return F.transform(path, lambda part: F.concat(F.slice(part, 1, 1), F.flatten(F.transform(_pairs(part, _segment), one))))
+    held = lambda part: F.transform(part, lambda v: F.struct(*[v[c].alias(c) for c in ("lon", "lat", "alt", "t")], reduced(v["lat"]).alias("b")))
+    return F.transform(path, lambda part: F.concat(F.slice(part, 1, 1), F.flatten(_pairs(held(part), one))))

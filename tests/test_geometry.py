@@ -160,3 +160,15 @@ def test_geodesic_computed_once_inside_functions(spark):
     # the expression names its arguments a few times, not hundreds of times
     said = rows.select(once.alias("m"))._jdf.queryExecution().analyzed().toString()
     assert said.count("atan") <= 2
+
+
+def test_arrays_are_computed_once_not_for_each_span(spark):
+    draw = F.array(F.struct(F.lit(0.0).alias("a"), F.rand(1).alias("b")))  # other values each time that it is computed
+    spans = F.array(*[F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))] * 5)
+    shared = spark.range(1).select(S.overlap(spans, draw).alias("x")).first().x
+    assert len(shared) == 5 and len({s.b for s in shared}) == 1
+    piece = F.struct(*[F.lit(float(k)).alias(f"{c}{k}") for k in (0, 1) for c in ("t", "lon", "lat", "z")])
+    cut = spark.range(1).select(S.clip_to_spans(F.array(*[piece] * 5), draw).alias("x")).first().x
+    assert len(cut) == 5 and len({p.t1 for p in cut}) == 1
+    pairs = spark.range(1).select(S._pairs(F.array(F.rand(1), F.rand(2), F.rand(3)), lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("x")).first().x
+    assert pairs[0].y == pairs[1].x
